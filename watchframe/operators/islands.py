@@ -42,3 +42,17 @@ def islands(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"),
         *[F.sum(c).alias(c) for c in sums],
     ).select(*keys, "start", "end", "n", *sums)
+
+
+def gap_to_previous(df: DataFrame, keys: Sequence[str], position: str, reach: int, chunk_width: int) -> DataFrame:
+    """Add ``gap``: distance to the previous row of the key, NULL when it is ``reach`` or more away.
+
+    A row is copied to the next chunk when rows there can look back to it.
+    """
+    pos = F.col(position)
+    home = floor_div(pos, chunk_width)
+    copies = df.withColumn("_home", home).withColumn(
+        "_chunk", F.explode(F.sequence(home, floor_div(pos + (reach - 1), chunk_width))))
+    gap = pos - F.lag(position).over(Window.partitionBy(*keys, "_chunk").orderBy(position))
+    own = copies.withColumn("gap", gap).filter(F.col("_chunk") == F.col("_home")).drop("_chunk", "_home")
+    return own.withColumn("gap", F.when(F.col("gap") < reach, F.col("gap")))
