@@ -55,13 +55,13 @@ def plain_number_text(x: Column, low: float = 1e-6, high: float = 1e21) -> Colum
     text = x.cast("string")
     a = F.abs(x)
     whole = (x == F.floor(x)) & (a < F.lit(1e15))
-    plain = F.regexp_replace(F.regexp_replace(text.cast("decimal(38,15)").cast("string"), r"0+$", ""), r"\.$", "")
-    tiny = F.regexp_replace(F.regexp_replace(text.cast("decimal(38,30)").cast("string"), r"0+$", ""), r"\.$", "")
+    plain = F.regexp_replace(F.regexp_replace(text.try_cast("decimal(38,17)").cast("string"), r"0+$", ""), r"\.$", "")
+    tiny = F.regexp_replace(F.regexp_replace(text.try_cast("decimal(38,30)").cast("string"), r"0+$", ""), r"\.$", "")
     exponent = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), "E-", "e-"), r"E(\d)", r"e+$1")
     return (
         F.when(x == 0, F.lit("0"))
-        .when(whole, x.cast("long").cast("string"))
+        .when(whole, x.try_cast("long").cast("string"))
         .when((a < low) | (a >= high), exponent)
-        .when(a < 1e-3, tiny)
+        .when(a < 1, tiny)
         .otherwise(plain)
     )

@@ -24,8 +24,8 @@ def parse_rfc3339(c: Column) -> Column:
     n = F.length(c)
     local = F.when(zulu, F.left(c, n - 1)).otherwise(F.left(c, n - 6))
     sign = F.when(F.substr(c, n - 5, F.lit(1)) == "-", F.lit(-1)).otherwise(F.lit(1))
-    hours = F.substr(c, n - 4, F.lit(2)).cast("long")
-    minutes = F.substr(c, n - 1, F.lit(2)).cast("long")
+    hours = F.substr(c, n - 4, F.lit(2)).try_cast("long")
+    minutes = F.substr(c, n - 1, F.lit(2)).try_cast("long")
     offset = F.when(zulu, F.lit(0).cast("long")).otherwise(sign * (hours * 3600 + minutes * 60))
     local_ts = F.concat(F.translate(local, ",", "."), F.lit("Z")).try_cast("timestamp")
     return F.when(c.rlike(RFC3339), F.timestamp_micros(F.unix_micros(local_ts) - offset * 1000000))

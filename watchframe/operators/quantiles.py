@@ -42,11 +42,10 @@ def weighted_quantiles(counts: DataFrame, keys: Sequence[str], probs: Mapping[st
     def holds(rank: Column) -> Column:
         return (rank >= F.col("before")) & (rank < F.col("upto"))
 
-    spots = spots.filter(holds(low) | holds(high))
-    same = [counts[k].eqNullSafe(spots[k]) for k in keys] + [counts["bucket"] == spots["bucket"]]
-    joined = counts.join(spots, same).select(
-        *[counts[k] for k in keys], counts["bucket"], counts["value"], counts["weight"],
-        spots["before"], spots["n"], spots["name"], spots["at"])
+    spots = spots.filter(holds(low) | holds(high)).select(
+        *[F.col(k).alias(f"s_{k}") for k in keys], F.col("bucket").alias("s_bucket"), "before", "n", "name", "at")
+    same = [F.col(k).eqNullSafe(F.col(f"s_{k}")) for k in keys] + [F.col("bucket") == F.col("s_bucket")]
+    joined = counts.join(spots, same).select(*keys, "bucket", "value", "weight", "before", "n", "name", "at")
     order = Window.partitionBy(*keys, "bucket", "name").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     placed = joined.withColumn("upto", F.col("before") + F.sum("weight").over(order))
     ends = placed.groupBy(*keys, "n", "name", "at").agg(

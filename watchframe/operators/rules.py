@@ -36,7 +36,7 @@ def _covered(
     if end is not None:
         last = F.least(last, F.lit(end // step_s).cast("long"))
     rows = samples.select(
-        *series, us.alias("us"), F.col(value).alias("value"), first.alias("first"), last.alias("last"))
+        *series, us.alias("us"), F.col(value).cast("double").alias("value"), first.alias("first"), last.alias("last"))
     return rows.filter(F.col("first") <= F.col("last"))
 
 
@@ -69,8 +69,9 @@ def instant_vector(
         *series, "value",
         F.greatest(F.col("first"), low).alias("lo"),
         F.least(F.col("last"), high, F.col("following") - 1).alias("hi"))
-    steps = F.explode(F.sequence(F.col("lo"), F.col("hi")))
-    return spans.filter(F.col("lo") <= F.col("hi")).select(*series, (steps * step_s).alias("step"), "value")
+    width = F.lit(step_s).cast("long")
+    steps = F.explode(F.sequence(F.col("lo") * width, F.col("hi") * width, width))
+    return spans.filter(F.col("lo") <= F.col("hi")).select(*series, steps.alias("step"), "value")
 
 
 def rate(
