@@ -123,16 +123,17 @@ def normalize(
         .when(missing, F.lit(REJECT_REQUIRED))
     )
     severity = F.lower(F.col("_severity"))
-    # Filters on a generator's output stay above it, so splitting accepted from rejected
-    # rows never evaluates the JSON parsing below a second time.
-    checked = stamped.select(
-        *passthrough,
+    # Filters on a generator's output stay above it, so neither splitting accepted from rejected rows
+    # nor a later filter on a field evaluates the JSON parsing below a second time. The labels are the
+    # costly part and stay outside, where an unused column is pruned.
+    fields = F.struct(
+        F.col("_ts").alias("timestamp"),
         *[F.col(f"_{name}").alias(name) for name in REQUIRED_FIELDS],
         *[blank_to_null(F.col(f"_{name}")).alias(name) for name in OPTIONAL_FIELDS],
         F.when(severity == "", F.lit("info")).otherwise(severity).alias("severity"),
-        F.col("_labels").alias("labels"),
-        F.inline(F.array(F.struct(F.col("_ts").alias("timestamp"), reason.alias("reject_reason")))),
+        reason.alias("reject_reason"),
     )
+    checked = stamped.select(*passthrough, F.col("_labels").alias("labels"), F.inline(F.array(fields)))
     return checked.select(*passthrough, *ENVELOPE, "reject_reason")
 
 
