@@ -17,8 +17,12 @@ SECRET_PREFIXES = ("kv/", "secret/", "env/")
 
 
 def trim_space(c: Column) -> Column:
-    """Strip every kind of Unicode white space from both ends."""
-    return F.btrim(c, F.lit(WHITE_SPACE))
+    """Strip every kind of Unicode white space from both ends.
+
+    Text between two printable ASCII characters, the usual case, is passed on as it is.
+    """
+    plain = F.ascii(c).between(33, 126) & F.ascii(F.right(c, F.lit(1))).between(33, 126)
+    return F.when(plain, c).otherwise(F.btrim(c, F.lit(WHITE_SPACE)))
 
 
 def blank_to_null(c: Column) -> Column:

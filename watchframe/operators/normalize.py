@@ -37,7 +37,14 @@ REJECT_PARSE = "parse application event"
 REJECT_TIMESTAMP = "timestamp must be RFC3339"
 REJECT_REQUIRED = "environment, application, and message are required"
 
-_BIG_EXPONENT = r"[eE]\+?\d{3}"
+# Every key is parsed as a VARIANT of its own, which keeps its JSON type: one pass, no look-ups.
+_BAD = "_bad"
+_JSON_OPTIONS = {
+    "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD, "allowSingleQuotes": "false", "allowNonNumericNumbers": "false",
+}
+_JSON_SPACE = " \t\n\r"
+
+_BIG_EXPONENT = r"\d[eE]\+?\d{3}"
 _STRING_LITERAL = r'"(?:[^"\\]|\\.)*"'
 
 
@@ -45,27 +52,18 @@ def _value_type(v: Column) -> Column:
     return F.schema_of_variant(v)
 
 
-def _key(doc: Column, key: str) -> Column:
-    return F.try_variant_get(doc, f"$.{key}", "variant")
+def first_string(keys: Sequence[str]) -> Column:
+    """The first key that holds a string wins, trimmed, even when it trims to nothing."""
+    options = [F.when(_value_type(F.col(k)) == "STRING", F.col(k).cast("string")) for k in keys]
+    return trim_space(F.coalesce(*options, F.lit("")))
 
 
-def first_string(doc: Column, keys: Sequence[str]) -> Column:
-    """The first key that holds a string wins, trimmed, even when it trims to nothing."""
-    options = [
-        F.when(_value_type(_key(doc, k)) == "STRING", trim_space(F.try_variant_get(doc, f"$.{k}", "string")))
-        for k in keys
-    ]
-    return F.coalesce(*options, F.lit(""))
-
-
-def scalar_labels(doc: Column) -> Column:
-    """String, number and boolean entries of ``labels``; NULL when there are none."""
-    is_object = _value_type(_key(doc, "labels")).startswith("OBJECT")
-    entries = F.when(is_object, F.try_variant_get(doc, "$.labels", "map<string,variant>"))
-    kept = F.map_filter(
-        entries,
-        lambda _, v: ~(_value_type(v).startswith("OBJECT") | _value_type(v).startswith("ARRAY") | (_value_type(v) == "VOID")),
-    )
+def scalar_labels(labels: Column) -> Column:
+    """String, number and boolean entries of a label object; NULL when there are none."""
+    is_object = _value_type(labels).startswith("OBJECT")
+    entries = F.when(is_object, F.try_variant_get(labels, "$", "map<string,variant>"))
+    # OBJECT, ARRAY and VOID values go
+    kept = F.map_filter(entries, lambda _, v: ~F.left(_value_type(v), F.lit(2)).isin("OB", "AR", "VO"))
     return F.when(F.size(kept) > 0, kept)
 
 
@@ -96,20 +94,27 @@ def normalize(
     """
     ingest = F.col(ingest_ts) if isinstance(ingest_ts, str) else ingest_ts
     passthrough = [F.col(c) for c in raw.columns if c not in ENVELOPE]
+    kept = [F.col(f"_raw.{c}") for c in raw.columns if c not in ENVELOPE]
+    names = sorted({k for keys in field_keys.values() for k in keys} | {"labels"})
+    schema = ", ".join([*[f"`{k}` VARIANT" for k in names], f"`{_BAD}` STRING"])
+    opening = F.left(F.ltrim(F.col(value), F.lit(_JSON_SPACE)), F.lit(1))
     parsed = raw.select(
-        *passthrough,
+        F.struct(*passthrough).alias("_raw"),
         ingest.alias("_ingest"),
-        F.try_parse_json(F.col(value)).alias("_doc"),
+        opening.alias("_opening"),
         _has_overflow(F.col(value)).alias("_overflow"),
-    )
-    doc = F.col("_doc")
+        # a bare null counts as an empty object
+        F.when(opening == "n", _value_type(F.try_parse_json(F.col(value))) == "VOID").alias("_null"),
+        F.from_json(F.col(value), schema, _JSON_OPTIONS).alias("_doc"),
+    ).select("_raw", "_ingest", "_opening", "_overflow", "_null", "_doc.*")
+    is_object = ((F.col("_opening") == "{") & F.col(_BAD).isNull()) | F.col("_null")
     texts = parsed.select(
-        *passthrough,
+        *kept,
         "_ingest",
-        F.coalesce(_value_type(doc).startswith("OBJECT") | (_value_type(doc) == "VOID"), F.lit(False)).alias("_object"),
+        F.coalesce(is_object, F.lit(False)).alias("_object"),
         "_overflow",
-        scalar_labels(doc).alias("_labels"),
-        *[first_string(doc, keys).alias(f"_{name}") for name, keys in field_keys.items()],
+        scalar_labels(F.col("labels")).alias("_labels"),
+        *[first_string(keys).alias(f"_{name}") for name, keys in field_keys.items()],
     )
     stamped = texts.withColumn(
         "_ts", F.when(F.col("_timestamp") == "", F.col("_ingest")).otherwise(parse_rfc3339(F.col("_timestamp")))

@@ -12,6 +12,8 @@ REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
+# The JVM never compiles a method over 8000 bytes of byte code, so a larger stage runs as separate operators.
+CODEGEN = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 # Run-time re-planning: skewed joins are split and small partitions merged.
 ADAPTIVE = {
     "spark.sql.adaptive.enabled": "true",
@@ -22,7 +24,7 @@ ADAPTIVE = {
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings above to an existing session."""
-    for key, value in {**REQUIRED, **ADAPTIVE}.items():
+    for key, value in {**REQUIRED, **ADAPTIVE, **CODEGEN}.items():
         spark.conf.set(key, value)
     return spark
 
