@@ -91,14 +91,15 @@ def read_latest(table: DataFrame) -> DataFrame:
 
 
 def hold_alerts(
-    evaluations: DataFrame, keys: Sequence[str], step_s: int = STEP_SECONDS, hold_s: int = HOLD_SECONDS
+    evaluations: DataFrame, keys: Sequence[str], step_s: int = STEP_SECONDS, hold_s: int = HOLD_SECONDS,
+    silence: str = "5 minutes",
 ) -> DataFrame:
     """Stateful alert hold over rows ``keys``, ``step`` (epoch seconds), ``at`` (its timestamp), ``is_true``.
 
     Emits ``firing`` once a run has held, and ``resolved`` when it ends. State per series is four
-    numbers; rows of one batch are reduced to runs before they are walked. A series that falls
-    silent resolves when the watermark passes its next step. Rows older than the last one seen
-    for their series are dropped.
+    numbers; rows of one batch are reduced to runs before they are walked. A series without a row
+    for ``silence`` longer than the others resolves. Rows older than the last one seen for their
+    series are dropped.
     """
     names = list(keys)
     types = {f.name: f.dataType.simpleString() for f in evaluations.schema.fields}
@@ -139,7 +140,7 @@ def hold_alerts(
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[*names, "kind", "started_s", "at_s"])
 
-    return evaluations.withWatermark("at", "0 seconds").groupBy(*names).applyInPandasWithState(
+    return evaluations.withWatermark("at", silence).groupBy(*names).applyInPandasWithState(
         walk, output, "start bigint, last bigint, fired boolean, seen bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
