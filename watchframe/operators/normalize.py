@@ -54,8 +54,8 @@ def _value_type(v: Column) -> Column:
 
 def first_string(keys: Sequence[str]) -> Column:
     """The first key that holds a string wins, trimmed, even when it trims to nothing."""
-    options = [F.when(_value_type(F.col(k)) == "STRING", F.col(k).cast("string")) for k in keys]
-    return trim_space(F.coalesce(*options, F.lit("")))
+    options = [f"CASE WHEN schema_of_variant(`{k}`) = 'STRING' THEN CAST(`{k}` AS STRING) END" for k in keys]
+    return trim_space(F.expr(f"coalesce({', '.join(options)}, '')"))
 
 
 def scalar_labels(labels: Column) -> Column:

@@ -116,10 +116,10 @@ def with_template(spark: SparkSession, probe: Probe, template: str | None) -> Pr
     def rows(snapshots: Snapshots) -> DataFrame:
         text = template.replace("{", "{{").replace("}", "}}")
         used = {}
-        for name, frame in snapshots.items():
+        for name in snapshots:
             text, n = re.subn(rf"\bsys\.{name}\b", "{" + name + "}", text)
             if n:
-                used[name] = frame
+                used[name] = snapshots[name]
         return spark.sql(text, **used)
 
     return replace(probe, rows=rows, order_column=None)

@@ -3,12 +3,31 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from string import Template
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from watchframe.plans import recipes
-from watchframe.session import configure
+from watchframe.session import configure, spread
+
+
+class Snapshots(Mapping):
+    """System-view snapshots, each built when a probe first asks for it."""
+
+    def __init__(self, fixtures: Fixtures):
+        self._fixtures, self._frames = fixtures, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._frames:
+            self._frames[name] = self._fixtures.sql(recipes.SNAPSHOTS[name])
+        return self._frames[name]
+
+    def __iter__(self):
+        return iter(recipes.SNAPSHOTS)
+
+    def __len__(self) -> int:
+        return len(recipes.SNAPSHOTS)
 
 
 class Fixtures:
@@ -16,9 +35,15 @@ class Fixtures:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = configure(spark), sf_dir.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        """A given table, with zone-less timestamps read as UTC instants."""
+        """A given table, with zone-less timestamps read as UTC instants. Its schema is read once."""
+        if name not in self._tables:
+            self._tables[name] = self._read(name)
+        return self._tables[name]
+
+    def _read(self, name: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return df.select(*[
             F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.typeName() == "timestamp_ntz" else F.col(f.name)
@@ -33,14 +58,19 @@ class Fixtures:
         return self.spark.sql(text, **{n: frames[n] if n in frames else self.table(n) for n in names})
 
     def raw_events(self) -> DataFrame:
-        return self.sql(recipes.RAW_EVENTS).withColumnRenamed("ts", "ingest_ts")
+        raw = self.sql(recipes.RAW_EVENTS, events=spread(self.table("events")))
+        return raw.withColumnRenamed("ts", "ingest_ts")
 
-    def snapshots(self) -> dict[str, DataFrame]:
-        return {name: self.sql(text) for name, text in recipes.SNAPSHOTS.items()}
+    def snapshots(self) -> Mapping[str, DataFrame]:
+        return Snapshots(self)
 
     def metadata(self, name: str) -> DataFrame:
         return self.sql(recipes.METADATA[name])
 
+    def model(self) -> dict[str, DataFrame]:
+        """Metadata tables filled from the given ones, with broken rules planted."""
+        return {name: self.sql(text) for name, text in recipes.MODEL.items()}
+
     def samples(self, events: DataFrame | None = None) -> DataFrame:
         flat = self.sql(recipes.SAMPLES, **({} if events is None else {"events": events}))
         pairs = F.create_map(F.lit("environment"), "environment", F.lit("target"), "target", F.lit("zone"), "zone")

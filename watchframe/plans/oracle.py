@@ -7,6 +7,7 @@ from watchframe.operators.contracts import CONTRACTS
 from watchframe.operators.normalize import FIELD_KEYS
 from watchframe.plans import recipes
 from watchframe.plans.recipes import GRID_END, GRID_START, for_duckdb
+from watchframe.schemas import CHECKS, FOREIGN_KEYS, UNIQUE
 
 JOBS = "db-collector|otel-gateway|otel-collector"
 _SPACE = WHITE_SPACE.replace("'", "''")
@@ -190,6 +191,52 @@ _DELTAS = _with(_SUBJECT_EVENTS, ("d", """SELECT application, component, now, ti
     events_current - events_previous AS events_delta, errors_current - errors_previous AS errors_delta
     FROM subject_events WHERE timestamp >= TIMESTAMP '2024-01-01' AND timestamp < TIMESTAMP '2024-01-31' GROUP BY application, component"""))
 
+def _model() -> str:
+    return _with(*[(name, for_duckdb(text)) for name, text in recipes.MODEL.items()])
+
+
+def _audit_sql() -> str:
+    parts = []
+    for u in UNIQUE:
+        if u.table in recipes.MODEL:
+            known = " AND ".join(f"{k} IS NOT NULL" for k in u.keys)
+            rule = ",".join(u.keys).replace("'", "''")
+            parts.append(f"""SELECT '{u.table}' AS "table", 'unique:{rule}' AS rule, count(*) AS n_keys, CAST(sum(n) AS BIGINT) AS n_rows FROM
+                (SELECT count(*) AS n FROM {u.table} WHERE {known} AND {u.where or 'true'} GROUP BY {', '.join(u.keys)} HAVING count(*) > 1)""")
+    for k in FOREIGN_KEYS:
+        if k.table in recipes.MODEL and k.parent in recipes.MODEL:
+            parts.append(f"""SELECT '{k.table}', 'foreign_key:{k.column}->{k.parent}', count(DISTINCT {k.column}), count(*) FROM {k.table} c
+                WHERE {k.column} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {k.parent} p WHERE p.id = c.{k.column})""")
+    for c in CHECKS:
+        if c.table in recipes.MODEL:
+            expression = c.expression.replace("`", '"')
+            parts.append(f"SELECT '{c.table}', '{c.name}', count(*), count(*) FROM {c.table} WHERE NOT ({expression})")
+    return _model() + "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE n_keys > 0"
+
+
+def _delete_sql() -> str:
+    words = {"cascade": "removed", "set_null": "cleared", "restrict": "blocked"}
+    parts = [
+        f"""SELECT '{k.table}' AS "table", '{k.column}' AS "column", '{words[k.on_delete]}' AS effect, {k.column} AS key, count(*) AS n_rows
+            FROM {k.table} WHERE {k.column} IN (SELECT id FROM applications WHERE right(id, 1) IN ('1', '3', '5', '7', '9')) GROUP BY {k.column}"""
+        for k in FOREIGN_KEYS if k.parent == "applications" and k.table in recipes.MODEL]
+    return _model() + " UNION ALL ".join(parts)
+
+
+_PAYLOAD = _DELTAS + """, worst AS (SELECT application, component, errors_delta, row_number() OVER (PARTITION BY application ORDER BY errors_delta DESC, component) AS rank
+        FROM deltas WHERE errors_delta > 0 QUALIFY rank <= 3),
+    listed AS (SELECT application, string_agg('{"component":"' || component || '","errors_delta":' || errors_delta || ',"rank":' || rank || '}', ',' ORDER BY rank) AS data FROM worst GROUP BY application),
+    health AS (SELECT application, count(*) AS n, count(*) FILTER (severity = 'error') AS bad, round(avg(CASE WHEN severity = 'error' THEN 1::DOUBLE ELSE 0 END), 6) AS ratio FROM subject_events GROUP BY application)
+    SELECT application AS application_id, '{"application_id":"' || application || '","period":{"start":"2024-01-01T00:00:00Z","end":"2024-01-31T00:00:00Z"},"sections":['
+        || '{"id":"health","title":"Health summary","data":[{"error_ratio":' || ratio || ',"n_errors":' || bad || ',"n_events":' || n || '}]}'
+        || coalesce(',{"id":"regressions","title":"Top regressions","data":[' || data || ']}', '') || ']}' AS payload
+    FROM health LEFT JOIN listed USING (application)"""
+
+_ROW_JSON = """'{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || ',"c_acctbal":' || c_acctbal || ',"c_mktsegment":"' || c_mktsegment || '"}'"""
+_PIECES = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR) AS s{i}" for i in range(4))
+_VERSION = f"""WITH h AS (SELECT sha256({_ROW_JSON}) AS h FROM customer), t AS (SELECT count(*) AS n, {_PIECES} FROM h)
+    SELECT n, sha256('{{"n":' || n || ',"s0":' || s0 || ',"s1":' || s1 || ',"s2":' || s2 || ',"s3":' || s3 || '}}') AS version FROM t"""
+
 _STREAM_SAME = {"stream_normalize": "normalize_accepted", "stream_rejected": "normalize_rejected", "stream_latest": "series_latest"}
 
 ORACLE: dict[str, str] = {
@@ -279,6 +326,10 @@ ORACLE: dict[str, str] = {
     "delete_cascade": f"SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN ({_GONE})",
     "delete_set_null": f"SELECT o_orderkey, CASE WHEN o_custkey IN ({_GONE}) THEN -1 ELSE o_custkey END AS o_custkey FROM orders",
     "delete_restrict": f"SELECT o_custkey AS id, count(*) AS n_rows FROM orders WHERE o_custkey IN ({_GONE}) GROUP BY o_custkey",
+    "metadata_audit": _audit_sql(),
+    "delete_effects": _delete_sql(),
+    "table_version": _VERSION,
+    "report_payload": _PAYLOAD,
     "investigation_overlap": _with(_INVESTIGATIONS, ("requests", for_duckdb(recipes.METADATA["requests"])), ("slugs", for_duckdb(recipes.METADATA["slugs"]))) + """
         SELECT r.request_id, i.id AS investigation_id, r.environment_slug, r.subject_type, r.subject_value FROM requests r
         JOIN investigations i ON i.environment_id = (SELECT id FROM slugs WHERE slug = r.environment_slug) AND i.subject_type = r.subject_type

@@ -383,6 +383,18 @@ def delete_restrict(f):
     return audit.restrict_blockers(f.table("orders"), _gone_customers(f), "o_custkey")
 
 
+@query
+def metadata_audit(f):
+    return audit.audit_tables(f.model())
+
+
+@query
+def delete_effects(f):
+    """What removing every other application would do to the tables that refer to it."""
+    gone = f.model()["applications"].filter("right(id, 1) IN ('1', '3', '5', '7', '9')").select("id")
+    return audit.delete_effects(f.model(), "applications", gone)
+
+
 # ---- investigations and links
 
 @query

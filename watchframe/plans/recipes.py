@@ -142,6 +142,40 @@ SELECT o_orderkey AS id, concat('app', CAST(o_custkey % 8 AS STRING)) AS applica
 FROM $orders""",
 }
 
+# Tables of the metadata model in the columns its rules read, with faults planted for every kind of rule.
+MODEL = {
+    "environments": """
+SELECT CAST(n_nationkey AS STRING) AS id, lower(n_name) AS slug, 'active' AS status,
+       CASE n_nationkey % 5 WHEN 0 THEN 'production' WHEN 1 THEN 'staging' WHEN 2 THEN 'development' WHEN 3 THEN 'test' ELSE 'lab' END AS type
+FROM $nation""",
+    "users": """
+SELECT CAST(c_custkey AS STRING) AS id, CASE WHEN c_custkey % 41 = 0 THEN 'same@example.com' ELSE concat(lower(c_name), '@example.com') END AS email,
+       CASE WHEN c_custkey % 37 = 0 THEN NULL WHEN c_custkey % 19 = 0 THEN 'away' ELSE 'active' END AS status FROM $customer""",
+    "applications": """
+SELECT CAST(s_suppkey AS STRING) AS id, CASE WHEN s_suppkey % 17 = 9 THEN 'none' ELSE CAST(s_nationkey AS STRING) END AS environment_id,
+       concat('app', CAST(s_suppkey % 3 AS STRING)) AS name, 'active' AS status,
+       CASE s_suppkey % 6 WHEN 5 THEN 'urgent' WHEN 4 THEN 'low' ELSE 'high' END AS criticality FROM $supplier""",
+    "investigations": """
+SELECT CAST(o_orderkey AS STRING) AS id, CASE WHEN o_orderkey % 23 = 0 THEN 'none' ELSE CAST(o_orderkey % 10 AS STRING) END AS application_id,
+       CAST(o_orderkey % 26 AS STRING) AS environment_id, CAST(o_custkey AS STRING) AS created_by,
+       CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'completed' ELSE 'paused' END AS status,
+       CASE o_orderkey % 5 WHEN 0 THEN 'ip' WHEN 1 THEN 'session' WHEN 2 THEN 'request' WHEN 3 THEN 'host' ELSE 'user' END AS subject_type,
+       o_orderdate AS time_start,
+       CASE WHEN o_orderkey % 53 = 0 THEN o_orderdate - INTERVAL '1' DAY ELSE o_orderdate + INTERVAL '1' DAY END AS time_end FROM $orders""",
+    "investigation_jobs": """
+SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS id, CAST(l_orderkey AS STRING) AS investigation_id,
+       CASE l_returnflag WHEN 'A' THEN 'queued' WHEN 'N' THEN 'running' ELSE 'completed' END AS status FROM $lineitem""",
+    "alert_policies": """
+SELECT CAST(p_partkey AS STRING) AS id, CAST(p_partkey % 12 AS STRING) AS application_id, p_brand AS name,
+       CASE p_size % 4 WHEN 0 THEN 'fatal' WHEN 1 THEN 'info' WHEN 2 THEN 'warning' ELSE 'critical' END AS severity FROM $part""",
+    "alert_events": """
+SELECT CAST(event_id AS STRING) AS id, CAST(user_id % 11 AS STRING) AS application_id,
+       CASE WHEN event_id % 97 = 0 THEN 'none' WHEN event_id % 3 <> 0 THEN CAST(event_id % 200 AS STRING) END AS alert_policy_id,
+       CASE event_type WHEN 'error' THEN 'firing' WHEN 'view' THEN 'resolved' WHEN 'click' THEN 'suppressed' ELSE 'open' END AS status,
+       'info' AS severity, CAST(user_id AS STRING) AS fingerprint, date_trunc('day', ts) AS started_at,
+       CASE WHEN event_id % 59 = 0 THEN ts - INTERVAL '2' DAY WHEN event_id % 2 = 0 THEN ts END AS resolved_at FROM $events""",
+}
+
 SUBJECT_EVENTS = """
 SELECT event_id, ts AS timestamp, event_type, value, concat('app', CAST(user_id % 4 AS STRING)) AS application,
        concat('env', CAST(user_id % 3 AS STRING)) AS environment, concat('c', CAST(event_id % 6 AS STRING)) AS component,

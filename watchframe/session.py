@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on for right results, not for speed.
 REQUIRED = {
@@ -30,7 +30,8 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def build_session(app: str = "watchframe", master: str | None = None, **conf: str) -> SparkSession:
-    builder = SparkSession.builder.appName(app)
+    # recording a stack trace for every column call doubles the time it takes to build a plan
+    builder = SparkSession.builder.appName(app).config("spark.python.sql.dataFrameDebugging.enabled", "false")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
@@ -50,3 +51,17 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="watchframe-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+SMALL_SPLIT_BYTES = 4 * 1024 * 1024
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input one task per core before costly work on its rows.
+
+    Files are cut no finer than ``SMALL_SPLIT_BYTES``, so only an input too small to occupy every
+    core is shuffled; a large one is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL_SPLIT_BYTES else df
