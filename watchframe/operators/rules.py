@@ -76,7 +76,7 @@ def instant_vector(
 
 def rate(
     samples: DataFrame, series: Sequence[str], value: str = "value", range_s: int = 300, step_s: int = STEP_SECONDS,
-    start: int | None = None, end: int | None = None, chunk_steps: int = 2400,
+    start: int | None = None, end: int | None = None, chunk_steps: int = 480,
 ) -> DataFrame:
     """Per-second increase of a counter over the trailing range at every step.
 

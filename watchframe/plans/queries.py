@@ -409,7 +409,8 @@ SUBJECTS = {"user": "user_id", "session": "session_id"}
 def _correlated(f: Fixtures) -> DataFrame:
     windows = correlate.subject_windows(f.metadata("investigations"), SUBJECTS)
     return correlate.correlate_subjects(
-        f.sql(recipes.SUBJECT_EVENTS), windows, ["event_id", "timestamp", "component", "severity"], SUBJECTS)
+        f.sql(recipes.SUBJECT_EVENTS), windows, ["event_id", "timestamp", "component", "severity"], SUBJECTS,
+        without_subject=False)
 
 
 @query
