@@ -153,6 +153,29 @@ _ALERTS = _UP + (
 )
 
 
+# A flush every 300 s from 30 s after a group's first alert; its clock is forgotten at a flush with nothing firing.
+_NOTICES = "WITH RECURSIVE " + _with(*_ALERTS).removeprefix("WITH ").rstrip() + f""",
+    a AS (SELECT alertname, job, environment, instance AS fp, started_s AS s, CASE WHEN resolved_s < 0 THEN 9999999999 ELSE resolved_s END AS e FROM fired),
+    m AS (SELECT *, max(e) OVER (PARTITION BY job, environment ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM a),
+    g AS (SELECT *, sum(CASE WHEN s <= busy THEN 0 ELSE 1 END) OVER (PARTITION BY job, environment ORDER BY s, e) AS c FROM m),
+    cover AS (SELECT job, environment, c, min(s) AS cs, max(e) AS ce FROM g GROUP BY job, environment, c),
+    life AS (SELECT job, environment, c, ce, cs AS origin FROM cover WHERE c = 1
+        UNION ALL SELECT n.job, n.environment, n.c, n.ce, CASE WHEN l.origin + 30 + 300 * greatest(0, ceil((l.ce - l.origin - 30) / 300)) < n.cs THEN n.cs ELSE l.origin END
+        FROM life l JOIN cover n ON n.job = l.job AND n.environment = l.environment AND n.c = l.c + 1),
+    lives AS (SELECT job, environment, origin, max(ce) AS last_end FROM life GROUP BY ALL),
+    flush AS (SELECT job, environment, origin, k, origin + 30 + 300 * k AS t FROM
+        (SELECT *, unnest(generate_series(0, CAST(greatest(0, ceil((least(last_end, {GRID_END}) - origin - 30) / 300)) AS BIGINT))) AS k FROM lives)),
+    fps AS (SELECT f.job, f.environment, f.origin, f.k, a.fp, bool_or(a.e > f.t) AS live, bool_or(a.s <= f.t - 300 AND a.e > f.t - 300) AS was_live
+        FROM flush f JOIN a ON a.job = f.job AND a.environment = f.environment AND a.s >= f.origin AND a.s <= f.t AND a.e > f.t - 300 GROUP BY ALL),
+    sums AS (SELECT job, environment, origin, k, count(*) FILTER (live) AS n_live, count(*) FILTER (live AND NOT was_live) AS n_new,
+        count(*) FILTER (was_live AND NOT live) AS n_left, count(*) FILTER (NOT live) AS n_gone FROM fps GROUP BY ALL),
+    told AS (SELECT f.job, f.environment, f.origin, f.k, f.t, n_live, n_gone, n_new > 0 OR (n_live = 0 AND n_left > 0) OR (n_live > 0 AND n_gone > 0) AS change FROM flush f JOIN sums USING (job, environment, origin, k)),
+    timed AS (SELECT *, max(CASE WHEN change THEN k END) OVER (PARTITION BY job, environment, origin ORDER BY k) AS last_k FROM told)
+    SELECT 'ServiceDown' AS alertname, job, environment, t AS notice_s, CASE WHEN change THEN 'change' ELSE 'repeat' END AS reason,
+        n_live AS n_firing, CASE WHEN change THEN n_gone ELSE 0 END AS n_resolved
+    FROM timed WHERE t <= {GRID_END} AND (change OR (n_live > 0 AND (k - last_k) % 48 = 0))"""
+
+
 def _rate(step_s: int) -> tuple[tuple[str, str], ...]:
     return (
         ("counters", for_duckdb(recipes.COUNTER_SAMPLES)),
@@ -326,6 +349,14 @@ ORACLE: dict[str, str] = {
     "delete_cascade": f"SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN ({_GONE})",
     "delete_set_null": f"SELECT o_orderkey, CASE WHEN o_custkey IN ({_GONE}) THEN -1 ELSE o_custkey END AS o_custkey FROM orders",
     "delete_restrict": f"SELECT o_custkey AS id, count(*) AS n_rows FROM orders WHERE o_custkey IN ({_GONE}) GROUP BY o_custkey",
+    "alert_notifications": _NOTICES,
+    "sink_samples": _with(_SAMPLES) + "SELECT strftime(ts, '%Y-%m-%d') AS date, metric, count(*) AS n, round(sum(value), 4) AS total FROM samples GROUP BY ALL",
+    "sink_logs": _with(*_LOGS) + """SELECT 'shop-logs' AS job, severity AS level, strftime(make_timestamp(timestamp_us), '%Y-%m-%d') AS date, count(*) AS n FROM accepted GROUP BY ALL""",
+    "publish_guard": "SELECT c_custkey, round(c_acctbal, 2) AS c_acctbal FROM customer",
+    "investigation_timeline": _with(*_CORRELATED) + """SELECT investigation_id, event_id, epoch_us(timestamp) AS timestamp_us, component, severity FROM correlated""",
+    "due_runs": """SELECT 'rs' || s_suppkey AS schedule_id, 'app' || s_nationkey AS application_id, 'queued' AS status, count(*) AS n FROM
+        (SELECT DISTINCT l_suppkey, l_shipdate FROM lineitem) JOIN supplier ON s_suppkey = l_suppkey WHERE s_suppkey % 4 <> 0 GROUP BY ALL""",
+    "stream_alert_dedup": "SELECT user_id AS fingerprint, epoch_us(date_trunc('day', ts)) AS started_us FROM events GROUP BY ALL",
     "metadata_audit": _audit_sql(),
     "delete_effects": _delete_sql(),
     "table_version": _VERSION,

@@ -17,6 +17,8 @@ from watchframe.operators import (
 from watchframe.plans import recipes, replay
 from watchframe.plans.fixtures import Fixtures
 from watchframe.schemas import Check, Unique
+from watchframe.session import work_dir
+from watchframe.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -450,6 +452,38 @@ def deep_links(f):
     return correlate.deep_links(records, templates, {"query": F.col("query"), "target": F.col("target")}).select("event_id", "url")
 
 
+# ---- tables written and read back
+
+@query
+def sink_samples(f):
+    path = work_dir(f.spark, "samples")
+    sinks.append_samples(f.samples(), path)
+    stored = f.spark.read.parquet(path).groupBy(F.col("date").cast("string").alias("date"), "metric")
+    return stored.agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query
+def sink_logs(f):
+    path = work_dir(f.spark, "logs")
+    sinks.append_logs(logs.log_records(_events(f), "shop-logs"), path)
+    stored = f.spark.read.parquet(path)
+    return stored.groupBy("job", "level", F.col("date").cast("string").alias("date")).agg(F.count("*").alias("n"))
+
+
+@query
+def publish_guard(f):
+    """A sound version is published, a broken one refused; what is read is the sound one."""
+    root = work_dir(f.spark, "publish")
+
+    def rules_of(df: DataFrame) -> DataFrame:
+        return audit.duplicate_keys(df, Unique("customer", ("c_custkey",)))
+
+    good = f.table("customer").select("c_custkey", "c_acctbal")
+    sinks.publish(good, rules_of, root)
+    sinks.publish(good.unionByName(good.filter("c_custkey % 9 = 0")), rules_of, root)
+    return sinks.read_current(f.spark, root).select("c_custkey", rounded("c_acctbal", 2))
+
+
 # ---- planned tier: baselines, investigation results, reports
 
 @query
@@ -500,6 +534,19 @@ def sessions(f):
     return investigate.sessions(f.table("events"), ["user_id"])
 
 
+@query
+def investigation_timeline(f):
+    return investigate.timeline(_correlated(f)).select("investigation_id", "event_id", micros("timestamp"), "component", "severity")
+
+
+@query
+def due_runs(f):
+    schedules = f.sql("""SELECT concat('rs', CAST(s_suppkey AS STRING)) AS id, concat('app', CAST(s_nationkey AS STRING)) AS application_id,
+        'weekly' AS report_template_id, s_suppkey % 4 <> 0 AS enabled FROM $supplier""")
+    due = f.sql("SELECT concat('rs', CAST(l_suppkey AS STRING)) AS schedule_id, l_shipdate AS time_start, l_shipdate + INTERVAL '7' DAY AS time_end FROM $lineitem")
+    return reports.due_runs(schedules, due).groupBy("schedule_id", "application_id", "status").agg(F.count("*").alias("n"))
+
+
 @query
 def investigation_summary(f):
     found = investigate.summary(_correlated(f))
@@ -615,3 +662,8 @@ def stream_alert_hold(f):
     evaluations = _up(f).select(*UP_SERIES, "step", F.timestamp_seconds("step").alias("at"), truth.alias("is_true"))
     held = replay.alert_hold(f, evaluations, UP_SERIES)
     return held.filter("kind = 'firing'").select(*UP_SERIES, "started_s")
+
+
+@query
+def stream_alert_dedup(f):
+    return replay.alert_dedup(f).select("fingerprint", micros("started_at", "started_us"))

@@ -56,3 +56,12 @@ def alert_hold(f: Fixtures, evaluations: DataFrame, keys: Sequence[str]) -> Data
     held = jobs.hold_alerts(stream, keys)
     jobs.write_parquet(held, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return f.spark.read.parquet(f"{root}/out")
+
+
+def alert_dedup(f: Fixtures) -> DataFrame:
+    """Events as deliveries of one alert per user and day, each delivered many times."""
+    root = work_dir(f.spark, "dedup")
+    deliveries = stream_table(f, "events").select(
+        F.col("user_id").alias("fingerprint"), F.date_trunc("day", "ts").alias("started_at"))
+    jobs.write_parquet(jobs.drop_repeated_alerts(deliveries), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return f.spark.read.parquet(f"{root}/out")
