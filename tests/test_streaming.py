@@ -1,9 +1,11 @@
 import json
 from datetime import datetime, timedelta
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from watchframe.operators import normalize, series
+from watchframe.operators import normalize, probes, series
 from watchframe.sources.events import read_raw, stream_raw
 from watchframe.streaming import jobs
 
@@ -99,3 +101,22 @@ def test_repeated_alerts_are_dropped(spark, tmp_path):
     once = jobs.drop_repeated_alerts(spark.readStream.schema(ddl).parquet(str(tmp_path / "in")))
     jobs.write_parquet(once, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert sorted(r.fingerprint for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["f", "g"]
+
+
+def test_polling_runs_new_scrapes_and_stops_on_unknown_probes(spark, tmp_path):
+    ddl = "environment string, target string, ts timestamp, status string"
+    sessions = spark.createDataFrame([("p", "d", T0, "run"), ("p", "d", T0, "run"), ("p", "d", T0 + timedelta(1), "idle")], ddl)
+    catalog = {"sessions": probes.default_catalog()["sessions"]}
+    source, root, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+
+    def run(ts, schedule=None):
+        spark.createDataFrame([(ts,)], "ts timestamp").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("ts timestamp").parquet(source)
+        jobs.poll_probes(stream, {"dm_exec_sessions": sessions}, catalog, root, check, schedule, None).awaitTermination()
+        return sorted((r.labels["status"], r.value) for r in spark.read.parquet(f"{root}/samples").collect())
+
+    assert run(T0) == [("run", 2.0)]
+    assert run(T0 + timedelta(1)) == [("idle", 1.0), ("run", 2.0)]
+    unknown = spark.createDataFrame([("c", "p", "d", "cpu")], "collector_id string, environment_slug string, target_name string, probe_name string")
+    with pytest.raises(StreamingQueryException):
+        run(T0, unknown)

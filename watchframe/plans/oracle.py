@@ -260,7 +260,8 @@ _PIECES = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGIN
 _VERSION = f"""WITH h AS (SELECT sha256({_ROW_JSON}) AS h FROM customer), t AS (SELECT count(*) AS n, {_PIECES} FROM h)
     SELECT n, sha256('{{"n":' || n || ',"s0":' || s0 || ',"s1":' || s1 || ',"s2":' || s2 || ',"s3":' || s3 || '}}') AS version FROM t"""
 
-_STREAM_SAME = {"stream_normalize": "normalize_accepted", "stream_rejected": "normalize_rejected", "stream_latest": "series_latest"}
+_STREAM_SAME = {"stream_normalize": "normalize_accepted", "stream_rejected": "normalize_rejected", "stream_latest": "series_latest",
+                "stream_probe_cycle": "probe_cycle_samples"}
 
 ORACLE: dict[str, str] = {
     "normalize_accepted": _ACCEPTED + f"SELECT {_ROWS} FROM accepted",

@@ -153,7 +153,7 @@ def probe_evidence(f):
 def _fleet_schedule(f: Fixtures) -> DataFrame:
     """Probes scheduled on each target, two of six switched off."""
     return f.sql("""
-        SELECT DISTINCT concat('env', CAST(c_custkey % 3 AS STRING)) AS environment_slug,
+        SELECT DISTINCT 'fleet' AS collector_id, concat('env', CAST(c_custkey % 3 AS STRING)) AS environment_slug,
                concat('db', CAST(c_custkey % 5 AS STRING)) AS target_name, explode(array('waits', 'blocking', 'sessions', 'storage')) AS probe_name
         FROM $customer WHERE c_custkey % 15 <> 4""")
 
@@ -667,3 +667,8 @@ def stream_alert_hold(f):
 @query
 def stream_alert_dedup(f):
     return replay.alert_dedup(f).select("fingerprint", micros("started_at", "started_us"))
+
+
+@query
+def stream_probe_cycle(f):
+    return sample_rows(replay.poll(f, _fleet_schedule(f)))

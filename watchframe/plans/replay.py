@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from watchframe.operators import normalize
+from watchframe.operators.probes import default_catalog
 from watchframe.plans import recipes
 from watchframe.plans.fixtures import Fixtures
 from watchframe.session import work_dir
@@ -65,3 +66,11 @@ def alert_dedup(f: Fixtures) -> DataFrame:
         F.col("user_id").alias("fingerprint"), F.date_trunc("day", "ts").alias("started_at"))
     jobs.write_parquet(jobs.drop_repeated_alerts(deliveries), f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return f.spark.read.parquet(f"{root}/out")
+
+
+def poll(f: Fixtures, schedule: DataFrame) -> DataFrame:
+    """One polling run over the scrape times found in the stream."""
+    root = work_dir(f.spark, "poll")
+    scrapes = stream_table(f, "customer").select(F.expr(recipes.SCRAPE).alias("ts"))
+    jobs.poll_probes(scrapes, f.snapshots(), default_catalog(), root, f"{root}/checkpoint", schedule, None).awaitTermination()
+    return f.spark.read.parquet(f"{root}/samples")

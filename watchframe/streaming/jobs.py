@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from watchframe.operators import logs, normalize, series
+from watchframe.operators import logs, normalize, probes, series
 from watchframe.operators.alerts import HOLD_SECONDS
 from watchframe.operators.rules import STEP_SECONDS
 
@@ -23,6 +23,26 @@ def _start(writer, checkpoint: str, interval: str | None) -> StreamingQuery:
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
+def poll_probes(
+    scrapes: DataFrame, snapshots: Mapping[str, DataFrame], catalog: Mapping[str, probes.Probe], root: str, checkpoint: str,
+    schedule: DataFrame | None = None, interval: str | None = SCRAPE_INTERVAL,
+) -> StreamingQuery:
+    """Run the collector cycle for every new scrape time in the stream ``scrapes`` (column ``ts``).
+
+    Samples and evidence go to ``root``. Any failing or unknown probe fails the batch, which stops the query.
+    """
+    def cycle(batch: DataFrame, batch_id: int) -> None:
+        if schedule is not None and not probes.unknown_probes(schedule, catalog).isEmpty():
+            raise ValueError("a scheduled probe is not in the catalog")
+        times = batch.select("ts").distinct()
+        due = {n: df.join(times, "ts", "left_semi") if "ts" in df.columns else df for n, df in snapshots.items()}
+        samples, evidence = probes.collector_cycle(due, catalog, schedule)
+        samples.write.mode("overwrite").parquet(f"{root}/samples/batch={batch_id}")
+        evidence.write.mode("overwrite").parquet(f"{root}/evidence/batch={batch_id}")
+
+    return _start(scrapes.writeStream.foreachBatch(cycle), checkpoint, interval)
+
+
 def normalize_to_tables(raw: DataFrame, root: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Normalise raw events into ``root/accepted`` and ``root/rejected``."""
     checked = normalize.normalize(raw)
