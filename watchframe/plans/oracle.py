@@ -113,14 +113,16 @@ def _cycle(names: tuple[str, ...]) -> str:
     return " UNION ALL ".join(f"SELECT * FROM ({_PROBES[n]}) SEMI JOIN fleet USING (environment, target)" for n in names)
 
 
-_SCHEDULED = _with(*[(n, for_duckdb(recipes.METADATA[n])) for n in ("database_targets", "environments", "probe_assignments", "probe_definitions")]) + """
-SELECT 'sql-fleet' AS collector_id, t.id AS target_id, e.slug AS environment_slug, t.name AS target_name, t.engine, t.host, t.port,
-       coalesce(t.database_name, '') AS database_name, t.credential_ref, a.id AS probe_assignment_id, d.id AS probe_definition_id,
-       d.name AS probe_name, d.category AS probe_category, d.query_template, d.timeout_ms, a.interval_seconds,
-       CASE WHEN d.timeout_ms > 0 THEN d.timeout_ms::BIGINT WHEN a.interval_seconds > 0 THEN a.interval_seconds::BIGINT * 1000 ELSE 5000 END AS effective_timeout_ms
-FROM database_targets t JOIN environments e ON e.id = t.environment_id JOIN probe_assignments a ON a.database_target_id = t.id
-JOIN probe_definitions d ON d.id = a.probe_definition_id
-WHERE t.engine = 'sqlserver' AND t.status = 'active' AND a.enabled AND d.enabled"""
+_SCHEDULED = _with(
+    *[(n, for_duckdb(recipes.METADATA[n])) for n in ("database_targets", "environments", "probe_assignments", "probe_definitions")],
+    ("live", """SELECT id AS target_id, environment_id, name AS target_name, engine, host, port, ifnull(database_name, '') AS database_name, credential_ref
+        FROM database_targets WHERE status = 'active' AND engine = 'sqlserver'"""),
+    ("duty", "SELECT id AS probe_assignment_id, database_target_id AS target_id, probe_definition_id, interval_seconds FROM probe_assignments WHERE enabled"),
+    ("known", "SELECT id AS probe_definition_id, name AS probe_name, category AS probe_category, query_template, timeout_ms FROM probe_definitions WHERE enabled"),
+    ("places", "SELECT id AS environment_id, slug AS environment_slug FROM environments"),
+) + """SELECT * EXCLUDE (environment_id), 'sql-fleet' AS collector_id,
+       CASE WHEN timeout_ms > 0 THEN timeout_ms::BIGINT WHEN interval_seconds > 0 THEN interval_seconds::BIGINT * 1000 ELSE 5000 END AS effective_timeout_ms
+FROM duty JOIN known USING (probe_definition_id) JOIN live USING (target_id) JOIN places USING (environment_id)"""
 
 _TARGETS = (
     ("targets", for_duckdb(recipes.TARGETS)),
