@@ -70,6 +70,13 @@ def test_labels_keep_scalars_only(spark):
     assert [r.labels for r in rows[1:]] == [None, None, None]
 
 
+def test_stored_rule_changes_the_keys(spark):
+    raw = spark.createDataFrame([('{"env":"p","app":"a","msg":"m","log.line":"x"}', INGEST, 7)], "value string, ingest_ts timestamp, `my id` int")
+    keys = normalize.field_keys_of('{"message": ["log.line", "msg"]}')
+    row = normalize.accepted(normalize.normalize(raw, field_keys=keys)).first()
+    assert (row.message, row["my id"]) == ("x", 7)
+
+
 def test_envelope_leaves_out_empty_fields(spark):
     raw = spark.createDataFrame([(f'{{{OK},"user":"u","labels":{{"n":1}}}}', INGEST)], "value string, ingest_ts timestamp")
     events = normalize.accepted(normalize.normalize(raw))

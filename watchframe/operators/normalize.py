@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -81,6 +82,11 @@ def _has_overflow(value: Column) -> Column:
     ).otherwise(F.lit(False))
 
 
+def field_keys_of(rule_config: str) -> dict[str, tuple[str, ...]]:
+    """The keys with those of a stored normalisation rule put in their place, e.g. ``{"message": ["msg"]}``."""
+    return {**FIELD_KEYS, **{name: tuple(keys) for name, keys in json.loads(rule_config).items()}}
+
+
 def normalize(
     raw: DataFrame,
     ingest_ts: str | Column = "ingest_ts",
@@ -93,8 +99,8 @@ def normalize(
     Checks run in this order: parse, timestamp, required fields.
     """
     ingest = F.col(ingest_ts) if isinstance(ingest_ts, str) else ingest_ts
-    passthrough = [F.col(c) for c in raw.columns if c not in ENVELOPE]
-    kept = [F.col(f"_raw.{c}") for c in raw.columns if c not in ENVELOPE]
+    passthrough = [F.col(f"`{c}`") for c in raw.columns if c not in ENVELOPE]
+    kept = [F.col(f"_raw.`{c}`") for c in raw.columns if c not in ENVELOPE]
     names = sorted({k for keys in field_keys.values() for k in keys} | {"labels"})
     schema = ", ".join([*[f"`{k}` VARIANT" for k in names], f"`{_BAD}` STRING"])
     opening = F.left(F.ltrim(F.col(value), F.lit(_JSON_SPACE)), F.lit(1))
