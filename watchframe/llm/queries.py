@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from watchframe.llm import byte_pairs, pieces, records
-from watchframe.llm.texts import table, tokenizer_path
+from watchframe.llm import byte_pairs, langmask, pieces, records, repetition, toxicity
+from watchframe.llm.texts import held_out, table, tokenizer_path
 from watchframe.session import work_dir
 
 
@@ -15,6 +16,10 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.digests(records.read(files, folder))
 
 
+def op3_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -23,5 +28,24 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
 
 
-REGISTRY = {f.__name__: f for f in (op1_token_records, op5_token_counts, op6_sentencepiece)}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(labelled_documents(spark, sf_dir).where(~held_out(F.col("doc_id"), 5, 0)))
+    return toxicity.score(docs, model).withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
+
+
+def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with their label of toxicity; a label is one small row."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(F.col("toxic").isNotNull())
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+
+
+def op10_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    filters = langmask.train(docs.where(~held_out(F.col("doc_id"), 4, 2)))
+    return langmask.identify(docs, filters).withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
+
+
+REGISTRY = {f.__name__: f for f in (
+    op1_token_records, op3_suffix_repetition, op5_token_counts, op6_sentencepiece, op9_toxicity, op10_language_masks)}
 ORACLE: dict[str, str] = {}
