@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchframe.llm import byte_pairs, langmask, pieces, records, repetition, toxicity
+from watchframe.llm import byte_pairs, langmask, mixing, pieces, records, repetition, secret_scan, toxicity
+from watchframe.llm.oracle import mix_sql
 from watchframe.llm.texts import held_out, table, tokenizer_path
 from watchframe.session import work_dir
 
@@ -16,6 +17,10 @@ def op1_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.digests(records.read(files, folder))
 
 
+def op2_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op3_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"))
 
@@ -28,6 +33,23 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
 
 
+# Target weights, relative to siblings; nodes that are not listed weigh 1.
+MIX_WEIGHTS = [("0/en", 5), ("1/en", 5), ("2/en", 5), ("3/en", 5), ("0/de", 2), ("1/de", 2), ("2/de", 2), ("3/de", 2), ("0", 3), ("1", 2)]
+MIX_SEED, MIX_EPOCHS = 17, 2
+
+
+def mix_documents(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """As many tokens as there are, mixed anew; a source's domain is one of four, by the MD5 of its name."""
+    levels = {"domain": F.conv(F.substring(F.md5(F.coalesce("source", F.lit(""))), 1, 2), 16, 10).cast("int") % 4, "lang": F.col("lang"), "source": F.col("source")}
+    weights = spark.createDataFrame(MIX_WEIGHTS, "path string, weight long")
+    return mixing.mix(docs, folder, levels, weights=weights, most_epochs=MIX_EPOCHS, seed=MIX_SEED)
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_documents(spark, table(spark, sf_dir, "documents"), work_dir(spark, "mix"))
+    return mixed.select("doc_id", "lang", "source", "copies", "mix_tokens", "mix_budget")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(labelled_documents(spark, sf_dir).where(~held_out(F.col("doc_id"), 5, 0)))
@@ -47,5 +69,6 @@ def op10_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {f.__name__: f for f in (
-    op1_token_records, op3_suffix_repetition, op5_token_counts, op6_sentencepiece, op9_toxicity, op10_language_masks)}
-ORACLE: dict[str, str] = {}
+    op1_token_records, op2_secret_trigrams, op3_suffix_repetition, op5_token_counts, op6_sentencepiece, op7_source_mix, op9_toxicity,
+    op10_language_masks)}
+ORACLE: dict[str, str] = {"op7_source_mix": mix_sql(MIX_WEIGHTS, MIX_SEED, MIX_EPOCHS)}
