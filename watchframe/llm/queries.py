@@ -50,16 +50,15 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "lang", "source", "copies", "mix_tokens", "mix_budget")
 
 
-def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.train(labelled_documents(spark, sf_dir).where(~held_out(F.col("doc_id"), 5, 0)))
-    return toxicity.score(docs, model).withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Learned from the rows whose id is not held out."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.train(docs, labels.where(~held_out(F.col("doc_id"), 5, 0)))
 
 
-def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with their label of toxicity; a label is one small row."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(F.col("toxic").isNotNull())
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity_model(spark, docs, sf_dir)).withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
 
 
 def op10_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:

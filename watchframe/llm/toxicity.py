@@ -124,11 +124,16 @@ def fit(texts: list[str], toxic: np.ndarray, least_documents: int = 8, rounds: i
     return Model(float(bias), {f: float(x) for f, x in zip(names, weights) if x != 0})
 
 
-def train(labelled: DataFrame, most_rows: int = 6_000, id_column: str = "doc_id", text_column: str = "text", label: str = "toxic") -> Model:
-    """Fit on at most ``most_rows`` rows with a label, the first by a hash of their id."""
-    sample = (labelled.where(F.col(label).isNotNull()).select(F.xxhash64(F.col(id_column)).alias("h"), whole_text(text_column).alias("text"), F.col(label).alias("label"))
-              .orderBy("h", "text").limit(most_rows).toPandas())
-    return fit(sample["text"].tolist(), sample["label"].to_numpy() == 1)
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 6_000, id_column: str = "doc_id", text_column: str = "text", label: str = "toxic") -> Model:
+    """Fit on at most ``most_rows`` labelled rows, the first by a hash of their id.
+
+    The ids are chosen from the labels alone; being at most ``most_rows``, they are broadcast to where texts are read.
+    """
+    chosen = (labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column), F.col(label).alias("__label"))
+              .orderBy(F.xxhash64(id_column), id_column, "__label").limit(most_rows))
+    sample = docs.select(F.col(id_column), whole_text(text_column).alias("__text")).join(F.broadcast(chosen), id_column).toPandas()
+    sample = sample.sort_values([id_column, "__label", "__text"])
+    return fit(sample["__text"].tolist(), sample["__label"].to_numpy() == 1)
 
 
 def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.5,
