@@ -127,11 +127,16 @@ def fit(samples: dict[str, list[str]], n: int = 4, least_texts: int = 3, slot_bi
 
 
 def train(labelled: DataFrame, most_texts: int = 1_000, id_column: str = "doc_id", text_column: str = "text", label: str = "lang", **options) -> Filters:
-    """Fit on at most ``most_texts`` texts of each language."""
-    order = Window.partitionBy("label").orderBy("h", "text")
-    sample = (labelled.where(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("label"), F.xxhash64(F.col(id_column)).alias("h"), whole_text(text_column).alias("text"))
-              .withColumn("place", F.row_number().over(order)).where(F.col("place") <= most_texts).select("label", "text").toPandas())
-    return fit({language: rows["text"].tolist() for language, rows in sample.groupby("label")}, **options)
+    """Fit on at most ``most_texts`` texts of each language, the first by a hash of their id.
+
+    The ids are chosen without the texts; being ``most_texts`` for each language, they are broadcast to where texts are read.
+    """
+    order = Window.partitionBy("__label").orderBy(F.xxhash64(id_column), id_column)
+    chosen = (labelled.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column), F.col(label).cast("string").alias("__label"))
+              .withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= most_texts).drop("__place"))
+    sample = labelled.select(F.col(id_column), whole_text(text_column).alias("__text")).join(F.broadcast(chosen), id_column).toPandas()
+    sample = sample.sort_values([id_column, "__text"])
+    return fit({language: rows["__text"].tolist() for language, rows in sample.groupby("__label")}, **options)
 
 
 def identify(docs: DataFrame, filters: Filters, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
