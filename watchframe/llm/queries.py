@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchframe.llm import byte_pairs, langmask, mixing, pieces, records, repetition, secret_scan, toxicity
+from watchframe.llm import byte_pairs, langmask, mixing, pieces, records, repetition, secret_scan, toxicity, weighted_minhash
 from watchframe.llm.oracle import mix_sql
 from watchframe.llm.texts import held_out, table, tokenizer_path
 from watchframe.session import work_dir
@@ -50,6 +50,10 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "lang", "source", "copies", "mix_tokens", "mix_budget")
 
 
+def op8_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_minhash.near_duplicates(table(spark, sf_dir, "documents"), work_dir(spark, "near-duplicates"))
+
+
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
     """Learned from the rows whose id is not held out."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -68,6 +72,6 @@ def op10_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {f.__name__: f for f in (
-    op1_token_records, op2_secret_trigrams, op3_suffix_repetition, op5_token_counts, op6_sentencepiece, op7_source_mix, op9_toxicity,
+    op1_token_records, op2_secret_trigrams, op3_suffix_repetition, op5_token_counts, op6_sentencepiece, op7_source_mix, op8_weighted_minhash, op9_toxicity,
     op10_language_masks)}
 ORACLE: dict[str, str] = {"op7_source_mix": mix_sql(MIX_WEIGHTS, MIX_SEED, MIX_EPOCHS)}
