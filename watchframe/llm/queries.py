@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchframe.llm import byte_pairs, langmask, mixing, pieces, records, repetition, secret_scan, toxicity, weighted_minhash
+from watchframe.llm import byte_pairs, langmask, mixing, multi_index, pieces, records, repetition, secret_scan, toxicity, weighted_minhash
 from watchframe.llm.oracle import mix_sql
 from watchframe.llm.texts import held_out, table, tokenizer_path
 from watchframe.session import work_dir
@@ -25,6 +25,10 @@ def op3_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"))
 
 
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"), work_dir(spark, "multi-index"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -72,6 +76,6 @@ def op10_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {f.__name__: f for f in (
-    op1_token_records, op2_secret_trigrams, op3_suffix_repetition, op5_token_counts, op6_sentencepiece, op7_source_mix, op8_weighted_minhash, op9_toxicity,
+    op1_token_records, op2_secret_trigrams, op3_suffix_repetition, op4_multi_index, op5_token_counts, op6_sentencepiece, op7_source_mix, op8_weighted_minhash, op9_toxicity,
     op10_language_masks)}
 ORACLE: dict[str, str] = {"op7_source_mix": mix_sql(MIX_WEIGHTS, MIX_SEED, MIX_EPOCHS)}
