@@ -55,7 +55,7 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weighted_minhash.near_duplicates(table(spark, sf_dir, "documents"), work_dir(spark, "near-duplicates"))
+    return weighted_minhash.near_duplicates(table(spark, sf_dir, "documents"), work_dir(spark, "near-duplicates")).drop("text_key")
 
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:

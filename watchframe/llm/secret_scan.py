@@ -199,14 +199,15 @@ def spans(text: Column, rule: Rule) -> Column:
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, id_column: str = "doc_id", text_column: str = "text",
-         carry: list[str] | None = None) -> DataFrame:
+         carry: list[str | Column] | None = None) -> DataFrame:
     """One row per input row: its id, the columns named in ``carry``, ``text``, and ``spans``, an array of
     (start, end, kind, rule number) in order of start, then of the rules.
     """
     queries = {rule.kind: trigram_query(rule.expression) for rule in rules}
     forced = {kind: q for kind, q in queries.items() if q != ANY}
     wanted = frozenset(t for q in forced.values() for branch in q for t in branch)
-    rows = docs.select(F.col(id_column), *[F.col(c) for c in carry or []], whole_text(text_column).alias("__text"))
+    rows = docs.select(F.col(id_column), *(carry or []), whole_text(text_column).alias("__text"))
+    kept = rows.columns[1:-1]
     if wanted:
         possible = candidates(postings(docs.select(F.col(id_column), F.col(text_column).alias("text")), wanted, id_column), forced, id_column)
         possible = possible.withColumnRenamed(id_column, "__id")
@@ -223,7 +224,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, id_column: str
 
     found = F.array_sort(F.concat(*[of_rule(i, rule) for i, rule in enumerate(rules)]),
                          lambda a, b: F.coalesce(F.nullif(F.signum(a["start"] - b["start"]), F.lit(0.0)), F.signum(a["rule"] - b["rule"])).cast("int"))
-    return rows.select(F.col(id_column), *[F.col(c) for c in carry or []], text.alias("text"), found.alias("spans"))
+    return rows.select(F.col(id_column), *[F.col(f"`{c}`") for c in kept], text.alias("text"), found.alias("spans"))
 
 
 def written(found: Column) -> Column:

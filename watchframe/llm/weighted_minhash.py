@@ -276,7 +276,7 @@ def link_blocks(texts: DataFrame, similarity: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, folder: str, similarity: float = 0.8, idf_weight: float = 0.25, bands: int = 16, rows: int = 4,
                     parts: int | None = None, block: int = 400, seed: int = 11, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: its id, ``class_id`` and ``kept``, true where it gives its class the name.
+    """One row per document: its id, ``class_id``, ``text_key`` and ``kept``, true where it gives its class the name.
 
     ``folder`` is shared and new. ``parts`` is the number of parts of the hash range, by default twice that of shuffle
     partitions and 64 at least; a part must fit a task.
@@ -323,5 +323,14 @@ def near_duplicates(docs: DataFrame, folder: str, similarity: float = 0.8, idf_w
     named = stored(named, f"{folder}/named")
     names = stored(named.groupBy("root").agg(F.min("first_id").alias("class_id")), f"{folder}/names")
     classes = stored(named.join(names, "root").select("key", "class_id"), f"{folder}/result")
-    result = ids.join(classes, "key").select(F.col("doc_id").alias(id_column), "class_id")
+    result = ids.join(classes, "key").select(F.col("doc_id").alias(id_column), "class_id", F.col("key").alias("text_key"))
     return result.withColumn("kept", F.col(id_column).eqNullSafe(F.col("class_id")))
+
+
+def one_of_each(docs: DataFrame, folder: str, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that give their class its name; of rows equal in id and text, one."""
+    found = near_duplicates(docs, folder, id_column=id_column, text_column=text_column, **options)
+    keepers = stored(found.where("kept").select(F.col(id_column).alias("__id"), F.col("text_key").alias("__kept")).distinct(), f"{folder}/keepers")
+    rows = docs.withColumn("__key", text_key(F.col(id_column), whole_text(text_column)))
+    rows = rows.join(keepers, F.col(id_column).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept")), "left_semi")
+    return rows.dropDuplicates([id_column, "__key"]).drop("__key")
