@@ -132,63 +132,6 @@ def test_annotations(spark):
     assert row.s == "a$1\\b in !"
 
 
-def notices_by_hand(events, until, wait, interval, repeat):
-    """Walk every flush of every group, second by second in effect."""
-    out = []
-    for g in sorted({e[0] for e in events}):
-        todo = sorted(e for e in events if e[0] == g)
-        now = None
-        while True:
-            pending = [e for e in todo if now is None or e[2] > now]
-            if not pending:
-                break
-            origin = min(e[2] for e in pending)
-            k, previous, told, told_gone, last = 0, None, set(), set(), None
-            while origin + wait + k * interval <= until:
-                flush = origin + wait + k * interval
-                live = {e[1] for e in todo if origin <= e[2] <= flush and (e[3] is None or e[3] > flush)}
-                gone = {e[1] for e in todo if origin <= e[2] and e[3] is not None and e[3] <= flush
-                        and (previous is None or e[3] > previous)} - live
-                if last is None:
-                    send, reason = bool(live), "change"
-                elif not live <= told:
-                    send, reason = True, "change"
-                elif not live:
-                    send, reason = bool(told), "change"
-                elif not gone <= told_gone:
-                    send, reason = True, "change"
-                else:
-                    send, reason = flush - last >= repeat, "repeat"
-                if send:
-                    out.append((g, flush, reason, len(live), len(gone) if reason == "change" else 0))
-                    told, told_gone, last = live, gone, flush
-                previous, now, k = flush, flush, k + 1
-                if not live:
-                    break
-                told_gone = set() if not send else told_gone
-            else:
-                break
-    return sorted(out)
-
-
-@pytest.mark.parametrize("seed,n,span", [(1, 12, 4000), (2, 30, 9000), (3, 6, 30000), (4, 60, 9000)])
-def test_group_notifications(spark, seed, n, span):
-    rng = random.Random(seed)
-    events, busy = [], {}
-    for _ in range(n):
-        g, fp = rng.choice("gggh"), rng.choice("abc")
-        start = busy.get((g, fp), 0) + rng.randrange(1, span // 6) * 5
-        end = None if rng.random() < 0.05 else start + rng.choice([5, 20, 100, 400, 2000])
-        if start > span or busy.get((g, fp), 0) is None:
-            continue
-        events.append((g, fp, BASE + start, None if end is None else BASE + end))
-        busy[g, fp] = 10**9 if end is None else end + 1
-    until, wait, interval, repeat = BASE + span, 30, 300, 1200
-    df = spark.createDataFrame(events, "g string, fingerprint string, started_s bigint, resolved_s bigint")
-    got = alerts.group_notifications(df, until, ["g"], wait, interval, repeat).collect()
-    assert sorted((r.g, r.notice_s, r.reason, r.n_firing, r.n_resolved) for r in got) == notices_by_hand(events, until, wait, interval, repeat)
-
-
 @pytest.mark.parametrize("seed", [1, 2])
 def test_quantiles_match_the_built_in_ones(spark, seed):
     rng = random.Random(seed)

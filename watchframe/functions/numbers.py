@@ -22,12 +22,15 @@ def parse_number(c: Column) -> Column:
         .otherwise(F.lit(float("inf")))
     )
     whole, frac = F.regexp_extract(c, HEX_TEXT, 1), F.regexp_extract(c, HEX_TEXT, 2)
-    mantissa = F.conv(F.concat(whole, frac), 16, 10).try_cast("double")
-    exponent = F.regexp_extract(c, HEX_TEXT, 3).try_cast("int") - F.length(frac) * 4
+    digits = F.regexp_replace(F.concat(whole, frac), "^0+", "")
+    # 60 bits and a mark for what follows them round to a double as the whole number would
+    head, rest = F.substring(digits, 1, 15), F.substring(digits, 16, 1_000_000_000)
+    mark = F.when(rest.rlike("[^0]"), 1).otherwise(0)
+    mantissa = F.coalesce(F.conv(head, 16, 10).try_cast("bigint").bitwiseOR(mark.cast("bigint")), F.lit(0).cast("bigint")).cast("double")
+    exponent = F.regexp_extract(c, HEX_TEXT, 3).try_cast("int") - F.length(frac) * 4 + F.length(rest) * 4
     sign = F.when(c.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
     hexed = sign * mantissa * F.pow(F.lit(2.0), exponent)
-    # more than 16 hex digits do not fit the 64-bit conversion
-    hex_ok = c.rlike(HEX_TEXT) & (F.length(whole) + F.length(frac)).between(1, 16)
+    hex_ok = c.rlike(HEX_TEXT) & (F.length(whole) + F.length(frac) > 0)
     return (
         F.when(c.rlike(DECIMAL_TEXT), F.when(F.abs(plain) <= F.lit(1.7976931348623157e308), plain))
         .when(c.rlike(SPECIAL_TEXT), special)

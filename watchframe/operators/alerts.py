@@ -1,22 +1,20 @@
-"""Alert hold, event folding, annotation and grouped notification."""
+"""Alert hold, event folding, annotation and grouping."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from watchframe.functions.labels import fingerprint
 from watchframe.functions.text import fill_label_template
-from watchframe.functions.timeparse import ceil_div, floor_div
+from watchframe.functions.timeparse import ceil_div
 from watchframe.operators.islands import islands
 from watchframe.operators.rules import STEP_SECONDS
 
 HOLD_SECONDS = 120  # fixed value: how long a condition holds before its alert fires
-# Notification timing and grouping labels.
+# Fixed value: grouping labels.
 GROUP_BY = ("alertname", "job", "environment")
-GROUP_WAIT_S, GROUP_INTERVAL_S, REPEAT_INTERVAL_S = 30, 300, 4 * 3600
 
 
 def active_intervals(
@@ -71,97 +69,3 @@ def alert_groups(events: DataFrame, group_by: Sequence[str] = GROUP_BY) -> DataF
         F.count(F.when(F.col("status") == "firing", 1)).alias("n_firing"),
         F.min("started_s").alias("first_started_s"),
         F.max("resolved_s").alias("last_resolved_s"))
-
-
-def _lifetimes(starts: DataFrame, keys: Sequence[str], wait_s: int, interval_s: int) -> DataFrame:
-    """Origin of the flush clock for every busy span of a cluster.
-
-    A group forgets its clock at a flush that finds nothing firing, so the origin of one span
-    depends on the span before it. Only spans less than one interval apart are in doubt; they are
-    folded in order. Their number depends on the time they cover, not on how many alerts there are.
-    """
-    spans = starts.groupBy(*keys, "cluster", "span").agg(
-        F.min("started_s").alias("span_start"), F.max("end_s").alias("span_end"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("span_start", ignore_index=True)
-        origins, origin, previous_end = [], None, None
-        for start, end in zip(pdf["span_start"], pdf["span_end"]):
-            if origin is not None:
-                k = max(0, -(-(previous_end - origin - wait_s) // interval_s))
-                if origin + wait_s + k * interval_s < start:
-                    origin = None
-            origin = start if origin is None else origin
-            origins.append(origin)
-            previous_end = end
-        return pdf.assign(origin_s=origins)[[*keys, "cluster", "span", "origin_s"]]
-
-    key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spans.select(*keys).schema.fields)
-    schema = f"{key_types}, cluster bigint, span bigint, origin_s bigint"
-    return spans.groupBy(*keys, "cluster").applyInPandas(fold, schema)
-
-
-def group_notifications(
-    events: DataFrame, until_s: int, group_by: Sequence[str] = GROUP_BY, wait_s: int = GROUP_WAIT_S,
-    interval_s: int = GROUP_INTERVAL_S, repeat_s: int = REPEAT_INTERVAL_S,
-) -> DataFrame:
-    """Notices sent per alert group, resolved alerts included.
-
-    A group flushes ``wait_s`` after its first alert and every ``interval_s`` from then on. A flush
-    sends a notice when the alerts changed since the last one, or when ``repeat_s`` has passed.
-    Columns: ``group_by``, ``notice_s``, ``reason``, ``n_firing``, ``n_resolved``.
-    """
-    keys = list(group_by)
-    forever = until_s + 10 * (interval_s + wait_s)
-    alerts = events.filter(F.col("started_s") <= until_s).select(*keys, "fingerprint", "started_s", "resolved_s")
-    # one row per group and start instant, whatever the number of alerts
-    starts = alerts.groupBy(*keys, "started_s").agg(F.max(F.coalesce("resolved_s", F.lit(forever))).alias("end_s"))
-    in_order = Window.partitionBy(*keys).orderBy("started_s")
-    gap = F.col("started_s") - F.max("end_s").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    running = in_order.rowsBetween(Window.unboundedPreceding, 0)
-    starts = starts.withColumn("gap", gap).select(
-        *keys, "started_s", "end_s",
-        F.sum(F.when(F.col("gap") < max(wait_s, interval_s), 0).otherwise(1)).over(running).alias("cluster"),
-        F.sum(F.when(F.col("gap") <= 0, 0).otherwise(1)).over(running).alias("span"))
-    origins = starts.join(_lifetimes(starts, keys, wait_s, interval_s), [*keys, "cluster", "span"])
-    clocked = alerts.join(origins.select(*keys, "started_s", "origin_s"), [*keys, "started_s"])
-
-    def flush(t: Column) -> Column:
-        return F.greatest(ceil_div(t - F.col("origin_s") - wait_s, interval_s), F.lit(0).cast("long"))
-
-    edge = "array<struct<k:bigint,at:bigint,delta:bigint>>"
-    edges = clocked.select(
-        *keys, "origin_s", "fingerprint",
-        F.inline(F.array(
-            F.struct(flush(F.col("started_s")).alias("k"), (F.col("started_s") * 2 + 1).alias("at"), F.lit(1).alias("delta")),
-            F.struct(flush(F.col("resolved_s")).alias("k"), (F.col("resolved_s") * 2).alias("at"), F.lit(-1).alias("delta")),
-        ).cast(edge)))
-    per_alert = edges.filter(F.col("at").isNotNull()).groupBy(*keys, "origin_s", "k", "fingerprint").agg(
-        F.sum("delta").alias("net"), F.min_by("delta", "at").alias("opening"))
-    came, went = F.col("net") > 0, F.col("net") < 0
-    passed = (F.col("net") == 0) & (F.col("opening") > 0)  # began and ended between two flushes
-    flushes = per_alert.groupBy(*keys, "origin_s", "k").agg(
-        F.sum("net").alias("net"),
-        F.count(F.when(came, 1)).alias("n_came"), F.count(F.when(went, 1)).alias("n_went"),
-        F.count(F.when(passed, 1)).alias("n_passed"))
-    clock = Window.partitionBy(*keys, "origin_s").orderBy("k")
-    firing = F.sum("net").over(clock.rowsBetween(Window.unboundedPreceding, 0))
-    changed = (F.col("n_came") + F.col("n_went") > 0) | ((F.col("n_passed") > 0) & (F.col("n_firing") > 0))
-    notices = flushes.withColumn("n_firing", firing).filter(changed)
-    last_k = floor_div(F.lit(until_s).cast("long") - F.col("origin_s") - wait_s, interval_s)
-    every = -(-repeat_s // interval_s)
-    repeat_until = F.least(F.coalesce(F.lead("k").over(clock) - 1, last_k), last_k)
-    repeats = F.when(
-        (F.col("n_firing") > 0) & (F.col("k") + every <= F.col("repeat_until")),
-        F.sequence(F.col("k") + every, F.col("repeat_until"), F.lit(every).cast("long")))
-    timed = notices.withColumn("repeat_until", repeat_until).filter(F.col("k") <= last_k)
-    sent = timed.select(
-        *keys, "origin_s", F.col("k").alias("change_k"), "n_firing", (F.col("n_went") + F.col("n_passed")).alias("n_resolved"),
-        F.explode(F.concat(F.array("k"), F.coalesce(repeats, F.expr("cast(array() as array<bigint>)")))).alias("k"))
-    is_change = F.col("k") == F.col("change_k")
-    return sent.select(
-        *keys,
-        (F.col("origin_s") + wait_s + F.col("k") * interval_s).alias("notice_s"),
-        F.when(is_change, F.lit("change")).otherwise(F.lit("repeat")).alias("reason"),
-        "n_firing",
-        F.when(is_change, F.col("n_resolved")).otherwise(F.lit(0)).cast("long").alias("n_resolved"))

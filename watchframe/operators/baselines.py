@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 from watchframe.operators.islands import gap_to_previous
 from watchframe.operators.quantiles import exact_quantiles, median_and_mad
@@ -28,17 +29,19 @@ def bucket_means(df: DataFrame, keys: Sequence[str], value: str, bucket_s: int,
     return df.groupBy(*keys, bucket.alias("bucket")).agg(F.avg(value).alias("mean"))
 
 
-def ewma_deviation(means: DataFrame, keys: Sequence[str], alpha: float = 0.3, span: int = 24) -> DataFrame:
-    """Smoothed mean of the last ``span`` buckets and the distance of the newest one from it.
+def ewma_deviation(means: DataFrame, keys: Sequence[str], alpha: float = 0.3) -> DataFrame:
+    """Smoothed mean of all buckets so far and the distance of the newest one from it.
 
-    Works on bucket means, so a key has one row per bucket however many samples it had.
+    Works on bucket means, so a key has one row per bucket of the time covered, however many samples it had.
     """
-    recent = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(-(span - 1), 0)
-    history = means.withColumn("history", F.collect_list("mean").over(recent))
-    smooth = F.aggregate(
-        F.slice("history", F.lit(2), F.greatest(F.size("history") - 1, F.lit(0))), F.element_at("history", 1),
-        lambda s, x: s * (1 - alpha) + x * alpha)
-    return history.select(*keys, "bucket", "mean", smooth.alias("ewma")).withColumn("deviation", F.col("mean") - F.col("ewma"))
+    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bucket", ignore_index=True)
+        return pdf.assign(ewma=pdf["mean"].ewm(alpha=alpha, adjust=False).mean())
+
+    columns = [*keys, "bucket", "mean"]
+    rows = means.select(*columns)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.groupBy(*keys).applyInPandas(smooth, f"{kinds}, ewma double").withColumn("deviation", F.col("mean") - F.col("ewma"))
 
 
 def seasonal_baseline(df: DataFrame, keys: Sequence[str], value: str, ts: str = "ts") -> DataFrame:
@@ -58,7 +61,8 @@ def baseline_rows(band: DataFrame, application_id: Column, signal_key: Column, w
 
 def hybrid_breaches(df: DataFrame, band: DataFrame, keys: Sequence[str], value: str, hard_limit: float) -> DataFrame:
     """Rows over the fixed limit or outside their key's upper bound; ``cause`` tells which."""
-    joined = df.join(band.select(*keys, "upper"), list(keys), "left")
+    bound = band.select(*[F.col(k).alias(f"b_{k}") for k in keys], "upper")
+    joined = df.join(bound, [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in keys], "left").drop(*[f"b_{k}" for k in keys])
     static, adaptive = F.col(value) > hard_limit, F.col(value) > F.col("upper")
     cause = F.when(static, F.lit("static")).when(adaptive, F.lit("adaptive"))
     return joined.withColumn("cause", cause).filter(F.col("cause").isNotNull())

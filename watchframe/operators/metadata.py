@@ -11,7 +11,7 @@ def scheduled_probes(
     targets: DataFrame, environments: DataFrame, assignments: DataFrame, definitions: DataFrame,
     engine: str, collector_id: str, environment_slug: str = "", target_names: Sequence[str] = (),
 ) -> DataFrame:
-    """Active probes per target, sorted by environment, target and probe.
+    """Active probes per target, in no set order.
 
     ``collector_id`` is only written out. Join sides are left to the optimizer, which broadcasts
     those it knows to be small.
@@ -36,7 +36,7 @@ def scheduled_probes(
         F.lit(collector_id).alias("collector_id"), "target_id", "environment_slug", "target_name", "engine", "host",
         "port", "database_name", "credential_ref", "probe_assignment_id", "probe_definition_id", "probe_name",
         "probe_category", "query_template", "timeout_ms", "interval_seconds",
-    ).orderBy("environment_slug", "target_name", "probe_name")
+    )
 
 
 def newest_per_key(df: DataFrame, keys: Sequence[str], newest: Sequence[Column | str], n: int = 1) -> DataFrame:
@@ -54,7 +54,7 @@ def newest_investigations(investigations: DataFrame, key: str = "environment_id"
 
 
 def newest_alert(alert_events: DataFrame) -> DataFrame:
-    return newest_per_key(alert_events, ["application_id", "fingerprint"], [F.col("started_at").desc()])
+    return newest_per_key(alert_events, ["application_id", "fingerprint"], [F.col("started_at").desc(), F.col("id")])
 
 
 def report_runs_by_status(report_runs: DataFrame, status: str, n: int = 10) -> DataFrame:

@@ -94,4 +94,6 @@ def collector_health(probe_runs: DataFrame, keys: Sequence[str], now: Column) ->
         F.count("*").alias("n_runs"), F.count(F.when(~F.col("ok"), 1)).alias("n_failed"),
         (F.unix_seconds(now) - F.unix_seconds(F.max("started_at"))).alias("age_s"))
     latency = exact_quantiles(probe_runs, keys, "latency_ms", {"p50_ms": 0.5, "p95_ms": 0.95}).drop("n")
-    return counts.join(latency, list(keys), "left")
+    latency = latency.select(*[F.col(k).alias(f"l_{k}") for k in keys], "p50_ms", "p95_ms")
+    same = [F.col(k).eqNullSafe(F.col(f"l_{k}")) for k in keys]
+    return counts.join(latency, same, "left").drop(*[f"l_{k}" for k in keys])

@@ -21,7 +21,7 @@ MICROS = 1_000_000
 
 def _covered(
     samples: DataFrame, series: Sequence[str], value: str, window_s: int, step_s: int,
-    start: int | None, end: int | None,
+    start: int | None, end: int | None, order: str | None,
 ) -> DataFrame:
     """Samples with the first and last step whose window ``(t - window, t]`` holds them."""
     ts = F.col("ts")
@@ -36,7 +36,8 @@ def _covered(
     if end is not None:
         last = F.least(last, F.lit(end // step_s).cast("long"))
     rows = samples.select(
-        *series, us.alias("us"), F.col(value).cast("double").alias("value"), first.alias("first"), last.alias("last"))
+        *series, us.alias("us"), F.struct(us.alias("us"), (F.col(order) if order else F.lit(0)).alias("order")).alias("at"),
+        F.col(value).cast("double").alias("value"), first.alias("first"), last.alias("last"))
     return rows.filter(F.col("first") <= F.col("last"))
 
 
@@ -53,15 +54,16 @@ def _clip(chunk_steps: int) -> tuple[Column, Column]:
 def instant_vector(
     samples: DataFrame, series: Sequence[str], value: str = "value", step_s: int = STEP_SECONDS,
     lookback_s: int = LOOKBACK_SECONDS, start: int | None = None, end: int | None = None, chunk_steps: int = 2400,
+    order: str | None = None,
 ) -> DataFrame:
     """Newest sample per series at every step, as ``series``, ``step`` (epoch seconds) and ``value``.
 
-    A series ends one look-back after its last sample. Of samples with equal ``ts`` any one is taken,
-    so remove such repeats first.
+    A series ends one look-back after its last sample. Of samples with equal ``ts`` the one last in the column ``order`` is
+    taken; without such a column, remove repeats first.
     """
-    rows = _covered(samples, series, value, lookback_s, step_s, start, end)
+    rows = _covered(samples, series, value, lookback_s, step_s, start, end, order)
     # samples that become visible at the same step collapse to the newest before the wide shuffle
-    newest = rows.groupBy(*series, "first").agg(F.max_by("value", "us").alias("value"), F.max("last").alias("last"))
+    newest = rows.groupBy(*series, "first").agg(F.max_by("value", "at").alias("value"), F.max("last").alias("last"))
     chunked = _chunked(newest, chunk_steps)
     following = F.lead("first").over(Window.partitionBy(*series, "chunk").orderBy("first"))
     low, high = _clip(chunk_steps)
@@ -76,33 +78,36 @@ def instant_vector(
 
 def rate(
     samples: DataFrame, series: Sequence[str], value: str = "value", range_s: int = 300, step_s: int = STEP_SECONDS,
-    start: int | None = None, end: int | None = None, chunk_steps: int = 480,
+    start: int | None = None, end: int | None = None, chunk_steps: int = 480, order: str | None = None,
 ) -> DataFrame:
     """Per-second increase of a counter over the trailing range at every step.
 
-    Resets are added back, the result is extrapolated to the window edges, and a window needs two
-    samples. Columns: ``series``, ``step``, ``n``, ``increase``, ``rate``. One shuffle in all: the
-    later groupings keep the partitioning by series and chunk.
+    Resets are added back, the result is extrapolated to the window edges, and a window needs samples of two instants.
+    Samples of one instant come in the order of the column ``order``. Columns: ``series``, ``step``, ``n``, ``increase``,
+    ``rate``. Samples seen from the same steps form a cell and are reduced to its ends and what its resets hide; then only
+    cells are ordered, in chunks. So a dense series spreads over its cells.
     """
-    rows = _chunked(_covered(samples, series, value, range_s, step_s, start, end), chunk_steps)
-    previous = F.lag("value").over(Window.partitionBy(*series, "chunk").orderBy("us"))
+    rows = _covered(samples, series, value, range_s, step_s, start, end, order)
+    cell = [*series, "first", "last"]
+    previous = F.lag("value").over(Window.partitionBy(*cell).orderBy("at"))
     # what a reset hides: the value the counter had reached before it fell
-    drop = F.when(F.col("value") < F.col("previous"), F.col("previous")).otherwise(F.lit(0.0))
-    marked = rows.withColumn("previous", previous).withColumn("drop", drop)
-    # samples seen from the same steps are summarised together
-    parts = marked.groupBy(*series, "chunk", "first", "last").agg(
+    hidden = F.when(F.col("value") < F.col("previous"), F.col("previous")).otherwise(F.lit(0.0))
+    cells = rows.withColumn("previous", previous).groupBy(*cell).agg(
         F.count("*").alias("n"), F.min("us").alias("us0"), F.max("us").alias("us1"),
-        F.min_by("value", "us").alias("v0"), F.max_by("value", "us").alias("v1"),
-        F.min_by("drop", "us").alias("drop0"), F.sum("drop").alias("drops"))
+        F.min_by("value", "at").alias("v0"), F.max_by("value", "at").alias("v1"), F.sum(hidden).alias("inside"))
+    chunked = _chunked(cells, chunk_steps)
+    before = F.lag("v1").over(Window.partitionBy(*series, "chunk").orderBy("us0"))
+    parts = chunked.withColumn("before", before).withColumn(
+        "drop0", F.when(F.col("v0") < F.col("before"), F.col("before")).otherwise(F.lit(0.0)))
     low, high = _clip(chunk_steps)
     steps = F.explode(F.sequence(F.greatest(F.col("first"), low), F.least(F.col("last"), high)))
     windows = parts.withColumn("k", steps).groupBy(*series, "chunk", "k").agg(
         F.sum("n").alias("n"), F.min("us0").alias("us0"), F.max("us1").alias("us1"),
         F.min_by("v0", "us0").alias("v0"), F.max_by("v1", "us1").alias("v1"),
-        F.min_by("drop0", "us0").alias("drop0"), F.sum("drops").alias("drops"))
+        F.min_by("drop0", "us0").alias("drop0"), F.sum(F.col("inside") + F.col("drop0")).alias("drops"))
     # the drop at a window's first sample happened before the window
     increase = F.col("v1") - F.col("v0") + F.col("drops") - F.col("drop0")
-    ready = windows.filter("n >= 2").select(
+    ready = windows.filter("us1 > us0").select(
         *series, (F.col("k") * step_s).alias("step"), "n", "us0", "us1", "v0", increase.alias("increase"))
     return ready.select(*series, "step", "n", "increase", (F.col("increase") * _extrapolation(range_s) / range_s).alias("rate"))
 

@@ -9,7 +9,7 @@ from string import Template
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from watchframe.plans import recipes
-from watchframe.session import configure, spread
+from watchframe.session import configure
 
 
 class Snapshots(Mapping):
@@ -58,7 +58,7 @@ class Fixtures:
         return self.spark.sql(text, **{n: frames[n] if n in frames else self.table(n) for n in names})
 
     def raw_events(self) -> DataFrame:
-        raw = self.sql(recipes.RAW_EVENTS, events=spread(self.table("events")))
+        raw = self.sql(recipes.RAW_EVENTS)
         return raw.withColumnRenamed("ts", "ingest_ts")
 
     def snapshots(self) -> Mapping[str, DataFrame]:

@@ -9,7 +9,7 @@ from watchframe.plans import recipes
 from watchframe.plans.recipes import GRID_END, GRID_START, for_duckdb
 from watchframe.schemas import CHECKS, FOREIGN_KEYS, UNIQUE
 
-JOBS = "db-collector|otel-gateway|otel-collector"
+JOBS = "store-api|edge-proxy|store-worker"
 _SPACE = WHITE_SPACE.replace("'", "''")
 
 
@@ -57,7 +57,10 @@ _ENVELOPE = " || ".join(
     [r"""'{"timestamp":"' || strftime(make_timestamp(timestamp_us), '%Y-%m-%dT%H:%M:%S') || CASE WHEN timestamp_us % 1000000 = 0 THEN '' ELSE '.' || rtrim(lpad(CAST(timestamp_us % 1000000 AS VARCHAR), 6, '0'), '0') END || 'Z"'"""]
     + [f"""CASE WHEN {c} = '' THEN '' ELSE ',"{c}":"' || {c} || '"' END"""
        for c in ("environment", "application", "component", "platform", "severity", "message", "user_id", "session_id", "request_id", "client_ip")]
-    + ["'}'"])
+    + ["coalesce(',\"labels\":{' || shown || '}', '')", "'}'"])
+_LABEL_JSON = """SELECT event_id, string_agg('"' || k || '":"' || json_extract_string(doc, '$.labels.' || k) || '"', ',' ORDER BY k) AS shown
+FROM (SELECT event_id, doc, unnest(json_keys(doc, '$.labels')) AS k FROM docs WHERE json_type(doc, '$.labels') = 'OBJECT')
+WHERE json_type(doc, '$.labels.' || k) NOT IN ('NULL', 'OBJECT', 'ARRAY') GROUP BY event_id"""
 
 _LOGS = NORMALIZED + (
     ("own", """SELECT event_id, severity, timestamp_us, unnest([{'k': 'environment', 'v': environment}, {'k': 'application', 'v': application},
@@ -106,11 +109,13 @@ _PROBES = {
     "throughput": """SELECT 'sqlserver_throughput' AS metric, 'counter_name=' || rtrim(counter_name) || ',environment=' || environment || ',target=' || target AS labels,
         0::BIGINT AS ord, cntr_value::DOUBLE AS value, environment, target FROM dm_os_performance_counters WHERE rtrim(counter_name) IN ('Batch Requests/sec', 'Transactions/sec')""",
 }
-_FLEET = ("fleet", """SELECT DISTINCT 'env' || (c_custkey % 3) AS environment, 'db' || (c_custkey % 5) AS target FROM customer WHERE c_custkey % 15 <> 4""")
+_FLEET = ("fleet", """SELECT DISTINCT 'env' || (c_custkey % 3) AS environment, 'db' || (c_custkey % 5) AS target FROM customer""")
+_OFF = {"waits": "db4", "storage": "db4", "sessions": "db1"}  # switched off on one target
 
 
 def _cycle(names: tuple[str, ...]) -> str:
-    return " UNION ALL ".join(f"SELECT * FROM ({_PROBES[n]}) SEMI JOIN fleet USING (environment, target)" for n in names)
+    return " UNION ALL ".join(
+        f"SELECT * FROM ({_PROBES[n]}) SEMI JOIN fleet USING (environment, target) WHERE target <> '{_OFF.get(n, '')}'" for n in names)
 
 
 _SCHEDULED = _with(
@@ -142,7 +147,7 @@ _SERIES_LABELS = "'environment=' || environment || ',target=' || target || CASE
 _UP = (
     ("up_samples", for_duckdb(recipes.UP_SAMPLES)),
     ("grid", f"SELECT unnest(generate_series({GRID_START}, {GRID_END}, 15))::BIGINT AS step"),
-    ("up", """SELECT job, instance, environment, step, arg_max(value, epoch_us(ts)) AS value FROM up_samples JOIN grid
+    ("up", """SELECT job, instance, environment, step, arg_max(value, epoch_us(ts)::HUGEINT * 1000000000 + event_id) AS value FROM up_samples JOIN grid
         ON epoch_us(ts) <= step * 1000000 AND epoch_us(ts) > (step - 300) * 1000000 GROUP BY job, instance, environment, step"""),
 )
 _ALERTS = _UP + (
@@ -155,39 +160,16 @@ _ALERTS = _UP + (
 )
 
 
-# A flush every 300 s from 30 s after a group's first alert; its clock is forgotten at a flush with nothing firing.
-_NOTICES = "WITH RECURSIVE " + _with(*_ALERTS).removeprefix("WITH ").rstrip() + f""",
-    a AS (SELECT alertname, job, environment, instance AS fp, started_s AS s, CASE WHEN resolved_s < 0 THEN 9999999999 ELSE resolved_s END AS e FROM fired),
-    m AS (SELECT *, max(e) OVER (PARTITION BY job, environment ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy FROM a),
-    g AS (SELECT *, sum(CASE WHEN s <= busy THEN 0 ELSE 1 END) OVER (PARTITION BY job, environment ORDER BY s, e) AS c FROM m),
-    cover AS (SELECT job, environment, c, min(s) AS cs, max(e) AS ce FROM g GROUP BY job, environment, c),
-    life AS (SELECT job, environment, c, ce, cs AS origin FROM cover WHERE c = 1
-        UNION ALL SELECT n.job, n.environment, n.c, n.ce, CASE WHEN l.origin + 30 + 300 * greatest(0, ceil((l.ce - l.origin - 30) / 300)) < n.cs THEN n.cs ELSE l.origin END
-        FROM life l JOIN cover n ON n.job = l.job AND n.environment = l.environment AND n.c = l.c + 1),
-    lives AS (SELECT job, environment, origin, max(ce) AS last_end FROM life GROUP BY ALL),
-    flush AS (SELECT job, environment, origin, k, origin + 30 + 300 * k AS t FROM
-        (SELECT *, unnest(generate_series(0, CAST(greatest(0, ceil((least(last_end, {GRID_END}) - origin - 30) / 300)) AS BIGINT))) AS k FROM lives)),
-    fps AS (SELECT f.job, f.environment, f.origin, f.k, a.fp, bool_or(a.e > f.t) AS live, bool_or(a.s <= f.t - 300 AND a.e > f.t - 300) AS was_live
-        FROM flush f JOIN a ON a.job = f.job AND a.environment = f.environment AND a.s >= f.origin AND a.s <= f.t AND a.e > f.t - 300 GROUP BY ALL),
-    sums AS (SELECT job, environment, origin, k, count(*) FILTER (live) AS n_live, count(*) FILTER (live AND NOT was_live) AS n_new,
-        count(*) FILTER (was_live AND NOT live) AS n_left, count(*) FILTER (NOT live) AS n_gone FROM fps GROUP BY ALL),
-    told AS (SELECT f.job, f.environment, f.origin, f.k, f.t, n_live, n_gone, n_new > 0 OR (n_live = 0 AND n_left > 0) OR (n_live > 0 AND n_gone > 0) AS change FROM flush f JOIN sums USING (job, environment, origin, k)),
-    timed AS (SELECT *, max(CASE WHEN change THEN k END) OVER (PARTITION BY job, environment, origin ORDER BY k) AS last_k FROM told)
-    SELECT 'ServiceDown' AS alertname, job, environment, t AS notice_s, CASE WHEN change THEN 'change' ELSE 'repeat' END AS reason,
-        n_live AS n_firing, CASE WHEN change THEN n_gone ELSE 0 END AS n_resolved
-    FROM timed WHERE t <= {GRID_END} AND (change OR (n_live > 0 AND (k - last_k) % 48 = 0))"""
-
-
 def _rate(step_s: int) -> tuple[tuple[str, str], ...]:
     return (
         ("counters", for_duckdb(recipes.COUNTER_SAMPLES)),
         ("grid", f"SELECT unnest(generate_series({GRID_START}, {GRID_END}, {step_s}))::BIGINT AS step"),
-        ("seen", """SELECT event_type, target, step, epoch_us(ts) AS us, value,
-            lag(value) OVER (PARTITION BY event_type, target, step ORDER BY ts) AS previous
+        ("seen", """SELECT event_type, target, step, epoch_us(ts) AS us, epoch_us(ts)::HUGEINT * 1000000000 + ord AS pos, value,
+            lag(value) OVER (PARTITION BY event_type, target, step ORDER BY ts, ord) AS previous
             FROM counters JOIN grid ON epoch_us(ts) <= step * 1000000 AND epoch_us(ts) > (step - 300) * 1000000"""),
-        ("windows", """SELECT event_type, target, step, count(*) AS n, min(us) AS us0, max(us) AS us1, arg_min(value, us) AS v0,
-            arg_max(value, us) - arg_min(value, us) + sum(CASE WHEN value < previous THEN previous ELSE 0 END) AS increase
-            FROM seen GROUP BY event_type, target, step HAVING count(*) >= 2"""),
+        ("windows", """SELECT event_type, target, step, count(*) AS n, min(us) AS us0, max(us) AS us1, arg_min(value, pos) AS v0,
+            arg_max(value, pos) - arg_min(value, pos) + sum(CASE WHEN value < previous THEN previous ELSE 0 END) AS increase
+            FROM seen GROUP BY event_type, target, step HAVING max(us) > min(us)"""),
         ("spans", """SELECT *, (us1 - us0) / 1e6 AS sampled, (us1 - us0) / 1e6 / (n - 1) AS average, us0 / 1e6 - (step - 300) AS to_start,
             step - us1 / 1e6 AS to_end FROM windows"""),
         ("capped", """SELECT *, CASE WHEN to_start >= 1.1::DOUBLE * average THEN average / 2 ELSE to_start END AS start_gap,
@@ -203,8 +185,8 @@ _CORRELATED = (
     _INVESTIGATIONS, _SUBJECT_EVENTS,
     ("correlated", """SELECT i.id AS investigation_id, e.event_id, e.timestamp, e.component, e.severity FROM investigations i JOIN subject_events e
         ON e.application = i.application AND e.environment = i.environment
-        AND i.subject_value = CASE i.subject_type WHEN 'user' THEN e.user_id ELSE e.session_id END
-        AND e.timestamp BETWEEN i.time_start AND i.time_end"""),
+        AND (i.subject_type IS NULL OR i.subject_value = CASE i.subject_type WHEN 'user' THEN e.user_id WHEN 'session' THEN e.session_id
+            WHEN 'ip' THEN e.client_ip ELSE e.request_id END) AND e.timestamp BETWEEN i.time_start AND i.time_end"""),
 )
 _GONE = "SELECT c_custkey FROM customer WHERE c_custkey % 31 = 0"
 _DELTAS = _with(_SUBJECT_EVENTS, ("d", """SELECT application, component, now, timestamp FROM
@@ -263,7 +245,7 @@ _VERSION = f"""WITH h AS (SELECT sha256({_ROW_JSON}) AS h FROM customer), t AS (
     SELECT n, sha256('{{"n":' || n || ',"s0":' || s0 || ',"s1":' || s1 || ',"s2":' || s2 || ',"s3":' || s3 || '}}') AS version FROM t"""
 
 _STREAM_SAME = {"stream_normalize": "normalize_accepted", "stream_rejected": "normalize_rejected", "stream_latest": "series_latest",
-                "stream_probe_cycle": "probe_cycle_samples"}
+                "stream_probe_cycle": "probe_cycle_samples", "sink_evidence": "probe_evidence", "read_collector_table": "inventory_enabled"}
 
 ORACLE: dict[str, str] = {
     "normalize_accepted": _ACCEPTED + f"SELECT {_ROWS} FROM accepted",
@@ -271,7 +253,7 @@ ORACLE: dict[str, str] = {
     "event_counts_by_severity": _ACCEPTED + "SELECT environment, application, severity, count(*) AS n_events FROM accepted GROUP BY ALL",
     "event_counts_per_hour": _ACCEPTED + "SELECT timestamp_us - timestamp_us % 3600000000 AS window_start_us, environment, severity, count(*) AS n_events FROM accepted GROUP BY ALL",
     "labels_scalar_filter": _ACCEPTED + "SELECT event_id, labels FROM accepted WHERE labels <> ''",
-    "event_envelope": _ACCEPTED + f"SELECT event_id, {_ENVELOPE} AS envelope FROM accepted WHERE labels = ''",
+    "event_envelope": _with(*NORMALIZED, ("shown", _LABEL_JSON)) + f"SELECT a.event_id, {_ENVELOPE} AS envelope FROM accepted a LEFT JOIN shown s USING (event_id)",
     "alert_deliveries": _with(*NORMALIZED[:2]) + "SELECT count(*) AS n_deliveries FROM docs WHERE json_type(doc) IN ('OBJECT', 'NULL')",
     "contract_violations": _contract_sql(),
     "log_label_policy": _with(*_LOGS) + """SELECT a.event_id, 'shop-logs' AS job, a.severity AS level, p.labels,
@@ -279,7 +261,7 @@ ORACLE: dict[str, str] = {
         FROM accepted a JOIN policy p USING (event_id)""",
     "too_old_rejects": _ACCEPTED + "SELECT event_id, 'too old' AS reject_reason FROM accepted WHERE make_timestamp(timestamp_us) < TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 168 HOUR",
     **{f"probe_{n}": _with(*_SNAPSHOTS) + f"SELECT metric, labels, ord, value FROM ({sql})" for n, sql in _PROBES.items()},
-    "probe_cycle_samples": _with(*_SNAPSHOTS, _FLEET) + f"SELECT metric, labels, ord, value FROM ({_cycle(('waits', 'blocking', 'sessions', 'storage'))})",
+    "probe_cycle_samples": _with(*_SNAPSHOTS, _FLEET) + f"SELECT metric, labels, ord, value FROM ({_cycle(tuple(_PROBES))})",
     "probe_evidence": _with(*_SNAPSHOTS, _FLEET) + " UNION ALL ".join(
         f"SELECT environment, target, '{k}' AS kind, '{k} snapshot for ' || target AS title, CAST(count(*) AS VARCHAR) AS n_rows FROM ({_cycle((k,))}) GROUP BY environment, target"
         for k in ("blocking", "sessions")),
@@ -323,7 +305,7 @@ ORACLE: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY metric ORDER BY ts DESC, ord DESC) = 1""",
     "up_count": _with(*_UP) + "SELECT step, count(*) AS n_series FROM up GROUP BY step",
     "up_ratio_by_job": _with(*_UP) + "SELECT step, job, round(avg(value), 6) AS value FROM up GROUP BY step, job",
-    "gauge_sum_by": _with(_SAMPLES, _UP[1], ("gauges", """SELECT metric, environment, target, coalesce(zone, '') AS zone, step, arg_max(value, epoch_us(ts)) AS value
+    "gauge_sum_by": _with(_SAMPLES, _UP[1], ("gauges", """SELECT metric, environment, target, coalesce(zone, '') AS zone, step, arg_max(value, epoch_us(ts)::HUGEINT * 1000000000 + ord) AS value
         FROM samples JOIN grid ON epoch_us(ts) <= step * 1000000 AND epoch_us(ts) > (step - 300) * 1000000 GROUP BY ALL"""))
         + "SELECT step, metric, environment, round(sum(value), 4) AS value FROM gauges GROUP BY step, metric, environment",
     "rate5m_sum_by": _with(*_rate(15)) + "SELECT step, event_type, round(sum(rate), 6) AS value FROM rates GROUP BY step, event_type",
@@ -352,10 +334,11 @@ ORACLE: dict[str, str] = {
     "delete_cascade": f"SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN ({_GONE})",
     "delete_set_null": f"SELECT o_orderkey, CASE WHEN o_custkey IN ({_GONE}) THEN -1 ELSE o_custkey END AS o_custkey FROM orders",
     "delete_restrict": f"SELECT o_custkey AS id, count(*) AS n_rows FROM orders WHERE o_custkey IN ({_GONE}) GROUP BY o_custkey",
-    "alert_notifications": _NOTICES,
     "sink_samples": _with(_SAMPLES) + "SELECT strftime(ts, '%Y-%m-%d') AS date, metric, count(*) AS n, round(sum(value), 4) AS total FROM samples GROUP BY ALL",
     "sink_logs": _with(*_LOGS) + """SELECT 'shop-logs' AS job, severity AS level, strftime(make_timestamp(timestamp_us), '%Y-%m-%d') AS date, count(*) AS n FROM accepted GROUP BY ALL""",
     "publish_guard": "SELECT c_custkey, round(c_acctbal, 2) AS c_acctbal FROM customer",
+    "publish_log": """SELECT true AS accepted, '' AS reason, 3::BIGINT AS n, 1::BIGINT AS n_versions
+        UNION ALL SELECT false, (SELECT min('{"key0":' || c_custkey || ',"n_rows":2}') FROM customer WHERE c_custkey % 9 = 0), 1, 1""",
     "investigation_timeline": _with(*_CORRELATED) + """SELECT investigation_id, event_id, epoch_us(timestamp) AS timestamp_us, component, severity FROM correlated""",
     "due_runs": """SELECT 'rs' || s_suppkey AS schedule_id, 'app' || s_nationkey AS application_id, 'queued' AS status, count(*) AS n FROM
         (SELECT DISTINCT l_suppkey, l_shipdate FROM lineitem) JOIN supplier ON s_suppkey = l_suppkey WHERE s_suppkey % 4 <> 0 GROUP BY ALL""",
@@ -374,7 +357,7 @@ ORACLE: dict[str, str] = {
     "failed_runs_per_app": _with(("runs", for_duckdb(recipes.METADATA["report_runs"]))) + """SELECT application_id, id, epoch_us(created_at) AS created_at_us FROM runs WHERE status = 'failed'
         QUALIFY row_number() OVER (PARTITION BY application_id ORDER BY created_at DESC, id) <= 3""",
     "application_links": """SELECT o_orderkey AS request_id, s_suppkey AS application_id, s_nationkey AS environment_id, c_custkey AS user_id
-        FROM orders JOIN supplier ON s_suppkey = o_orderkey % 10 JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = s_nationkey""",
+        FROM orders JOIN supplier ON s_suppkey = o_orderkey % (SELECT max(s_suppkey) + 1 FROM supplier) JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = s_nationkey""",
     "deep_links": """SELECT event_id, CASE WHEN event_id % 2 = 0
         THEN '/explore?orgId=1&left=' || replace(url_encode('{app="shop", user="' || user_id || '"} |= `' || event_type || ' & more`'), '+', '%20')
         ELSE '/d/overview?var-target=' || replace(url_encode('db ' || (user_id % 5) || '/é'), '+', '%20') END AS url FROM events""",
@@ -383,10 +366,31 @@ ORACLE: dict[str, str] = {
     "baseline_quantile": "SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.05), 6) AS lower, round(quantile_cont(value, 0.95), 6) AS upper FROM events GROUP BY event_type",
     "baseline_ewma": """WITH RECURSIVE means AS (SELECT event_type, epoch_us(ts) // 3600000000 * 3600 AS bucket, avg(value) AS mean FROM events GROUP BY ALL),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY bucket) AS i FROM means),
-        fold AS (SELECT event_type, i AS goal, greatest(i - 11, 1) AS at, (SELECT f.mean FROM ranked f WHERE f.event_type = r.event_type AND f.i = greatest(r.i - 11, 1)) AS s FROM ranked r
-            UNION ALL SELECT f.event_type, f.goal, f.at + 1, f.s * 0.7::DOUBLE + r.mean * 0.3::DOUBLE FROM fold f JOIN ranked r ON r.event_type = f.event_type AND r.i = f.at + 1 WHERE f.at < f.goal)
+        fold AS (SELECT event_type, i, mean AS s FROM ranked WHERE i = 1
+            UNION ALL SELECT f.event_type, r.i, f.s * 0.7::DOUBLE + r.mean * 0.3::DOUBLE FROM fold f JOIN ranked r ON r.event_type = f.event_type AND r.i = f.i + 1)
         SELECT r.event_type, r.bucket, round(r.mean, 6) AS mean, round(f.s, 6) AS ewma, round(r.mean - f.s, 6) AS deviation
-        FROM ranked r JOIN fold f ON f.event_type = r.event_type AND f.goal = r.i AND f.at = r.i""",
+        FROM ranked r JOIN fold f USING (event_type, i)""",
+    "special_quantiles": _with(("v", for_duckdb(recipes.SPECIAL_VALUES)), ("o", "SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS pos, count(*) OVER (PARTITION BY event_type) AS n FROM v")) + """
+        SELECT event_type, n, CASE WHEN isnan(min(value) FILTER (pos = 0)) THEN 'NaN' ELSE '-Infinity' END AS low,
+            round(min(value) FILTER (pos = floor(0.5 * (n - 1))) * (1 - (0.5::DOUBLE * (n - 1) - floor(0.5 * (n - 1)))) + min(value) FILTER (pos = ceil(0.5 * (n - 1))) * (0.5::DOUBLE * (n - 1) - floor(0.5 * (n - 1))), 6) AS middle,
+            CASE WHEN isinf(min(value) FILTER (pos = floor(0.9 * (n - 1)))) THEN 'Infinity' END AS high,
+            CASE WHEN isnan(min(value) FILTER (pos = n - 1)) THEN 'NaN' ELSE 'Infinity' END AS top FROM o GROUP BY event_type, n""",
+    "null_key_breaches": """WITH e AS (SELECT *, CASE WHEN event_type <> 'click' THEN event_type END AS kind FROM events),
+        band AS (SELECT kind, quantile_cont(value, 0.95) AS upper FROM e GROUP BY kind)
+        SELECT event_id, coalesce(e.kind, '') AS kind, CASE WHEN value > 200 THEN 'static' ELSE 'adaptive' END AS cause
+        FROM e JOIN band ON e.kind IS NOT DISTINCT FROM band.kind WHERE value > 200 OR value > upper""",
+    "newest_alerts": _with(("a", for_duckdb(recipes.MODEL["alert_events"]))) + """SELECT application_id, fingerprint, id, epoch_us(started_at) AS started_at_us FROM a
+        QUALIFY row_number() OVER (PARTITION BY application_id, fingerprint ORDER BY started_at DESC, id) = 1""",
+    "scheduled_probes_of_targets": "SELECT * EXCLUDE (effective_timeout_ms) FROM (" + _SCHEDULED + """) WHERE environment_slug = 'nation_3'
+        AND target_name = (SELECT min(s_name) FROM supplier WHERE s_nationkey = 3 AND s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0)""",
+    "snapshot_diff_live": _with(("next", f"SELECT * FROM ({for_duckdb(recipes.CUSTOMER_NEXT)}) WHERE c_custkey % 4 <> 0"), ("past", "SELECT * FROM customer WHERE c_custkey % 6 <> 0")) + """
+        SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN o.c_custkey IS NULL THEN 'added' WHEN n.c_custkey IS NULL THEN 'removed'
+             WHEN o.c_name = n.c_name AND o.c_nationkey = n.c_nationkey AND o.c_acctbal = n.c_acctbal AND o.c_mktsegment = n.c_mktsegment THEN 'unchanged' ELSE 'updated' END AS change
+        FROM past o FULL JOIN next n ON o.c_custkey = n.c_custkey""",
+    "read_raw_events": _with(NORMALIZED[0]) + "SELECT value, count(*) AS n FROM raw GROUP BY value",
+    "sink_report": _with(_SUBJECT_EVENTS, ("h", "SELECT application, count(*) AS n_events, count(*) FILTER (severity = 'error') AS n_errors FROM subject_events GROUP BY application"))
+        + "SELECT * FROM h UNION ALL SELECT * FROM h",
+    "read_snapshot_tables": _with(*_SNAPSHOTS) + f"SELECT metric, labels, ord, value FROM ({_PROBES['blocking']})",
     "baseline_seasonal": """SELECT event_type, isodow(ts)::BIGINT AS dow, hour(ts)::BIGINT AS hour, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation
         FROM events GROUP BY ALL""",
     "anomalies": """WITH band AS (SELECT event_type, quantile_cont(value, 0.95) AS upper FROM events GROUP BY event_type)

@@ -14,17 +14,21 @@ from watchframe.operators import (
     alerts, audit, baselines, contracts, correlate, inventory, investigate, logs, metadata, normalize, probes, reports,
     rules, series,
 )
+from watchframe.operators.quantiles import exact_quantiles
 from watchframe.plans import recipes, replay
 from watchframe.plans.fixtures import Fixtures
 from watchframe.schemas import Check, Unique
 from watchframe.session import work_dir
 from watchframe.sources import sinks
+from watchframe.sources.events import read_raw
+from watchframe.sources.inventory import read_collectors
+from watchframe.sources.snapshots import read_snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 START, END = recipes.GRID_START, recipes.GRID_END
 POLICY_NOW = "2024-01-20 00:00:00"
-JOBS = "db-collector|otel-gateway|otel-collector"
+JOBS = "store-api|edge-proxy|store-worker"
 
 
 def query(fn: Callable[[Fixtures], DataFrame]) -> Callable[[Fixtures], DataFrame]:
@@ -91,8 +95,8 @@ def labels_scalar_filter(f):
 
 @query
 def event_envelope(f):
-    events = _events(f)
-    return events.filter("labels is null").select("event_id", normalize.envelope_json(events).alias("envelope"))
+    events = _events(f).withColumn("labels", normalize.text_labels(F.col("labels")))
+    return events.select("event_id", normalize.envelope_json(events).alias("envelope"))
 
 
 @query
@@ -151,11 +155,12 @@ def probe_evidence(f):
 
 
 def _fleet_schedule(f: Fixtures) -> DataFrame:
-    """Probes scheduled on each target, two of six switched off."""
+    """The six probes on each target, some switched off for one target."""
     return f.sql("""
-        SELECT DISTINCT 'fleet' AS collector_id, concat('env', CAST(c_custkey % 3 AS STRING)) AS environment_slug,
-               concat('db', CAST(c_custkey % 5 AS STRING)) AS target_name, explode(array('waits', 'blocking', 'sessions', 'storage')) AS probe_name
-        FROM $customer WHERE c_custkey % 15 <> 4""")
+        SELECT * FROM (SELECT DISTINCT 'fleet' AS collector_id, concat('env', CAST(c_custkey % 3 AS STRING)) AS environment_slug,
+               concat('db', CAST(c_custkey % 5 AS STRING)) AS target_name,
+               explode(array('waits', 'blocking', 'sessions', 'memory_pressure', 'storage', 'throughput')) AS probe_name
+        FROM $customer) s WHERE NOT (target_name = 'db4' AND probe_name IN ('waits', 'storage')) AND NOT (target_name = 'db1' AND probe_name = 'sessions')""")
 
 
 @query
@@ -241,7 +246,7 @@ UP_SERIES = ["job", "instance", "environment"]
 
 
 def _up(f: Fixtures) -> DataFrame:
-    return rules.instant_vector(f.sql(recipes.UP_SAMPLES), UP_SERIES, start=START, end=END)
+    return rules.instant_vector(f.sql(recipes.UP_SAMPLES), UP_SERIES, start=START, end=END, order="event_id")
 
 
 @query
@@ -257,20 +262,20 @@ def up_ratio_by_job(f):
 @query
 def gauge_sum_by(f):
     s = f.samples().select(
-        "metric", *[series.label(F.col("labels"), n).alias(n) for n in ("environment", "target", "zone")], "ts", "value")
-    vector = rules.instant_vector(s, ["metric", "environment", "target", "zone"], start=START, end=END)
+        "metric", *[series.label(F.col("labels"), n).alias(n) for n in ("environment", "target", "zone")], "ts", "ord", "value")
+    vector = rules.instant_vector(s, ["metric", "environment", "target", "zone"], start=START, end=END, order="ord")
     return rules.sum_by(vector, ["metric", "environment"]).select("step", "metric", "environment", rounded("value", 4))
 
 
 @query
 def rate5m_sum_by(f):
-    rates = rules.rate(f.sql(recipes.COUNTER_SAMPLES), ["event_type", "target"], start=START, end=END)
+    rates = rules.rate(f.sql(recipes.COUNTER_SAMPLES), ["event_type", "target"], start=START, end=END, order="ord")
     return rules.sum_by(rates, ["event_type"], "rate").select("step", "event_type", rounded("value"))
 
 
 @query
 def rate5m(f):
-    rates = rules.rate(f.sql(recipes.COUNTER_SAMPLES), ["event_type", "target"], step_s=60, start=START, end=END)
+    rates = rules.rate(f.sql(recipes.COUNTER_SAMPLES), ["event_type", "target"], step_s=60, start=START, end=END, order="ord")
     return rates.select("event_type", "target", "step", "n", rounded("increase"), rounded("rate"))
 
 
@@ -307,11 +312,6 @@ def alert_groups(f):
     return groups.withColumn("last_resolved_s", F.coalesce("last_resolved_s", F.lit(-1)))
 
 
-@query
-def alert_notifications(f):
-    return alerts.group_notifications(_alert_events(f), END)
-
-
 # ---- audits and differences
 
 @query
@@ -405,14 +405,9 @@ def investigation_overlap(f):
     return found.select("request_id", "investigation_id", "environment_slug", "subject_type", "subject_value")
 
 
-SUBJECTS = {"user": "user_id", "session": "session_id"}
-
-
 def _correlated(f: Fixtures) -> DataFrame:
-    windows = correlate.subject_windows(f.metadata("investigations"), SUBJECTS)
-    return correlate.correlate_subjects(
-        f.sql(recipes.SUBJECT_EVENTS), windows, ["event_id", "timestamp", "component", "severity"], SUBJECTS,
-        without_subject=False)
+    windows = correlate.subject_windows(f.metadata("investigations"))
+    return correlate.correlate_subjects(f.sql(recipes.SUBJECT_EVENTS), windows, ["event_id", "timestamp", "component", "severity"])
 
 
 @query
@@ -437,7 +432,7 @@ def application_links(f):
     users = f.sql("SELECT c_custkey AS id, concat(lower(c_name), '@example.com') AS email FROM $customer")
     requests = f.sql("""
         SELECT o_orderkey AS request_id, s_name AS application_name, lower(n_name) AS environment_slug, concat(lower(c_name), '@example.com') AS user_email
-        FROM $orders JOIN $customer ON o_custkey = c_custkey JOIN $supplier ON s_suppkey = o_orderkey % 10 JOIN $nation ON n_nationkey = s_nationkey""")
+        FROM $orders JOIN $customer ON o_custkey = c_custkey JOIN $supplier ON s_suppkey = o_orderkey % (SELECT max(s_suppkey) + 1 FROM $supplier) JOIN $nation ON n_nationkey = s_nationkey""")
     linked = metadata.link_applications(applications, environments, users, requests)
     return linked.select("request_id", "application_id", "environment_id", "user_id")
 
@@ -472,7 +467,17 @@ def sink_logs(f):
 
 @query
 def publish_guard(f):
-    """A sound version is published, a broken one refused; what is read is the sound one."""
+    """A sound version is published, once more with equal content, then from what is current; a broken one is refused."""
+    return sinks.read_current(f.spark, _published(f)).select("c_custkey", rounded("c_acctbal", 2))
+
+
+@query
+def publish_log(f):
+    log = sinks.read_log(f.spark, _published(f))
+    return log.groupBy("accepted", F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("n"), F.countDistinct("version").alias("n_versions"))
+
+
+def _published(f: Fixtures) -> str:
     root = work_dir(f.spark, "publish")
 
     def rules_of(df: DataFrame) -> DataFrame:
@@ -480,8 +485,10 @@ def publish_guard(f):
 
     good = f.table("customer").select("c_custkey", "c_acctbal")
     sinks.publish(good, rules_of, root)
+    sinks.publish(good, rules_of, root)
+    sinks.publish(sinks.read_current(f.spark, root), rules_of, root)
     sinks.publish(good.unionByName(good.filter("c_custkey % 9 = 0")), rules_of, root)
-    return sinks.read_current(f.spark, root).select("c_custkey", rounded("c_acctbal", 2))
+    return root
 
 
 # ---- planned tier: baselines, investigation results, reports
@@ -498,10 +505,93 @@ def baseline_quantile(f):
     return band.select("event_type", "n", rounded("lower"), rounded("upper"))
 
 
+@query
+def special_quantiles(f):
+    """Quantiles over values with infinities and NaN, which is the largest."""
+    found = exact_quantiles(f.sql(recipes.SPECIAL_VALUES), ["event_type"], "value", {"low": 0.0, "middle": 0.5, "high": 0.9, "top": 1.0})
+    return found.select("event_type", "n", *[F.col(c).cast("string").alias(c) if c != "middle" else rounded(c) for c in ("low", "middle", "high", "top")])
+
+
+@query
+def null_key_breaches(f):
+    """Breaches where the key of some rows is NULL: they have a band of their own."""
+    events = f.table("events").withColumn("kind", F.when(F.col("event_type") != "click", F.col("event_type")))
+    band = baselines.quantile_band(events, ["kind"], "value")
+    return baselines.hybrid_breaches(events, band, ["kind"], "value", 200.0).select("event_id", text("kind"), "cause")
+
+
+@query
+def newest_alerts(f):
+    newest = metadata.newest_alert(f.model()["alert_events"])
+    return newest.select("application_id", "fingerprint", "id", micros("started_at"))
+
+
+@query
+def scheduled_probes_of_targets(f):
+    """The schedule limited to one environment and two targets."""
+    m = {name: f.metadata(name) for name in ("database_targets", "environments", "probe_assignments", "probe_definitions")}
+    names = [r["s_name"] for r in f.sql("SELECT min(s_name) AS s_name FROM $supplier WHERE s_nationkey = 3 AND s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0").collect()]
+    return metadata.scheduled_probes(
+        m["database_targets"], m["environments"], m["probe_assignments"], m["probe_definitions"], "sqlserver", "sql-fleet", "nation_3", [*names, "none"])
+
+
+@query
+def snapshot_diff_live(f):
+    """A row that is switched off counts as removed."""
+    old = f.table("customer").withColumn("enabled", F.col("c_custkey") % 6 != 0)
+    new = f.sql(recipes.CUSTOMER_NEXT).withColumn("enabled", F.col("c_custkey") % 4 != 0)
+    return audit.diff(old, new, ["c_custkey"], F.col("enabled")).select("c_custkey", "change")
+
+
+@query
+def read_raw_events(f):
+    """Raw documents written as text, one per line, and read back."""
+    path = work_dir(f.spark, "raw")
+    f.raw_events().select("value").write.text(path)
+    return read_raw(f.spark, path).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query
+def sink_evidence(f):
+    path = work_dir(f.spark, "evidence")
+    sinks.append_evidence(probes.collector_cycle(f.snapshots(), probes.default_catalog(), _fleet_schedule(f))[1], path)
+    stored = f.spark.read.parquet(path)
+    return stored.select("environment", "target", "kind", "title", F.col("metadata")["rows"].alias("n_rows"))
+
+
+@query
+def sink_report(f):
+    """A report section written as CSV and as JSON and read back."""
+    root = work_dir(f.spark, "report")
+    health = reports.health_summary(f.sql(recipes.SUBJECT_EVENTS), ["application"], F.col("severity") == "error").select("application", "n_events", "n_errors")
+    sinks.write_report(health, f"{root}/csv", "csv")
+    sinks.write_report(health, f"{root}/json")
+    kinds = "application string, n_events bigint, n_errors bigint"
+    return f.spark.read.schema(kinds).option("header", True).csv(f"{root}/csv").unionByName(f.spark.read.schema(kinds).json(f"{root}/json"))
+
+
+@query
+def read_snapshot_tables(f):
+    """Snapshot tables stored, read back and probed."""
+    root = work_dir(f.spark, "snapshots")
+    for name, frame in f.snapshots().items():
+        frame.write.parquet(f"{root}/{name}")
+    probe = probes.default_catalog()["blocking"]
+    return sample_rows(probes.decode(probe.rows(read_snapshots(f.spark, root)), probe))
+
+
+@query
+def read_collector_table(f):
+    path = work_dir(f.spark, "collectors")
+    f.collectors().write.parquet(path)
+    on = inventory.enabled_collectors(inventory.resolve_collectors(read_collectors(f.spark, path)), "sqlserver")
+    return on.select("id", "environment", F.coalesce("interval_s", F.lit(-1.0)).alias("interval_s"), F.size("targets").cast("long").alias("n_targets"))
+
+
 @query
 def baseline_ewma(f):
     means = baselines.bucket_means(f.table("events"), ["event_type"], "value", 3600)
-    return baselines.ewma_deviation(means, ["event_type"], span=12).select(
+    return baselines.ewma_deviation(means, ["event_type"]).select(
         "event_type", "bucket", *[rounded(c) for c in ("mean", "ewma", "deviation")])
 
 

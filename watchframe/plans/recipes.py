@@ -1,6 +1,6 @@
 """Inputs derived from the given tables, in SQL that Spark and DuckDB both run.
 
-``$name`` stands for a table, ``$cts`` and ``$five`` for the two expressions the engines spell
+``$name`` stands for a table, ``$cts``, ``$passed`` and ``$five`` for the expressions the engines spell
 differently. The operators under test never appear here.
 """
 
@@ -15,10 +15,12 @@ SCRAPE = "TIMESTAMP '2024-01-31 00:00:00'"
 DIALECT = {
     "spark": {
         "cts": "timestamp_micros(1704067200000000 + (unix_micros(ts) - 1704067200000000) div 120)",
+        "passed": "((unix_micros(ts) - 1704067200000000) div 120)",
         "five": "floor(unix_seconds(ts) / 300)",
     },
     "duckdb": {
         "cts": "make_timestamp(1704067200000000 + (epoch_us(ts) - 1704067200000000) // 120)",
+        "passed": "((epoch_us(ts) - 1704067200000000) // 120)",
         "five": "floor(epoch_us(ts) / 300000000)",
     },
 }
@@ -78,14 +80,21 @@ SELECT concat('app_', event_type) AS metric, concat('env', CAST(user_id % 3 AS S
        CASE WHEN event_id % 17 = 0 THEN concat('z', CAST(user_id % 2 AS STRING)) END AS zone,
        $cts AS ts, event_id AS ord, value FROM $events"""
 
+# A counter that grows with time and starts anew every half minute; two events share each instant.
 COUNTER_SAMPLES = """
-SELECT event_type, CAST(user_id % 5 AS INT) AS target, $cts AS ts,
-       CAST(row_number() OVER (PARTITION BY event_type, user_id % 5 ORDER BY ts, event_id) % 50 AS DOUBLE) AS value FROM $events"""
+SELECT event_type, CAST(user_id % 5 AS INT) AS target, $cts AS ts, event_id * 2 + k AS ord,
+       CAST(CAST(floor($passed / 600000) AS BIGINT) % 50 + k AS DOUBLE) AS value
+FROM $events CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) twice"""
+
+# Values with the special numbers among them.
+SPECIAL_VALUES = """
+SELECT event_type, CASE WHEN event_id % 211 = 0 THEN CAST('NaN' AS DOUBLE) WHEN event_id % 7 = 0 THEN CAST('Infinity' AS DOUBLE)
+       WHEN event_id % 5 = 0 THEN CAST('-Infinity' AS DOUBLE) ELSE value END AS value FROM $events"""
 
 UP_SAMPLES = """
 SELECT job, instance, environment, ts, event_id, CASE WHEN (CAST($five AS BIGINT) + j) % 4 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS value
-FROM (SELECT event_id, CAST(user_id % 4 AS INT) AS j, CASE CAST(user_id % 4 AS INT) WHEN 0 THEN 'db-collector' WHEN 1 THEN 'otel-gateway'
-      WHEN 2 THEN 'otel-collector' ELSE 'xdb-collector' END AS job, concat('i', CAST(user_id % 3 AS STRING)) AS instance,
+FROM (SELECT event_id, CAST(user_id % 4 AS INT) AS j, CASE CAST(user_id % 4 AS INT) WHEN 0 THEN 'store-api' WHEN 1 THEN 'edge-proxy'
+      WHEN 2 THEN 'store-worker' ELSE 'xstore-api' END AS job, concat('i', CAST(user_id % 3 AS STRING)) AS instance,
       concat('env', CAST(user_id % 2 AS STRING)) AS environment, $cts AS ts FROM $events) x"""
 
 # Suppliers as database targets, four to a collector, with faults planted.
@@ -125,16 +134,19 @@ SELECT p_partkey AS id, p_name AS name, p_brand AS category, p_type AS query_tem
        p_partkey % 6 <> 0 AS enabled FROM $part""",
     "investigations": """
 SELECT event_id AS id, concat('app', CAST(user_id % 4 AS STRING)) AS application, CAST(user_id % 3 AS INT) AS environment_id,
-       concat('env', CAST(user_id % 3 AS STRING)) AS environment, CASE WHEN event_id % 2 = 0 THEN 'user' ELSE 'session' END AS subject_type,
-       concat(CASE WHEN event_id % 2 = 0 THEN 'u' ELSE 's' END, CAST(user_id AS STRING)) AS subject_value,
-       ts - INTERVAL '1' HOUR AS time_start, ts + INTERVAL '1' HOUR AS time_end, ts AS created_at
-FROM $events WHERE event_type = 'error'""",
+       concat('env', CAST(user_id % 3 AS STRING)) AS environment,
+       CASE event_id % 5 WHEN 0 THEN 'user' WHEN 1 THEN 'session' WHEN 2 THEN 'ip' WHEN 3 THEN 'request' END AS subject_type,
+       CASE event_id % 5 WHEN 0 THEN concat('u', CAST(user_id AS STRING)) WHEN 1 THEN concat('s', CAST(user_id AS STRING))
+            WHEN 2 THEN concat('10.0.0.', CAST(user_id % 4 AS STRING)) WHEN 3 THEN concat('r', CAST(event_id % 500 AS STRING)) END AS subject_value,
+       ts - INTERVAL '1' HOUR AS time_start,
+       CASE WHEN event_id = 7 THEN TIMESTAMP '9999-01-01 00:00:00' WHEN event_id % 61 = 0 THEN ts - INTERVAL '2' HOUR ELSE ts + INTERVAL '1' HOUR END AS time_end, ts AS created_at
+FROM $events""",
     "requests": """
 SELECT event_id AS request_id, concat('env', CAST(user_id % 3 AS STRING)) AS environment_slug,
        CASE WHEN event_id % 2 = 0 THEN 'user' ELSE 'session' END AS subject_type,
        concat(CASE WHEN event_id % 2 = 0 THEN 'u' ELSE 's' END, CAST(user_id AS STRING)) AS subject_value,
-       ts - INTERVAL '12' HOUR AS lo, ts AS hi
-FROM $events WHERE event_type = 'purchase'""",
+       CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL '1' HOUR ELSE ts - INTERVAL '12' HOUR END AS lo, ts AS hi
+FROM $events""",
     "slugs": "SELECT DISTINCT CAST(user_id % 3 AS INT) AS id, concat('env', CAST(user_id % 3 AS STRING)) AS slug FROM $events",
     "report_runs": """
 SELECT o_orderkey AS id, concat('app', CAST(o_custkey % 8 AS STRING)) AS application_id,
@@ -180,7 +192,7 @@ SUBJECT_EVENTS = """
 SELECT event_id, ts AS timestamp, event_type, value, concat('app', CAST(user_id % 4 AS STRING)) AS application,
        concat('env', CAST(user_id % 3 AS STRING)) AS environment, concat('c', CAST(event_id % 6 AS STRING)) AS component,
        event_type AS severity, concat('u', CAST(user_id AS STRING)) AS user_id, concat('s', CAST(user_id AS STRING)) AS session_id,
-       concat('10.0.0.', CAST(user_id % 4 AS STRING)) AS client_ip, CAST(NULL AS STRING) AS request_id FROM $events"""
+       concat('10.0.0.', CAST(user_id % 4 AS STRING)) AS client_ip, concat('r', CAST(event_id % 500 AS STRING)) AS request_id FROM $events"""
 
 CUSTOMER_NEXT = """
 SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 7 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal,

@@ -23,8 +23,8 @@ ADAPTIVE = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings above to an existing session."""
-    for key, value in {**REQUIRED, **ADAPTIVE, **CODEGEN}.items():
+    """Apply what right results need to an existing session; tuning is left to whoever built it."""
+    for key, value in REQUIRED.items():
         spark.conf.set(key, value)
     return spark
 
@@ -34,7 +34,7 @@ def build_session(app: str = "watchframe", master: str | None = None, **conf: st
     builder = SparkSession.builder.appName(app).config("spark.python.sql.dataFrameDebugging.enabled", "false")
     if master:
         builder = builder.master(master)
-    for key, value in conf.items():
+    for key, value in {**ADAPTIVE, **CODEGEN, **conf}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 
@@ -52,16 +52,3 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="watchframe-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
-
-SMALL_SPLIT_BYTES = 4 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input one task per core before costly work on its rows.
-
-    Files are cut no finer than ``SMALL_SPLIT_BYTES``, so only an input too small to occupy every
-    core is shuffled; a large one is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SMALL_SPLIT_BYTES else df

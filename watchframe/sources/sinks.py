@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,7 +16,7 @@ def _partitioned(df: DataFrame, path: str, *columns: str) -> None:
 
 
 def append_samples(samples: DataFrame, path: str) -> None:
-    """Add samples to the store, by date and metric. The whole batch becomes visible or none of it."""
+    """Add samples to the store, by date and metric. A batch is committed at once only where the file system renames at once."""
     _partitioned(samples.withColumn("date", F.to_date("ts")), path, "date", "metric")
 
 
@@ -43,26 +44,42 @@ def write_report(section: DataFrame, path: str, kind: str = "json") -> None:
 
 
 def publish(candidate: DataFrame, audit: Callable[[DataFrame], DataFrame], root: str) -> tuple[str, bool]:
-    """Store a candidate version and make it current only when ``audit`` finds nothing.
+    """Store a candidate under a path of its own and make it current only when ``audit`` finds nothing.
 
-    The audit reads what was stored. A refused candidate is logged and the current version stays.
+    Version and audit are those of the stored rows, and the entry in the log comes last, so what is current is never
+    written to and equal content may be published again. A refused candidate is logged with its first finding as the reason.
     """
     spark = candidate.sparkSession
-    version = table_version(candidate).first()["version"]
-    path = f"{root}/versions/{version}"
-    candidate.write.mode("overwrite").parquet(path)
-    accepted = audit(spark.read.parquet(path)).isEmpty()
+    path = f"versions/{uuid.uuid4().hex}"
+    candidate.write.parquet(f"{root}/{path}")
+    stored = spark.read.parquet(f"{root}/{path}")
+    version = table_version(stored).first()["version"]
+    reason = audit(stored).agg(F.min(F.to_json(F.struct("*"))).alias("reason")).first()["reason"]
     entry = spark.range(1).select(
-        F.current_timestamp().alias("at"), F.lit(version).alias("version"), F.lit(accepted).alias("accepted"))
+        F.current_timestamp().alias("at"), F.lit(version).alias("version"), F.lit(path).alias("path"),
+        F.lit(reason is None).alias("accepted"), F.lit(reason).cast("string").alias("reason"))
     entry.write.mode("append").parquet(f"{root}/log")
-    return version, accepted
+    return version, reason is None
+
+
+def read_log(spark: SparkSession, root: str) -> DataFrame:
+    """Every attempt: at, version, path, accepted, reason."""
+    return spark.read.parquet(f"{root}/log")
+
+
+def _current(spark: SparkSession, root: str):
+    newest = F.max_by(F.struct("version", "path"), F.struct("at", "path"))
+    return read_log(spark, root).filter("accepted").agg(newest.alias("c")).first()["c"]
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
     """The version last accepted."""
-    log = spark.read.parquet(f"{root}/log").filter("accepted")
-    return log.agg(F.max_by("version", "at").alias("version")).first()["version"]
+    current = _current(spark, root)
+    return None if current is None else current["version"]
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/versions/{current_version(spark, root)}")
+    current = _current(spark, root)
+    if current is None:
+        raise ValueError("no version has been accepted")
+    return spark.read.parquet(f"{root}/{current['path']}")
