@@ -1,8 +1,6 @@
 import json
 from datetime import datetime, timedelta
 
-import pytest
-from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from watchframe.operators import normalize, probes, series
@@ -95,15 +93,32 @@ def test_alert_hold_keeps_state_between_batches(spark, tmp_path):
                    ("d", "firing", 8, 8), ("d", "resolved", 8, 9)]
 
 
-def test_repeated_alerts_are_dropped(spark, tmp_path):
+def test_repeated_alerts_are_stored_once_however_late(spark, tmp_path):
     ddl = "fingerprint string, started_at timestamp, n int"
-    spark.createDataFrame([("f", T0, 1), ("f", T0, 2), ("g", T0, 3)], ddl).coalesce(1).write.parquet(str(tmp_path / "in"))
-    once = jobs.drop_repeated_alerts(spark.readStream.schema(ddl).parquet(str(tmp_path / "in")))
-    jobs.write_parquet(once, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    assert sorted(r.fingerprint for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["f", "g"]
+    source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    batches = [[("f", T0 + timedelta(10), 1), ("f", T0 + timedelta(10), 2)], [("f", T0 + timedelta(11), 3), ("f", T0 + timedelta(10), 4)],
+               [("f", T0, 5), ("g", T0, 6), ("f", T0 + timedelta(11), 7)]]
+    for batch in batches:
+        spark.createDataFrame(batch, ddl).coalesce(1).write.mode("append").parquet(source)
+        jobs.dedup_to_table(spark.readStream.schema(ddl).parquet(source), out, check).awaitTermination()
+    got = sorted((r.fingerprint, (r.started_at - T0).days) for r in spark.read.parquet(out).collect())
+    assert got == [("f", 0), ("f", 10), ("f", 11), ("g", 0)]
+
+
+def test_a_late_row_does_not_break_a_run(spark, tmp_path):
+    ddl = "job string, step bigint, at timestamp, is_true boolean"
+    source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    step = lambda i: ("a", STEP0 + 15 * i, T0 + timedelta(seconds=15 * i), True)
+    batches = [[step(i) for i in range(10) if i != 4], [step(4)], [("z", STEP0 + 6000, T0 + timedelta(seconds=6000), False)]]
+    for batch in batches:
+        spark.createDataFrame(batch, ddl).coalesce(1).write.mode("append").parquet(source)
+        held = jobs.hold_alerts(spark.readStream.schema(ddl).parquet(source), ["job"], silence="10 minutes")
+        jobs.write_parquet(held, out, check).awaitTermination()
+    got = sorted((r.kind, (r.started_s - STEP0) // 15, (r.at_s - STEP0) // 15) for r in spark.read.parquet(out).collect())
+    assert got == [("firing", 8, 8), ("resolved", 8, 10)]
 
 
-def test_polling_runs_new_scrapes_and_stops_on_unknown_probes(spark, tmp_path):
+def test_polling_runs_new_scrapes_and_leaves_out_failing_collectors(spark, tmp_path):
     ddl = "environment string, target string, ts timestamp, status string"
     sessions = spark.createDataFrame([("p", "d", T0, "run"), ("p", "d", T0, "run"), ("p", "d", T0 + timedelta(1), "idle")], ddl)
     catalog = {"sessions": probes.default_catalog()["sessions"]}
@@ -117,6 +132,7 @@ def test_polling_runs_new_scrapes_and_stops_on_unknown_probes(spark, tmp_path):
 
     assert run(T0) == [("run", 2.0)]
     assert run(T0 + timedelta(1)) == [("idle", 1.0), ("run", 2.0)]
-    unknown = spark.createDataFrame([("c", "p", "d", "cpu")], "collector_id string, environment_slug string, target_name string, probe_name string")
-    with pytest.raises(StreamingQueryException):
-        run(T0, unknown)
+    schedule = spark.createDataFrame(
+        [("c", "p", "d", "cpu"), ("e", "p", "d", "sessions")], "collector_id string, environment_slug string, target_name string, probe_name string")
+    assert run(T0, schedule) == [("idle", 1.0), ("run", 2.0), ("run", 2.0)]
+    assert [(r.collector_id, r.reason) for r in spark.read.parquet(f"{root}/failures").collect()] == [("c", "unknown probe cpu")]

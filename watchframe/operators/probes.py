@@ -188,34 +188,50 @@ def evidence(rows: DataFrame, probe: Probe) -> DataFrame | None:
     )
 
 
-def _scheduled(rows: DataFrame, schedule: DataFrame | None, name: str) -> DataFrame:
-    if schedule is None:
-        return rows
-    wanted = schedule.filter(F.col("probe_name") == name).select(
-        F.col("environment_slug").alias("environment"), F.col("target_name").alias("target"))
-    return rows.join(wanted, ["environment", "target"], "left_semi")
-
-
 def union(frames: Sequence[DataFrame]) -> DataFrame:
     """Bag union by column name."""
     return reduce(DataFrame.unionByName, frames)
 
 
+def _variants(catalog: Mapping[str, Probe], schedule: DataFrame | None) -> list[tuple[Probe, str]]:
+    """Every probe with its own query and with each other query the schedule names for it."""
+    variants = [(probe, "") for probe in catalog.values()]
+    if schedule is None or "query_template" not in schedule.columns:
+        return variants
+    # the distinct queries of a schedule are configuration: few, however many targets run them
+    named = schedule.select("probe_name", F.trim("query_template").alias("t")).filter("t <> ''").distinct().collect()
+    return variants + [
+        (with_template(schedule.sparkSession, catalog[r["probe_name"]], r["t"]), r["t"])
+        for r in sorted(named, key=lambda r: (r["probe_name"], r["t"])) if r["probe_name"] in catalog]
+
+
 def collector_cycle(
     snapshots: Snapshots, catalog: Mapping[str, Probe], schedule: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Samples and evidence of every scheduled probe, as two lazy frames.
 
-    Written with one job each, so a failing probe leaves nothing half recorded.
+    A target whose schedule carries a ``query_template`` runs that instead of the probe's own query. All probes are decoded
+    and united before one join with the schedule.
     """
     samples, proofs = [], []
-    for probe in catalog.values():
-        rows = _scheduled(binary_to_text(probe.rows(snapshots)), schedule, probe.name)
-        samples.append(decode(rows, probe))
+    for probe, template in _variants(catalog, schedule):
+        rows = binary_to_text(probe.rows(snapshots))
+        mark = {"_probe": F.lit(probe.name), "_template": F.lit(template)}
+        samples.append(decode(rows, probe).withColumns(mark))
         proof = evidence(rows, probe)
         if proof is not None:
-            proofs.append(proof)
-    return union(samples), union(proofs)
+            proofs.append(proof.withColumns(mark))
+    return tuple(_chosen(union(frames), schedule) for frames in (samples, proofs))
+
+
+def _chosen(rows: DataFrame, schedule: DataFrame | None) -> DataFrame:
+    if schedule is not None:
+        template = F.coalesce(F.trim("query_template"), F.lit("")) if "query_template" in schedule.columns else F.lit("")
+        wanted = schedule.select(
+            F.col("environment_slug").alias("environment"), F.col("target_name").alias("target"),
+            F.col("probe_name").alias("_probe"), template.alias("_template"))
+        rows = rows.join(wanted, ["environment", "target", "_probe", "_template"], "left_semi")
+    return rows.select(*[c for c in rows.columns if c not in ("_probe", "_template")])
 
 
 def unknown_probes(schedule: DataFrame, catalog: Mapping[str, Probe]) -> DataFrame:

@@ -265,6 +265,8 @@ ORACLE: dict[str, str] = {
     "probe_evidence": _with(*_SNAPSHOTS, _FLEET) + " UNION ALL ".join(
         f"SELECT environment, target, '{k}' AS kind, '{k} snapshot for ' || target AS title, CAST(count(*) AS VARCHAR) AS n_rows FROM ({_cycle((k,))}) GROUP BY environment, target"
         for k in ("blocking", "sessions")),
+    "probe_schedule_override": _with(*_SNAPSHOTS, _FLEET) + f"""SELECT metric, labels, ord, value FROM ({_cycle(tuple(_PROBES))})
+        WHERE NOT (metric = 'sqlserver_sessions' AND target IN ('db0', 'db2') AND labels LIKE '%status=building%')""",
     "probe_override": _with(*_SNAPSHOTS) + f"SELECT metric, labels, ord, value FROM ({_PROBES['sessions']}) WHERE labels NOT LIKE '%status=building%'",
     "scheduled_probes": _SCHEDULED,
     "inventory_flatten": _with(*_TARGETS) + """, probes AS (
@@ -427,6 +429,7 @@ ORACLE: dict[str, str] = {
         round(quantile_cont(l_extendedprice / 100, 0.5), 6) AS p50_ms, round(quantile_cont(l_extendedprice / 100, 0.95), 6) AS p95_ms FROM lineitem GROUP BY l_suppkey % 10""",
     "stream_counts": _ACCEPTED + """SELECT timestamp_us - timestamp_us % 3600000000 AS window_start_us, environment, severity, count(*) AS n_events FROM accepted
         WHERE make_timestamp(timestamp_us) >= ts - INTERVAL 168 HOUR GROUP BY ALL""",
-    "stream_alert_hold": _with(*_ALERTS) + "SELECT job, instance, environment, started_s FROM fired",
+    "stream_alert_hold": _with(*_ALERTS) + """SELECT job, instance, environment, 'firing' AS kind, started_s, started_s AS at_s FROM fired
+        UNION ALL SELECT job, instance, environment, 'resolved', started_s, resolved_s FROM fired WHERE resolved_s > 0""",
 }
 ORACLE.update({twin: ORACLE[name] for twin, name in _STREAM_SAME.items()})

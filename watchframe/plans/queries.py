@@ -163,6 +163,15 @@ def _fleet_schedule(f: Fixtures) -> DataFrame:
         FROM $customer) s WHERE NOT (target_name = 'db4' AND probe_name IN ('waits', 'storage')) AND NOT (target_name = 'db1' AND probe_name = 'sessions')""")
 
 
+@query
+def probe_schedule_override(f):
+    """A cycle in which some targets run a query of their own."""
+    sql = "SELECT environment, target, ts, status, count(*) AS session_count FROM sys.dm_exec_sessions WHERE status <> 'building' GROUP BY ALL"
+    chosen = F.when((F.col("probe_name") == "sessions") & (F.col("target_name").isin("db0", "db2")), F.lit(sql))
+    schedule = _fleet_schedule(f).withColumn("query_template", chosen)
+    return sample_rows(probes.collector_cycle(f.snapshots(), probes.default_catalog(), schedule)[0])
+
+
 @query
 def probe_override(f):
     sql = "SELECT environment, target, ts, status, count(*) AS session_count FROM sys.dm_exec_sessions WHERE status <> 'building' GROUP BY ALL"
@@ -751,7 +760,7 @@ def stream_alert_hold(f):
     truth = rules.matches(F.col("job"), JOBS) & (F.col("value") == 0)
     evaluations = _up(f).select(*UP_SERIES, "step", F.timestamp_seconds("step").alias("at"), truth.alias("is_true"))
     held = replay.alert_hold(f, evaluations, UP_SERIES)
-    return held.filter("kind = 'firing'").select(*UP_SERIES, "started_s")
+    return held.filter(f"kind = 'firing' OR at_s <= {END}").select(*UP_SERIES, "kind", "started_s", "at_s")
 
 
 @query

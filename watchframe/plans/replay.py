@@ -1,4 +1,4 @@
-"""Streaming jobs run once over the files of a data folder, for the registered queries."""
+"""Streaming jobs over slices of the given tables, out of order and one a batch, for the registered queries."""
 
 from __future__ import annotations
 
@@ -14,6 +14,22 @@ from watchframe.session import work_dir
 from watchframe.streaming import jobs
 
 
+SLICES = 10
+
+
+def stream_slices(rows: DataFrame, ts: str, path: str, slices: int = SLICES) -> DataFrame:
+    """Rows written as one file per span of time and streamed back one file a batch, each pair of spans in reverse."""
+    low, high = rows.agg(F.unix_micros(F.min(ts)), F.unix_micros(F.max(ts))).first()
+    place = F.floor((F.unix_micros(ts) - low) / F.lit(max(1, high - low + 1)) * slices)
+    for i in range(slices):
+        rows.filter(place == (i ^ 1 if i ^ 1 < slices else i)).coalesce(1).write.mode("append").parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def stream_events(f: Fixtures) -> DataFrame:
+    return stream_slices(f.table("events"), "ts", work_dir(f.spark, "slices"))
+
+
 def stream_table(f: Fixtures, name: str) -> DataFrame:
     """A given table as a file stream."""
     schema = f.spark.read.parquet(f"{f.sf_dir}/{name}.parquet").schema
@@ -24,7 +40,7 @@ def stream_table(f: Fixtures, name: str) -> DataFrame:
 
 
 def raw_stream(f: Fixtures) -> DataFrame:
-    return f.sql(recipes.RAW_EVENTS, events=stream_table(f, "events")).withColumnRenamed("ts", "ingest_ts")
+    return f.sql(recipes.RAW_EVENTS, events=stream_events(f)).withColumnRenamed("ts", "ingest_ts")
 
 
 def normalized(f: Fixtures) -> tuple[DataFrame, DataFrame]:
@@ -36,7 +52,7 @@ def normalized(f: Fixtures) -> tuple[DataFrame, DataFrame]:
 
 def latest(f: Fixtures) -> DataFrame:
     root = work_dir(f.spark, "latest")
-    q = jobs.latest_to_table(f.samples(stream_table(f, "events")), f"{root}/table", f"{root}/checkpoint")
+    q = jobs.latest_to_table(f.samples(stream_events(f)), f"{root}/table", f"{root}/checkpoint")
     q.awaitTermination()
     return jobs.read_latest(f.spark.read.parquet(f"{root}/table/version={q.lastProgress['batchId']}"))
 
@@ -50,22 +66,25 @@ def counts(f: Fixtures) -> DataFrame:
 
 
 def alert_hold(f: Fixtures, evaluations: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``evaluations`` are written once, then streamed back from their files."""
+    """``evaluations`` arrive in six spans of time; a row far ahead then lets the watermark pass them all."""
     root = work_dir(f.spark, "hold")
-    evaluations.write.parquet(f"{root}/in")
-    stream = f.spark.readStream.schema(evaluations.schema).parquet(f"{root}/in")
-    held = jobs.hold_alerts(stream, keys)
+    stream = stream_slices(evaluations, "at", f"{root}/in", 6)
+    ahead = F.col("at") + F.expr("INTERVAL 3 DAYS")
+    beyond = evaluations.orderBy(F.col("at").desc()).limit(1).withColumns({
+        "at": ahead, "step": F.unix_seconds(ahead), "is_true": F.lit(False), keys[0]: F.lit("beyond")})
+    beyond.select(evaluations.columns).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    held = jobs.hold_alerts(stream, keys, silence="3 hours")
     jobs.write_parquet(held, f"{root}/out", f"{root}/checkpoint").awaitTermination()
     return f.spark.read.parquet(f"{root}/out")
 
 
 def alert_dedup(f: Fixtures) -> DataFrame:
-    """Events as deliveries of one alert per user and day, each delivered many times."""
+    """Events as deliveries of one alert per user and day, each delivered many times, some days late."""
     root = work_dir(f.spark, "dedup")
-    deliveries = stream_table(f, "events").select(
+    deliveries = stream_events(f).select(
         F.col("user_id").alias("fingerprint"), F.date_trunc("day", "ts").alias("started_at"))
-    jobs.write_parquet(jobs.drop_repeated_alerts(deliveries), f"{root}/out", f"{root}/checkpoint").awaitTermination()
-    return f.spark.read.parquet(f"{root}/out")
+    jobs.dedup_to_table(deliveries, f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    return f.spark.read.parquet(f"{root}/table")
 
 
 def poll(f: Fixtures, schedule: DataFrame) -> DataFrame:
@@ -73,4 +92,4 @@ def poll(f: Fixtures, schedule: DataFrame) -> DataFrame:
     root = work_dir(f.spark, "poll")
     scrapes = stream_table(f, "customer").select(F.expr(recipes.SCRAPE).alias("ts"))
     jobs.poll_probes(scrapes, f.snapshots(), default_catalog(), root, f"{root}/checkpoint", schedule, None).awaitTermination()
-    return f.spark.read.parquet(f"{root}/samples")
+    return f.spark.read.parquet(f"{root}/samples").drop("batch", "run")

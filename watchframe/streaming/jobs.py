@@ -29,16 +29,38 @@ def poll_probes(
 ) -> StreamingQuery:
     """Run the collector cycle for every new scrape time in the stream ``scrapes`` (column ``ts``).
 
-    Samples and evidence go to ``root``. Any failing or unknown probe fails the batch, which stops the query.
+    Samples and evidence go to ``root``; a repeated batch overwrites both. A collector with an unknown or failing probe is
+    noted in ``root/failures`` and left out of the batch, the others go on. Without a schedule there is one collector, whose
+    failure stops the query.
     """
+    def store(due: Mapping[str, DataFrame], plan: DataFrame | None, batch_id: int, name: str) -> None:
+        samples, evidence = probes.collector_cycle(due, catalog, plan)
+        samples.write.mode("overwrite").parquet(f"{root}/samples/batch={batch_id}/run={name}")
+        evidence.write.mode("overwrite").parquet(f"{root}/evidence/batch={batch_id}/run={name}")
+
     def cycle(batch: DataFrame, batch_id: int) -> None:
-        if schedule is not None and not probes.unknown_probes(schedule, catalog).isEmpty():
-            raise ValueError("a scheduled probe is not in the catalog")
-        times = batch.select("ts").distinct()
-        due = {n: df.join(times, "ts", "left_semi") if "ts" in df.columns else df for n, df in snapshots.items()}
-        samples, evidence = probes.collector_cycle(due, catalog, schedule)
-        samples.write.mode("overwrite").parquet(f"{root}/samples/batch={batch_id}")
-        evidence.write.mode("overwrite").parquet(f"{root}/evidence/batch={batch_id}")
+        times = batch.select("ts").distinct().persist()  # each probe reads them, the stream is read once
+        try:
+            due = {n: df.join(times, "ts", "left_semi") if "ts" in df.columns else df for n, df in snapshots.items()}
+            if schedule is None:
+                store(due, None, batch_id, "all")
+                return
+            failures = [(r["collector_id"], "unknown probe " + r["probe_name"]) for r in
+                        probes.unknown_probes(schedule, catalog).groupBy("collector_id").agg(F.min("probe_name").alias("probe_name")).collect()]
+            sound = schedule.filter(~F.col("collector_id").isin([c for c, _ in failures])) if failures else schedule
+            try:
+                store(due, sound, batch_id, "all")
+            except Exception:  # some collector fails: run each by itself
+                for i, row in enumerate(sound.select("collector_id").distinct().orderBy("collector_id").collect()):
+                    try:
+                        store(due, sound.filter(F.col("collector_id") == row["collector_id"]), batch_id, "all" if i == 0 else str(i))
+                    except Exception as error:
+                        failures.append((row["collector_id"], str(error)[:500]))
+            if failures:
+                notes = batch.sparkSession.createDataFrame(failures, "collector_id string, reason string")
+                notes.write.mode("overwrite").parquet(f"{root}/failures/batch={batch_id}")
+        finally:
+            times.unpersist()
 
     return _start(scrapes.writeStream.foreachBatch(cycle), checkpoint, interval)
 
@@ -116,18 +138,21 @@ def hold_alerts(
 ) -> DataFrame:
     """Stateful alert hold over rows ``keys``, ``step`` (epoch seconds), ``at`` (its timestamp), ``is_true``.
 
-    Emits ``firing`` once a run has held, and ``resolved`` when it ends. State per series is four
-    numbers; rows of one batch are reduced to runs before they are walked. A series without a row
-    for ``silence`` longer than the others resolves. Rows older than the last one seen for their
-    series are dropped.
+    Emits ``firing`` once a run has held, and ``resolved`` when it ends. Rows wait until the watermark, ``silence`` behind the
+    newest row, has passed them and are then taken in order, so they may come late by as much, in any batch. A step without a
+    row by then ends a run. State per series is the run and the rows that wait, at most one per step of ``silence``.
     """
     names = list(keys)
     types = {f.name: f.dataType.simpleString() for f in evaluations.schema.fields}
     output = ", ".join(f"`{k}` {types[k]}" for k in names) + ", kind string, started_s bigint, at_s bigint"
 
     def walk(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, last, fired, seen = state.get if state.exists else (-1, -1, False, -1)
-        out: list[tuple] = []
+        start, last, fired, done, steps, truths = state.get if state.exists else (-1, -1, False, -1, [], [])
+        waiting, out = dict(zip(steps, truths)), []
+        if not state.hasTimedOut:
+            for frame in frames:
+                waiting.update((int(s), bool(t)) for s, t in zip(frame["step"], frame["is_true"]) if s > done)
+        passed = state.getCurrentWatermarkMs() // 1000
 
         def close() -> None:
             nonlocal start, last, fired
@@ -135,38 +160,46 @@ def hold_alerts(
                 out.append((*key, "resolved", start + hold_s, last + step_s))
             start, last, fired = -1, -1, False
 
-        if state.hasTimedOut:
+        for step in sorted(s for s in waiting if s <= passed):
+            truth, done = waiting.pop(step), step
+            if not truth or (start >= 0 and step - last > step_s):
+                close()
+            if truth:
+                start, last = (step if start < 0 else start), step
+                if not fired and last - start >= hold_s:
+                    fired = True
+                    out.append((*key, "firing", start + hold_s, start + hold_s))
+        if start >= 0 and passed > last + step_s:
             close()
-        else:
-            rows = pd.concat(frames, ignore_index=True)
-            rows = rows[rows["step"] > seen].sort_values("step", ignore_index=True)
-            if len(rows):
-                seen = int(rows["step"].iloc[-1])
-                # a new run begins where the truth changes or a step is missing
-                breaks = (rows["is_true"] != rows["is_true"].shift()) | (rows["step"].diff() > step_s)
-                runs = rows.groupby(breaks.cumsum())["step"].agg(["min", "max"]).assign(
-                    is_true=rows["is_true"][breaks].to_numpy())
-                for run in runs.itertuples():
-                    if not run.is_true or (start >= 0 and run.min - last > step_s):
-                        close()
-                    if run.is_true:
-                        start, last = (int(run.min) if start < 0 else start), int(run.max)
-                        if not fired and last - start >= hold_s:
-                            fired = True
-                            out.append((*key, "firing", start + hold_s, start + hold_s))
-        state.update((start, last, fired, seen))
-        if start >= 0:
-            due = (last + step_s) * 1000 + 1
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        steps = sorted(waiting)
+        state.update((start, last, fired, done, steps, [waiting[s] for s in steps]))
+        due = min([*steps[:1], *([last + step_s + 1] if start >= 0 else [])], default=None)
+        if due is not None:
+            state.setTimeoutTimestamp(max(due * 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[*names, "kind", "started_s", "at_s"])
 
+    memory = "start bigint, last bigint, fired boolean, done bigint, steps array<bigint>, truths array<boolean>"
     return evaluations.withWatermark("at", silence).groupBy(*names).applyInPandasWithState(
-        walk, output, "start bigint, last bigint, fired boolean, seen bigint", "append", GroupStateTimeout.EventTimeTimeout)
+        walk, output, memory, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def dedup_to_table(events: DataFrame, root: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Store each alert event, by fingerprint and start, once in ``root``, however late or often it is delivered.
 
+    The table is partitioned by the day an alert started, and a batch is compared with its own days only.
+    """
+    keys = ["fingerprint", "started_at"]
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.withColumn("day", F.to_date("started_at")).dropDuplicates(keys)
+        if batch_id > 0:
+            stored = spark.read.parquet(root).filter(F.col("batch") < batch_id)  # a repeated batch does not meet itself
+            days = fresh.select("day").distinct()
+            fresh = fresh.join(stored.join(days, "day", "left_semi").select(*keys), keys, "left_anti")
+        fresh.write.mode("overwrite").partitionBy("day").parquet(f"{root}/batch={batch_id}")
 
-def drop_repeated_alerts(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Alert events delivered more than once within the delay, once each."""
-    return events.withWatermark("started_at", delay).dropDuplicatesWithinWatermark(["fingerprint", "started_at"])
+    return _start(events.writeStream.foreachBatch(merge), checkpoint, interval)
 
 
 def write_parquet(rows: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
