@@ -4,8 +4,8 @@ Words, that is runs of word marks with what follows them, are encoded together:
 Each round looks up the rank of every adjacent pair, takes the segmented minimum per word, merges the leftmost
 non-overlapping occurrences of that pair in all words at once and compacts the arrays, until no word holds a pair of the
 vocabulary. The library merges one pair at a time, best score first and leftmost among equals. Merging several at once
-differs from that only if a merge makes a pair of the same or a better rank; a word where this happens repeats the round
-with its leftmost merge alone, so the ids are always the library's. Characters outside the vocabulary become byte pieces.
+differs from that only if a merge makes a pair of the same or a better rank with a neighbour, merged or not yet; a word
+where this happens repeats the round with its leftmost merge alone, so the ids are always the library's. Characters outside the vocabulary become byte pieces.
 
 Defined results: a null text is an empty one and has no ids. Text of any length is encoded whole. Repeated rows give
 repeated results; further columns are ignored.
@@ -158,6 +158,12 @@ class PieceEncoder:
             last[starts + shorter - 1] = True
             best = np.minimum.reduceat(self.pairs(new_symbols, last)[0], starts)
             unsafe = (merges > 1) & (best <= least)
+            # what the left one of two merges side by side makes may also pair with the untouched right one
+            beside = chosen[:-1][(chosen[1:] == chosen[:-1] + 2) & (word[chosen[1:]] == word[chosen[:-1]])]
+            together = np.stack([new[beside], symbols[beside + 2]], axis=1).ravel()
+            ends = np.arange(len(together)) % 2 == 1
+            tempting = beside[self.pairs(together, ends)[0][::2] <= least[word[beside]]] if len(beside) else beside
+            unsafe[word[tempting]] = True
             if not unsafe.any():
                 break
             first = np.concatenate(([True], np.diff(word[chosen]) != 0))
