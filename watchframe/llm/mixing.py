@@ -84,7 +84,8 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 def mix(docs: DataFrame, folder: str, levels: dict[str, Column], total: int | None = None, weights: DataFrame | None = None,
         most_epochs: int = 2, seed: int = 17, id_column: str = "doc_id", text_column: str = "text", tokens: Column | None = None) -> DataFrame:
-    """One row per document that is taken: all its columns and ``copies``, ``mix_tokens``, ``mix_budget`` of its leaf.
+    """One row per document that is taken: its columns and ``copies``, ``mix_tokens``, ``mix_budget`` of its leaf, which take
+    the place of columns of these names.
 
     ``levels`` names the tree's levels from the root with the column that gives each. ``folder`` is shared and new; the
     lengths of documents and the tables of leaves are kept there. Texts are not shuffled: the limits of leaves, whose stored
@@ -116,7 +117,7 @@ def mix(docs: DataFrame, folder: str, levels: dict[str, Column], total: int | No
             .where(F.col("upto") >= F.col("part"))
             .groupBy(*names).agg(F.min("at").alias("end_at")))
     limits = stored(plan.join(last, names, "left").select(*names, "given", "whole", "part", "end_at"), folder, "limits")
-    own = list(docs.columns)
+    own = [c for c in docs.columns if c not in ("copies", "mix_tokens", "mix_budget")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(id_column).alias("__id"), count.cast("long").alias("n"), *leaf)
     copies = F.col("whole") + F.when((F.col("part") > 0) & (place(seed, F.col("whole"), F.col("__id")) <= F.col("end_at")), 1).otherwise(0)
     taken = rows.join(limits, names).withColumn("copies", copies.cast("long")).where(F.col("copies") > 0)

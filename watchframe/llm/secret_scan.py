@@ -211,16 +211,16 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, id_column: str
     if wanted:
         possible = candidates(postings(docs.select(F.col(id_column), F.col(text_column).alias("text")), wanted, id_column), forced, id_column)
         possible = possible.withColumnRenamed(id_column, "__id")
-        rows = rows.join(possible, F.col(id_column).eqNullSafe(F.col("__id")), "left").drop("__id")
+        rows = rows.join(possible.withColumnRenamed("rules", "__rules"), F.col(id_column).eqNullSafe(F.col("__id")), "left").drop("__id")
     else:
-        rows = rows.withColumn("rules", F.lit(None).cast("array<string>"))
+        rows = rows.withColumn("__rules", F.lit(None).cast("array<string>"))
     text, none = F.col("__text"), F.array().cast("array<struct<start:int,end:int,kind:string,rule:int>>")
 
     def of_rule(number: int, rule: Rule) -> Column:
         named = F.transform(spans(text, rule), lambda s: F.struct(s["start"], s["end"], F.lit(rule.kind).alias("kind"), F.lit(number).alias("rule")))
         if rule.kind not in forced:
             return named
-        return F.when(F.array_contains("rules", rule.kind), named).otherwise(none)
+        return F.when(F.array_contains("__rules", rule.kind), named).otherwise(none)
 
     found = F.array_sort(F.concat(*[of_rule(i, rule) for i, rule in enumerate(rules)]),
                          lambda a, b: F.coalesce(F.nullif(F.signum(a["start"] - b["start"]), F.lit(0.0)), F.signum(a["rule"] - b["rule"])).cast("int"))
