@@ -17,12 +17,12 @@ def document(**over):
         "notification_channels": [{"id": "hook", "channel_type": "webhook", "target_ref": "t", "credential_ref": "env/T"}],
         "credential_refs": {"one": "env/ONE"},
         "collectors": [
-            {"id": "sql-prod", "kind": "sqlserver", "enabled": True, "credential_ref": "kv/sql-prod", "config": {
-                "environment": "prod", "scrape_interval": "30s", "target_names": ["core-db"], "probes": [{"name": "waits"}, {"name": "sessions"}],
-                "targets": [{"name": "core-db", "host": "h", "port": 1433, "credential_ref": "kv/core-db"},
+            {"id": "fleet-a", "kind": "sqlserver", "enabled": True, "credential_ref": "kv/fleet-a", "config": {
+                "environment": "prod", "scrape_interval": "30s", "target_names": ["orders-1"], "probes": [{"name": "waits"}, {"name": "sessions"}],
+                "targets": [{"name": "orders-1", "host": "h", "port": 1433, "credential_ref": "kv/orders-1"},
                             {"name": "spare", "host": "h", "port": 1433, "environment": " test ", "probes": [{"name": " "}, {"name": " storage "}]}]}},
             {"id": "sidecar", "kind": "otel", "enabled": True, "config": {}},
-            {"id": "sql-off", "kind": "sqlserver", "enabled": False, "credential_ref": "kv/off", "config": {"environment": "prod"}}]}
+            {"id": "fleet-b", "kind": "sqlserver", "enabled": False, "credential_ref": "kv/off", "config": {"environment": "prod"}}]}
     doc.update(over)
     return doc
 
@@ -36,12 +36,12 @@ def read(spark, tmp_path, doc):
 def test_enabled_collectors_and_inheritance(spark, tmp_path):
     resolved = inventory.resolve_collectors(inventory.collectors_of(read(spark, tmp_path, document())))
     on = inventory.enabled_collectors(resolved, "sqlserver").collect()
-    assert [(c.id, c.environment, c.interval_s) for c in on] == [("sql-prod", "prod", 30.0)]
+    assert [(c.id, c.environment, c.interval_s) for c in on] == [("fleet-a", "prod", 30.0)]
     core, spare = on[0].targets
-    assert (core.environment_slug, [p.name for p in core.probes], core.credential_ref) == ("prod", ["waits", "sessions"], "kv/core-db")
-    assert (spare.environment_slug, [p.name for p in spare.probes], spare.credential_ref) == ("test", ["storage"], "kv/sql-prod")
+    assert (core.environment_slug, [p.name for p in core.probes], core.credential_ref) == ("prod", ["waits", "sessions"], "kv/orders-1")
+    assert (spare.environment_slug, [p.name for p in spare.probes], spare.credential_ref) == ("test", ["storage"], "kv/fleet-a")
     plan = inventory.inventory_schedule(resolved, "sqlserver").orderBy("probe_name").collect()
-    assert [(r.target_name, r.probe_name, r.interval_seconds) for r in plan] == [("core-db", "sessions", 30), ("core-db", "waits", 30)]
+    assert [(r.target_name, r.probe_name, r.interval_seconds) for r in plan] == [("orders-1", "sessions", 30), ("orders-1", "waits", 30)]
     assert inventory.collector_violations(resolved).isEmpty()
 
 
@@ -69,11 +69,11 @@ def test_every_collector_rule(spark):
         collector(id="free", names=["ghost"])]
     found = inventory.collector_violations(inventory.resolve_collectors(spark.createDataFrame(rows, COLLECTORS))).collect()
     assert sorted((r.collector_id, r.entity, r.rule) for r in found) == sorted([
-        ("", "", "id required"), ("dup", "dup", "id must be unique"), ("k", "k", "kind required"), ("bad", "bad", "invalid scrape_interval"),
-        ("neg", "neg", "scrape_interval must be positive"), ("ref", "ref", "credential_ref must be a secret reference"),
-        ("t", "a", "target must be unique"), ("t", "", "target name required"), ("t", "h", "host required"),
-        ("t", "p", "port must be between 1 and 65535"), ("t", "r", "credential_ref must be a secret reference"),
-        ("t", "n", "timeout_ms cannot be negative"), ("t", "ghost", "unknown target")])
+        ("", "", "id_missing"), ("dup", "dup", "id_repeated"), ("k", "k", "kind_missing"), ("bad", "bad", "interval_unreadable"),
+        ("neg", "neg", "interval_not_positive"), ("ref", "ref", "credential_not_a_reference"),
+        ("t", "a", "name_repeated"), ("t", "", "name_missing"), ("t", "h", "host_missing"),
+        ("t", "p", "port_range"), ("t", "r", "credential_not_a_reference"),
+        ("t", "n", "timeout_negative"), ("t", "ghost", "name_unknown")])
 
 
 def test_document_rules(spark, tmp_path):
@@ -83,17 +83,17 @@ def test_document_rules(spark, tmp_path):
         {"id": "d", "channel_type": "c", "target_ref": "t", "credential_ref": "plain"}, {"id": "d", "channel_type": "c", "target_ref": "t"}])
     rules = sorted((r.entity, r.rule) for r in inventory.document_violations(read(spark, tmp_path, bad)).collect())
     assert rules == sorted([
-        ("", "grafana.base_url is required"), ("", "loki.base_url must be an absolute URL"), ("", "opentelemetry.endpoint must be an absolute URL"),
-        ("", "id required"), ("a", "channel_type and target_ref required"), ("d", "credential_ref must be a secret reference"), ("d", "id must be unique")])
+        ("", "url_missing:grafana"), ("", "url_not_absolute:loki"), ("", "url_not_absolute:opentelemetry"),
+        ("", "id_missing"), ("a", "channel_incomplete"), ("d", "credential_not_a_reference"), ("d", "id_repeated")])
 
 
 def test_redaction_leaves_the_input_alone(spark, tmp_path):
     doc = read(spark, tmp_path, document())
     resolved = inventory.resolve_collectors(inventory.collectors_of(doc))
     red = {r.id: r for r in inventory.redact_collectors(resolved).collect()}
-    assert red["sql-prod"].credential_ref == "kv/sql-prod:<redacted>" and red["sidecar"].credential_ref == ""
-    assert red["sql-prod"].targets[0].credential_ref == "kv/core-db:<redacted>"
-    assert resolved.filter("id = 'sql-prod'").first().credential_ref == "kv/sql-prod"
+    assert red["fleet-a"].credential_ref == "kv/fleet-a:<redacted>" and red["sidecar"].credential_ref == ""
+    assert red["fleet-a"].targets[0].credential_ref == "kv/orders-1:<redacted>"
+    assert resolved.filter("id = 'fleet-a'").first().credential_ref == "kv/fleet-a"
     masked = inventory.redact_document(doc).first()
     assert masked.credential_refs == {"one": "<redacted>"} and masked.notification_channels[0].credential_ref == "env/T:<redacted>"
     filled = inventory.with_template_maps(doc).first()

@@ -12,14 +12,14 @@ WAITS = probes.default_catalog()["waits"]
 
 
 def rows_frame(spark, ddl, *rows):
-    return spark.createDataFrame([("prod", "core-db", TS, *r) for r in rows], f"environment string, target string, ts timestamp, {ddl}")
+    return spark.createDataFrame([("prod", "orders-1", TS, *r) for r in rows], f"environment string, target string, ts timestamp, {ddl}")
 
 
 def test_decode_uses_declared_columns_only(spark):
-    df = rows_frame(spark, "wait_type string, wait_time_ms bigint, ignored_numeric int, ignored_label string", ("LCK_M_X", 42, 99, "x"))
+    df = rows_frame(spark, "wait_type string, wait_time_ms bigint, spare_number int, spare_text string", ("DISK_WAIT", 317, 8, "left out"))
     got = probes.decode(df, WAITS).collect()
     assert [(r.metric, r.value, r.labels) for r in got] == [
-        ("sqlserver_wait_time_ms", 42.0, {"environment": "prod", "target": "core-db", "wait_type": "LCK_M_X"})]
+        ("sqlserver_wait_time_ms", 317.0, {"environment": "prod", "target": "orders-1", "wait_type": "DISK_WAIT"})]
 
 
 @pytest.mark.parametrize("ddl,value,expected", [
@@ -35,7 +35,7 @@ def test_value_coercion(spark, ddl, value, expected):
 def test_missing_and_null_labels(spark):
     without = probes.decode(rows_frame(spark, "wait_time_ms int", (1,)), WAITS).first().labels
     null = probes.decode(rows_frame(spark, "wait_type string, wait_time_ms int", (None, 1)), WAITS).first().labels
-    assert without == {"environment": "prod", "target": "core-db"}
+    assert without == {"environment": "prod", "target": "orders-1"}
     assert null["wait_type"] == "<nil>"
 
 
@@ -79,7 +79,7 @@ def test_cycle_samples_and_evidence(spark):
         ("sessions", "sleeping", 0): 1, ("memory_kb", "total_server_memory_kb", 0): 9, ("throughput", "batch requests/SEC", 0): 4,
         ("database_file_size_mb", "main", 2): 2, ("database_file_size_mb", "main", 1): 1, ("database_file_size_mb", "<nil>", 1): 0.007813}
     assert sorted((r.kind, r.title, r.metadata["rows"]) for r in proofs.collect()) == [
-        ("blocking", "blocking snapshot for core-db", "2"), ("sessions", "sessions snapshot for core-db", "2")]
+        ("blocking", "blocking snapshot for orders-1", "2"), ("sessions", "sessions snapshot for orders-1", "2")]
 
 
 def test_no_rows_give_no_evidence(spark):
@@ -89,7 +89,7 @@ def test_no_rows_give_no_evidence(spark):
 
 
 def test_schedule_limits_the_cycle(spark):
-    schedule = spark.createDataFrame([("c", "prod", "core-db", "waits"), ("c", "prod", "other", "sessions"), ("c", "prod", "core-db", "cpu")],
+    schedule = spark.createDataFrame([("c", "prod", "orders-1", "waits"), ("c", "prod", "other", "sessions"), ("c", "prod", "orders-1", "cpu")],
                                      "collector_id string, environment_slug string, target_name string, probe_name string")
     samples, proofs = probes.collector_cycle(snapshots(spark), probes.default_catalog(), schedule)
     assert [r.metric for r in samples.collect()] == ["sqlserver_wait_time_ms"]
@@ -101,7 +101,7 @@ def test_template_override_and_new_probe(spark):
     sessions = probes.default_catalog("")["sessions"]
     assert probes.with_template(spark, sessions, "") is sessions
     own = probes.with_template(spark, sessions, "SELECT status, 7 AS session_count, '{x}' AS note FROM sys.dm_exec_sessions GROUP BY status")
-    rows = probes.run_for_target(own, snapshots(spark), "prod", "core-db")
+    rows = probes.run_for_target(own, snapshots(spark), "prod", "orders-1")
     assert sorted((r.labels["status"], r.value) for r in probes.decode(rows, own).collect()) == [("running", 7.0), ("sleeping", 7.0)]
     cpu = probes.Probe("cpu", "cpu", lambda s: s["dm_exec_sessions"], (probes.Metric("cpu", "", "session_id", ("status",)),))
     catalog = probes.register_probe(probes.default_catalog(), cpu)

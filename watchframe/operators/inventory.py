@@ -105,26 +105,26 @@ def _bad_ref(c: Column) -> Column:
 def collector_violations(resolved: DataFrame) -> DataFrame:
     """Every broken inventory rule: ``entity_kind``, ``collector_id``, ``entity``, ``rule``."""
     collector_rules = _failed(
-        ("id required", F.col("id") == ""), ("kind required", F.col("kind") == ""),
-        ("invalid scrape_interval", F.col("interval_s").isNull()),
-        ("scrape_interval must be positive", F.col("interval_s") <= 0),
-        ("credential_ref must be a secret reference", _bad_ref(F.col("credential_ref"))))
+        ("id_missing", F.col("id") == ""), ("kind_missing", F.col("kind") == ""),
+        ("interval_unreadable", F.col("interval_s").isNull()),
+        ("interval_not_positive", F.col("interval_s") <= 0),
+        ("credential_not_a_reference", _bad_ref(F.col("credential_ref"))))
     broken_collectors = _report(resolved, "collector", "id", F.col("id"), collector_rules)
     repeated = resolved.groupBy("id").agg(F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("id") != ""))
-    repeated_ids = _report(repeated, "collector", "id", F.col("id"), F.array(F.lit("id must be unique")))
+    repeated_ids = _report(repeated, "collector", "id", F.col("id"), F.array(F.lit("id_repeated")))
     targets = resolved.select(F.col("id").alias("collector_id"), F.explode("targets").alias("t")).select("collector_id", "t.*")
     target_rules = _failed(
-        ("target name required", F.col("name") == ""), ("host required", F.col("host") == ""),
-        ("port must be between 1 and 65535", ~F.col("port").between(1, 65535)),
-        ("credential_ref must be a secret reference", _bad_ref(F.col("credential_ref"))),
-        ("timeout_ms cannot be negative", F.exists("probes", lambda p: p["timeout_ms"] < 0)))
+        ("name_missing", F.col("name") == ""), ("host_missing", F.col("host") == ""),
+        ("port_range", ~F.col("port").between(1, 65535)),
+        ("credential_not_a_reference", _bad_ref(F.col("credential_ref"))),
+        ("timeout_negative", F.exists("probes", lambda p: p["timeout_ms"] < 0)))
     broken_targets = _report(targets, "target", "collector_id", F.col("name"), target_rules)
     named = targets.filter("name <> ''").groupBy("collector_id", "name").agg(F.count("*").alias("n")).filter("n > 1")
-    repeated_targets = _report(named, "target", "collector_id", F.col("name"), F.array(F.lit("target must be unique")))
+    repeated_targets = _report(named, "target", "collector_id", F.col("name"), F.array(F.lit("name_repeated")))
     known = F.transform("targets", lambda t: t["name"])
     unknown = resolved.filter(F.size("targets") > 0).select(
         "id", F.explode(F.array_except("target_names", known)).alias("name"))
-    unknown_names = _report(unknown, "target_names", "id", F.col("name"), F.array(F.lit("unknown target")))
+    unknown_names = _report(unknown, "target_names", "id", F.col("name"), F.array(F.lit("name_unknown")))
     return union([broken_collectors, repeated_ids, broken_targets, repeated_targets, unknown_names])
 
 
@@ -134,19 +134,19 @@ def document_violations(document: DataFrame) -> DataFrame:
     for name, field, required in ENDPOINT_URLS:
         url = F.coalesce(F.col(name)[field], F.lit(""))
         if required:
-            checks.append((f"{name}.{field} is required", url == ""))
-        checks.append((f"{name}.{field} must be an absolute URL", (url != "") & ~is_absolute_url(url)))
+            checks.append((f"url_missing:{name}", url == ""))
+        checks.append((f"url_not_absolute:{name}", (url != "") & ~is_absolute_url(url)))
     none = document.withColumn("none", F.lit(""))
     endpoints = _report(none, "endpoint", "none", F.lit(""), _failed(*checks))
     raw = document.select(F.inline("notification_channels"))
     channels = raw.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("id", "channel_type", "target_ref", "credential_ref")])
     rules = _failed(
-        ("id required", F.col("id") == ""),
-        ("channel_type and target_ref required", (F.col("channel_type") == "") | (F.col("target_ref") == "")),
-        ("credential_ref must be a secret reference", _bad_ref(F.col("credential_ref"))))
+        ("id_missing", F.col("id") == ""),
+        ("channel_incomplete", (F.col("channel_type") == "") | (F.col("target_ref") == "")),
+        ("credential_not_a_reference", _bad_ref(F.col("credential_ref"))))
     broken = _report(channels.withColumn("none", F.lit("")), "channel", "none", F.col("id"), rules)
     twice = channels.filter("id <> ''").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").withColumn("none", F.lit(""))
-    repeated = _report(twice, "channel", "none", F.col("id"), F.array(F.lit("id must be unique")))
+    repeated = _report(twice, "channel", "none", F.col("id"), F.array(F.lit("id_repeated")))
     return union([endpoints, broken, repeated])
 
 

@@ -32,6 +32,7 @@ def scheduled_probes(
         F.col("id").alias("target_id"), "environment_id", F.col("name").alias("target_name"), "engine", "host", "port",
         F.coalesce("database_name", F.lit("")).alias("database_name"), "credential_ref")
     joined = a.join(t.join(e, "environment_id"), "target_id").join(d, "probe_definition_id")
+    # The columns of a schedule.
     return joined.select(
         F.lit(collector_id).alias("collector_id"), "target_id", "environment_slug", "target_name", "engine", "host",
         "port", "database_name", "credential_ref", "probe_assignment_id", "probe_definition_id", "probe_name",

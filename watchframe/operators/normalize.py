@@ -34,6 +34,7 @@ OPTIONAL_FIELDS = ("component", "platform", "user_id", "session_id", "request_id
 ENVELOPE = ("timestamp", "environment", "application", "component", "platform", "severity", "message",
             "user_id", "session_id", "request_id", "client_ip", "labels")
 
+# Texts of the reasons an event is rejected.
 REJECT_PARSE = "parse application event"
 REJECT_TIMESTAMP = "timestamp must be RFC3339"
 REJECT_REQUIRED = "environment, application, and message are required"

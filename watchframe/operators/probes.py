@@ -87,16 +87,16 @@ def default_catalog(prefix: str = "sqlserver_") -> dict[str, Probe]:
         return (Metric(prefix + name, text, value, labels),)
 
     probes = (
-        Probe("waits", "waits", _waits, metric("wait_time_ms", "Cumulative wait time by wait type.", "wait_time_ms", "wait_type")),
+        Probe("waits", "waits", _waits, metric("wait_time_ms", "Milliseconds waited so far, for each kind of wait.", "wait_time_ms", "wait_type")),
         Probe("blocking", "blocking", _blocking,
-              metric("blocked_requests", "Blocked requests by blocking session.", "blocked_count", "blocking_session_id")),
-        Probe("sessions", "sessions", _sessions, metric("sessions", "Sessions by status.", "session_count", "status")),
+              metric("blocked_requests", "How many requests each session holds up.", "blocked_count", "blocking_session_id")),
+        Probe("sessions", "sessions", _sessions, metric("sessions", "Open sessions in each state.", "session_count", "status")),
         Probe("memory_pressure", "memory_pressure", _memory_pressure,
-              metric("memory_kb", "Server memory counter in KB.", "cntr_value", "metric")),
+              metric("memory_kb", "Memory the server holds, in KB.", "cntr_value", "metric")),
         Probe("storage", "storage", _storage,
-              metric("database_file_size_mb", "Database file size in MB.", "size_mb", "database_name"), "file_id"),
+              metric("database_file_size_mb", "Size of each file of a database, in MB.", "size_mb", "database_name"), "file_id"),
         Probe("throughput", "throughput", _throughput,
-              metric("throughput", "Throughput counter value.", "cntr_value", "counter_name")),
+              metric("throughput", "Running count of batches or transactions.", "cntr_value", "counter_name")),
     )
     return {p.name: p for p in probes}
 

@@ -280,16 +280,16 @@ ORACLE: dict[str, str] = {
     "inventory_enabled": _with(*_TARGETS) + """SELECT id, c_environment AS environment, coalesce(interval_s, -1) AS interval_s, count(*) AS n_targets
         FROM resolved WHERE enabled AND kind = 'sqlserver' GROUP BY ALL""",
     "inventory_violations": _with(*_TARGETS, ("cols", "SELECT DISTINCT id, c_credential, interval_s, chosen, c FROM resolved")) + f"""
-        SELECT 'collector' AS entity_kind, id AS collector_id, id AS entity, 'credential_ref must be a secret reference' AS rule FROM cols WHERE {_NOT_SECRET.format(c='c_credential')}
-        UNION ALL SELECT 'collector', id, id, 'invalid scrape_interval' FROM cols WHERE interval_s IS NULL
-        UNION ALL SELECT 'collector', id, id, 'scrape_interval must be positive' FROM cols WHERE interval_s <= 0
-        UNION ALL SELECT 'target', id, name, 'target name required' FROM resolved WHERE name = ''
-        UNION ALL SELECT 'target', id, name, 'host required' FROM resolved WHERE host = ''
-        UNION ALL SELECT 'target', id, name, 'port must be between 1 and 65535' FROM resolved WHERE port < 1 OR port > 65535
-        UNION ALL SELECT 'target', id, name, 'credential_ref must be a secret reference' FROM resolved WHERE {_NOT_SECRET.format(c='credential_ref')}
-        UNION ALL SELECT 'target', id, name, 'timeout_ms cannot be negative' FROM resolved WHERE own_probes AND own_timeout < 0
-        UNION ALL SELECT 'target', id, name, 'target must be unique' FROM resolved WHERE name <> '' GROUP BY id, name HAVING count(*) > 1
-        UNION ALL SELECT 'target_names', id, n, 'unknown target' FROM (SELECT id, unnest([chosen, 'tgt-ghost']) AS n FROM cols WHERE chosen IS NOT NULL)
+        SELECT 'collector' AS entity_kind, id AS collector_id, id AS entity, 'credential_not_a_reference' AS rule FROM cols WHERE {_NOT_SECRET.format(c='c_credential')}
+        UNION ALL SELECT 'collector', id, id, 'interval_unreadable' FROM cols WHERE interval_s IS NULL
+        UNION ALL SELECT 'collector', id, id, 'interval_not_positive' FROM cols WHERE interval_s <= 0
+        UNION ALL SELECT 'target', id, name, 'name_missing' FROM resolved WHERE name = ''
+        UNION ALL SELECT 'target', id, name, 'host_missing' FROM resolved WHERE host = ''
+        UNION ALL SELECT 'target', id, name, 'port_range' FROM resolved WHERE port < 1 OR port > 65535
+        UNION ALL SELECT 'target', id, name, 'credential_not_a_reference' FROM resolved WHERE {_NOT_SECRET.format(c='credential_ref')}
+        UNION ALL SELECT 'target', id, name, 'timeout_negative' FROM resolved WHERE own_probes AND own_timeout < 0
+        UNION ALL SELECT 'target', id, name, 'name_repeated' FROM resolved WHERE name <> '' GROUP BY id, name HAVING count(*) > 1
+        UNION ALL SELECT 'target_names', id, n, 'name_unknown' FROM (SELECT id, unnest([chosen, 'tgt-ghost']) AS n FROM cols WHERE chosen IS NOT NULL)
             ANTI JOIN resolved ON resolved.name = n""",
     "redacted_inventory": _with(*_TARGETS) + """SELECT id, CASE WHEN c_credential = '' THEN '' ELSE c_credential || ':<redacted>' END AS collector_ref, name AS target_name,
         CASE WHEN credential_ref = '' THEN '' ELSE credential_ref || ':<redacted>' END AS target_ref FROM resolved""",
