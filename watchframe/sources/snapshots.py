@@ -25,12 +25,3 @@ def read_snapshots(spark: SparkSession, root: str, names: Iterable[str] = SNAPSH
 def read_metadata(spark: SparkSession, root: str, names: Iterable[str] = tuple(METADATA_TABLES)) -> dict[str, DataFrame]:
     """Metadata tables under ``root``, read with their declared schema."""
     return {name: spark.read.schema(METADATA_TABLES[name]).parquet(f"{root}/{name}") for name in names}
-
-
-def live_probe_reader(spark: SparkSession, url: str, query: str, timeout_ms: int, **options: str):
-    """JDBC reader for one live probe query. The caller brings the driver on the class path."""
-    reader = spark.read.format("jdbc").option("url", url).option("query", query)
-    reader = reader.option("queryTimeout", max(1, -(-timeout_ms // 1000)))
-    for key, value in options.items():
-        reader = reader.option(key, value)
-    return reader
