@@ -74,10 +74,10 @@ def test_rate(spark, step, chunk):
         assert math.isclose(got[key].rate, value, rel_tol=1e-6, abs_tol=1e-9)
 
 
-def test_rate_shuffles_once(spark):
+def test_rate_shuffles_samples_once_and_their_cells_once(spark):
     df = rules.rate(frame(spark, make_samples(2)), ["s"])
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("Exchange hashpartitioning") == 2
 
 
 def runs_of(points, gap):
