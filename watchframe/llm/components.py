@@ -6,8 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def stored(df: DataFrame, path: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage is cut, and Spark knows its size from then on."""
+ROWS_PER_TASK, LEAST_TASKS = 250_000, 8
+
+
+def stored(df: DataFrame, path: str, rows: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage is cut, and Spark knows its size from then on.
+
+    With ``rows``, a bound of the table's short rows, the number of tasks and files follows it, whatever the shuffle's is.
+    """
+    if rows is not None:
+        df = df.coalesce(max(LEAST_TASKS, -(-rows // ROWS_PER_TASK)))
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -26,14 +34,14 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         if mark == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        seen, turn = mark, turn + 1
+        seen, turn, size = mark, turn + 1, mark[0]
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{folder}/least-{turn}")
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{folder}/least-{turn}", 2 * size)
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, f"{folder}/large-{turn}")
-        below = stored(large.groupBy("u").agg(F.min("v").alias("m")), f"{folder}/below-{turn}")
+        large = stored(large, f"{folder}/large-{turn}", size)
+        below = stored(large.groupBy("u").agg(F.min("v").alias("m")), f"{folder}/below-{turn}", size)
         small = large.join(below, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.union(below.select("u", F.col("m").alias("v"))).distinct(), f"{folder}/edges-{turn}")
+        edges = stored(small.union(below.select("u", F.col("m").alias("v"))).distinct(), f"{folder}/edges-{turn}", size)
 
 
 class Forest:

@@ -193,7 +193,7 @@ def near_duplicates(vectors: DataFrame, folder: str, cosine: float = 0.95, targe
     if grid is None:  # fewer than two usable vectors in the sample, which is the whole table or holds nothing else
         grid = Grid(np.zeros((1, 1)), np.zeros((1, 1)), 4.0)
     assigned = stored(assign(entries, grid), f"{folder}/assigned")
-    sizes = stored(assigned.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")), f"{folder}/cells")
+    sizes = stored(assigned.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")), f"{folder}/cells", n_rows)
     listed = assigned.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("entry", F.lit(seed)), F.col("parts")).cast("int").alias("part"), "entry", "copies", "unit")
     visitors = spark.read.parquet(f"{folder}/assigned")  # read apart, so that the two sides of the grouping stay distinct
     queries = (visitors.select(F.explode("visits").alias("cell"), "entry", "unit").join(sizes, "cell")
@@ -204,8 +204,8 @@ def near_duplicates(vectors: DataFrame, folder: str, cosine: float = 0.95, targe
     usable = (assigned.select("entry", F.lit(True).alias("usable")).join(counts, F.col("entry") == F.col("a"), "left")
               .join(roots, F.col("entry") == F.col("node"), "left")
               .select("entry", "usable", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", "entry").alias("root")))
-    usable = stored(usable, f"{folder}/usable")
-    named = stored(entries.drop("embedding").join(usable, "entry").groupBy("root").agg(F.min("first_id").alias("component_id")), f"{folder}/named")
+    usable = stored(usable, f"{folder}/usable", n_rows)
+    named = stored(entries.drop("embedding").join(usable, "entry").groupBy("root").agg(F.min("first_id").alias("component_id")), f"{folder}/named", n_rows)
     of_entry = stored(entries.join(usable.join(named, "root"), "entry").select("embedding", F.col("n") + F.col("copies") - 1, "component_id")
                       .toDF("embedding", "n_links", "component_id"), f"{folder}/result")
     result = rows.join(of_entry, "embedding", "left").select(

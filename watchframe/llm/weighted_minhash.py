@@ -294,8 +294,8 @@ def near_duplicates(docs: DataFrame, folder: str, similarity: float = 0.8, idf_w
     members = vectors.select("key", F.posexplode("bands").alias("band", "bucket"))
     least = stored(members.groupBy("band", "bucket").agg(F.min("key").alias("b"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n"), f"{folder}/buckets")
     stars = members.join(least, ["band", "bucket"]).select(F.col("key").alias("a"), "b")
-    near = stored(components(stars, f"{folder}/candidates").select(F.col("node").alias("key"), F.col("root").alias("component")), f"{folder}/components")
-    sizes = stored(near.groupBy("component").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int")), f"{folder}/sizes")
+    near = stored(components(stars, f"{folder}/candidates").select(F.col("node").alias("key"), F.col("root").alias("component")), f"{folder}/components", n_texts)
+    sizes = stored(near.groupBy("component").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int")), f"{folder}/sizes", n_texts)
     # Verification within blocks.
     placed = near.join(sizes, "component").withColumn("home", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("blocks")).cast("int"))
     everywhere = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 20)) * F.col("size") < SHARED_TEXTS << 20)
@@ -306,11 +306,11 @@ def near_duplicates(docs: DataFrame, folder: str, similarity: float = 0.8, idf_w
     # What is outside the largest class of a component of several blocks meets all of its blocks.
     large = placed.where(F.col("blocks") > 1)
     if not sizes.where(F.col("blocks") > 1).isEmpty():
-        found = stored(components(links, f"{folder}/linked"), f"{folder}/classes")
+        found = stored(components(links, f"{folder}/linked"), f"{folder}/classes", n_texts)
         large = large.join(found, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("root", "key"))
-        large = stored(large.select("key", "component", "blocks", "home", "label"), f"{folder}/large")
+        large = stored(large.select("key", "component", "blocks", "home", "label"), f"{folder}/large", n_texts)
         main = large.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-        outside = large.join(stored(main, f"{folder}/main"), "component").where(F.col("label") != F.col("main"))
+        outside = large.join(stored(main, f"{folder}/main", n_texts), "component").where(F.col("label") != F.col("main"))
         visits = outside.select("key", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visitor"))
         visits = stored(visits, f"{folder}/visits")
         met = visits.select("component", "block").distinct()
@@ -318,11 +318,11 @@ def near_duplicates(docs: DataFrame, folder: str, similarity: float = 0.8, idf_w
         home = home.join(visits.select("key", "component", "block"), ["key", "component", "block"], "left_anti")
         more = link_blocks(home.unionByName(visits).join(payload, "key"), similarity)
         links = links.union(stored(more, f"{folder}/more-links"))
-    roots = stored(components(links, f"{folder}/final"), f"{folder}/roots")
+    roots = stored(components(links, f"{folder}/final"), f"{folder}/roots", n_texts)
     named = texts.join(roots, F.col("key") == F.col("node"), "left").select("key", "first_id", F.coalesce("root", "key").alias("root"))
-    named = stored(named, f"{folder}/named")
-    names = stored(named.groupBy("root").agg(F.min("first_id").alias("class_id")), f"{folder}/names")
-    classes = stored(named.join(names, "root").select("key", "class_id"), f"{folder}/result")
+    named = stored(named, f"{folder}/named", n_texts)
+    names = stored(named.groupBy("root").agg(F.min("first_id").alias("class_id")), f"{folder}/names", n_texts)
+    classes = stored(named.join(names, "root").select("key", "class_id"), f"{folder}/result", n_texts)
     result = ids.join(classes, "key").select(F.col("doc_id").alias(id_column), "class_id", F.col("key").alias("text_key"))
     return result.withColumn("kept", F.col(id_column).eqNullSafe(F.col("class_id")))
 
