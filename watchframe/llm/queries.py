@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchframe.llm import byte_pairs, langmask, mixing, multi_index, pieces, records, repetition, secret_scan, toxicity, weighted_minhash
+from watchframe.llm import alignment, byte_pairs, langmask, mixing, multi_index, packing, periods, pieces, records, repetition, secret_scan, toxicity, weighted_minhash
 from watchframe.llm.oracle import mix_sql
 from watchframe.llm.texts import held_out, table, tokenizer_path
 from watchframe.session import work_dir
@@ -75,7 +75,27 @@ def op10_language_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmask.identify(docs, filters).withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), work_dir(spark, "packing"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # A third step, so that the words of a document are made once and not anew for each of them.
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    docs = docs.withColumn("words", F.when(h % 10 == 0, words))
+    text = F.when(F.col("words").isNull(), F.col("text")).otherwise(F.array_join(periods.planted(F.col("doc_id"), F.col("words")), " "))
+    return periods.digests(periods.runs(docs, text=text))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    found = alignment.aligned_counts(table(spark, sf_dir, "documents"), work_dir(spark, "alignment"), *paths, digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_token_records, op2_secret_trigrams, op3_suffix_repetition, op4_multi_index, op5_token_counts, op6_sentencepiece, op7_source_mix, op8_weighted_minhash, op9_toxicity,
-    op10_language_masks)}
+    op10_language_masks, op11_best_fit_packing, op12_periodic_runs, op13_token_alignment)}
 ORACLE: dict[str, str] = {"op7_source_mix": mix_sql(MIX_WEIGHTS, MIX_SEED, MIX_EPOCHS)}
