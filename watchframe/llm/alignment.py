@@ -35,6 +35,7 @@ from watchframe.llm.components import stored
 from watchframe.llm.encoding import binary_offsets, grouped, id_encoder, strings
 from watchframe.llm.texts import whole_text
 
+GROUP_BYTES = 2_000_000  # of texts that are aligned together; an id, a range and two links of each token are held at a time
 SHIFT = 32  # an id pair is the B id, shifted, and the A id
 SEPARATORS = (",", "|", ";")
 
@@ -143,7 +144,7 @@ def alignments(docs: DataFrame, bytes_path: str, pieces_path: str, id_column: st
         both = aligner(bytes_path, pieces_path)
         for batch in batches:
             at = 0
-            for texts in grouped(batch.column(1)):
+            for texts in grouped(batch.column(1), GROUP_BYTES):
                 found, n = both.align(texts), len(texts)
                 coded = pa.array(found.b[found.link_b] << SHIFT | found.a[found.link_a]).dictionary_encode()
                 wide = len(coded.dictionary) > 1 << 16
