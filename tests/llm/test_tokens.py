@@ -6,10 +6,11 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from watchframe.llm import byte_pairs, pieces, records
+from watchframe.llm import byte_pairs, encoding, pieces, records
 from watchframe.llm.texts import fragments, tokenizer_path
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -105,19 +106,38 @@ def test_damage_is_found():
 
 @pytest.mark.parametrize("wide", [False, True])
 def test_records(spark, tmp_path, docs, library, wide):
-    docs = docs.where("doc_id <> 5")
+    docs = docs.union(spark.createDataFrame([(None, "no id", "en", 1, True), (None, None, None, None, None)], docs.schema))
     folder = str(tmp_path / "records")
     files = records.write(docs, folder, BYTES, files=3, wide=wide)
-    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in records.digests(records.read(files, folder, entries=1)).collect())
-    want, start = [], 0
-    for i, t in sorted(dict(DOCS).items()):
-        if i != 5:
-            ids = library.encode(t or "").ids + [2]
-            want.append((i, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
-            start += len(ids)
-    assert got == want
+    got = [tuple(r) for r in records.digests(records.read(files, folder, entries=1)).orderBy("start").collect()]
+    want = {}
+    for i, t in [*DOCS, (None, "no id"), (None, None)]:
+        ids = library.encode(t or "").ids + [2]
+        want.setdefault(i, []).append((len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+    assert [r[0] for r in got] == [1, 2, 3, 4, 5, 5, 6, None, None]
+    starts = np.cumsum([0] + [r[2] for r in got]).tolist()
+    assert [r[1] for r in got] == starts[:-1]
+    assert all(sorted(r[2:] for r in got if r[0] == i) == sorted(w) for i, w in want.items())
     mixed = records.read(files, folder, shuffle_seed=4).collect()
-    assert sorted((r.doc_id, r.start) for r in mixed) == [(i, s) for i, s, _, _ in want]
+    assert sorted(r.start for r in mixed) == starts[:-1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(ALPHABET, max_size=60) | st.text(max_size=30), max_size=5), st.booleans())
+def test_kept_fragments_give_the_librarys_ids(texts, plain_special):
+    encoder = encoding.id_encoder(BYTES, plain_special)
+    for _ in range(2):
+        got = [ids for _, part in encoder.encode(pa.array(texts, pa.string())) for ids in part.to_pylist()]
+        assert got == encoder._ids(texts)
+
+
+def test_generations_of_fragments_stay_bounded(monkeypatch):
+    monkeypatch.setattr(encoding, "KEPT_FRAGMENTS", 100)
+    encoder, rng = encoding.IdEncoder(BYTES), random.Random(3)
+    for _ in range(40):
+        texts = [" ".join("".join(rng.choices("abcdef", k=rng.choice([2, 5]))) + rng.choice(["", ".", ","]) for _ in range(30))]
+        assert encoder._encode(pa.array(texts)).to_pylist() == encoder._ids(texts)
+        assert len(encoder.old) <= 240 and len(encoder.young) <= 240
 
 
 def test_records_of_an_empty_table(spark, tmp_path, docs):

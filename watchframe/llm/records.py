@@ -2,8 +2,9 @@
 
 A data file is a row of frames: length of the payload (unsigned 64 bits), masked CRC-32C of those eight bytes, the payload,
 masked CRC-32C of the payload, all little endian. That is the public framing of TFRecord files. A payload is the document
-id (signed 64 bits) and the ids, unsigned 16 bits each if the vocabulary allows, else 32. Beside each data file lies an index
-of fixed-width entries: document id, offset and length of its frame, ids before it in the file. A reader can so fetch any
+id (signed 64 bits), a byte that is 0 where the id is null, and the ids, unsigned 16 bits each if the vocabulary allows, else
+32. Beside each data file lies an index of fixed-width entries: document id and that byte, offset and length of its frame, ids
+before it in the file. A reader can so fetch any
 frame in any order with one seek.
 
 Documents are dealt to files by ranges of their id and sorted within them, so the files in order hold ascending ids. A task
@@ -11,8 +12,8 @@ writes its file under a name of its own, then returns a row about it; only the n
 count, so a repeated or lost attempt leaves a stray file and nothing else. Files are opened through pyarrow's file systems,
 which know shared and remote stores.
 
-Defined results: a null text is an empty one and has the end id only. A null document id is refused, as a record needs its
-id. Repeated ids keep one record each, in no set order among them. An empty table gives no files and no rows.
+Defined results: a null text is an empty one and has the end id only. A null document id is kept; its records come last.
+Repeated ids keep one record each, in no set order among them. An empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -29,14 +30,16 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from watchframe.llm.texts import Cache, fragments, whole_text
+from watchframe.llm.encoding import binary_offsets, grouped, id_encoder
+from watchframe.llm.texts import whole_text
 
 POLYNOMIAL = 0x82F63B78  # CRC-32C, reflected; fixed value
 MASK_DELTA = 0xA282EAD8  # added by the masking; fixed value of the format
 BLOCK = 256  # bytes that one lane of the checksum takes
-ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("before", "<u8")])
-CACHED_FRAGMENTS = 500_000
+ENTRY = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("offset", "<u8"), ("length", "<u8"), ("before", "<u8")])
+HEAD = "<qB"  # what a payload begins with: the document id, 0 where it is null, and whether it is there
 WRITE_BYTES = 4_000_000
+FILE_BYTES = 512_000_000  # of input, for each file
 
 
 @lru_cache(maxsize=1)
@@ -138,42 +141,6 @@ def unframe(frames: list[bytes], check: bool = True) -> list[bytes]:
     return payloads
 
 
-class IdEncoder:
-    """Ids by the tokenizers library, of cached fragments where a text has only plain white space."""
-
-    def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known = Cache(CACHED_FRAGMENTS)
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(one.ids, "<u4").tobytes() for one in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [None if any(s in text for s in self.special) else fragments(text) for text in texts]
-        fresh, known = list(self.known.missing({word for one in cut if one for word in one})), self.known.entries
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at:at + 20_000]
-            known.update(zip(part, self._ids(part)))
-        whole = iter(self._ids([text for text, one in zip(texts, cut) if one is None]))
-        ids = [next(whole) if one is None else b"".join(map(known.__getitem__, one)) for one in cut]
-        self.known.forget(fresh)
-        return ids
-
-
-@lru_cache(maxsize=2)
-def id_encoder(path: str) -> IdEncoder:
-    return IdEncoder(path)
-
-
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
     if "://" not in folder and not folder.startswith("file:"):
         return fs.LocalFileSystem(), folder
@@ -184,69 +151,81 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = 2, files: int |
           text_column: str = "text", wide: bool = False) -> DataFrame:
     """Write the ids of every document, ``end_id`` after each; return the committed table of files.
 
-    ``folder`` must be shared by all executors. ``files`` is the number of ranges, by default that of shuffle partitions.
+    ``folder`` must be shared by all executors. ``files`` is the number of ranges, by default that of shuffle partitions, or one
+    for each ``FILE_BYTES`` of the input if that is more.
     The table has one row per file: ``name``, ``first_id``, ``last_id``, ``n_docs``, ``n_tokens``, ``n_bytes``, ``wide``.
     """
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.raise_error(F.lit("a record needs a document id"))).alias("doc_id"),
-                       whole_text(text_column).alias("text"))
+    files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-scan_bytes(docs) // FILE_BYTES))
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
     _open(folder)[0].create_dir(_open(folder)[1], recursive=True)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, name = id_encoder(path), uuid.uuid4().hex
         store, at = _open(folder)
-        end = struct.pack("<I", end_id)
+        end = np.array([end_id], "<u4" if wide else "<u2").tobytes()
         data = index = None
         first = last = None
         n_docs = n_tokens = n_bytes = 0
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            while texts:
-                take, size = 0, 0
-                while take < len(texts) and size < WRITE_BYTES:
-                    size += len(texts[take])
-                    take += 1
-                ids = [one + end for one in encoder.encode(texts[:take])]
-                payloads = [struct.pack("<q", d) + (one if wide else np.frombuffer(one, "<u4").astype("<u2").tobytes())
-                            for d, one in zip(doc_ids, ids)]
+            row = 0
+            for texts, ids in ((t, i) for part in grouped(batch.column(1), WRITE_BYTES) for t, i in encoder.encode(part)):
+                take = len(texts)
+                doc_ids = batch.column(0).slice(row, take)
+                row += take
+                ends = binary_offsets(ids) // 4
+                flat = np.frombuffer(ids.buffers()[2] or b"", "<u4")[:ends[-1]]
+                packed = memoryview(flat.astype("<u4" if wide else "<u2").tobytes())
+                cuts = (ends * (4 if wide else 2)).tolist()
+                there = np.logical_not(doc_ids.is_null().to_numpy(zero_copy_only=False))
+                known = doc_ids.fill_null(0).to_numpy()
+                payloads = [struct.pack(HEAD, d, t) + packed[a:b] + end for d, t, a, b in zip(known.tolist(), there.tolist(), cuts, cuts[1:])]
                 frames = frame(payloads)
                 entries = np.zeros(take, ENTRY)
-                entries["doc_id"] = doc_ids[:take]
+                entries["doc_id"], entries["has_id"] = known, there
                 entries["length"] = sizes = np.fromiter(map(len, frames), np.uint64, take)
                 entries["offset"] = n_bytes + np.cumsum(sizes) - sizes
-                counts = np.fromiter(map(len, ids), np.uint64, take) // np.uint64(4)
+                counts = (np.diff(ends) + 1).astype(np.uint64)
                 entries["before"] = n_tokens + np.cumsum(counts) - counts
                 if data is None:
                     data = store.open_output_stream(f"{at}/{name}.records")
                     index = store.open_output_stream(f"{at}/{name}.index")
-                    first = doc_ids[0]
+                    first = doc_ids[0].as_py()
                 data.write(b"".join(frames))
                 index.write(entries.tobytes())
-                last = doc_ids[take - 1]
+                last = doc_ids[take - 1].as_py()
                 n_docs, n_tokens, n_bytes = n_docs + take, n_tokens + int(counts.sum()), n_bytes + int(sizes.sum())
-                doc_ids, texts = doc_ids[take:], texts[take:]
         if data is not None:
             data.close()
             index.close()
             yield pa.RecordBatch.from_pylist([{"name": name, "first_id": first, "last_id": last, "n_docs": n_docs,
-                                               "n_tokens": n_tokens, "n_bytes": n_bytes, "wide": wide}])
+                                               "n_tokens": n_tokens, "n_bytes": n_bytes, "wide": wide}], SCHEMA)
 
     if not wide and vocabulary_size(path, end_id) > 1 << 16:
         raise ValueError("ids of this vocabulary need wide=True")
-    dealt = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+    order = F.col("doc_id").asc_nulls_last()
+    dealt = rows.repartitionByRange(files, order).sortWithinPartitions(order)
     schema = "name string, first_id long, last_id long, n_docs long, n_tokens long, n_bytes long, wide boolean"
     dealt.mapInArrow(save, schema).write.parquet(f"{folder}/files")
     return spark.read.parquet(f"{folder}/files")
 
 
+SCHEMA = pa.schema([("name", pa.string()), *((c, pa.int64()) for c in ("first_id", "last_id", "n_docs", "n_tokens", "n_bytes")), ("wide", pa.bool_())])
+
+
+def scan_bytes(docs: DataFrame) -> int:
+    """The planner's estimate of a table's bytes, 0 where it knows none; it only sets how much goes to a file."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 50 else 0
+
+
 def vocabulary_size(path: str, end_id: int) -> int:
     return max(id_encoder(path).library.get_vocab_size(with_added_tokens=True), end_id + 1)
 
 
 def starts(files: DataFrame) -> DataFrame:
     """The table of files with ``start``: the ids in the files before. One small row per file meets in one task."""
-    order = Window.orderBy("first_id", "last_id", "name").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy(F.col("first_id").asc_nulls_last(), F.col("last_id").asc_nulls_last(), "name").rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
 
 
@@ -264,7 +243,7 @@ def read(files: DataFrame, folder: str, entries: int = 2_000, check: bool = True
     dealt = runs.repartition(tasks, F.xxhash64(F.lit(shuffle_seed or 0), "name", "run"))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, at = _open(folder)
+        (store, at), head = _open(folder), struct.calcsize(HEAD)
         for batch in batches:
             for name, run, start, is_wide in zip(*(c.to_pylist() for c in batch.columns)):
                 with store.open_input_file(f"{at}/{name}.index") as index:
@@ -278,9 +257,9 @@ def read(files: DataFrame, folder: str, entries: int = 2_000, check: bool = True
                 if shuffle_seed is not None:
                     visit = np.random.default_rng([shuffle_seed, run, int(table["doc_id"][0]) & 0x7FFFFFFF]).permutation(len(table))
                 frames = [raw[a:a + n] for a, n in zip(base[visit].tolist(), table["length"][visit].tolist())]
-                ids = [p[8:] if is_wide else np.frombuffer(p, "<u2", offset=8).astype("<u4").tobytes() for p in unframe(frames, check)]
+                ids = [p[head:] if is_wide else np.frombuffer(p, "<u2", offset=head).astype("<u4").tobytes() for p in unframe(frames, check)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(table["doc_id"][visit]), pa.array((table["before"][visit] + np.uint64(start)).astype(np.int64)),
+                    pa.array(table["doc_id"][visit], mask=table["has_id"][visit] == 0), pa.array((table["before"][visit] + np.uint64(start)).astype(np.int64)),
                     pa.array(ids, pa.binary())], ["doc_id", "start", "ids"])
 
     return dealt.mapInArrow(load, "doc_id long, start long, ids binary")
