@@ -131,6 +131,65 @@ def test_vector_links(spark, tmp_path):
     assert multi_index.near_duplicates(frame.limit(0), str(tmp_path / "w")).count() == 0
 
 
+def all_pairs(rows):
+    """Links and component of each id by comparing all vectors of one length."""
+    ids = [i for i, _ in rows]
+    links, up = Counter(), {i: i for i in ids}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for k, (i, v) in enumerate(rows):
+        for j, w in rows[:k]:
+            if len(v) == len(w) and np.dot(v, w) >= 0.95 * np.linalg.norm(v) * np.linalg.norm(w):
+                links[i] += 1
+                links[j] += 1
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    return {i: (links[i], root(i), root(i) == i) for i in ids}
+
+
+def jittered(rng, base, n, scale):
+    return [base + rng.normal(scale=scale, size=len(base)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("case", ["one repeated vector", "one component", "several lengths", "dense cluster"])
+def test_vectors_of_any_length(spark, tmp_path, monkeypatch, case):
+    rng, largest = np.random.default_rng(4), []
+    vectors = {
+        "one repeated vector": [np.arange(1.0, 65.0)] * 50,
+        "one component": [np.array([x]) for x in (1.0, 2.0, -1.0, -3.0, 1.0, 0.5)],
+        "several lengths": [*rng.normal(size=(60, 8)), *[np.ones(5)] * 5, *[np.ones(3)] * 4, *jittered(rng, np.ones(12), 20, 0.1), np.ones(7)],
+        "dense cluster": [*jittered(rng, np.ones(16), 300, 0.05), *rng.normal(size=(200, 16))],
+    }[case]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    compare = multi_index.compare
+
+    def watched(queries, listed, cosine):
+        for side in (queries, listed):
+            largest.append(max(r["count"] for r in side.groupBy("dim", "cell", "part", "visitors").count().collect()))
+        return compare(queries, listed, cosine)
+
+    monkeypatch.setattr(multi_index, "compare", watched)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = multi_index.near_duplicates(frame, str(tmp_path / "v"), block=20, cell_rows=16).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in found} == all_pairs(rows)
+    assert max(largest) <= 45
+
+
+def test_links_count_for_both_ends(spark):
+    """A visitor that the listed vector does not visit in turn is counted there as well."""
+    unit = np.array([1.0, 0.0]).tobytes()
+    near = np.array([0.99, np.sqrt(1 - 0.99 ** 2)]).tobytes()
+    asked = spark.createDataFrame([(2, 4, 0, 0, 9, 1, 5, unit)], "dim int, cell int, part int, visitors int, home int, entry long, copies long, unit binary")
+    for visits, want in (([4], [(1, 3)]), ([4, 9], [(1, 3)])):
+        listed = spark.createDataFrame([(2, 4, 0, 0, 7, 3, visits, near)], "dim int, cell int, part int, visitors int, entry long, copies long, visits array<int>, unit binary")
+        got = sorted((r.a, r.n) for r in multi_index.compare(asked, listed, 0.95).collect() if r.b is None)
+        assert got == want + ([(7, 5)] if 9 not in visits else [])
+
+
 def test_cells_are_visited_nearest_first():
     rng = np.random.default_rng(3)
     grid = multi_index.Grid(rng.normal(size=(7, 4)), rng.normal(size=(5, 4)), margin=6.0)
@@ -192,6 +251,35 @@ def test_mixing(spark, tmp_path, monkeypatch):
     assert mixing.mix(docs.limit(0), str(tmp_path / "e"), {"a": F.col("a")}).count() == 0
 
 
+def test_mixing_cuts_ties_as_the_twin(spark, tmp_path):
+    """Null and repeated ids share their place; a budget may end among them, and among equal rows."""
+    duckdb = pytest.importorskip("duckdb")
+    from watchframe.llm import queries
+
+    rows = [(None, "a b", "en", "s1")] * 400 + [(5, "c d e", "de", "s2")] * 300 + [(5, "f", "de", "s2")] * 300 + [(i, "g h", "en", "s3") for i in range(9, 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    docs.write.parquet(str(tmp_path / "documents"))
+    docs = spark.read.parquet(str(tmp_path / "documents"))
+    got = queries.mix_documents(spark, docs, str(tmp_path / "m")).select("copies", "doc_id", "lang", "mix_budget", "mix_tokens", "source")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents/*.parquet')")
+    want = con.execute(f"SELECT copies, doc_id, lang, mix_budget, mix_tokens, source FROM ({queries.ORACLE['op7_source_mix']})").fetchall()
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+    for budget in (100, 101, 777):
+        taken = mixing.mix(docs.where("doc_id is null"), str(tmp_path / f"b{budget}"), {"lang": docs["lang"]}, total=budget).collect()
+        assert budget <= sum(r.copies * r.mix_tokens for r in taken) < budget + 2
+
+
+def test_buckets_of_a_large_leaf(spark):
+    from pyspark.sql import functions as F
+
+    places = [0, 1, 2 ** 17, 2 ** 40 + 12345, 2 ** 47, 2 ** 48 - 1]
+    for n in (1, 7, 40_000, 2 ** 31):
+        df = spark.createDataFrame([(p, n) for p in places], "at long, n long")
+        got = [r[0] for r in df.select(mixing.bucket_of(F.col("at"), F.col("n"))).collect()]
+        assert got == [((p >> 17) * n) >> 31 for p in places] and got == sorted(got) and 0 <= got[0] and got[-1] < n
+
+
 def test_pipeline(spark, tmp_path):
     base = [" ".join(f"w{random.Random(i).randrange(900)}x{k}" for k in range(40)) for i in range(30)]
     rows = [(i, t, "en", f"src{i % 3}", len(t)) for i, t in enumerate(base)]

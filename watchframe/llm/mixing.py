@@ -5,7 +5,7 @@ it has, times ``most_epochs``. The total budget goes down the tree: at each node
 children that cannot take their share are filled and what they leave goes to their siblings. What no child can take was
 never given to the node, as a node's capacity is the sum of its leaves'; so shortages are made up among siblings before
 ancestors. A leaf's budget is met by whole epochs and the prefix of a further one, each epoch in an order of its own, drawn by
-a hash of seed, epoch and document id.
+a hash of seed, epoch and document id. Documents that share an id, and so their place, follow in order of a hash of their texts.
 
 A hot leaf is never ordered in one task: documents are dealt into buckets by the leading part of their hash, token sums of
 buckets are added up in order, and only the bucket where the prefix ends is ordered by document.
@@ -13,8 +13,8 @@ buckets are added up in order, and only the bucket where the prefix ends is orde
 All arithmetic is on whole numbers: budgets are rounded down, and what is lost by that, less than one token for each child,
 stays unspent. The document at which the prefix reaches the budget is taken, so a leaf exceeds it by less than one document.
 Defined results: null levels are leaves of their own, named by the empty text; a null text has no tokens and is taken with
-its neighbours; a null id counts as empty text; repeated rows are separate documents that share their place in an order; an
-empty table gives no rows. Nodes that ``weights`` does not list weigh 1.
+its neighbours; a null id counts as empty text; repeated rows are separate documents, of which any may come first; an empty
+table gives no rows. Where a budget ends among rows of equal id and text, these are numbered in one task; all other rows are not. Nodes that ``weights`` does not list weigh 1.
 """
 
 from __future__ import annotations
@@ -33,6 +33,16 @@ def place(seed: int, epoch: Column, doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(name), 1, HASH_DIGITS), 16, 10).cast("long")
 
 
+def text_place(text: Column) -> Column:
+    """Position of a text among those of documents that share an id, a whole number below 16**15."""
+    return F.conv(F.substring(F.md5(F.coalesce(text.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+
+
+def bucket_of(at: Column, n_buckets: Column) -> Column:
+    """Bucket of a position, in order of positions; the product has 63 bits at most, up to 2**32 buckets."""
+    return F.shiftright(F.shiftright(at, 4 * HASH_DIGITS - 31) * n_buckets, 31)
+
+
 def shared(nodes: DataFrame, parent: list[str], key: str) -> DataFrame:
     """Share each parent's ``budget`` among its children by ``weight`` within their ``capacity``; adds ``given``.
 
@@ -94,7 +104,8 @@ def mix(docs: DataFrame, folder: str, levels: dict[str, Column], total: int | No
     names = [f"__l{i}" for i in range(len(levels))]
     count = tokens if tokens is not None else F.regexp_count(F.coalesce(F.col(text_column), F.lit("")), F.lit(WORDS))
     leaf = [F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(names, levels.values())]
-    light = stored(docs.select(F.col(id_column).alias("__id"), count.cast("long").alias("n"), *leaf), folder, "lengths")
+    light = stored(docs.select(F.col(id_column).alias("__id"), count.cast("long").alias("n"), text_place(F.col(text_column)).alias("h"), *leaf),
+                   folder, "lengths")
     leaves = light.groupBy(*names).agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("n_docs"))
     plan = (budgets(leaves, names, total, weights, most_epochs)
             .withColumn("whole", F.when(F.col("tokens") > 0, F.floor(F.col("given") / F.greatest("tokens", F.lit(1)))).otherwise(0).cast("long"))
@@ -102,8 +113,7 @@ def mix(docs: DataFrame, folder: str, levels: dict[str, Column], total: int | No
             .withColumn("n_buckets", F.floor((F.col("n_docs") - 1) / BUCKET_ROWS).cast("long") + 1))
     plan = stored(plan, folder, "leaves")
     at = place(seed, F.col("whole"), F.col("__id"))
-    bucket = F.floor(at * F.col("n_buckets") / F.lit(16 ** HASH_DIGITS)).cast("long")
-    dealt = light.join(plan, names).withColumn("at", at).withColumn("bucket", bucket)
+    dealt = light.join(plan, names).withColumn("at", at).withColumn("bucket", bucket_of(F.col("at"), F.col("n_buckets")))
     sums = dealt.groupBy(*names, "bucket", "part").agg(F.sum("n").alias("bucket_tokens"))
     before = Window.partitionBy(*names).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     # The buckets in which a prefix ends: one at most for each leaf.
@@ -111,16 +121,29 @@ def mix(docs: DataFrame, folder: str, levels: dict[str, Column], total: int | No
             .where((F.col("bucket_before") < F.col("part")) & (F.col("bucket_before") + F.col("bucket_tokens") >= F.col("part")))
             .select(*names, F.col("bucket").alias("end_bucket"), "bucket_before"))
     ends = stored(ends, folder, "ends")
-    within = Window.partitionBy(*names).orderBy("at", "__id")
-    last = (dealt.join(ends, names).where(F.col("bucket") == F.col("end_bucket"))
-            .withColumn("upto", F.col("bucket_before") + F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-            .where(F.col("upto") >= F.col("part"))
-            .groupBy(*names).agg(F.min("at").alias("end_at")))
-    limits = stored(plan.join(last, names, "left").select(*names, "given", "whole", "part", "end_at"), folder, "limits")
+    # In that bucket, equal rows are one class; the class in which the prefix ends gives some of its rows.
+    classes = dealt.join(ends, names).where(F.col("bucket") == F.col("end_bucket")).groupBy(*names, "bucket_before", "part", "at", "h", "n").agg(
+        F.count(F.lit(1)).alias("rows"))
+    within = Window.partitionBy(*names).orderBy("at", "h", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.col("bucket_before") + F.sum(F.col("n") * F.col("rows")).over(within)
+    last = (classes.withColumn("upto", upto).where(F.col("upto") >= F.col("part")).groupBy(*names)
+            .agg(F.min(F.struct("at", "h", "n", "upto", "rows", "part")).alias("end"))
+            .withColumn("end_rows", F.col("end.rows") - F.expr("(`end`.upto - `end`.part) div `end`.n")))
+    limits = stored(plan.join(last, names, "left").select(*names, "given", "whole", "part", "end.at", "end.h", "end.rows", "end_rows").toDF(
+        *names, "given", "whole", "part", "end_at", "end_h", "rows", "end_rows"), folder, "limits")
     own = [c for c in docs.columns if c not in ("copies", "mix_tokens", "mix_budget")]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(id_column).alias("__id"), count.cast("long").alias("n"), *leaf)
-    copies = F.col("whole") + F.when((F.col("part") > 0) & (place(seed, F.col("whole"), F.col("__id")) <= F.col("end_at")), 1).otherwise(0)
-    taken = rows.join(limits, names).withColumn("copies", copies.cast("long")).where(F.col("copies") > 0)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(id_column).alias("__id"), count.cast("long").alias("n"),
+                       text_place(F.col(text_column)).alias("h"), *leaf)
+    met = rows.join(limits, names).withColumn("at", place(seed, F.col("whole"), F.col("__id")))
+    # some rows of a class are left over only if the prefix ends within rows of equal id and text
+    split = limits.where(F.col("rows") > F.col("end_rows")).limit(1).count() > 0
+    ending = F.coalesce((F.col("part") > 0) & (F.col("at") == F.col("end_at")) & (F.col("h") == F.col("end_h")) & (F.col("rows") > F.col("end_rows")), F.lit(False))
+    before_end = (F.col("at") < F.col("end_at")) | ((F.col("at") == F.col("end_at")) & (F.col("h") <= F.col("end_h")))
+    taken = met.where(~ending).withColumn("more", (F.col("part") > 0) & F.coalesce(before_end, F.lit(False)))
+    if split:
+        number = F.row_number().over(Window.partitionBy(*names).orderBy("h"))
+        taken = taken.unionByName(met.where(ending).withColumn("more", number <= F.col("end_rows")))
+    taken = taken.withColumn("copies", (F.col("whole") + F.col("more").cast("long")).cast("long")).where(F.col("copies") > 0)
     return taken.select("row.*", "copies", F.col("n").alias("mix_tokens"), F.col("given").alias("mix_budget"))
 
 

@@ -8,12 +8,16 @@ cosine asked for are drawn around each vector, the worst case, and the margin co
 meets is verified by the cosine in double precision, so no link is below the limit.
 
 Codebooks come from ``sample_rows`` vectors at most, the first by a hash, by k-means in numpy on the driver; every vector is
-indexed. Equal vectors are one entry with a number of copies. A cell of more than ``block`` vectors is split, and its visitors
-meet each part; a task counts links and returns sums and the links of a spanning forest, never all pairs. Counting the links
-of a dense group of different vectors takes work in the square of its size, as the count itself asks for it.
-
-Defined results: vectors that are null, zero, hold null or non-finite components, or have another length than most of the
-sample link with nothing. Copies link with each other. Rows that repeat an id and a vector count as copies. An empty table
+indexed. Vectors of each length have a grid of their own; a length that the sample holds less than twice has one cell. Equal
+vectors are one entry with a number of copies. A cell's vectors and its visitors are both split into blocks of about ``block``,
+and every block of the one meets every block of the other, so no group is larger than two blocks; a task counts links and
+returns sums and the links of a spanning forest, never all pairs. A link counts for both ends, also where only one visited the
+other's cell. Counting the links of a dense group of different vectors takes work in the square of its size, as the count itself
+asks for it. A codebook has ``most_words`` words at most: in tables of more than ``cell_rows * most_words ** 2`` vectors, 17
+million, cells grow with the table and are met block by block, so raise it with the table.
+
+Defined results: vectors that are null, zero, hold null or non-finite components link with nothing, and vectors of different
+length not with each other. Copies link with each other. Rows that repeat an id and a vector count as copies. An empty table
 gives no rows. A null id is kept and its row reported, with its component.
 """
 
@@ -26,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchframe.llm.components import components, stored
@@ -101,12 +105,9 @@ class Grid:
         self.margin = float(np.quantile(np.concatenate(excess), target_recall)) + 1e-9
 
 
-def as_matrix(values: list, dimension: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors, and which rows are usable; the others are zero."""
+def as_matrix(values: list, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors, and which rows are usable vectors of this length; the others are zero."""
     lengths = [len(v) if v is not None else -1 for v in values]
-    if dimension is None:
-        there = [n for n in lengths if n > 0]
-        dimension = max(set(there), key=there.count) if there else 0
     points = np.full((len(values), dimension), np.nan)
     for i, (value, n) in enumerate(zip(values, lengths)):
         if n == dimension and n > 0:
@@ -118,52 +119,71 @@ def as_matrix(values: list, dimension: int | None = None) -> tuple[np.ndarray, n
     return points / np.where(good, np.linalg.norm(points, axis=1), 1)[:, None], good
 
 
-def fit(sample: list, n_rows: int, cosine: float, target_recall: float, cell_rows: int, most_words: int, seed: int) -> Grid | None:
-    points, good = as_matrix(sample)
-    points = points[good]
-    if len(points) < 2 or points.shape[1] < 2:
-        return None
-    words = int(np.clip(round((n_rows / cell_rows) ** 0.5), 1, most_words))
-    cut = points.shape[1] // 2
-    grid = Grid(k_means(points[:, :cut], words, seed), k_means(points[:, cut:], words, seed + 1))
-    grid.calibrate(points, cosine, target_recall, seed + 2)
-    return grid
+def fit(sample: list, n_rows: int, cosine: float, target_recall: float, cell_rows: int, most_words: int, seed: int) -> dict[int, Grid]:
+    """A grid for each length of vector that the sample holds twice."""
+    grids = {}
+    for length in {len(v) for v in sample if v}:
+        points, good = as_matrix([v for v in sample if v and len(v) == length], length)
+        points = points[good]
+        if len(points) < 2:
+            continue
+        words = int(np.clip(round((n_rows * len(points) / len(sample) / cell_rows) ** 0.5), 1, most_words))
+        cut = length // 2
+        grid = Grid(k_means(points[:, :cut], words, seed), k_means(points[:, cut:], words, seed + 1))
+        grid.calibrate(points, cosine, target_recall, seed + 2)
+        grids[length] = grid
+    return grids
+
+
+def one_cell(length: int) -> Grid:
+    return Grid(np.zeros((1, length // 2)), np.zeros((1, length - length // 2)), 4.0)
+
 
+def assign(entries: DataFrame, grids: dict[int, Grid]) -> DataFrame:
+    """Usable entries: ``entry``, ``copies``, the length ``dim``, ``cell``, the cells they visit and their unit vector."""
+    names = ["entry", "copies", "dim", "cell", "visits", "unit"]
 
-def assign(entries: DataFrame, grid: Grid) -> DataFrame:
-    """Usable entries with ``cell``, the cells they visit and their unit vector: ``entry``, ``copies``, ``cell``, ``visits``, ``unit``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2_000):
                 part = batch.slice(at, 2_000)
-                points, good = as_matrix(part.column(2).to_pylist(), grid.dimension)
-                points = points[good]
-                keep = pa.array(good)
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0).filter(keep), part.column(1).filter(keep), pa.array(grid.cells(points), pa.int32()),
-                    pa.array(list(grid.visits(points)), pa.list_(pa.int32())), pa.array([p.tobytes() for p in points], pa.binary())],
-                    ["entry", "copies", "cell", "visits", "unit"])
+                values = part.column(2).to_pylist()
+                for length in {len(v) for v in values if v}:
+                    grid = grids.get(length) or one_cell(length)
+                    points, good = as_matrix(values, length)
+                    points, keep = points[good], pa.array(good)
+                    yield pa.RecordBatch.from_arrays([
+                        part.column(0).filter(keep), part.column(1).filter(keep), pa.array(np.full(len(points), length, np.int32)),
+                        pa.array(grid.cells(points), pa.int32()), pa.array(list(grid.visits(points)), pa.list_(pa.int32())),
+                        pa.array([p.tobytes() for p in points], pa.binary())], names)
 
-    return entries.select("entry", "copies", "embedding").mapInArrow(run, "entry long, copies long, cell int, visits array<int>, unit binary")
+    return entries.select("entry", "copies", "embedding").mapInArrow(
+        run, "entry long, copies long, dim int, cell int, visits array<int>, unit binary")
 
 
 def compare(queries: DataFrame, listed: DataFrame, cosine: float) -> DataFrame:
-    """Per cell and part: ``a`` with ``n``, the copies it is linked with, where ``b`` is null; else a link of a spanning forest."""
+    """Per block of visitors and block of a cell: ``a`` with ``n``, the copies it is linked with, where ``b`` is null; else a link of
+    a spanning forest. A visitor that a listed vector does not visit in turn counts for that one here, too.
+    """
     def run(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or there.empty:
             return pd.DataFrame({"a": [], "b": [], "n": []}).astype({"a": "int64", "b": "Int64", "n": "int64"})
         P = np.frombuffer(b"".join(there["unit"]), float).reshape(len(there), -1)
         entries, copies = there["entry"].to_numpy(), there["copies"].to_numpy()
+        seen = [set(cells) for cells in there["visits"]]
+        unseen = {home: np.array([home not in cells for cells in seen]) for home in set(asked["home"])}
         a, b, n = [], [], []
         group = np.arange(len(there))  # class of each listed vector within this task
+        back = np.zeros(len(there), np.int64)  # copies of visitors that a listed vector does not visit
         for at in range(0, len(asked), 1_000):
             part = asked.iloc[at:at + 1_000]
-            ids = part["entry"].to_numpy()
+            ids, homes, own = part["entry"].to_numpy(), part["home"].to_numpy(), part["copies"].to_numpy()
             Q = np.frombuffer(b"".join(part["unit"]), float).reshape(len(part), -1)
             near = (Q @ P.T >= cosine) & (ids[:, None] != entries)
             total = near @ copies
             for i in np.flatnonzero(total):
                 partners = np.flatnonzero(near[i])
+                back[partners] += own[i] * unseen[homes[i]][partners]
                 a.append(ids[i])
                 b.append(None)
                 n.append(total[i])
@@ -174,9 +194,14 @@ def compare(queries: DataFrame, listed: DataFrame, cosine: float) -> DataFrame:
                     n.append(0)
                 if len(classes) > 1:
                     group[np.isin(group, classes)] = classes[0]
+        for k in np.flatnonzero(back):
+            a.append(entries[k])
+            b.append(None)
+            n.append(back[k])
         return pd.DataFrame({"a": np.array(a, "int64"), "b": pd.array(b, "Int64"), "n": np.array(n, "int64")})
 
-    return queries.groupBy("cell", "part").cogroup(listed.groupBy("cell", "part")).applyInPandas(run, "a long, b long, n long")
+    key = ["dim", "cell", "part", "visitors"]
+    return queries.groupBy(*key).cogroup(listed.groupBy(*key)).applyInPandas(run, "a long, b long, n long")
 
 
 def near_duplicates(vectors: DataFrame, folder: str, cosine: float = 0.95, target_recall: float = 0.995, cell_rows: int = 64, most_words: int = 512,
@@ -189,15 +214,23 @@ def near_duplicates(vectors: DataFrame, folder: str, cosine: float = 0.95, targe
     entries = stored(entries.withColumn("entry", F.xxhash64("embedding")), f"{folder}/entries")
     n_rows = entries.count()
     sample = [r[0] for r in entries.orderBy("entry").limit(sample_rows).select("embedding").collect()]
-    grid = fit(sample, n_rows, cosine, target_recall, cell_rows, most_words, seed)
-    if grid is None:  # fewer than two usable vectors in the sample, which is the whole table or holds nothing else
-        grid = Grid(np.zeros((1, 1)), np.zeros((1, 1)), 4.0)
-    assigned = stored(assign(entries, grid), f"{folder}/assigned")
-    sizes = stored(assigned.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")), f"{folder}/cells", n_rows)
-    listed = assigned.join(sizes, "cell").select("cell", F.pmod(F.xxhash64("entry", F.lit(seed)), F.col("parts")).cast("int").alias("part"), "entry", "copies", "unit")
-    visitors = spark.read.parquet(f"{folder}/assigned")  # read apart, so that the two sides of the grouping stay distinct
-    queries = (visitors.select(F.explode("visits").alias("cell"), "entry", "unit").join(sizes, "cell")
-               .select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "entry", "unit"))
+    grids = fit(sample, n_rows, cosine, target_recall, cell_rows, most_words, seed)
+    assigned = stored(assign(entries, grids), f"{folder}/assigned")
+    visitors = spark.read.parquet(f"{folder}/assigned").select(F.explode("visits").alias("cell"), "dim", F.col("cell").alias("home"), "entry", "copies", "unit")
+    blocks = assigned.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
+    asked = visitors.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("visitor_parts"))
+    sizes = stored(blocks.join(asked, ["dim", "cell"]), f"{folder}/cells", n_rows)
+
+    def of(parts: str, salt: int) -> Column:
+        return F.pmod(F.xxhash64("entry", F.lit(salt)), F.col(parts)).cast("int")
+
+    def each(parts: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+    listed = assigned.join(sizes, ["dim", "cell"]).select(
+        "dim", "cell", of("parts", seed).alias("part"), each("visitor_parts").alias("visitors"), "entry", "copies", "visits", "unit")
+    queries = visitors.join(sizes, ["dim", "cell"]).select(
+        "dim", "cell", each("parts").alias("part"), of("visitor_parts", seed + 1).alias("visitors"), "home", "entry", "copies", "unit")
     found = stored(compare(queries, listed, cosine), f"{folder}/links")
     counts = found.where(F.col("b").isNull()).groupBy("a").agg(F.sum("n").alias("n"))
     roots = components(found.where(F.col("b").isNotNull()), f"{folder}/components")

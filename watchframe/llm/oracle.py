@@ -8,7 +8,7 @@ def mix_sql(weights: list[tuple[str, int]], seed: int, epochs: int) -> str:
     listed = ", ".join(f"('{path}', {weight})" for path, weight in weights)
     columns = ["l0", "l1", "l2"]
     steps = [f"""w(path, weight) AS (VALUES {listed}),
-        d AS (SELECT doc_id, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n,
+        d AS (SELECT doc_id, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n, md5(coalesce(text, '')) AS h,
             (('0x' || substr(md5(coalesce(source, '')), 1, 2))::INTEGER % 4)::VARCHAR AS l0, coalesce(lang, '') AS l1, coalesce(source, '') AS l2 FROM documents),
         leaf AS (SELECT l0, l1, l2, sum(n)::BIGINT AS tokens, {epochs} * sum(n)::BIGINT AS capacity FROM d GROUP BY ALL),
         n0 AS (SELECT *, (SELECT least(sum(tokens), sum(capacity)) FROM leaf)::BIGINT AS budget FROM leaf)"""]
@@ -32,6 +32,6 @@ def mix_sql(weights: list[tuple[str, int]], seed: int, epochs: int) -> str:
         f AS (SELECT d.*, budget, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole, tokens FROM d JOIN n3 USING (l0, l1, l2)),
         g AS (SELECT *, budget - whole * tokens AS part,
             ('0x' || substr(md5('{seed}:' || whole || ':' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS pos FROM f),
-        h AS (SELECT *, sum(n) OVER (PARTITION BY l0, l1, l2 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS before FROM g)
+        h AS (SELECT *, sum(n) OVER (PARTITION BY l0, l1, l2 ORDER BY pos, substr(h, 1, 15), n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS before FROM g)
     SELECT doc_id, lang, source, (whole + CASE WHEN part > 0 AND before < part THEN 1 ELSE 0 END)::BIGINT AS copies, n::BIGINT AS mix_tokens,
         budget::BIGINT AS mix_budget FROM h WHERE whole > 0 OR (part > 0 AND before < part)"""
