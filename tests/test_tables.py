@@ -123,7 +123,7 @@ def test_scheduled_probes(spark, tmp_path):
         df.write.parquet(f"{tmp_path}/{name}")
     t = read_metadata(spark, str(tmp_path), ("database_targets", "environments", "probe_assignments", "probe_definitions"))
     args = (t["database_targets"], t["environments"], t["probe_assignments"], t["probe_definitions"], "sqlserver", "any")
-    assert [(r.probe_name, r.environment_slug, r.database_name) for r in metadata.scheduled_probes(*args).collect()] == [
+    assert sorted((r.probe_name, r.environment_slug, r.database_name) for r in metadata.scheduled_probes(*args).collect()) == [
         ("blocking", "prod", ""), ("waits", "prod", "")]
     assert metadata.scheduled_probes(*args, environment_slug="test").isEmpty()
     assert metadata.scheduled_probes(*args, target_names=["other"]).isEmpty()

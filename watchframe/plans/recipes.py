@@ -117,6 +117,10 @@ SELECT s_suppkey AS s, c, concat(' col-', CAST(c AS STRING), ' ') AS id,
        s_suppkey % 2 = 0 AS own_probes, CASE WHEN s_suppkey % 31 = 8 THEN -5 ELSE 5000 END AS own_timeout
 FROM (SELECT s_suppkey, CAST(floor(s_suppkey / 4) AS BIGINT) AS c FROM $supplier) x"""
 
+# Some users share one of four addresses, the others have one of their own.
+ADDRESS = """CASE WHEN user_id % 50 = 0 THEN concat('10.0.0.', CAST(user_id % 4 AS STRING))
+       ELSE concat('10.1.', CAST(CAST(floor(user_id / 250) AS BIGINT) AS STRING), '.', CAST(user_id % 250 AS STRING)) END"""
+
 METADATA = {
     "database_targets": """
 SELECT s_suppkey AS id, s_nationkey AS environment_id, CASE WHEN s_suppkey % 5 = 0 THEN 'postgres' ELSE 'sqlserver' END AS engine,
@@ -132,12 +136,12 @@ FROM (SELECT DISTINCT l_suppkey, l_partkey FROM $lineitem) l""",
     "probe_definitions": """
 SELECT p_partkey AS id, p_name AS name, p_brand AS category, p_type AS query_template, CAST(p_size % 4 * 1000 AS INT) AS timeout_ms,
        p_partkey % 6 <> 0 AS enabled FROM $part""",
-    "investigations": """
+    "investigations": f"""
 SELECT event_id AS id, concat('app', CAST(user_id % 4 AS STRING)) AS application, CAST(user_id % 3 AS INT) AS environment_id,
        concat('env', CAST(user_id % 3 AS STRING)) AS environment,
        CASE event_id % 5 WHEN 0 THEN 'user' WHEN 1 THEN 'session' WHEN 2 THEN 'ip' WHEN 3 THEN 'request' END AS subject_type,
        CASE event_id % 5 WHEN 0 THEN concat('u', CAST(user_id AS STRING)) WHEN 1 THEN concat('s', CAST(user_id AS STRING))
-            WHEN 2 THEN concat('10.0.0.', CAST(user_id % 4 AS STRING)) WHEN 3 THEN concat('r', CAST(event_id % 500 AS STRING)) END AS subject_value,
+            WHEN 2 THEN {ADDRESS} WHEN 3 THEN concat('r', CAST(event_id % 500 AS STRING)) END AS subject_value,
        ts - INTERVAL '1' HOUR AS time_start,
        CASE WHEN event_id = 7 THEN TIMESTAMP '9999-01-01 00:00:00' WHEN event_id % 61 = 0 THEN ts - INTERVAL '2' HOUR ELSE ts + INTERVAL '1' HOUR END AS time_end, ts AS created_at
 FROM $events""",
@@ -188,11 +192,11 @@ SELECT CAST(event_id AS STRING) AS id, CAST(user_id % 11 AS STRING) AS applicati
        CASE WHEN event_id % 59 = 0 THEN ts - INTERVAL '2' DAY WHEN event_id % 2 = 0 THEN ts END AS resolved_at FROM $events""",
 }
 
-SUBJECT_EVENTS = """
+SUBJECT_EVENTS = f"""
 SELECT event_id, ts AS timestamp, event_type, value, concat('app', CAST(user_id % 4 AS STRING)) AS application,
        concat('env', CAST(user_id % 3 AS STRING)) AS environment, concat('c', CAST(event_id % 6 AS STRING)) AS component,
        event_type AS severity, concat('u', CAST(user_id AS STRING)) AS user_id, concat('s', CAST(user_id AS STRING)) AS session_id,
-       concat('10.0.0.', CAST(user_id % 4 AS STRING)) AS client_ip, concat('r', CAST(event_id % 500 AS STRING)) AS request_id FROM $events"""
+       {ADDRESS} AS client_ip, concat('r', CAST(event_id % 500 AS STRING)) AS request_id FROM $events"""
 
 CUSTOMER_NEXT = """
 SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 7 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal,
