@@ -48,9 +48,8 @@ def test_latest_across_batches(spark, tmp_path):
                [("m", "", T0, 3, 3.0, {"a": "x"}), ("n", "", T0 - timedelta(1), 5, 8.0, {}), ("m", "", T0, 1, 4.0, {"a": "y"})]]
     for rows in batches:
         spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(source)
-        q = jobs.latest_to_table(spark.readStream.schema(ddl).parquet(source), root, check)
-        q.awaitTermination()
-    got = jobs.read_latest(spark.read.parquet(f"{root}/version={q.lastProgress['batchId']}"))
+        jobs.latest_to_table(spark.readStream.schema(ddl).parquet(source), root, check).awaitTermination()
+    got = jobs.read_latest(spark, root)
     want = series.latest(spark.read.schema(ddl).parquet(source))
     assert sorted((r.metric, sorted(r.labels.items()), r.value) for r in got.collect()) == sorted(
         (r.metric, sorted(r.labels.items()), r.value) for r in want.collect())
@@ -67,7 +66,7 @@ def test_counts_update_and_refuse_late_events(spark, tmp_path):
     run()
     put(tmp_path / "in", "2.txt", [event("p", 3), event("q", 3700)])
     run()
-    got = jobs.read_counts(spark.read.parquet(root)).collect()
+    got = jobs.read_counts(spark, root).collect()
     assert sorted((r.environment, r.n_events) for r in got) == [("p", 3), ("q", 1)]
 
 

@@ -137,12 +137,13 @@ def row_version(columns: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
 
-def table_version(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """One version for a whole table, whatever the order of its rows.
+def hash_sums(version: Column) -> list[Column]:
+    """Sums of the pieces of row versions, whatever the order of the rows; each task adds up its own."""
+    return [F.sum(F.conv(F.substring(version, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(4)]
 
-    Pieces of the row hashes are summed, which each task does for its own rows.
-    """
+
+def table_version(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """One version for a whole table, whatever the order of its rows."""
     h = df.select(row_version(columns or df.columns).alias("h"))
-    pieces = [F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(4)]
-    total = h.agg(F.count("*").alias("n"), *pieces)
+    total = h.agg(F.count("*").alias("n"), *hash_sums(F.col("h")))
     return total.select("n", F.sha2(F.to_json(F.struct("n", *[f"s{i}" for i in range(4)])), 256).alias("version"))

@@ -74,15 +74,6 @@ def apply_cooldown(alerts: DataFrame, keys: Sequence[str], cooldown_s: int, star
     return spaced.filter(F.col("gap").isNull()).drop("gap")
 
 
-def correlated_signals(alerts: DataFrame, keys: Sequence[str], window_s: int, signal: str, at_least: int = 2,
-                       started: str = "started_s") -> DataFrame:
-    """Time windows in which at least ``at_least`` different signals alerted for one key."""
-    start = F.col(started) - F.pmod(F.col(started), F.lit(window_s))
-    per_signal = alerts.groupBy(*keys, start.alias("window_s"), signal).agg(F.count("*").alias("n"))
-    return per_signal.groupBy(*keys, "window_s").agg(
-        F.count("*").alias("n_signals"), F.sum("n").alias("n_alerts")).filter(F.col("n_signals") >= at_least)
-
-
 def stored_parameters(rows: DataFrame, names: Mapping[str, str]) -> DataFrame:
     """Typed columns back from stored baseline parameters."""
     ddl = ", ".join(f"{n} {t}" for n, t in names.items())

@@ -46,7 +46,8 @@ _JSON_OPTIONS = {
 }
 _JSON_SPACE = " \t\n\r"
 
-_BIG_EXPONENT = r"\d[eE]\+?\d{3}"
+# Without either, a number has fewer than 309 digits before its point once its exponent is applied.
+_MAY_OVERFLOW = r"\d[eE]\+?\d{2}|\d{290}"
 _STRING_LITERAL = r'"(?:[^"\\]|\\.)*"'
 
 
@@ -72,14 +73,14 @@ def scalar_labels(labels: Column) -> Column:
 def _has_overflow(value: Column) -> Column:
     """True when a number of the document is too large for a 64-bit float.
 
-    Texts without a three-digit exponent, that is nearly all, stop at the first test.
+    Texts without an exponent of two digits or a very long number, that is nearly all, stop at the first test.
     """
     numbers = F.regexp_extract_all(
-        F.regexp_replace(value, _STRING_LITERAL, '""'), F.lit(r"(-?\d+(?:\.\d+)?[eE]\+?\d{3,})"), 1
+        F.regexp_replace(value, _STRING_LITERAL, '""'), F.lit(r"(\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"), 1
     )
     return F.when(
-        value.rlike(_BIG_EXPONENT),
-        F.exists(numbers, lambda x: F.abs(x.try_cast("double")) == F.lit(float("inf"))),
+        value.rlike(_MAY_OVERFLOW),
+        F.exists(numbers, lambda x: x.try_cast("double") == F.lit(float("inf"))),
     ).otherwise(F.lit(False))
 
 

@@ -206,16 +206,21 @@ def _variants(catalog: Mapping[str, Probe], schedule: DataFrame | None) -> list[
 
 
 def collector_cycle(
-    snapshots: Snapshots, catalog: Mapping[str, Probe], schedule: DataFrame | None = None
+    snapshots: Snapshots, catalog: Mapping[str, Probe], schedule: DataFrame | None = None, folder: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Samples and evidence of every scheduled probe, as two lazy frames.
 
+    With ``folder``, a shared one, the rows of probes that give both are stored there first, so both come from one run of the probe.
+
     A target whose schedule carries a ``query_template`` runs that instead of the probe's own query. All probes are decoded
     and united before one join with the schedule.
     """
     samples, proofs = [], []
-    for probe, template in _variants(catalog, schedule):
+    for i, (probe, template) in enumerate(_variants(catalog, schedule)):
         rows = binary_to_text(probe.rows(snapshots))
+        if folder is not None and probe.category in EVIDENCE_CATEGORIES:
+            rows.write.mode("overwrite").parquet(f"{folder}/probe={i}")
+            rows = rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/probe={i}")
         mark = {"_probe": F.lit(probe.name), "_template": F.lit(template)}
         samples.append(decode(rows, probe).withColumns(mark))
         proof = evidence(rows, probe)

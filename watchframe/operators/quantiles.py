@@ -19,7 +19,7 @@ _INFINITE, _NOT_A_NUMBER = 1 << 40, 1 << 41
 FINE = 65_536  # parts of equal width that a bucket is cut into
 
 
-def _bucket(value: Column) -> Column:
+def value_bucket(value: Column) -> Column:
     """Whole number that never falls as the value grows; about 0.3 % wide.
 
     Infinite values have a bucket of their own at either end, and NaN, which sorts after all numbers, has the last.
@@ -47,7 +47,7 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def weighted_quantiles(counts: DataFrame, keys: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
     """Interpolated quantiles of counted values: ``keys``, ``n`` and one column per entry of ``probs``."""
     keys = list(keys)
-    counts = counts.withColumn("bucket", _bucket(F.col("value"))).withColumn("part", _fine(F.col("value"), F.col("bucket")))
+    counts = counts.withColumn("bucket", value_bucket(F.col("value"))).withColumn("part", _fine(F.col("value"), F.col("bucket")))
     sizes = counts.groupBy(*keys, "bucket").agg(F.sum("weight").alias("weight"))
     in_key = Window.partitionBy(*keys)
     ranked = sizes.withColumn("upto", F.sum("weight").over(in_key.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))

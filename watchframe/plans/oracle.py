@@ -32,9 +32,13 @@ SELECT event_id, string_agg(k || '=' || json_extract_string(doc, '$.labels.' ||
 FROM (SELECT event_id, doc, unnest(json_keys(doc, '$.labels')) AS k FROM docs WHERE json_type(doc, '$.labels') = 'OBJECT')
 WHERE json_type(doc, '$.labels.' || k) NOT IN ('NULL', 'OBJECT', 'ARRAY') GROUP BY event_id"""
 
+# every number outside of string literals fits a double
+_NO_ENDLESS_NUMBER = r"""len(list_filter(regexp_extract_all(regexp_replace(value, '"(?:[^"\\]|\\.)*"', '""', 'g'), '[0-9]+(?:[.][0-9]+)?(?:[eE][+-]?[0-9]+)?'),
+    lambda x: coalesce(isinf(try_cast(x AS DOUBLE)), true))) = 0"""
+
 NORMALIZED = (
     ("raw", for_duckdb(recipes.RAW_EVENTS)),
-    ("docs", "SELECT event_id, ts, value, CASE WHEN json_valid(value) THEN CAST(value AS JSON) END AS doc FROM raw"),
+    ("docs", f"SELECT event_id, ts, value, CASE WHEN json_valid(value) AND {_NO_ENDLESS_NUMBER} THEN CAST(value AS JSON) END AS doc FROM raw"),
     ("label_text", _LABEL_PAIRS),
     ("fields", f"SELECT event_id, ts, doc, {_FIELDS} FROM docs"),
     ("stamped", f"""SELECT *, CASE WHEN f_timestamp = '' THEN epoch_us(ts)
@@ -399,8 +403,22 @@ ORACLE: dict[str, str] = {
         SELECT event_id, event_type, CASE WHEN value > 200 THEN 'static' ELSE 'adaptive' END AS cause FROM events JOIN band USING (event_type) WHERE value > 200 OR value > upper""",
     "alert_cooldown": _with(*_ALERTS) + """SELECT job, started_s, 1::BIGINT AS n FROM (SELECT job, started_s, lag(started_s) OVER (PARTITION BY job ORDER BY started_s) AS previous FROM fired)
         WHERE previous IS NULL OR started_s - previous >= 1800""",
-    "correlated_alerts": _with(*_ALERTS) + """SELECT environment, started_s - started_s % 900 AS window_s, count(DISTINCT job) AS n_signals, count(*) AS n_alerts
-        FROM fired GROUP BY ALL HAVING count(DISTINCT job) >= 2""",
+    "correlated_alerts": _with(*_ALERTS) + """SELECT a.environment, a.started_s AS at_s, count(DISTINCT b.job) AS n_signals, count(*) AS n_alerts
+        FROM (SELECT DISTINCT environment, started_s FROM fired) a JOIN fired b ON b.environment = a.environment
+        AND b.started_s > a.started_s - 900 AND b.started_s <= a.started_s GROUP BY ALL HAVING count(DISTINCT b.job) >= 2""",
+    "correlated_events": """WITH e AS (SELECT user_id, event_type, epoch_us(ts) // 1000000 AS s FROM events)
+        SELECT a.user_id, a.s AS at_s, count(DISTINCT b.event_type) AS n_signals, count(*) AS n_alerts
+        FROM (SELECT DISTINCT user_id, s FROM e) a JOIN e b ON b.user_id = a.user_id AND b.s > a.s - 3600 AND b.s <= a.s
+        GROUP BY ALL HAVING count(DISTINCT b.event_type) >= 3""",
+    "rolling_mad": """WITH e AS (SELECT event_type, epoch_us(ts) // 86400000000 AS d, value FROM events),
+        w AS (SELECT k.event_type, k.d * 86400 AS bucket, count(*) AS n, median(value) AS median, mad(value) AS mad
+            FROM (SELECT DISTINCT event_type, d FROM e) k JOIN e ON e.event_type = k.event_type AND e.d BETWEEN k.d - 6 AND k.d GROUP BY ALL)
+        SELECT event_type, bucket, n, round(median, 6) AS median, round(mad, 6) AS mad, round(median - mad * (3.0::DOUBLE * 1.4826::DOUBLE), 6) AS lower,
+            round(median + mad * (3.0::DOUBLE * 1.4826::DOUBLE), 6) AS upper FROM w""",
+    "snapshot_diff_tree": _with(("next", for_duckdb(recipes.CUSTOMER_EDITED))) + """SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey,
+        CASE WHEN o.c_custkey IS NULL THEN 'added' WHEN n.c_custkey IS NULL THEN 'removed' ELSE 'updated' END AS change
+        FROM customer o FULL JOIN next n ON o.c_custkey = n.c_custkey
+        WHERE o.c_custkey IS NULL OR n.c_custkey IS NULL OR o.c_acctbal IS DISTINCT FROM n.c_acctbal""",
     "sessions": """WITH e AS (SELECT user_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS previous FROM events),
         s AS (SELECT *, sum(CASE WHEN us - previous <= 1800000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY us) AS session FROM e)
         SELECT user_id, min(us) AS start_us, max(us) AS end_us, count(*) AS n_events FROM s GROUP BY user_id, session""",

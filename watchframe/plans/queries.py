@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from watchframe.functions.labels import label_pairs
 from watchframe.operators import (
-    alerts, audit, baselines, contracts, correlate, inventory, investigate, logs, metadata, normalize, probes, reports,
-    rules, series,
+    alerts, audit, baselines, contracts, correlate, hash_tree, inventory, investigate, logs, metadata, normalize, probes, reports,
+    rolling, rules, series, sweep,
 )
 from watchframe.operators.quantiles import exact_quantiles
 from watchframe.plans import recipes, replay
@@ -328,6 +328,15 @@ def snapshot_diff(f):
     return audit.diff(f.table("customer"), f.sql(recipes.CUSTOMER_NEXT), ["c_custkey"]).select("c_custkey", "change")
 
 
+@query
+def snapshot_diff_tree(f):
+    """Two stored versions of a table, of which only the leaves that differ are read."""
+    root, columns = work_dir(f.spark, "versions"), ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+    hash_tree.store(f.table("customer").select(columns), ["c_custkey"], f"{root}/old")
+    hash_tree.store(f.sql(recipes.CUSTOMER_EDITED), ["c_custkey"], f"{root}/new")
+    return hash_tree.diff(f.spark, f"{root}/old", f"{root}/new", ["c_custkey"]).select("c_custkey", "change")
+
+
 @query
 def row_version_hash(f):
     return f.table("documents").select("doc_id", audit.content_version(F.col("text")).alias("version"))
@@ -508,6 +517,13 @@ def baseline_mad(f):
     return band.select("event_type", "n", *[rounded(c) for c in ("median", "mad", "lower", "upper")])
 
 
+@query
+def rolling_mad(f):
+    """Bands over the seven days that end with each day."""
+    band = rolling.rolling_mad(f.table("events"), ["event_type"], "value", 86_400, 7, work_dir(f.spark, "rolling"), chunk_width=10)
+    return band.select("event_type", "bucket", "n", *[rounded(c) for c in ("median", "mad", "lower", "upper")])
+
+
 @query
 def baseline_quantile(f):
     band = baselines.quantile_band(f.table("events"), ["event_type"], "value")
@@ -625,7 +641,14 @@ def alert_cooldown(f):
 
 @query
 def correlated_alerts(f):
-    return baselines.correlated_signals(_alert_events(f), ["environment"], 900, "job")
+    return sweep.correlated_signals(_alert_events(f), ["environment"], 900, "job")
+
+
+@query
+def correlated_events(f):
+    """Users with events of several kinds within a minute, whatever border of time lies between them."""
+    events = f.table("events").select("user_id", "event_type", F.unix_seconds("ts").alias("started_s"))
+    return sweep.correlated_signals(events, ["user_id"], 3600, "event_type", 3, chunk_s=7200)
 
 
 @query

@@ -36,7 +36,10 @@ SELECT event_id, ts, CASE CAST(event_id % 10 AS INT)
  WHEN 6 THEN concat('{"env":"', envn, '","app":"shop","message":"m', k, '","timestamp":"', tz, '"}')
  WHEN 7 THEN concat('{"env":"', envn, '","app":"shop","message":"m', k, '","user":"u', u, '","timestamp":"', tz, '+02:00"}')
  WHEN 8 THEN concat('{"env":"', envn, '","app":"shop","timestamp":"', tz, 'Z"}')
- ELSE concat('{"env":"', envn, '","app":') END AS value
+ ELSE CASE CAST(event_id % 70 AS INT) WHEN 9 THEN concat('{"env":"', envn, '","app":"shop","message":"m', k, '","n":', repeat('7', 400), '}')
+      WHEN 19 THEN concat('{"env":"', envn, '","app":"shop","message":"m', k, '","n":', repeat('7', 300), 'e99}')
+      WHEN 29 THEN concat('{"env":"', envn, '","app":"shop","message":"m', k, '","n":', repeat('7', 300), '.5e3, "t":"', repeat('7', 400), '"}')
+      ELSE concat('{"env":"', envn, '","app":') END END AS value
 FROM (SELECT event_id, ts, event_type, CAST(user_id AS STRING) AS u, CAST(user_id % 4 AS STRING) AS u4,
       CAST(event_id % 100 AS STRING) AS k, concat('env', CAST(user_id % 3 AS STRING)) AS envn,
       concat(substr(CAST(ts AS STRING),1,10),'T',substr(CAST(ts AS STRING),12,8)) AS tz FROM $events) e
@@ -204,6 +207,13 @@ SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 7 = 0 THEN c_acctba
 UNION ALL
 SELECT c_custkey + 1000000, c_name, c_nationkey, c_acctbal, c_mktsegment FROM $customer WHERE c_custkey % 50 = 0"""
 
+# The customers with a few edits.
+CUSTOMER_EDITED = """
+SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 997 = 3 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, c_mktsegment
+FROM $customer WHERE c_custkey % 1009 <> 4
+UNION ALL
+SELECT c_custkey + 1000000, c_name, c_nationkey, c_acctbal, c_mktsegment FROM $customer WHERE c_custkey % 1013 = 5"""
+
 WINDOWS = """
 SELECT event_id AS id, ts AS time_start, CASE WHEN event_id % 53 = 0 THEN ts - INTERVAL '1' HOUR ELSE ts + INTERVAL '1' HOUR END AS time_end
 FROM $events"""

@@ -52,9 +52,8 @@ def normalized(f: Fixtures) -> tuple[DataFrame, DataFrame]:
 
 def latest(f: Fixtures) -> DataFrame:
     root = work_dir(f.spark, "latest")
-    q = jobs.latest_to_table(f.samples(stream_events(f)), f"{root}/table", f"{root}/checkpoint")
-    q.awaitTermination()
-    return jobs.read_latest(f.spark.read.parquet(f"{root}/table/version={q.lastProgress['batchId']}"))
+    jobs.latest_to_table(f.samples(stream_events(f)), f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    return jobs.read_latest(f.spark, f"{root}/table")
 
 
 def counts(f: Fixtures) -> DataFrame:
@@ -62,7 +61,7 @@ def counts(f: Fixtures) -> DataFrame:
     events = normalize.accepted(normalize.normalize(raw_stream(f)))
     fresh = jobs.drop_late(events.drop("labels"))
     jobs.count_to_table(fresh, f"{root}/table", f"{root}/checkpoint").awaitTermination()
-    return jobs.read_counts(f.spark.read.parquet(f"{root}/table"))
+    return jobs.read_counts(f.spark, f"{root}/table")
 
 
 def alert_hold(f: Fixtures, evaluations: DataFrame, keys: Sequence[str]) -> DataFrame:

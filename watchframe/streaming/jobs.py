@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from watchframe.operators import logs, normalize, probes, series
 from watchframe.operators.alerts import HOLD_SECONDS
 from watchframe.operators.rules import STEP_SECONDS
+from watchframe.streaming.merge_table import MergeTable
 
 WATERMARK = f"{logs.MAX_AGE_HOURS} hours"
 SCRAPE_INTERVAL = "30 seconds"  # fixed value: default scrape interval
@@ -34,7 +35,7 @@ def poll_probes(
     failure stops the query.
     """
     def store(due: Mapping[str, DataFrame], plan: DataFrame | None, batch_id: int, name: str) -> None:
-        samples, evidence = probes.collector_cycle(due, catalog, plan)
+        samples, evidence = probes.collector_cycle(due, catalog, plan, f"{root}/rows/batch={batch_id}/run={name}")
         samples.write.mode("overwrite").parquet(f"{root}/samples/batch={batch_id}/run={name}")
         evidence.write.mode("overwrite").parquet(f"{root}/evidence/batch={batch_id}/run={name}")
 
@@ -91,45 +92,46 @@ def drop_late(events: DataFrame, ingest_ts: str = "ingest_ts", ts: str = "timest
     return fresh.withWatermark(ts, WATERMARK)
 
 
+def counts_table(spark: SparkSession, root: str, keys: Sequence[str] = ("environment", "severity")) -> MergeTable:
+    return MergeTable(spark, root, ["window_start", *keys], "batch")
+
+
 def count_to_table(
     events: DataFrame, root: str, checkpoint: str, keys: Sequence[str] = ("environment", "severity"),
     window: str = "1 hour", interval: str | None = None,
 ) -> StreamingQuery:
-    """Running event counts per window; each batch writes only the windows it changed."""
+    """Running event counts per window; each batch adds only the windows it changed to the table in ``root``."""
     counts = normalize.count_accepted(events, keys, window)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+        counts_table(batch.sparkSession, root, keys).add(batch.withColumn("batch", F.lit(batch_id).cast("long")), batch_id)
 
     return _start(counts.writeStream.outputMode("update").foreachBatch(store), checkpoint, interval)
 
 
-def read_counts(updates: DataFrame, keys: Sequence[str] = ("environment", "severity")) -> DataFrame:
+def read_counts(spark: SparkSession, root: str, keys: Sequence[str] = ("environment", "severity")) -> DataFrame:
     """Current counts: the newest update of every window."""
-    return updates.groupBy("window_start", *keys).agg(F.max_by("n_events", "batch").alias("n_events"))
+    return counts_table(spark, root, keys).read().select("window_start", *keys, "n_events")
 
 
-def latest_to_table(samples: DataFrame, root: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Keep the last value per series in ``root/version=N``, one version per batch.
+def latest_table(spark: SparkSession, root: str) -> MergeTable:
+    return MergeTable(spark, root, ["metric", "series"], "order")
 
-    A batch is reduced to its own last values before it meets the stored ones. The table has one
-    row per series.
+
+def latest_to_table(samples: DataFrame, root: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Keep the last value per series in the table in ``root``. A batch is reduced to its own last values, and writes only these and
+    the runs that are due to be merged.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         order = series.arrival(F.col("ts"), F.col("ord"))
-        kept = series.keyed(batch).withColumn("order", order)
-        if batch_id > 0:
-            kept = kept.select("metric", "series", "ts", "value", "order").unionByName(
-                batch.sparkSession.read.parquet(f"{root}/version={batch_id - 1}"))
-        last = kept.groupBy("metric", "series").agg(
-            F.max_by("value", "order").alias("value"), F.max("ts").alias("ts"), F.max("order").alias("order"))
-        last.write.mode("overwrite").parquet(f"{root}/version={batch_id}")
+        rows = series.keyed(batch).withColumn("order", order).select("metric", "series", "ts", "value", "order")
+        latest_table(batch.sparkSession, root).add(rows, batch_id)
 
     return _start(samples.writeStream.foreachBatch(merge), checkpoint, interval)
 
 
-def read_latest(table: DataFrame) -> DataFrame:
-    return table.select("metric", series.labels_of(F.col("series")).alias("labels"), "ts", "value")
+def read_latest(spark: SparkSession, root: str) -> DataFrame:
+    return latest_table(spark, root).read().select("metric", series.labels_of(F.col("series")).alias("labels"), "ts", "value")
 
 
 def hold_alerts(
@@ -186,7 +188,7 @@ def hold_alerts(
 def dedup_to_table(events: DataFrame, root: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
     """Store each alert event, by fingerprint and start, once in ``root``, however late or often it is delivered.
 
-    The table is partitioned by the day an alert started, and a batch is compared with its own days only.
+    The table is partitioned by the day an alert started, and a batch is compared with its own days only. A NULL key is a key.
     """
     keys = ["fingerprint", "started_at"]
 
@@ -195,8 +197,9 @@ def dedup_to_table(events: DataFrame, root: str, checkpoint: str, interval: str
         fresh = batch.withColumn("day", F.to_date("started_at")).dropDuplicates(keys)
         if batch_id > 0:
             stored = spark.read.parquet(root).filter(F.col("batch") < batch_id)  # a repeated batch does not meet itself
-            days = fresh.select("day").distinct()
-            fresh = fresh.join(stored.join(days, "day", "left_semi").select(*keys), keys, "left_anti")
+            days = fresh.select(F.col("day").alias("fresh_day")).distinct()
+            known = stored.join(days, F.expr("day <=> fresh_day"), "left_semi").select(*[F.col(k).alias(f"_{k}") for k in keys])
+            fresh = fresh.join(known, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], "left_anti")
         fresh.write.mode("overwrite").partitionBy("day").parquet(f"{root}/batch={batch_id}")
 
     return _start(events.writeStream.foreachBatch(merge), checkpoint, interval)
