@@ -65,6 +65,28 @@ def test_near_duplicates(spark, tmp_path, seed, copies, block):
     assert {r.doc_id for r in got if r.kept} == set(want.values())
 
 
+def test_groups_of_a_component_of_many_classes_stay_bounded(spark, tmp_path, monkeypatch):
+    """Articles that share half their words, each with a copy: one component of candidates, many classes."""
+    rng, largest = random.Random(9), []
+    shared = [f"s{k}" for k in range(40)]
+    texts = []
+    for i in range(150):
+        words = shared + [f"w{i}x{rng.randrange(10 ** 6)}" for _ in range(40)]
+        texts += [" ".join(words), " ".join([*words[:-1], "other"])]
+    compare = weighted_minhash.link_blocks
+
+    def watched(rows, similarity):
+        by = ["component", "block", *(["guests"] if "guests" in rows.columns else [])]
+        largest.append(max((r["count"] for r in rows.groupBy(by).count().collect()), default=0))
+        return compare(rows, similarity)
+
+    monkeypatch.setattr(weighted_minhash, "link_blocks", watched)
+    docs = spark.createDataFrame([(i, t, "en", 1, "x") for i, t in enumerate(texts)], DOCS)
+    got = weighted_minhash.near_duplicates(docs, str(tmp_path / "a"), block=60, bands=60, rows=1, parts=16).collect()
+    assert {r.doc_id: r.class_id for r in got} == {i: i - i % 2 for i in range(300)}
+    assert len(largest) == 2 and largest[1] <= 2 * 60 + 50
+
+
 def test_one_of_each_keeps_columns_and_null_ids(spark, tmp_path):
     rows = [(1, "a b c d e f", "en", 1, "x"), (2, "a b c d e f", "de", 2, "y"), (2, "a b c d e f", "de", 2, "y"), (None, "other text of six words here", "fr", 3, "z"),
             (3, None, "en", 1, "x"), (4, None, "en", 1, "x"), (5, "lone", None, None, None), (5, "lone", None, None, None)]

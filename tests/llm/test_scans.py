@@ -141,3 +141,27 @@ def test_filters_of_many_languages():
     assert filters.slots.shape == (1 << 14, 3)
     named, _ = filters.judge([texts[0] for texts in samples.values()], filters.false_rate())
     assert named == list(samples)
+
+
+def test_a_label_belongs_to_its_row(spark):
+    """Rows of one id with different labels teach their own language each; the sample is exact and bounded."""
+    words = {"en": "the house and the garden were shown with them", "de": "das haus und der garten wurden ihnen gezeigt"}
+    rows = [(i // 2, f"{words[l]} {i}", l) for i in range(60) for l in [("en", "de")[i % 2]]]
+    rows += [(0, f"{words['en']} {i}", "en") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (5, 30, 1000):
+        filters = langmask.train(docs, most_texts=most)
+        judged = langmask.identify(spark.createDataFrame([(1, words["en"]), (2, words["de"])], "doc_id long, text string"), filters)
+        assert {r.doc_id: r.lang_pred for r in judged.collect()} == {1: "en", 2: "de"}
+
+
+def test_masks_against_sets_of_grams():
+    """Counts are those of plain sets of n-grams, plus what the filters answer wrongly, less the rate of that."""
+    samples = {"a": ["abcd bcde", "cdef abca"], "b": ["xyzx yzxy", "zxyz abcd"]}
+    filters = langmask.fit(samples, n=3, least_texts=1, slot_bits=16)
+    sets = {l: {int(g) for t in texts for g in langmask.grams([t], 3)[0]} for l, texts in samples.items()}
+    for text, want in (("abcdef", "a"), ("xyzxyz", "b"), ("zxyzx", "b")):
+        codes = {int(g) for g in langmask.grams([text], 3)[0]}
+        hits = {l: len(codes & known) for l, known in sets.items()}
+        named, share = filters.judge([text], filters.false_rate())
+        assert named == [want] and hits[want] == max(hits.values()) and 0 < share[0] <= 1

@@ -13,6 +13,7 @@ learned. Equal counts go to the language whose name sorts first. Repeated rows g
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -129,13 +130,27 @@ def fit(samples: dict[str, list[str]], n: int = 4, least_texts: int = 3, slot_bi
 def train(labelled: DataFrame, most_texts: int = 1_000, id_column: str = "doc_id", text_column: str = "text", label: str = "lang", **options) -> Filters:
     """Fit on at most ``most_texts`` texts of each language, the first by a hash of their id.
 
-    The ids are chosen without the texts; being ``most_texts`` for each language, they are broadcast to where texts are read.
+    A share of the hash range that holds about four times as many rows of a language, by its number of rows, is cut off first, so
+    few rows are ordered; should repeated ids leave less than asked for, the share grows. The pairs of id and label are chosen
+    without the texts and, ``most_texts`` for each language, broadcast to where texts are read; of rows equal in both, one text
+    comes to the driver.
     """
-    order = Window.partitionBy("__label").orderBy(F.xxhash64(id_column), id_column)
-    chosen = (labelled.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column), F.col(label).cast("string").alias("__label"))
-              .withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= most_texts).drop("__place"))
-    sample = labelled.select(F.col(id_column), whole_text(text_column).alias("__text")).join(F.broadcast(chosen), id_column).toPandas()
-    sample = sample.sort_values([id_column, "__text"])
+    rows = labelled.select(F.col(id_column).alias("__id"), F.col(label).cast("string").alias("__label"), whole_text(text_column).alias("__text"))
+    rows = rows.where(F.col("__id").isNotNull() & F.col("__label").isNotNull())
+    counts = {r["__label"]: r["count"] for r in rows.groupBy("__label").count().collect()}
+    place = F.pmod(F.xxhash64("__id"), F.lit(1 << 40))
+    order, factor, most = Window.partitionBy("__label").orderBy(F.xxhash64("__id"), "__id"), 4, max(counts.values(), default=0)
+    while True:
+        limits = [(name, min(1 << 40, (factor * most_texts << 40) // n + 1)) for name, n in counts.items()]
+        limit = labelled.sparkSession.createDataFrame(limits, "__label string, limit long")
+        near = rows.select("__id", "__label").join(F.broadcast(limit), "__label").where(place < F.col("limit")).distinct()
+        chosen = near.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= most_texts).select("__id", "__label").collect()
+        if factor * most_texts >= most or min(Counter(r["__label"] for r in chosen).get(name, 0) for name in counts) >= most_texts:
+            break
+        factor *= 16
+    chosen = labelled.sparkSession.createDataFrame(chosen, rows.select("__id", "__label").schema)
+    sample = rows.join(F.broadcast(chosen), ["__id", "__label"]).groupBy("__id", "__label").agg(F.min("__text").alias("__text")).toPandas()
+    sample = sample.sort_values(["__id", "__text"])
     return fit({language: rows["__text"].tolist() for language, rows in sample.groupby("__label")}, **options)
 
 

@@ -11,8 +11,9 @@ are one class from the start and count as one text.
    For the rest, samples are drawn over the shared shingles, which can only make linked texts collide more often, and
    hashed in bands. Texts that collide in a band are candidates; a star to the smallest in each bucket keeps that linear.
 3. Components of candidates are verified in blocks of ``block`` texts. In a component of several blocks, a few of its texts
-   join every block, so that what belongs together grows together; then all texts outside its largest class are compared
-   with every block. So any two candidates are compared, or already of one class, and no group is larger than a block.
+   join every block, so that what belongs together grows together; then all texts outside its largest class, in blocks as
+   well, are compared with every block. So any two candidates are compared, or already of one class, and no group holds more
+   than about two blocks.
 
 Hashes have 40 bits and those of their part, samples 64 bits. Defined results: null and empty texts, and texts of white
 space only, are linked with nothing; a class is named by its smallest id, null ids last; rows that repeat an id share its
@@ -38,6 +39,7 @@ HASH_BITS = 40
 GROUP_TEXTS, GROUP_CHARACTERS = 1_000, 4_000_000
 CACHED_WORDS = 400_000
 TABLE_BITS = 16  # variates of the sampling are drawn from tables of 2**16 entries, addressed by the shingle's hash
+PART_CHARACTERS, LEAST_PARTS = 8_000_000, 64
 SHARED_TEXTS = 32  # of a component of several blocks, about so many texts join every block
 
 
@@ -260,7 +262,8 @@ def similar_pairs(norm: np.ndarray, codes: list[bytes], weights: list[bytes], as
 def link_blocks(texts: DataFrame, similarity: float) -> DataFrame:
     """Links ``a``, ``b`` that connect what is similar within each ``component`` and ``block``.
 
-    With a column ``visitor``, only rows that are marked by it are compared, with the others and among each other.
+    With a column ``visitor``, only rows that are marked by it are compared, with the others and among each other; ``guests`` numbers
+    the blocks of visitors, if there are several.
     """
     def run(frame):
         frame = frame.drop_duplicates("key")
@@ -271,21 +274,22 @@ def link_blocks(texts: DataFrame, similarity: float) -> DataFrame:
             links += [(keys[i], keys[j]) for j in partners.tolist() if forest.join(i, j)]
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return texts.groupBy("component", "block").applyInPandas(run, "a long, b long")
+    return texts.groupBy("component", "block", *(["guests"] if "guests" in texts.columns else [])).applyInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, folder: str, similarity: float = 0.8, idf_weight: float = 0.25, bands: int = 16, rows: int = 4,
                     parts: int | None = None, block: int = 400, seed: int = 11, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: its id, ``class_id``, ``text_key`` and ``kept``, true where it gives its class the name.
 
-    ``folder`` is shared and new. ``parts`` is the number of parts of the hash range, by default twice that of shuffle
-    partitions and 64 at least; a part must fit a task.
+    ``folder`` is shared and new. ``parts`` is the number of parts of the hash range, by default one for each ``PART_CHARACTERS`` of
+    text, 64 at least and 16,383, 130 GB of text, at most; give larger parts more memory beyond that, as a part must fit a task.
     """
     spark = docs.sparkSession
-    parts = parts or min(max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), (1 << 14) - 1)
     text = whole_text(text_column)
     keyed = docs.select(F.col(id_column).alias("doc_id"), text_key(F.col(id_column), text).alias("key"), text.alias("text"))
-    ids = stored(keyed.select("doc_id", "key"), f"{folder}/ids")
+    ids = stored(keyed.select("doc_id", "key", F.length("text").alias("size")), f"{folder}/ids")
+    total = ids.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    parts = parts or min(max(LEAST_PARTS, -(-total // PART_CHARACTERS)), (1 << 14) - 1)
     texts = stored(ids.groupBy("key").agg(F.min("doc_id").alias("first_id")), f"{folder}/texts")
     n_texts = texts.count()
     back = gather(scatter(keyed, parts), parts)
@@ -311,11 +315,17 @@ def near_duplicates(docs: DataFrame, folder: str, similarity: float = 0.8, idf_w
         large = stored(large.select("key", "component", "blocks", "home", "label"), f"{folder}/large", n_texts)
         main = large.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
         outside = large.join(stored(main, f"{folder}/main", n_texts), "component").where(F.col("label") != F.col("main"))
-        visits = outside.select("key", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visitor"))
+        # Visitors are in blocks, too: each meets each block of the component, so a group holds two blocks at most.
+        outside = stored(outside.select("key", "component", "blocks"), f"{folder}/outside", n_texts)
+        guests = stored(outside.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("guest_blocks")), f"{folder}/guests", n_texts)
+        visits = outside.join(guests, "component").select(
+            "key", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+            F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.col("guest_blocks")).cast("int").alias("guests"), F.lit(True).alias("visitor"))
         visits = stored(visits, f"{folder}/visits")
-        met = visits.select("component", "block").distinct()
-        home = large.select("key", "component", F.col("home").alias("block"), F.lit(False).alias("visitor")).join(met, ["component", "block"])
-        home = home.join(visits.select("key", "component", "block"), ["key", "component", "block"], "left_anti")
+        home = large.join(guests, "component").select(
+            "key", "component", F.col("home").alias("block"), F.explode(F.sequence(F.lit(0), F.col("guest_blocks") - 1)).alias("guests"), F.lit(False).alias("visitor"))
+        place = ["key", "component", "block", "guests"]
+        home = home.join(visits.select(*place), place, "left_anti")
         more = link_blocks(home.unionByName(visits).join(payload, "key"), similarity)
         links = links.union(stored(more, f"{folder}/more-links"))
     roots = stored(components(links, f"{folder}/final"), f"{folder}/roots", n_texts)
