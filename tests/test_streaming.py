@@ -86,12 +86,34 @@ def test_alert_hold_keeps_state_between_batches(spark, tmp_path):
     for batch in batches:
         spark.createDataFrame(batch, ddl).coalesce(1).write.mode("append").parquet(source)
         held = jobs.hold_alerts(spark.readStream.schema(ddl).parquet(source), ["job"], silence="10 minutes")
-        jobs.write_parquet(held, out, check).awaitTermination()
+        jobs.write_parquet(held, out, check, settings=jobs.STATE_STORE).awaitTermination()
     got = sorted((r.job, r.kind, (r.started_s - STEP0) // 15, (r.at_s - STEP0) // 15) for r in spark.read.parquet(out).collect())
     assert got == [("a", "firing", 8, 8), ("a", "resolved", 8, 11), ("b", "firing", 8, 8), ("b", "resolved", 8, 9),
                    ("d", "firing", 8, 8), ("d", "resolved", 8, 9)]
 
 
+def test_the_hold_forgets_series_that_ended(spark, tmp_path):
+    ddl = "job string, step bigint, at timestamp, is_true boolean"
+    source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+
+    def rows(job, first, n, truth=True):
+        return [(job, STEP0 + 15 * (first + i), T0 + timedelta(seconds=15 * (first + i)), truth) for i in range(n)]
+
+    held_series = []
+    for batch in [rows("a", 0, 12) + rows("b", 0, 3), rows("a", 12, 2), rows("beyond", 4_000, 1, False), rows("beyond", 8_000, 1, False), rows("beyond", 12_000, 1, False)]:
+        spark.createDataFrame(batch, ddl).coalesce(1).write.mode("append").parquet(source)
+        held = jobs.hold_alerts(spark.readStream.schema(ddl).parquet(source), ["job"], silence="1 minute")
+        jobs.write_parquet(held, out, check, settings=jobs.STATE_STORE).awaitTermination()
+        state = spark.read.format("statestore").option("stateVarName", "run").load(check)
+        held_series.append(sorted(r.job for r in state.select("key.job").collect()))
+    waiting = spark.read.format("statestore").option("stateVarName", "waiting").load(check)
+    assert {r.job for r in waiting.select("key.job").collect()} <= {"beyond"}  # the newest row still waits, nothing else does
+    assert held_series[0] == ["a"] or held_series[1] == ["a"]
+    assert held_series[-1] == []
+    got = sorted((r.job, r.kind) for r in spark.read.parquet(out).collect())
+    assert got == [("a", "firing"), ("a", "resolved")]
+
+
 def test_repeated_alerts_are_stored_once_however_late(spark, tmp_path):
     ddl = "fingerprint string, started_at timestamp, n int"
     source, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
@@ -112,7 +134,7 @@ def test_a_late_row_does_not_break_a_run(spark, tmp_path):
     for batch in batches:
         spark.createDataFrame(batch, ddl).coalesce(1).write.mode("append").parquet(source)
         held = jobs.hold_alerts(spark.readStream.schema(ddl).parquet(source), ["job"], silence="10 minutes")
-        jobs.write_parquet(held, out, check).awaitTermination()
+        jobs.write_parquet(held, out, check, settings=jobs.STATE_STORE).awaitTermination()
     got = sorted((r.kind, (r.started_s - STEP0) // 15, (r.at_s - STEP0) // 15) for r in spark.read.parquet(out).collect())
     assert got == [("firing", 8, 8), ("resolved", 8, 10)]
 

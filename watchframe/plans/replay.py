@@ -73,7 +73,7 @@ def alert_hold(f: Fixtures, evaluations: DataFrame, keys: Sequence[str]) -> Data
         "at": ahead, "step": F.unix_seconds(ahead), "is_true": F.lit(False), keys[0]: F.lit("beyond")})
     beyond.select(evaluations.columns).coalesce(1).write.mode("append").parquet(f"{root}/in")
     held = jobs.hold_alerts(stream, keys, silence="3 hours")
-    jobs.write_parquet(held, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    jobs.write_parquet(held, f"{root}/out", f"{root}/checkpoint", settings=jobs.STATE_STORE).awaitTermination()
     return f.spark.read.parquet(f"{root}/out")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from watchframe.operators import logs, normalize, probes, series
 from watchframe.operators.alerts import HOLD_SECONDS
@@ -134,6 +134,68 @@ def read_latest(spark: SparkSession, root: str) -> DataFrame:
     return latest_table(spark, root).read().select("metric", series.labels_of(F.col("series")).alias("labels"), "ts", "value")
 
 
+class Hold(StatefulProcessor):
+    """Run of true steps of one series, the steps that wait for the watermark, and a timer for the next one due.
+
+    Once the watermark has passed all waiting steps and the run has ended, the series' state is removed.
+    """
+
+    def __init__(self, names: Sequence[str], step_s: int, hold_s: int):
+        self.names, self.step_s, self.hold_s = list(names), step_s, hold_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "start bigint, last bigint, fired boolean")
+        self.waiting = handle.getMapState("waiting", "step bigint", "is_true boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() // 1000
+        for frame in rows:
+            for step, truth in zip(frame["step"], frame["is_true"]):
+                if step > passed:  # others come too late: their time is done
+                    self.waiting.updateValue((int(step),), (bool(truth),))
+        yield self._advance(key, passed)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._advance(key, timerValues.getCurrentWatermarkInMs() // 1000)
+
+    def _advance(self, key: tuple, passed: int) -> pd.DataFrame:
+        start, last, fired = self.run.get() if self.run.exists() else (None, None, False)
+        waiting, out = {k[0]: v[0] for k, v in self.waiting.iterator()} if self.waiting.exists() else {}, []
+        for step in sorted(s for s in waiting if s <= passed):
+            truth = waiting.pop(step)
+            self.waiting.removeKey((step,))
+            if start is not None and (not truth or step - last > self.step_s):
+                out += [(*key, "resolved", start + self.hold_s, last + self.step_s)] if fired else []
+                start, fired = None, False
+            if truth:
+                start, last = (step if start is None else start), step
+                if not fired and last - start >= self.hold_s:
+                    fired = True
+                    out.append((*key, "firing", start + self.hold_s, start + self.hold_s))
+        if start is not None and passed > last + self.step_s:
+            out += [(*key, "resolved", start + self.hold_s, last + self.step_s)] if fired else []
+            start = None
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        due = [*waiting, *([last + self.step_s + 1] if start is not None else [])]
+        if due:
+            self.handle.registerTimer(max(min(due), passed + 1) * 1000)
+        if start is not None:
+            self.run.update((start, last, fired))
+        elif self.run.exists():
+            self.run.clear()
+        if not waiting and self.waiting.exists():
+            self.waiting.clear()
+        return pd.DataFrame(out, columns=[*self.names, "kind", "started_s", "at_s"])
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
 def hold_alerts(
     evaluations: DataFrame, keys: Sequence[str], step_s: int = STEP_SECONDS, hold_s: int = HOLD_SECONDS,
     silence: str = "5 minutes",
@@ -141,48 +203,16 @@ def hold_alerts(
     """Stateful alert hold over rows ``keys``, ``step`` (epoch seconds), ``at`` (its timestamp), ``is_true``.
 
     Emits ``firing`` once a run has held, and ``resolved`` when it ends. Rows wait until the watermark, ``silence`` behind the
-    newest row, has passed them and are then taken in order, so they may come late by as much, in any batch. A step without a
-    row by then ends a run. State per series is the run and the rows that wait, at most one per step of ``silence``.
+    newest row of the batches before, has passed them and are then taken in order, so they may come late by as much, in any batch;
+    later ones are left out. A step without a row by then ends a run. State per series is the run and the rows that wait, at most
+    one per step of ``silence``; a series whose run has ended and that waits for nothing has none. The stream must be started under
+    the settings of ``STATE_STORE``.
     """
     names = list(keys)
     types = {f.name: f.dataType.simpleString() for f in evaluations.schema.fields}
     output = ", ".join(f"`{k}` {types[k]}" for k in names) + ", kind string, started_s bigint, at_s bigint"
-
-    def walk(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, last, fired, done, steps, truths = state.get if state.exists else (-1, -1, False, -1, [], [])
-        waiting, out = dict(zip(steps, truths)), []
-        if not state.hasTimedOut:
-            for frame in frames:
-                waiting.update((int(s), bool(t)) for s, t in zip(frame["step"], frame["is_true"]) if s > done)
-        passed = state.getCurrentWatermarkMs() // 1000
-
-        def close() -> None:
-            nonlocal start, last, fired
-            if start >= 0 and fired:
-                out.append((*key, "resolved", start + hold_s, last + step_s))
-            start, last, fired = -1, -1, False
-
-        for step in sorted(s for s in waiting if s <= passed):
-            truth, done = waiting.pop(step), step
-            if not truth or (start >= 0 and step - last > step_s):
-                close()
-            if truth:
-                start, last = (step if start < 0 else start), step
-                if not fired and last - start >= hold_s:
-                    fired = True
-                    out.append((*key, "firing", start + hold_s, start + hold_s))
-        if start >= 0 and passed > last + step_s:
-            close()
-        steps = sorted(waiting)
-        state.update((start, last, fired, done, steps, [waiting[s] for s in steps]))
-        due = min([*steps[:1], *([last + step_s + 1] if start >= 0 else [])], default=None)
-        if due is not None:
-            state.setTimeoutTimestamp(max(due * 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[*names, "kind", "started_s", "at_s"])
-
-    memory = "start bigint, last bigint, fired boolean, done bigint, steps array<bigint>, truths array<boolean>"
-    return evaluations.withWatermark("at", silence).groupBy(*names).applyInPandasWithState(
-        walk, output, memory, "append", GroupStateTimeout.EventTimeTimeout)
+    return evaluations.withWatermark("at", silence).groupBy(*names).transformWithStateInPandas(
+        Hold(names, step_s, hold_s), output, "append", "eventtime")
 
 
 def dedup_to_table(events: DataFrame, root: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
@@ -205,5 +235,14 @@ def dedup_to_table(events: DataFrame, root: str, checkpoint: str, interval: str
     return _start(events.writeStream.foreachBatch(merge), checkpoint, interval)
 
 
-def write_parquet(rows: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    return _start(rows.writeStream.format("parquet").option("path", path), checkpoint, interval)
+def write_parquet(rows: DataFrame, path: str, checkpoint: str, interval: str | None = None, settings: Mapping[str, str] | None = None) -> StreamingQuery:
+    """Append to a table. ``settings`` hold while the query is started, which then keeps them."""
+    conf = rows.sparkSession.conf
+    before = {k: conf.get(k, None) for k in settings or {}}
+    try:
+        for k, v in (settings or {}).items():
+            conf.set(k, v)
+        return _start(rows.writeStream.format("parquet").option("path", path), checkpoint, interval)
+    finally:
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
