@@ -406,6 +406,16 @@ ORACLE: dict[str, str] = {
     "correlated_alerts": _with(*_ALERTS) + """SELECT a.environment, a.started_s AS at_s, count(DISTINCT b.job) AS n_signals, count(*) AS n_alerts
         FROM (SELECT DISTINCT environment, started_s FROM fired) a JOIN fired b ON b.environment = a.environment
         AND b.started_s > a.started_s - 900 AND b.started_s <= a.started_s GROUP BY ALL HAVING count(DISTINCT b.job) >= 2""",
+    "wait_rate_by_target": _with(*_rate(15)) + """SELECT step, 'env' || (target % 3) AS environment, target, event_type AS wait_type, round(sum(rate), 6) AS value
+        FROM rates GROUP BY step, target, event_type""",
+    "event_rate_by_severity": _with(*_rate(15)) + """SELECT step, 'env' || (target % 3) AS environment, 'app' || (target % 2) AS application, event_type AS severity,
+        round(sum(rate), 6) AS value FROM rates GROUP BY ALL""",
+    "baseline_stored": f"""SELECT 'shop' AS application_id, event_type AS signal_key, '30d' AS window, 'quantile' AS method, count(*) AS n,
+        round(quantile_cont(value, 0.05), 6) AS lower, round(quantile_cont(value, 0.95), 6) AS upper, {GRID_END}000000::BIGINT AS last_computed_at_us FROM events GROUP BY event_type""",
+    "read_metadata_tables": _model() + """SELECT 'users' AS table, coalesce(status, '') AS status, count(*) AS n, count(DISTINCT email) AS n_names FROM users GROUP BY ALL
+        UNION ALL SELECT 'applications', status, count(*), count(DISTINCT name) FROM applications GROUP BY ALL""",
+    "binary_labels": "SELECT c_custkey, c_name, c_mktsegment || ' é' AS segment FROM customer",
+    "absolute_urls": """SELECT page_id, page_id % 5 NOT IN (0, 1, 2) AND regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') AS absolute FROM pages""",
     "correlated_events": """WITH e AS (SELECT user_id, event_type, epoch_us(ts) // 1000000 AS s FROM events)
         SELECT a.user_id, a.s AS at_s, count(DISTINCT b.event_type) AS n_signals, count(*) AS n_alerts
         FROM (SELECT DISTINCT user_id, s FROM e) a JOIN e b ON b.user_id = a.user_id AND b.s > a.s - 3600 AND b.s <= a.s

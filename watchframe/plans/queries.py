@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from watchframe.functions.labels import label_pairs
+from watchframe.functions.text import is_absolute_url
 from watchframe.operators import (
     alerts, audit, baselines, contracts, correlate, hash_tree, inventory, investigate, logs, metadata, normalize, probes, reports,
     rolling, rules, series, sweep,
@@ -22,7 +23,7 @@ from watchframe.session import work_dir
 from watchframe.sources import sinks
 from watchframe.sources.events import read_raw
 from watchframe.sources.inventory import read_collectors
-from watchframe.sources.snapshots import read_snapshots
+from watchframe.sources.snapshots import read_metadata, read_snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -288,6 +289,25 @@ def rate5m(f):
     return rates.select("event_type", "target", "step", "n", rounded("increase"), rounded("rate"))
 
 
+def _target_rates(f: Fixtures) -> DataFrame:
+    rates = rules.rate(f.sql(recipes.COUNTER_SAMPLES), ["event_type", "target"], start=START, end=END, order="ord")
+    return rates.withColumn("environment", F.concat(F.lit("env"), F.col("target") % 3))
+
+
+@query
+def wait_rate_by_target(f):
+    """The shipped grouping of wait rates."""
+    rates = _target_rates(f).withColumnRenamed("event_type", "wait_type")
+    return rules.sum_by(rates, ["environment", "target", "wait_type"], "rate").select("step", "environment", "target", "wait_type", rounded("value"))
+
+
+@query
+def event_rate_by_severity(f):
+    """The shipped grouping of event rates."""
+    rates = _target_rates(f).select("*", F.concat(F.lit("app"), F.col("target") % 2).alias("application"), F.col("event_type").alias("severity"))
+    return rules.sum_by(rates, ["environment", "application", "severity"], "rate").select("step", "environment", "application", "severity", rounded("value"))
+
+
 def _down(f: Fixtures) -> DataFrame:
     return rules.threshold(_up(f), rules.matches(F.col("job"), JOBS) & (F.col("value") == 0))
 
@@ -530,6 +550,44 @@ def baseline_quantile(f):
     return band.select("event_type", "n", rounded("lower"), rounded("upper"))
 
 
+@query
+def baseline_stored(f):
+    """Baselines written in the shape of the stored table and read back with typed parameters."""
+    path = work_dir(f.spark, "baselines")
+    band = baselines.quantile_band(f.table("events"), ["event_type"], "value").select("event_type", "n", rounded("lower"), rounded("upper"))
+    rows = baselines.baseline_rows(band, F.lit("shop"), F.col("event_type"), "30d", "quantile", ["n", "lower", "upper"], F.timestamp_seconds(F.lit(END)))
+    rows.write.parquet(path)
+    read = baselines.stored_parameters(f.spark.read.parquet(path), {"n": "bigint", "lower": "double", "upper": "double"})
+    return read.select("application_id", "signal_key", "window", "method", "n", "lower", "upper", micros("last_computed_at"))
+
+
+@query
+def read_metadata_tables(f):
+    """Metadata tables stored and read with their schema."""
+    root = work_dir(f.spark, "metadata")
+    for name in ("users", "applications"):
+        f.model()[name].write.parquet(f"{root}/{name}")
+    t = read_metadata(f.spark, root, ("users", "applications"))
+    users = t["users"].groupBy(F.lit("users").alias("table"), text("status")).agg(F.count("id").alias("n"), F.countDistinct("email").alias("n_names"))
+    applications = t["applications"].groupBy(F.lit("applications").alias("table"), text("status")).agg(F.count("id").alias("n"), F.countDistinct("name").alias("n_names"))
+    return users.unionByName(applications)
+
+
+@query
+def binary_labels(f):
+    """Label columns that arrive as bytes."""
+    rows = f.table("customer").select("c_custkey", F.encode("c_name", "UTF-8").alias("c_name"), F.encode(F.concat("c_mktsegment", F.lit(" é")), "UTF-8").alias("segment"))
+    return probes.binary_to_text(rows)
+
+
+@query
+def absolute_urls(f):
+    """Which page addresses name a scheme and a host, some of them cut short."""
+    url = F.when(F.col("page_id") % 5 == 0, F.regexp_replace("url", "^[a-z]+:", "")).when(F.col("page_id") % 5 == 1, F.regexp_replace("url", "//[^/]*", "//")).when(
+        F.col("page_id") % 5 == 2, F.lit("")).otherwise(F.col("url"))
+    return f.table("pages").select("page_id", is_absolute_url(url).alias("absolute"))
+
+
 @query
 def special_quantiles(f):
     """Quantiles over values with infinities and NaN, which is the largest."""
