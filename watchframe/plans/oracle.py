@@ -53,6 +53,8 @@ NORMALIZED = (
         f_platform AS platform, severity, f_message AS message, f_user_id AS user_id, f_session_id AS session_id,
         f_request_id AS request_id, f_client_ip AS client_ip, labels FROM checked WHERE reject_reason IS NULL"""),
 )
+# a contract asks for JSON, whatever the size of its numbers
+_ANY_JSON = ("docs", "SELECT event_id, ts, value, CASE WHEN json_valid(value) THEN CAST(value AS JSON) END AS doc FROM raw")
 _ACCEPTED = _with(*NORMALIZED)
 _ROWS = ("event_id, timestamp_us, environment, application, component, platform, severity, message, user_id, session_id, "
          "request_id, client_ip, labels")
@@ -90,7 +92,7 @@ def _contract_sql() -> str:
     rules.append("CASE WHEN json_type(doc, '$.labels') <> 'OBJECT' THEN 'type:labels' END")
     bad = "list_filter(json_keys(doc, '$.labels'), lambda k: json_type(doc, '$.labels.' || k) IN ('NULL', 'OBJECT', 'ARRAY'))"
     rules.append(f"CASE WHEN json_type(doc, '$.labels') = 'OBJECT' AND len({bad}) > 0 THEN 'value_type:labels' END")
-    return _with(*NORMALIZED[:2]) + f"""
+    return _with(NORMALIZED[0], _ANY_JSON) + f"""
 SELECT event_id, rule FROM (SELECT event_id, unnest(CASE WHEN doc IS NULL THEN ['parse'] ELSE [{', '.join(rules)}] END) AS rule FROM docs)
 WHERE rule IS NOT NULL"""
 
