@@ -58,6 +58,67 @@ def delete_effects(tables: Mapping[str, DataFrame], parent: str, deleted: DataFr
     return union(parts)
 
 
+def delete_plan(
+    tables: Mapping[str, DataFrame], parent: str, deleted: DataFrame, folder: str, foreign_keys: Sequence[ForeignKey] = FOREIGN_KEYS,
+) -> DataFrame:
+    """What deleting rows of ``parent`` (their key in column ``id``) does to all tables, however far cascades reach.
+
+    Every key is a delete of its own. Its reach is a fixpoint: rows that refer to a reached row by ``cascade`` are reached, round
+    by round, each stored in ``folder``; a row already reached is not followed again, so references may go in circles. A
+    reference by ``restrict`` to any reached row blocks the whole delete of that key, also if the referring row were reached
+    itself; then only what blocks it is listed. One row per ``key``, ``table`` and ``column``: the ``effect`` (removed, cleared
+    or blocked) on ``n_rows`` references. Keys are compared as text. NULL keys reach nothing.
+    """
+    spark = deleted.sparkSession
+    known = [fk for fk in foreign_keys if fk.table in tables]
+    if any(fk.parent_column != "id" for fk in known):
+        raise ValueError("references must be to the column id")
+    referred = {fk.parent for fk in known}
+    key = F.col("id").cast("string")
+    start = f"{folder}/round=0/table={parent}"
+    deleted.filter(F.col("id").isNotNull()).select(key.alias("key"), key.alias("id")).distinct().write.parquet(start)
+    # the parts of each table's reached rows; a round follows only what the round before added
+    reached, added = {parent: [start]}, {parent: start}
+
+    def hits(fk: ForeignKey, rows: DataFrame) -> DataFrame:
+        child = tables[fk.table]
+        own = child["id"] if "id" in child.columns else F.lit(None)
+        refs = child.select(F.col(fk.column).cast("string").alias("_ref"), own.cast("string").alias("_own"))
+        return refs.join(rows, F.col("_ref") == F.col("id"))
+
+    number = 0
+    while added:
+        number += 1
+        found: dict[str, list[DataFrame]] = {}
+        for fk in known:
+            if fk.on_delete == "cascade" and fk.parent in added and fk.table in referred:
+                rows = hits(fk, spark.read.parquet(added[fk.parent])).filter("_own IS NOT NULL")
+                found.setdefault(fk.table, []).append(rows.select("key", F.col("_own").alias("id")))
+        added = {}
+        for table, parts in found.items():
+            fresh = union(parts).distinct()
+            if table in reached:
+                fresh = fresh.join(spark.read.parquet(*reached[table]), ["key", "id"], "left_anti")
+            path = f"{folder}/round={number}/table={table}"
+            fresh.write.parquet(path)
+            if not spark.read.parquet(path).isEmpty():
+                added[table] = path
+        for table, path in added.items():
+            reached.setdefault(table, []).append(path)
+
+    words = {"cascade": "removed", "set_null": "cleared", "restrict": "blocked"}
+    parts = [
+        hits(fk, spark.read.parquet(*reached[fk.parent])).groupBy("key").agg(F.count("*").alias("n_rows")).select(
+            "key", F.lit(fk.table).alias("table"), F.lit(fk.column).alias("column"), F.lit(words[fk.on_delete]).alias("effect"), "n_rows")
+        for fk in known if fk.parent in reached]
+    if not parts:
+        return spark.createDataFrame([], "key string, table string, column string, effect string, n_rows bigint")
+    union(parts).write.parquet(f"{folder}/effects")
+    effects = spark.read.parquet(f"{folder}/effects")
+    blocked = effects.filter("effect = 'blocked'")
+    return blocked.unionByName(effects.filter("effect <> 'blocked'").join(blocked.select("key").distinct(), "key", "left_anti"))
+
+
 def cascade_removed(child: DataFrame, deleted: DataFrame, column: str) -> DataFrame:
     """Child rows that go with their parent."""
     return child.join(deleted.select(F.col("id").alias("_id")), F.col(column) == F.col("_id"), "left_semi")

@@ -34,6 +34,8 @@ OPTIONAL_FIELDS = ("component", "platform", "user_id", "session_id", "request_id
 ENVELOPE = ("timestamp", "environment", "application", "component", "platform", "severity", "message",
             "user_id", "session_id", "request_id", "client_ip", "labels")
 
+SEVERITIES = ("debug", "info", "warning", "error", "critical")  # counted by name while events are written, others together
+
 # Texts of the reasons an event is rejected.
 REJECT_PARSE = "parse application event"
 REJECT_TIMESTAMP = "timestamp must be RFC3339"
@@ -193,6 +195,13 @@ def count_accepted(
     return events.groupBy(*groups).agg(F.count("*").alias("n_events"))
 
 
+def severity_counters(severities: Sequence[str] = SEVERITIES) -> list[Column]:
+    """Numbers of events per severity, for ``observe``: ``n_0``, ``n_1`` ... in the order given, the last for all others."""
+    severity = F.col("severity")
+    known = F.coalesce(severity.isin(*severities), F.lit(False))
+    return [F.count_if(c).alias(f"n_{i}") for i, c in enumerate([*[severity == s for s in severities], ~known])]
+
+
 def alert_deliveries(raw: DataFrame, value: str = "value") -> DataFrame:
     """Alert deliveries with ``accepted``: any JSON object counts, and so does ``null``."""
     kind = F.schema_of_variant(F.try_parse_json(F.col(value)))

@@ -63,8 +63,15 @@ def instant_vector(
     """
     rows = _covered(samples, series, value, lookback_s, step_s, start, end, order)
     # samples that become visible at the same step collapse to the newest before the wide shuffle
-    newest = rows.groupBy(*series, "first").agg(F.max_by("value", "at").alias("value"), F.max("last").alias("last"))
-    chunked = _chunked(newest, chunk_steps)
+    return _spread(_chunked(_newest(rows, [*series, "first"]), chunk_steps), series, step_s, chunk_steps)
+
+
+def _newest(rows: DataFrame, cell: Sequence[str]) -> DataFrame:
+    return rows.groupBy(*cell).agg(F.max_by("value", "at").alias("value"), F.max("last").alias("last"))
+
+
+def _spread(chunked: DataFrame, series: Sequence[str], step_s: int, chunk_steps: int) -> DataFrame:
+    """Each newest sample over the steps up to the next one."""
     following = F.lead("first").over(Window.partitionBy(*series, "chunk").orderBy("first"))
     low, high = _clip(chunk_steps)
     spans = chunked.withColumn("following", following).select(
@@ -88,14 +95,21 @@ def rate(
     cells are ordered, in chunks. So a dense series spreads over its cells.
     """
     rows = _covered(samples, series, value, range_s, step_s, start, end, order)
-    cell = [*series, "first", "last"]
+    return _windows(_chunked(_cells(rows, [*series, "first", "last"]), chunk_steps), series, range_s, step_s, chunk_steps)
+
+
+def _cells(rows: DataFrame, cell: Sequence[str]) -> DataFrame:
+    """Samples seen from the same steps, reduced to their ends and what their resets hide."""
     previous = F.lag("value").over(Window.partitionBy(*cell).orderBy("at"))
     # what a reset hides: the value the counter had reached before it fell
     hidden = F.when(F.col("value") < F.col("previous"), F.col("previous")).otherwise(F.lit(0.0))
-    cells = rows.withColumn("previous", previous).groupBy(*cell).agg(
+    return rows.withColumn("previous", previous).groupBy(*cell).agg(
         F.count("*").alias("n"), F.min("us").alias("us0"), F.max("us").alias("us1"),
         F.min_by("value", "at").alias("v0"), F.max_by("value", "at").alias("v1"), F.sum(hidden).alias("inside"))
-    chunked = _chunked(cells, chunk_steps)
+
+
+def _windows(chunked: DataFrame, series: Sequence[str], range_s: int, step_s: int, chunk_steps: int) -> DataFrame:
+    """Rates of the cells of each chunk."""
     before = F.lag("v1").over(Window.partitionBy(*series, "chunk").orderBy("us0"))
     parts = chunked.withColumn("before", before).withColumn(
         "drop0", F.when(F.col("v0") < F.col("before"), F.col("before")).otherwise(F.lit(0.0)))
@@ -112,6 +126,24 @@ def rate(
     return ready.select(*series, "step", "n", "increase", (F.col("increase") * _extrapolation(range_s) / range_s).alias("rate"))
 
 
+def stored_chunks(
+    samples: DataFrame, series: Sequence[str], value: str = "value", reach_s: int = 300, step_s: int = STEP_SECONDS,
+    start: int | None = None, end: int | None = None, chunk_steps: int = 480, order: str | None = None,
+) -> DataFrame:
+    """Samples as ``sinks.store_bucketed`` keeps them by series and chunk: each in every chunk of steps that can see it."""
+    return _chunked(_covered(samples, series, value, reach_s, step_s, start, end, order), chunk_steps)
+
+
+def rate_of_chunks(stored: DataFrame, series: Sequence[str], range_s: int = 300, step_s: int = STEP_SECONDS, chunk_steps: int = 480) -> DataFrame:
+    """``rate`` over stored chunks, made with the same settings. Bucketed by series and chunk, they need no shuffle."""
+    return _windows(_cells(stored, [*series, "chunk", "first", "last"]), series, range_s, step_s, chunk_steps)
+
+
+def vector_of_chunks(stored: DataFrame, series: Sequence[str], step_s: int = STEP_SECONDS, chunk_steps: int = 480) -> DataFrame:
+    """``instant_vector`` over stored chunks whose ``reach_s`` is the look-back. Bucketed by series and chunk, they need no shuffle."""
+    return _spread(_newest(stored, [*series, "chunk", "first"]), series, step_s, chunk_steps)
+
+
 def _extrapolation(range_s: int) -> Column:
     """Stretch of the sampled span to the window edges."""
     sampled = (F.col("us1") - F.col("us0")) / MICROS

@@ -251,7 +251,8 @@ _VERSION = f"""WITH h AS (SELECT sha256({_ROW_JSON}) AS h FROM customer), t AS (
     SELECT n, sha256('{{"n":' || n || ',"s0":' || s0 || ',"s1":' || s1 || ',"s2":' || s2 || ',"s3":' || s3 || '}}') AS version FROM t"""
 
 _STREAM_SAME = {"stream_normalize": "normalize_accepted", "stream_rejected": "normalize_rejected", "stream_latest": "series_latest",
-                "stream_probe_cycle": "probe_cycle_samples", "sink_evidence": "probe_evidence", "read_collector_table": "inventory_enabled"}
+                "stream_probe_cycle": "probe_cycle_samples", "sink_evidence": "probe_evidence", "rate5m_bucketed": "rate5m",
+                "stream_sessions": "sessions", "stream_observed_counts": "observed_counts", "read_collector_table": "inventory_enabled"}
 
 ORACLE: dict[str, str] = {
     "normalize_accepted": _ACCEPTED + f"SELECT {_ROWS} FROM accepted",
@@ -431,6 +432,21 @@ ORACLE: dict[str, str] = {
         CASE WHEN o.c_custkey IS NULL THEN 'added' WHEN n.c_custkey IS NULL THEN 'removed' ELSE 'updated' END AS change
         FROM customer o FULL JOIN next n ON o.c_custkey = n.c_custkey
         WHERE o.c_custkey IS NULL OR n.c_custkey IS NULL OR o.c_acctbal IS DISTINCT FROM n.c_acctbal""",
+    "observed_counts": _ACCEPTED + """, k AS (SELECT unnest(['click', 'error', 'view', 'other']) AS severity),
+        n AS (SELECT CASE WHEN severity IN ('click', 'error', 'view') THEN severity ELSE 'other' END AS severity, count(*) AS n FROM accepted GROUP BY 1)
+        SELECT severity, coalesce(n, 0) AS n_events FROM k LEFT JOIN n USING (severity)""",
+    "sketch_bands": """WITH e AS (SELECT event_type, epoch_us(ts) // 86400000000 AS d FROM events)
+        SELECT k.event_type, k.d * 86400 AS bucket, count(*) AS n, true AS near
+        FROM (SELECT DISTINCT event_type, d FROM e) k JOIN e ON e.event_type = k.event_type AND e.d BETWEEN k.d - 6 AND k.d GROUP BY ALL""",
+    "delete_plan": _with(*[(name, for_duckdb(text)) for name, text in recipes.DELETE_CHAIN.items()],
+        ("gone", "SELECT DISTINCT id AS key FROM buyers WHERE right(id, 1) IN ('1', '3', '6')"),
+        ("p", "SELECT DISTINCT key, purchases.id FROM gone JOIN purchases ON buyer_id = key"),
+        ("l", "SELECT DISTINCT key, lines.id FROM p JOIN lines ON purchase_id = p.id"),
+        ("b", "SELECT key, count(*) AS n FROM l JOIN claims ON line_id = l.id GROUP BY key")) + """
+        SELECT key, 'claims' AS "table", 'line_id' AS "column", 'blocked' AS effect, n AS n_rows FROM b
+        UNION ALL SELECT key, 'purchases', 'buyer_id', 'removed', count(*) FROM gone JOIN purchases ON buyer_id = key WHERE key NOT IN (SELECT key FROM b) GROUP BY key
+        UNION ALL SELECT key, 'lines', 'purchase_id', 'removed', count(*) FROM p JOIN lines ON purchase_id = p.id WHERE key NOT IN (SELECT key FROM b) GROUP BY key
+        UNION ALL SELECT key, 'notes', 'purchase_id', 'cleared', count(*) FROM p JOIN notes ON purchase_id = p.id WHERE key NOT IN (SELECT key FROM b) GROUP BY key""",
     "sessions": """WITH e AS (SELECT user_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS previous FROM events),
         s AS (SELECT *, sum(CASE WHEN us - previous <= 1800000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY us) AS session FROM e)
         SELECT user_id, min(us) AS start_us, max(us) AS end_us, count(*) AS n_events FROM s GROUP BY user_id, session""",

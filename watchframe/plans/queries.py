@@ -13,12 +13,12 @@ from watchframe.functions.labels import label_pairs
 from watchframe.functions.text import is_absolute_url
 from watchframe.operators import (
     alerts, audit, baselines, contracts, correlate, hash_tree, inventory, investigate, logs, metadata, normalize, probes, reports,
-    rolling, rules, series, sweep,
+    rolling, rules, series, sketches, sweep,
 )
 from watchframe.operators.quantiles import exact_quantiles
 from watchframe.plans import recipes, replay
 from watchframe.plans.fixtures import Fixtures
-from watchframe.schemas import Check, Unique
+from watchframe.schemas import Check, ForeignKey, Unique
 from watchframe.session import work_dir
 from watchframe.sources import sinks
 from watchframe.sources.events import read_raw
@@ -29,6 +29,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 START, END = recipes.GRID_START, recipes.GRID_END
 POLICY_NOW = "2024-01-20 00:00:00"
+OBSERVED = ("click", "error", "view")
 JOBS = "store-api|edge-proxy|store-worker"
 
 
@@ -289,6 +290,21 @@ def rate5m(f):
     return rates.select("event_type", "target", "step", "n", rounded("increase"), rounded("rate"))
 
 
+def _bucketed(f: Fixtures, step_s: int, reach_s: int, chunk_steps: int) -> DataFrame:
+    """Counter samples in chunks, stored by series and chunk."""
+    keys, root = ["event_type", "target"], work_dir(f.spark, "bucketed")
+    chunks = rules.stored_chunks(
+        f.sql(recipes.COUNTER_SAMPLES), keys, reach_s=reach_s, step_s=step_s, start=START, end=END, chunk_steps=chunk_steps, order="ord")
+    return sinks.store_bucketed(chunks, root.rsplit("/", 1)[1].replace("-", "_"), root, [*keys, "chunk"], 16)
+
+
+@query
+def rate5m_bucketed(f):
+    """Rates from samples stored by series and chunk, read without a shuffle."""
+    rates = rules.rate_of_chunks(_bucketed(f, 60, 300, 480), ["event_type", "target"], step_s=60)
+    return rates.select("event_type", "target", "step", "n", rounded("increase"), rounded("rate"))
+
+
 def _target_rates(f: Fixtures) -> DataFrame:
     rates = rules.rate(f.sql(recipes.COUNTER_SAMPLES), ["event_type", "target"], start=START, end=END, order="ord")
     return rates.withColumn("environment", F.concat(F.lit("env"), F.col("target") % 3))
@@ -435,6 +451,19 @@ def delete_effects(f):
     return audit.delete_effects(f.model(), "applications", gone)
 
 
+CHAIN_KEYS = (
+    ForeignKey("purchases", "buyer_id", "buyers", "cascade"), ForeignKey("lines", "purchase_id", "purchases", "cascade"),
+    ForeignKey("claims", "line_id", "lines", "restrict"), ForeignKey("notes", "purchase_id", "purchases", "set_null"))
+
+
+@query
+def delete_plan(f):
+    """Deletes of buyers, followed through their purchases and lines; a claim on any line blocks the whole delete."""
+    tables = {name: f.sql(text) for name, text in recipes.DELETE_CHAIN.items()}
+    gone = tables["buyers"].filter("right(id, 1) IN ('1', '3', '6')")
+    return audit.delete_plan(tables, "buyers", gone, work_dir(f.spark, "delete"), CHAIN_KEYS)
+
+
 # ---- investigations and links
 
 @query
@@ -671,6 +700,30 @@ def read_collector_table(f):
     return on.select("id", "environment", F.coalesce("interval_s", F.lit(-1.0)).alias("interval_s"), F.size("targets").cast("long").alias("n_targets"))
 
 
+@query
+def observed_counts(f):
+    """Accepted events by severity, counted by the job that writes them."""
+    counts = sinks.store_events(_events(f).drop("labels"), work_dir(f.spark, "observed"), OBSERVED)
+    return f.spark.createDataFrame(list(counts.items()), "severity string, n_events bigint")
+
+
+@query
+def sketch_bands(f):
+    """Bands of trailing weeks from daily sketches; do their ranks, counted exactly, lie within twice the stated error?"""
+    keys, probs = ["event_type"], {"lower": 0.05, "upper": 0.95}
+    events = f.table("events")
+    weeks = sketches.trailing(sketches.bucket_sketches(events, keys, "value", 86_400), keys, 86_400, 7)
+    bands = sketches.sketch_quantiles(weeks, probs)
+    day = F.unix_seconds("ts") - F.pmod(F.unix_seconds("ts"), F.lit(86_400))
+    spans = events.select(*keys, "value", F.explode(F.sequence(day, day + 6 * 86_400, F.lit(86_400).cast("long"))).alias("bucket"))
+    counts = [F.count_if(F.col("value") < F.col(name)).alias(f"below_{name}") for name in probs]
+    counts += [F.count_if(F.col("value") <= F.col(name)).alias(f"upto_{name}") for name in probs]
+    ranked = spans.join(bands, [*keys, "bucket"]).groupBy(*keys, "bucket", "n").agg(*counts)
+    slack = F.col("n") * (2 * sketches.RANK_ERROR) + 1
+    near = [(F.col(f"below_{name}") <= F.col("n") * p + slack) & (F.col(f"upto_{name}") >= F.col("n") * p - slack) for name, p in probs.items()]
+    return ranked.select(*keys, "bucket", "n", (near[0] & near[1]).alias("near"))
+
+
 @query
 def baseline_ewma(f):
     means = baselines.bucket_means(f.table("events"), ["event_type"], "value", 3600)
@@ -852,3 +905,14 @@ def stream_alert_dedup(f):
 @query
 def stream_probe_cycle(f):
     return sample_rows(replay.poll(f, _fleet_schedule(f)))
+
+
+@query
+def stream_observed_counts(f):
+    """Counts by severity, kept by the write of each batch."""
+    return replay.observed(f, OBSERVED).groupBy("severity").agg(F.sum("n_events").alias("n_events"))
+
+
+@query
+def stream_sessions(f):
+    return replay.sessions(f, ["user_id"])

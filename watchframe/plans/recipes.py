@@ -195,6 +195,19 @@ SELECT CAST(event_id AS STRING) AS id, CAST(user_id % 11 AS STRING) AS applicati
        CASE WHEN event_id % 59 = 0 THEN ts - INTERVAL '2' DAY WHEN event_id % 2 = 0 THEN ts END AS resolved_at FROM $events""",
 }
 
+# A chain of references, three tables deep, with claims that block at its end.
+DELETE_CHAIN = {
+    "buyers": "SELECT CAST(c_custkey AS STRING) AS id FROM $customer",
+    "purchases": "SELECT CAST(o_orderkey AS STRING) AS id, CAST(o_custkey AS STRING) AS buyer_id FROM $orders",
+    "lines": """
+SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS id, CAST(l_orderkey AS STRING) AS purchase_id,
+       l_shipdate FROM $lineitem""",
+    "claims": """
+SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS line_id FROM $lineitem
+WHERE l_returnflag = 'R' AND l_partkey % 97 = 0""",
+    "notes": "SELECT CAST(event_id AS STRING) AS id, CASE WHEN event_id % 4 <> 0 THEN CAST(user_id AS STRING) END AS purchase_id FROM $events",
+}
+
 SUBJECT_EVENTS = f"""
 SELECT event_id, ts AS timestamp, event_type, value, concat('app', CAST(user_id % 4 AS STRING)) AS application,
        concat('env', CAST(user_id % 3 AS STRING)) AS environment, concat('c', CAST(event_id % 6 AS STRING)) AS component,

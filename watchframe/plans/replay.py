@@ -50,6 +50,26 @@ def normalized(f: Fixtures) -> tuple[DataFrame, DataFrame]:
     return accepted.withColumn("labels", F.from_json("labels", "map<string,string>")), f.spark.read.parquet(f"{root}/rejected")
 
 
+def observed(f: Fixtures, severities: Sequence[str]) -> DataFrame:
+    root = work_dir(f.spark, "observed")
+    jobs.normalize_to_tables(raw_stream(f), root, f"{root}/checkpoint", severities=severities).awaitTermination()
+    return f.spark.read.parquet(f"{root}/counts")
+
+
+def sessions(f: Fixtures, subject: Sequence[str]) -> DataFrame:
+    """Events arrive out of order; a row far ahead then lets the watermark pass all sessions."""
+    root = work_dir(f.spark, "sessions")
+    events = f.table("events").select(*subject, "ts")
+    stream = stream_slices(events, "ts", f"{root}/in")
+    beyond = events.agg((F.max("ts") + F.expr("INTERVAL 365 DAYS")).alias("ts"))
+    beyond.select(*[F.lit(None).cast(events.schema[k].dataType).alias(k) for k in subject], "ts").write.mode("append").parquet(f"{root}/in")
+    covered_s = events.agg((F.unix_seconds(F.max("ts")) - F.unix_seconds(F.min("ts"))).alias("s")).first()["s"] or 0
+    # a pair of slices comes in reverse, so a row is at most two slices late
+    found = jobs.sessions(stream, subject, silence=f"{2 * covered_s // SLICES + 3600} seconds")
+    jobs.write_parquet(found, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return f.spark.read.parquet(f"{root}/out")
+
+
 def latest(f: Fixtures) -> DataFrame:
     root = work_dir(f.spark, "latest")
     jobs.latest_to_table(f.samples(stream_events(f)), f"{root}/table", f"{root}/checkpoint").awaitTermination()

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from watchframe.operators.audit import table_version
-from watchframe.operators.normalize import envelope_json
+from watchframe.operators.normalize import SEVERITIES, envelope_json, severity_counters
 
 
 def _partitioned(df: DataFrame, path: str, *columns: str) -> None:
@@ -20,6 +20,17 @@ def append_samples(samples: DataFrame, path: str) -> None:
     _partitioned(samples.withColumn("date", F.to_date("ts")), path, "date", "metric")
 
 
+def store_bucketed(rows: DataFrame, table: str, path: str, keys: Sequence[str], buckets: int = 64) -> DataFrame:
+    """Store rows as a table bucketed and sorted by ``keys``, one file a bucket, and return it.
+
+    What groups by these keys (and others) reads it without a shuffle. A bucket is one task's work, so ``keys`` should cut
+    dense series (``rules.stored_chunks`` does), and ``buckets`` should grow with the rows.
+    """
+    writer = rows.repartition(buckets, *keys).write.format("parquet").option("path", path)
+    writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+    return rows.sparkSession.table(table)
+
+
 def append_evidence(evidence: DataFrame, path: str) -> None:
     evidence.write.mode("append").parquet(path)
 
@@ -34,6 +45,17 @@ def write_envelopes(events: DataFrame, path: str) -> None:
     events.select(envelope_json(events).alias("value")).write.mode("append").text(path)
 
 
+def store_events(accepted: DataFrame, path: str, severities: Sequence[str] = SEVERITIES) -> dict[str, int]:
+    """Overwrite ``path`` with accepted events and return their number by severity, counted as they are written.
+
+    The counts come from the write itself, so the events are read once. Severities that are not listed count as ``other``.
+    A task that is run again counts once.
+    """
+    seen = Observation()
+    accepted.observe(seen, *severity_counters(severities)).write.mode("overwrite").parquet(path)
+    return {name: seen.get[f"n_{i}"] for i, name in enumerate([*severities, "other"])}
+
+
 def write_report(section: DataFrame, path: str, kind: str = "json") -> None:
     """A report section as ``csv`` with a header line, or as ``json``."""
     writer = section.write.mode("overwrite")

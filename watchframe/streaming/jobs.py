@@ -11,7 +11,9 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulP
 
 from watchframe.operators import logs, normalize, probes, series
 from watchframe.operators.alerts import HOLD_SECONDS
+from watchframe.operators.investigate import SESSION_GAP_S
 from watchframe.operators.rules import STEP_SECONDS
+from watchframe.sources import sinks
 from watchframe.streaming.merge_table import MergeTable
 
 WATERMARK = f"{logs.MAX_AGE_HOURS} hours"
@@ -66,15 +68,20 @@ def poll_probes(
     return _start(scrapes.writeStream.foreachBatch(cycle), checkpoint, interval)
 
 
-def normalize_to_tables(raw: DataFrame, root: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Normalise raw events into ``root/accepted`` and ``root/rejected``."""
+def normalize_to_tables(raw: DataFrame, root: str, checkpoint: str, interval: str | None = None,
+                        severities: Sequence[str] = normalize.SEVERITIES) -> StreamingQuery:
+    """Normalise raw events into ``root/accepted`` and ``root/rejected``; ``root/counts`` has the accepted ones of each batch by
+    severity, counted as they are written.
+    """
     checked = normalize.normalize(raw)
     labels = F.to_json(normalize.text_labels(F.col("labels")))
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch = batch.withColumn("labels", labels).persist()
         try:
-            normalize.accepted(batch).write.mode("overwrite").parquet(f"{root}/accepted/batch={batch_id}")
+            counts = sinks.store_events(normalize.accepted(batch), f"{root}/accepted/batch={batch_id}", severities)
+            batch.sparkSession.createDataFrame(list(counts.items()), "severity string, n_events bigint").write.mode("overwrite").parquet(
+                f"{root}/counts/batch={batch_id}")
             normalize.rejected(batch, *[c for c in raw.columns if c != "value"], "message").write.mode("overwrite").parquet(
                 f"{root}/rejected/batch={batch_id}")
         finally:
@@ -134,6 +141,20 @@ def read_latest(spark: SparkSession, root: str) -> DataFrame:
     return latest_table(spark, root).read().select("metric", series.labels_of(F.col("series")).alias("labels"), "ts", "value")
 
 
+def sessions(events: DataFrame, subject: Sequence[str], gap_s: int = SESSION_GAP_S, ts: str = "ts", silence: str = "1 hour") -> DataFrame:
+    """Streamed twin of ``investigate.sessions``: a session leaves once the watermark, ``silence`` behind the newest event of the
+    batches before, has passed its end.
+
+    The state holds one merged session per open run of a subject, not its events, whatever their order; events that come later
+    than ``silence`` are left out.
+    """
+    us = F.unix_micros(ts)
+    span = F.session_window(ts, f"{gap_s} seconds")  # sessions that touch are merged, so a pause of exactly the gap is none
+    merged = events.withWatermark(ts, silence).groupBy(*subject, span).agg(
+        F.min(us).alias("start_us"), F.max(us).alias("end_us"), F.count("*").alias("n_events"))
+    return merged.select(*subject, "start_us", "end_us", "n_events")
+
+
 class Hold(StatefulProcessor):
     """Run of true steps of one series, the steps that wait for the watermark, and a timer for the next one due.
 
