@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -49,6 +50,25 @@ def test_other_rules_and_masks(spark):
     assert row.t == "k <secret> <secret> é <secret>' end"
 
 
+def test_many_secrets_in_one_text(spark):
+    rng = random.Random(9)
+    parts = [rng.choice(["token=abcdefgh%d ", "é🙂 ", "secret: x ", "AKIAQWERTYUIOP%06d ", "%032x|", "token='AKIAQWERTYUIOP%06d' "]) for _ in range(40_000)]
+    text = "".join(p % i if "%" in p else p for i, p in enumerate(parts))
+    docs = spark.createDataFrame([(1, text), (2, "token=abcdefgh1 " * 256), (3, "token=abcdefgh1 " * 257 + "é")], "doc_id long, text string")
+    scanned = secret_scan.scan(docs, secret_scan.BASE)
+    begun = time.time()
+    got = {r.doc_id: r for r in scanned.select("doc_id", secret_scan.written(F.col("spans")).alias("s"),
+                                               secret_scan.redact(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert time.time() - begun < 30
+    assert got[1].s == spans_by_hand(text) and got[1].s.count(",") > 25_000
+    covered, at = [], 0
+    for a, b in sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in got[1].s.split(","))):
+        covered += [text[at:a], "<secret>"] if a >= at else []
+        at = max(at, b)
+    assert got[1].t == "".join(covered) + text[at:]
+    assert got[2].t == "<secret> " * 256 and got[3].t == "<secret> " * 257 + "é"
+
+
 def repeats_by_hand(words):
     n = len(words)
     best = [0] * n

@@ -14,6 +14,7 @@ or repeated ids keep one row per input row; an empty table gives an empty result
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from watchframe.llm.texts import whole_text
 
 MOST_STRINGS = 64  # alternatives that a derived part of a match is followed through
+BLOCK = 256  # matches that are placed, or masked, together
 
 
 @dataclass(frozen=True)
@@ -176,26 +178,48 @@ def candidates(index: DataFrame, queries: dict[str, frozenset], id_column: str =
     return gathered.select(F.col(id_column), rules.alias("rules")).where(F.size("rules") > 0)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often it is named."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _blocks(items: Column, each: Callable[[Column], Column]) -> Column:
+    """``each`` of every ``BLOCK`` neighbouring items of an array."""
+    last = F.call_function("div", F.size(items) - 1, F.lit(BLOCK)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(1)), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+    return F.transform(cut, each)
+
+
 def spans(text: Column, rule: Rule) -> Column:
     """Array of (start, end) of a rule's matches in a text, in order.
 
     The pieces between matches come from splitting at the expression, so a match starts after all pieces and matches before.
+    Matches are placed within blocks of them and then by the lengths of the blocks before, so an array that grows with each
+    match holds those of one block at most, or one entry per block.
     """
-    pattern = F.lit(rule.expression)
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
+    matches = F.regexp_extract_all(text, F.lit(rule.expression), F.lit(0))
+    long_enough = (lambda m: F.length(F.regexp_extract(m, rule.expression, rule.measured)) >= rule.least) if rule.measured else (lambda m: F.length(m) >= rule.least)
     sizes = F.transform(F.arrays_zip(F.split(text, rule.expression, -1).alias("piece"), matches.alias("match")),
-                        lambda z: F.struct(F.length(z["piece"]).alias("gap"), F.coalesce(F.length(z["match"]), F.lit(-1)).alias("size"), z["match"].alias("match")))
-    blank = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
-    long_enough = (lambda z: F.length(F.regexp_extract(z["match"], rule.expression, rule.measured)) >= rule.least) if rule.measured else (lambda z: z["size"] >= rule.least)
+                        lambda z: F.struct(F.length(z["piece"]).alias("gap"), F.coalesce(F.length(z["match"]), F.lit(0)).alias("size"),
+                                           F.coalesce(long_enough(z["match"]), F.lit(False)).alias("kept")))
+    none = F.array().cast("array<struct<start:int,end:int>>")
 
     def step(state: Column, z: Column) -> Column:
         start = state["at"] + z["gap"]
-        end = start + F.greatest(z["size"], F.lit(0))
-        one = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when((z["size"] >= 0) & long_enough(z), F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
+        one = F.array(F.struct(start.alias("start"), (start + z["size"]).alias("end")))
+        return F.struct((start + z["size"]).alias("at"), F.when(z["kept"], F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
 
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    return F.when(text.rlike(rule.expression), F.aggregate(sizes, blank, step, lambda s: s["found"])).otherwise(none)
+    def before(state: Column, block: Column) -> Column:
+        return F.struct((state["at"] + block["at"]).alias("at"), F.concat(state["starts"], F.array(state["at"])).alias("starts"))
+
+    def place(blocks: Column) -> Column:
+        starts = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")), before, lambda s: s["starts"])
+        moved = F.zip_with(blocks, starts, lambda b, at: F.transform(b["found"], lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"))))
+        return F.flatten(moved)
+
+    blank = F.struct(F.lit(0).alias("at"), none.alias("found"))
+    placed = _let(sizes, lambda items: _let(_blocks(items, lambda block: F.aggregate(block, blank, step)), place))
+    return F.when(text.rlike(rule.expression), placed).otherwise(none)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, id_column: str = "doc_id", text_column: str = "text",
@@ -233,14 +257,25 @@ def written(found: Column) -> Column:
 
 
 def redact(text: Column, found: Column, mark: str = "<secret>") -> Column:
-    """The text with each stretch that spans cover, overlaps united, replaced by ``mark``."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    """The text with each stretch that spans cover, overlaps united, replaced by ``mark``; a block of spans at a time."""
+    no_parts = F.array().cast("array<string>")
+
+    def of_block(state: Column, block: Column) -> Column:
+        stop = F.greatest(state["at"], F.array_max(F.transform(block, lambda s: s["end"])))
+
+        def masked(piece: Column) -> Column:
+            def step(inner: Column, s: Column) -> Column:
+                outside = F.array(piece.substr(inner["at"] - state["at"] + 1, s["start"] - inner["at"]), F.lit(mark))
+                return F.struct(F.greatest(inner["at"], s["end"]).alias("at"),
+                                F.when(s["start"] >= inner["at"], F.concat(inner["parts"], outside)).otherwise(inner["parts"]).alias("parts"))
+
+            return F.aggregate(block, F.struct(state["at"].alias("at"), no_parts.alias("parts")), step, lambda inner: F.array_join(inner["parts"], ""))
 
-    def step(state: Column, s: Column) -> Column:
-        outside = F.when(s["start"] >= state["at"], F.array(text.substr(state["at"] + 1, s["start"] - state["at"]), F.lit(mark))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["parts"], outside).alias("parts"))
+        part = _let(text.substr(state["at"] + 1, stop - state["at"]), masked)
+        return F.struct(stop.alias("at"), F.concat(state["parts"], F.array(part)).alias("parts"))
 
-    done = F.aggregate(found, start, step, lambda s: F.concat(F.array_join(s["parts"], ""), text.substr(s["at"] + 1, F.length(text))))
+    done = F.aggregate(_blocks(found, lambda block: block), F.struct(F.lit(0).alias("at"), no_parts.alias("parts")), of_block,
+                       lambda s: F.concat(F.array_join(s["parts"], ""), text.substr(s["at"] + 1, F.length(text))))
     return F.when(F.size(found) > 0, done).otherwise(text)
 
 
