@@ -1,14 +1,19 @@
 """Near-duplicates, vector links and mixing against brute force."""
 
+import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
+import sentencepiece
 
 import corpus_pipeline
 from watchframe.llm import components, mixing, multi_index, weighted_minhash
-from watchframe.llm.queries import mix_documents
+from watchframe.llm.queries import ORACLE, mix_documents
+from watchframe.llm.texts import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, key int, class_id string"
 
@@ -324,3 +329,30 @@ def test_pipeline(spark, tmp_path):
     assert seen[2][102].text == "clean start <secret> end of text" and seen[2][102].n_chars == 32 and seen[2][103].text is None
     assert set(seen[4]) <= set(seen[1]) and len(seen[4]) > 15
     assert mix_documents(spark, docs.limit(0), str(tmp_path / "mix")).count() == 0
+
+
+def test_pipeline_is_a_chain_of_plain_steps(spark, tmp_path):
+    rng = random.Random(4)
+    texts = near_corpus(6, 40, [1, 1, 2, 4])
+    texts |= {500: "a clean start token=abcdefgh12 and " + " ".join(f"k{rng.randrange(99)}" for _ in range(30)), 501: None, 502: "", 503: "word " * 4_000}
+    toxic = {900 + i: f"text {i} of its own kind {i * 7} here vilex. more" for i in range(40)}
+    rows = [(i, t, rng.choice(["en", "de", None]), rng.choice(["src0"] * 4 + ["src1", "src2"]), len(t or ""), "x") for i, t in (texts | toxic).items()]
+    folder = str(tmp_path / "in")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, copies string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(r[0], int(r[0] >= 900)) for r in rows], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, folder).collect())
+
+    kept = {i for i, root in classes_by_hand(texts).items() if i == root}
+    assert 501 in kept and len(kept) < len(texts) - 10
+    masked = [(i, t.replace("abcdefgh12", "").replace("token=", "<secret>") if i == 500 else t, lang, source, n, x) for i, t, lang, source, n, x in rows if i in kept]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(masked, columns=["doc_id", "text", "lang", "source", "n_chars", "copies"]))
+    copies = dict(con.execute(f"SELECT doc_id, copies FROM ({ORACLE['op7_source_mix']})").fetchall())
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    want = Counter()
+    for i, text, *_ in masked:
+        ids = model.encode(text or "")
+        digest = [hashlib.sha256(s.encode()).hexdigest() for s in (",".join(map(str, ids)), model.decode(ids))]
+        if copies.get(i):
+            want[(i, len(ids), *digest)] += copies[i]
+    assert got == want and max(got.values()) > 1

@@ -1,5 +1,6 @@
 """Secret scan, repetition, toxicity and language against plain rules and held-out rows."""
 
+import math
 import random
 import re
 import time
@@ -120,6 +121,77 @@ def toxic_corpus(n, seed):
     return rows
 
 
+def fitted_by_hand(texts, toxic, least, rounds, step, shrink):
+    """The same descent with plain loops over documents, sentences and words."""
+    def parts(text):
+        return [s for s in re.split(r"(?<=[.!?])\s+|\n+", text) if s] or [""]
+
+    def feats(sentence):
+        return [f for w in set(re.findall(r"[^\W\d_]+", sentence.lower())) for f in [w, *(f"^{w[:n]}" for n in (4, 5) if len(w) > n)]]
+
+    bags = [[feats(s) for s in parts(t)] for t in texts]
+    seen = Counter(f for bag in bags for f in {f for sentence in bag for f in sentence})
+    names = sorted(f for f, c in seen.items() if c >= least)
+    w, m, v = ({f: 0.0 for f in names} for _ in range(3))
+    n = len(texts)
+    bias, mb, vb = math.log(sum(toxic) / n / max(1.0, sum(map(len, bags)) / n)), 0.0, 0.0
+    for t in range(1, rounds + 1):
+        g, gb = dict.fromkeys(names, 0.0), 0.0
+        for bag, y in zip(bags, toxic):
+            p = [1 / (1 + math.exp(-bias - sum(w.get(f, 0.0) for f in s))) for s in bag]
+            clean = math.prod(1 - x for x in p)
+            for s, x in zip(bag, p):
+                # -d log(chance of the label) / d z of the sentence
+                d = (-clean * x / (1 - clean) if y else x) / n
+                gb += d
+                for f in s:
+                    if f in g:
+                        g[f] += d
+        rate = step * math.sqrt(1 - 0.999 ** t) / (1 - 0.9 ** t)
+        for f in names:
+            m[f], v[f] = 0.9 * m[f] + 0.1 * g[f], 0.999 * v[f] + 0.001 * g[f] ** 2
+            scale = rate / (math.sqrt(v[f]) + 1e-6)
+            moved = w[f] - scale * m[f]
+            w[f] = math.copysign(max(abs(moved) - scale * shrink, 0), moved)
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb ** 2
+        bias -= rate * mb / (math.sqrt(vb) + 1e-6)
+
+    def score(text):
+        return 1 - math.prod(1 - 1 / (1 + math.exp(-bias - sum(w.get(f, 0.0) for f in feats(s)))) for s in parts(text))
+
+    return bias, w, score
+
+
+def test_toxicity_is_the_plain_descent(spark):
+    rng = random.Random(12)
+    vocabulary = [f"{a}{b}" for a in ("lorem", "dol", "vile") for b in ("", "ish", "ness", "q")]
+    texts = ["\n".join(". ".join(" ".join(rng.choices(vocabulary, k=rng.randint(1, 4))) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 2))) for _ in range(60)] + ["", "..."]
+    toxic = [int("vileness" in t.split()) for t in texts]
+    model = toxicity.fit(texts, np.array(toxic), least_documents=4, rounds=25)
+    bias, weights, score = fitted_by_hand(texts, toxic, 4, 25, 0.15, 1e-4)
+    assert model.bias == pytest.approx(bias, abs=1e-9)
+    assert {f: model.weights.get(f, 0.0) for f in weights} == pytest.approx(weights, abs=1e-9)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(99, None)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert got == pytest.approx({i: score(t or "") for i, t in [*enumerate(texts), (99, None)]}, abs=1e-9)
+
+
+def test_toxicity_takes_the_first_labels_by_hash(spark, monkeypatch):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    docs = docs.unionAll(docs.where("doc_id < 50").withColumn("text", F.lit("a second text")))
+    labels = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("toxic")).repartition(9)
+    labels = labels.unionAll(labels.where("doc_id < 3000")).unionAll(spark.createDataFrame([(5, None), (None, 1)], "doc_id long, toxic int"))
+    kept = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: kept.append((texts, toxic.tolist())))
+    toxicity.train(docs, labels, most_rows=100)
+    first = spark.range(4000).orderBy(F.xxhash64("id")).limit(100).collect()
+    want = sorted((r.id, "a second text" if r.id < 50 else f"t{r.id}", r.id % 3 == 0) for r in first)
+    assert kept == [([t for _, t, _ in want], [y for _, _, y in want])]
+    many = labels.where("doc_id = 7").unionAll(spark.range(3000).select(F.lit(7).cast("long"), F.lit(1)))
+    toxicity.train(docs, many, most_rows=10)  # one id repeated: all there is to choose from
+    assert kept[1] == (["a second text"] * 2, [False, True])
+
+
 def test_toxicity_learns_which_sentence(spark):
     rows = toxic_corpus(600, 1)
     docs = spark.createDataFrame([(i, t, 0.5) for i, t, _ in rows] + [(900, None, 0.5), (901, "", 0.5), (902, "fine " * 30_000 + ". vilex", 0.5)], "doc_id long, text string, score double")

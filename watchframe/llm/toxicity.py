@@ -7,7 +7,8 @@ bounded sample of labelled rows (``most_rows``, taken in the order of a hash of
 in the tasks over every whole text and needs no shuffle.
 
 Defined results: a null or empty text has one sentence without words. Labels that are null are left out of training; with no
-label of one of the kinds, every score is the share of toxic labels (0 without labels). Repeated rows give repeated results.
+label of one of the kinds, every score is the share of toxic labels (0 without labels). Repeated rows give repeated results; for
+training, rows with one id and label are one, with the text that sorts first. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -124,15 +125,27 @@ def fit(texts: list[str], toxic: np.ndarray, least_documents: int = 8, rounds: i
     return Model(float(bias), {f: float(x) for f, x in zip(names, weights) if x != 0})
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 6_000, id_column: str = "doc_id", text_column: str = "text", label: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 6_000, id_column: str = "doc_id", text_column: str = "text",
+          label: str = "toxic") -> Model:
     """Fit on at most ``most_rows`` labelled rows, the first by a hash of their id.
 
-    The ids are chosen from the labels alone; being at most ``most_rows``, they are broadcast to where texts are read.
+    A share of the hash range that holds about four times as many rows, by the number of labels, is cut off first, so few rows
+    are ordered whatever the number of partitions; should repeated ids leave less than asked for, the share grows. The pairs of
+    id and label, ``most_rows`` at most, are broadcast to where texts are read; of rows equal in both, one text comes to the
+    driver.
     """
-    chosen = (labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column), F.col(label).alias("__label"))
-              .orderBy(F.xxhash64(id_column), id_column, "__label").limit(most_rows))
-    sample = docs.select(F.col(id_column), whole_text(text_column).alias("__text")).join(F.broadcast(chosen), id_column).toPandas()
-    sample = sample.sort_values([id_column, "__label", "__text"])
+    rows = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull()).select(F.col(id_column).alias("__id"), F.col(label).alias("__label"))
+    n, factor = rows.count(), 4
+    while True:
+        share = min(1.0, factor * most_rows / max(1, n))
+        near = rows.where(F.xxhash64("__id") < F.lit(int(share * 2.0 ** 64) - 2 ** 63)) if share < 1 else rows
+        chosen = near.distinct().orderBy(F.xxhash64("__id"), "__id", "__label").limit(most_rows).collect()
+        if share == 1 or len(chosen) >= most_rows:
+            break
+        factor *= 16
+    chosen = docs.sparkSession.createDataFrame(chosen, rows.schema)
+    texts = docs.select(F.col(id_column).alias("__id"), whole_text(text_column).alias("__text")).join(F.broadcast(chosen), "__id")
+    sample = texts.groupBy("__id", "__label").agg(F.min("__text").alias("__text")).toPandas().sort_values(["__id", "__label"])
     return fit(sample["__text"].tolist(), sample["__label"].to_numpy() == 1)
 
 
