@@ -7,7 +7,7 @@ from watchframe.functions.timeparse import duration_seconds
 from watchframe.operators import audit, inventory
 from watchframe.schemas import COLLECTORS, INVENTORY
 from watchframe.sources import sinks
-from watchframe.sources.inventory import read_document
+from watchframe.sources.inventory import read_document, read_documents
 
 
 def document(**over):
@@ -87,6 +87,18 @@ def test_document_rules(spark, tmp_path):
         ("", "id_missing"), ("a", "channel_incomplete"), ("d", "credential_not_a_reference"), ("d", "id_repeated")])
 
 
+def test_documents_are_told_apart(spark, tmp_path):
+    channels = [{"id": "d", "channel_type": "c", "target_ref": "t"}]
+    rows = [{"id": "one", **document(notification_channels=channels)}, {"id": "two", **document(notification_channels=channels * 2)},
+            {"id": "three", **document(loki={}, notification_channels=None)}, {"id": None, **document(grafana=None)}]
+    (tmp_path / "rows.json").write_text("\n".join(json.dumps(r) for r in rows))
+    docs = read_documents(spark, str(tmp_path / "rows.json"), "id STRING")
+    found = inventory.document_violations(docs, ["id"])
+    assert sorted((r.id or "", r.entity, r.rule) for r in found.collect()) == [
+        ("", "", "url_missing:grafana"), ("three", "", "url_missing:loki"), ("two", "d", "id_repeated")]
+    assert inventory.document_violations(docs.limit(0), ["id"]).isEmpty()
+
+
 def test_redaction_leaves_the_input_alone(spark, tmp_path):
     doc = read(spark, tmp_path, document())
     resolved = inventory.resolve_collectors(inventory.collectors_of(doc))

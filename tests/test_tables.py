@@ -3,8 +3,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from watchframe.operators import audit, correlate, metadata, normalize, probes, reports
-from watchframe.schemas import CHECKS, FOREIGN_KEYS, METADATA_TABLES, UNIQUE, Check, Unique
+from watchframe.operators import audit, correlate, investigate, metadata, normalize, probes, reports
+from watchframe.schemas import CHECKS, FOREIGN_KEYS, METADATA_TABLES, UNIQUE, Check, ForeignKey, Unique
 from watchframe.sources import sinks
 from watchframe.sources.snapshots import read_metadata
 
@@ -198,3 +198,42 @@ def test_due_runs(spark):
 def test_top_n(spark, keys, want):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0)], "g string, v double")
     assert sorted((r.g, r.v) for r in reports.top_n(df, keys, "v", ["g"], 1).collect()) == want
+
+
+def test_an_audit_reads_each_table_once(spark, tmp_path):
+    """Against the rules one by one, with keys that repeat, point nowhere or are NULL."""
+    orders = spark.range(2000).selectExpr("CAST(id % 1900 AS STRING) AS id", "IF(id % 7 = 0, NULL, id % 90) AS buyer_id", "id % 4 AS kind")
+    buyers = spark.range(80).selectExpr("CAST(id AS DECIMAL(9,1)) AS id", "IF(id % 40 = 0, NULL, CAST(id % 30 AS STRING)) AS name")
+    for name, df in (("orders", orders), ("buyers", buyers)):
+        df.write.parquet(f"{tmp_path}/{name}")
+    t = {name: spark.read.parquet(f"{tmp_path}/{name}") for name in ("orders", "buyers")}
+    unique = [Unique("orders", ("id",)), Unique("orders", ("id", "kind"), "kind < 2"), Unique("buyers", ("id",)), Unique("buyers", ("name",))]
+    keys, checks = [ForeignKey("orders", "buyer_id", "buyers", "restrict")], [Check("orders", "enum:kind", "kind IN (0, 1, 2)")]
+    got = audit.audit_tables(t, unique, keys, checks)
+    want = {}
+    for u in unique:
+        want[u.table, f"unique:{','.join(u.keys)}"] = [r.n_rows for r in audit.duplicate_keys(t[u.table], u).collect()]
+    want["orders", "foreign_key:buyer_id->buyers"] = [r.n_rows for r in audit.orphan_keys(t["orders"], t["buyers"], "buyer_id").collect()]
+    want["orders", "enum:kind"] = [1] * audit.broken_checks(t["orders"], checks).count()
+    assert {(r.table, r.rule): (r.n_keys, r.n_rows) for r in got.collect()} == {k: (len(n), sum(n)) for k, n in want.items() if n}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 2 and "Join" not in plan
+    assert audit.audit_tables({n: df.limit(0) for n, df in t.items()}, unique, keys, checks).isEmpty()
+
+
+def test_a_section_is_a_top_list(spark):
+    rows = spark.range(500).selectExpr("id % 2 AS app", "id AS n", "id % 10 AS rank")
+    parts = [reports.section(rows, F.col("app").cast("string"), "a", "A", ["n"], [F.col("rank").desc()], 3)]
+    texts = [r.payload for r in reports.report_payload(parts, "s", "e").orderBy("application_id").collect()]
+    assert [text.count('"n":') for text in texts] == [3, 3] and '"n":8}' in texts[0] and '"n":29}' in texts[1]
+
+
+def test_a_timeline_is_in_order_within_its_chunks(spark):
+    rows = spark.range(3000).selectExpr("id % 3 AS investigation_id", "timestamp_seconds((id * 7919) % 400000) AS timestamp")
+    placed = investigate.timeline(rows).withColumn("task", F.spark_partition_id())
+    assert "rangepartitioning" not in placed._jdf.queryExecution().executedPlan().toString()
+    seen = {}
+    for r in placed.collect():
+        seen.setdefault((r.investigation_id, r.chunk), []).append((r.task, r.timestamp))
+    assert sum(len(v) for v in seen.values()) == 3000 and len(seen) == 15
+    assert all(len({task for task, _ in v}) == 1 and v == sorted(v) for v in seen.values())

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -147,25 +149,46 @@ def audit_tables(
     tables: Mapping[str, DataFrame], unique: Sequence[Unique] = UNIQUE,
     foreign_keys: Sequence[ForeignKey] = FOREIGN_KEYS, checks: Sequence[Check] = CHECKS,
 ) -> DataFrame:
-    """Broken constraints of a set of tables: ``table``, ``rule``, number of offending keys and rows."""
-    parts = []
+    """Broken constraints of a set of tables: ``table``, ``rule``, number of offending keys and rows.
 
-    def add(rows: DataFrame, table: str, rule: Column) -> None:
-        parts.append(rows.groupBy(F.lit(table).alias("table"), rule.alias("rule")).agg(
-            F.count("*").alias("n_keys"), F.sum("n_rows").alias("n_rows")))
+    Every table is read once. A row gives one entry for each rule it takes part in: its unique keys, the ids it offers, the ids
+    it refers to (both in the space of the parent's column) and the checks it breaks. Entries are counted per key before they
+    are shuffled, so a key that many rows share is one entry of each task; then the ids offered and referred to meet.
+    """
+    known = [fk for fk in foreign_keys if fk.table in tables and fk.parent in tables]
+    nothing = F.lit("")
 
-    for u in unique:
-        if u.table in tables:
-            add(duplicate_keys(tables[u.table], u), u.table, F.lit(f"unique:{','.join(u.keys)}"))
-    for fk in foreign_keys:
-        if fk.table in tables and fk.parent in tables:
-            add(orphan_keys(tables[fk.table], tables[fk.parent], fk.column, fk.parent_column), fk.table,
-                F.lit(f"foreign_key:{fk.column}->{fk.parent}"))
+    def entry(kind: str, rule: str, space: str, key: Column, when: Column) -> Column:
+        fields = {"kind": F.lit(kind), "rule": F.lit(rule), "space": F.lit(space), "key": key}
+        return F.when(when, F.struct(*[c.alias(name) for name, c in fields.items()]))
+
+    parts = []
     for table, df in tables.items():
-        own = [c for c in checks if c.table == table]
-        if own:
-            add(broken_checks(df, own).withColumn("n_rows", F.lit(1).cast("long")), table, F.col("rule"))
-    return union(parts)
+        entries = []
+        for u in (u for u in unique if u.table == table):
+            rule, columns = f"unique:{','.join(u.keys)}", [F.expr(k) for k in u.keys]
+            complete = reduce(and_, [c.isNotNull() for c in columns])
+            key = F.to_json(F.array(*[c.cast("string") for c in columns]))
+            entries.append(entry("unique", rule, f"{table} {rule}", key, complete & F.expr(u.where) if u.where else complete))
+        for column in dict.fromkeys(fk.parent_column for fk in known if fk.parent == table):
+            entries.append(entry("offered", "", f"{table}.{column}", F.col(column).cast("string"), F.col(column).isNotNull()))
+        for fk in (fk for fk in known if fk.table == table):
+            # compared as the parent's type, so 7 and 7.0 are one key
+            key = F.col(fk.column).cast(tables[fk.parent].schema[fk.parent_column].dataType).cast("string")
+            key = F.coalesce(key, F.concat(F.lit("unlike:"), F.col(fk.column).cast("string")))
+            entries.append(entry(
+                "referred", f"foreign_key:{fk.column}->{fk.parent}", f"{fk.parent}.{fk.parent_column}", key, F.col(fk.column).isNotNull()))
+        for c in (c for c in checks if c.table == table):
+            entries.append(entry("check", c.name, f"{table} {c.name}", nothing, ~F.expr(c.expression)))
+        if entries:
+            parts.append(df.select(F.lit(table).alias("table"), F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull()))))
+    counted = union(parts).groupBy("table", "kind", "rule", "space", "key").agg(F.count("*").alias("n_rows"))
+    # a key has one entry for each rule about it, however many rows it has
+    met = counted.filter("kind <> 'unique' OR n_rows > 1").groupBy("space", "key").agg(
+        F.bool_or(F.col("kind") == "offered").alias("known"), F.collect_list(F.struct("table", "kind", "rule", "n_rows")).alias("uses"))
+    broken = met.select("known", F.inline("uses")).filter("kind IN ('unique', 'check') OR (kind = 'referred' AND NOT known)")
+    n_keys = F.sum(F.when(F.col("kind") == "check", F.col("n_rows")).otherwise(1)).alias("n_keys")
+    return broken.groupBy("table", "rule").agg(n_keys, F.sum("n_rows").alias("n_rows"))
 
 
 def diff(old: DataFrame, new: DataFrame, key: Sequence[str], live: Column | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from watchframe.functions.text import blank_to_null, first_non_empty, is_absolute_url, is_secret_ref, redact_ref, trim_space
@@ -92,9 +94,9 @@ def _failed(*rules: tuple[str, Column]) -> Column:
     return F.filter(F.array(*marks), lambda r: r.isNotNull())
 
 
-def _report(rows: DataFrame, kind: str, collector: str, entity: Column, rules: Column) -> DataFrame:
+def _report(rows: DataFrame, kind: str, collector: Column, entity: Column, rules: Column, keys: Sequence[str] = ()) -> DataFrame:
     return rows.select(
-        F.lit(kind).alias("entity_kind"), F.col(collector).alias("collector_id"), entity.alias("entity"),
+        *keys, F.lit(kind).alias("entity_kind"), collector.alias("collector_id"), entity.alias("entity"),
         F.explode(rules).alias("rule"))
 
 
@@ -109,44 +111,49 @@ def collector_violations(resolved: DataFrame) -> DataFrame:
         ("interval_unreadable", F.col("interval_s").isNull()),
         ("interval_not_positive", F.col("interval_s") <= 0),
         ("credential_not_a_reference", _bad_ref(F.col("credential_ref"))))
-    broken_collectors = _report(resolved, "collector", "id", F.col("id"), collector_rules)
+    broken_collectors = _report(resolved, "collector", F.col("id"), F.col("id"), collector_rules)
     repeated = resolved.groupBy("id").agg(F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("id") != ""))
-    repeated_ids = _report(repeated, "collector", "id", F.col("id"), F.array(F.lit("id_repeated")))
+    repeated_ids = _report(repeated, "collector", F.col("id"), F.col("id"), F.array(F.lit("id_repeated")))
     targets = resolved.select(F.col("id").alias("collector_id"), F.explode("targets").alias("t")).select("collector_id", "t.*")
     target_rules = _failed(
         ("name_missing", F.col("name") == ""), ("host_missing", F.col("host") == ""),
         ("port_range", ~F.col("port").between(1, 65535)),
         ("credential_not_a_reference", _bad_ref(F.col("credential_ref"))),
         ("timeout_negative", F.exists("probes", lambda p: p["timeout_ms"] < 0)))
-    broken_targets = _report(targets, "target", "collector_id", F.col("name"), target_rules)
+    broken_targets = _report(targets, "target", F.col("collector_id"), F.col("name"), target_rules)
     named = targets.filter("name <> ''").groupBy("collector_id", "name").agg(F.count("*").alias("n")).filter("n > 1")
-    repeated_targets = _report(named, "target", "collector_id", F.col("name"), F.array(F.lit("name_repeated")))
+    repeated_targets = _report(named, "target", F.col("collector_id"), F.col("name"), F.array(F.lit("name_repeated")))
     known = F.transform("targets", lambda t: t["name"])
     unknown = resolved.filter(F.size("targets") > 0).select(
         "id", F.explode(F.array_except("target_names", known)).alias("name"))
-    unknown_names = _report(unknown, "target_names", "id", F.col("name"), F.array(F.lit("name_unknown")))
+    unknown_names = _report(unknown, "target_names", F.col("id"), F.col("name"), F.array(F.lit("name_unknown")))
     return union([broken_collectors, repeated_ids, broken_targets, repeated_targets, unknown_names])
 
 
-def document_violations(document: DataFrame) -> DataFrame:
-    """Broken endpoint and notification-channel rules of inventory documents."""
+def document_violations(document: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Broken endpoint and notification-channel rules of inventory documents.
+
+    ``keys`` name the columns that tell documents apart; they come first in the result, and a channel id may recur under another
+    key. Without keys all rows are parts of one inventory.
+    """
+    none = F.lit("")
     checks = []
     for name, field, required in ENDPOINT_URLS:
         url = F.coalesce(F.col(name)[field], F.lit(""))
         if required:
             checks.append((f"url_missing:{name}", url == ""))
         checks.append((f"url_not_absolute:{name}", (url != "") & ~is_absolute_url(url)))
-    none = document.withColumn("none", F.lit(""))
-    endpoints = _report(none, "endpoint", "none", F.lit(""), _failed(*checks))
-    raw = document.select(F.inline("notification_channels"))
-    channels = raw.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("id", "channel_type", "target_ref", "credential_ref")])
+    endpoints = _report(document, "endpoint", none, none, _failed(*checks), keys)
+    raw = document.select(*keys, F.explode("notification_channels").alias("_channel"))
+    channels = raw.select(*keys, *[
+        F.coalesce(F.col("_channel")[c], F.lit("")).alias(f"_{c}") for c in ("id", "channel_type", "target_ref", "credential_ref")])
     rules = _failed(
-        ("id_missing", F.col("id") == ""),
-        ("channel_incomplete", (F.col("channel_type") == "") | (F.col("target_ref") == "")),
-        ("credential_not_a_reference", _bad_ref(F.col("credential_ref"))))
-    broken = _report(channels.withColumn("none", F.lit("")), "channel", "none", F.col("id"), rules)
-    twice = channels.filter("id <> ''").groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").withColumn("none", F.lit(""))
-    repeated = _report(twice, "channel", "none", F.col("id"), F.array(F.lit("id_repeated")))
+        ("id_missing", F.col("_id") == ""),
+        ("channel_incomplete", (F.col("_channel_type") == "") | (F.col("_target_ref") == "")),
+        ("credential_not_a_reference", _bad_ref(F.col("_credential_ref"))))
+    broken = _report(channels, "channel", none, F.col("_id"), rules, keys)
+    twice = channels.filter("_id <> ''").groupBy(*keys, "_id").agg(F.count("*").alias("_n")).filter("_n > 1")
+    repeated = _report(twice, "channel", none, F.col("_id"), F.array(F.lit("id_repeated")), keys)
     return union([endpoints, broken, repeated])
 
 

@@ -57,15 +57,22 @@ def slo_delta(vector: DataFrame, keys: Sequence[str], target: float, value: str
         "delta", F.col("ratio") - F.lit(target))
 
 
-def section(df: DataFrame, application: Column, section_id: str, title: str, columns: Sequence[str]) -> DataFrame:
-    """Rows of one section as JSON, one row per entry."""
-    return df.select(
+def section(
+    df: DataFrame, application: Column, section_id: str, title: str, columns: Sequence[str], order: Sequence[Column] = (), n: int = 100,
+) -> DataFrame:
+    """The first ``n`` rows of each application in one section as JSON, one row per entry.
+
+    A section is a top list: ``order`` ranks its rows, the shown ``columns`` do where it is left out or ties. So what a payload
+    gathers is bounded.
+    """
+    place = F.row_number().over(Window.partitionBy(application).orderBy(*order, *columns))
+    return df.withColumn("_place", place).filter(F.col("_place") <= n).select(
         application.alias("application_id"), F.lit(section_id).alias("id"), F.lit(title).alias("title"),
         F.to_json(F.struct(*columns)).alias("entry"))
 
 
 def report_payload(sections: Sequence[DataFrame], start: str, end: str) -> DataFrame:
-    """One payload per application. Sections hold ranked extracts, a few rows each."""
+    """One payload per application. Sections come from ``section``, which bounds their rows."""
     data = F.array_sort(F.collect_list("entry"))
     per_section = union(sections).groupBy("application_id", "id", "title").agg(data.alias("entries"))
     body = F.struct("id", "title", F.parse_json(F.concat(F.lit("["), F.array_join("entries", ","), F.lit("]"))).alias("data"))

@@ -77,6 +77,21 @@ class Fixtures:
         return flat.select(
             "metric", F.lit("").alias("help"), "ts", "ord", "value", F.map_filter(pairs, lambda _, v: v.isNotNull()).alias("labels"))
 
+    def documents(self) -> DataFrame:
+        """Inventory documents as one JSON text each."""
+        def channel(*values) -> F.Column:
+            return F.struct(*[v.alias(n) for n, v in zip(("id", "channel_type", "target_ref", "credential_ref"), values)])
+
+        own = channel(*[F.col(f"channel_{n}") for n in ("id", "type", "target", "credential")])
+        shared = channel(F.lit("pager"), F.lit("webhook"), F.lit("duty"), F.concat(F.lit("kv/p"), F.col("s")))
+        secrets = F.create_map(F.lit("db"), F.concat(F.lit("pw"), F.col("s")), F.lit("mail"), F.concat(F.lit("tok"), F.col("s")))
+        boards = F.when(F.col("s") % 3 == 0, F.create_map(F.lit("logs"), F.lit("/explore")))
+        return self.sql(recipes.DOCUMENTS).select(F.to_json(F.struct(
+            "document", F.struct(F.col("grafana_url").alias("base_url"), boards.alias("dashboard_templates")).alias("grafana"),
+            F.struct(F.col("loki_url").alias("base_url")).alias("loki"), F.struct(F.col("alert_url").alias("base_url")).alias("alertmanager"),
+            F.struct(F.col("otel_url").alias("endpoint")).alias("opentelemetry"),
+            F.when(F.col("has_channels"), F.array(own, shared)).alias("notification_channels"), secrets.alias("credential_refs"))).alias("value"))
+
     def collectors(self) -> DataFrame:
         """Nested collectors, at most four targets each."""
         def probe(name: str, timeout) -> F.Column:

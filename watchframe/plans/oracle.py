@@ -97,6 +97,62 @@ SELECT event_id, rule FROM (SELECT event_id, unnest(CASE WHEN doc IS NULL THEN [
 WHERE rule IS NOT NULL"""
 
 
+def _payload_sql(name: str, *rules: str) -> str:
+    """Rules of a payload that must be an object, spelled out here and not taken from the contracts."""
+    return _with(("raw", for_duckdb(recipes.PAYLOADS[name])),
+                 ("docs", "SELECT id, CASE WHEN json_valid(value) THEN CAST(value AS JSON) END AS doc FROM raw")) + f"""
+SELECT id, rule FROM (SELECT id, unnest(CASE WHEN doc IS NULL THEN ['parse'] WHEN json_type(doc) <> 'OBJECT' THEN ['type']
+    ELSE [{', '.join(rules)}] END) AS rule FROM docs) WHERE rule IS NOT NULL"""
+
+
+def _needs(*paths: str) -> list[str]:
+    return [f"CASE WHEN json_type(doc, '$.{p}') IS NULL THEN 'required:{p}' END" for p in paths]
+
+
+def _typed(kind: str, *paths: str) -> list[str]:
+    return [f"CASE WHEN json_type(doc, '$.{p}') <> '{kind}' THEN 'type:{p}' END" for p in paths]
+
+
+def _shaped(pattern: str, *paths: str) -> list[str]:
+    return [f"CASE WHEN json_type(doc, '$.{p}') = 'VARCHAR' AND NOT regexp_full_match(json_extract_string(doc, '$.{p}'), '{pattern}') THEN 'format:{p}' END"
+            for p in paths]
+
+
+def _closed(place: str, rule: str, *names: str) -> str:
+    listed = ", ".join(f"'{n}'" for n in names)
+    return f"CASE WHEN len(list_filter(json_keys(doc, '{place}'), lambda k: k NOT IN ({listed}))) > 0 THEN '{rule}' END"
+
+
+def _item(rule: str, test: str) -> str:
+    return (f"CASE WHEN json_type(doc, '$.sections') = 'ARRAY' AND len(list_filter(json_extract(doc, '$.sections[*]'), lambda s: {test})) > 0 "
+            f"THEN '{rule}:sections[]' END")
+
+
+_UUID = "[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
+_ABSOLUTE = "[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+.*"
+_OBJECT_ITEM = "json_type(s) = 'OBJECT' AND "
+_PAYLOADS = {
+    "alert_evidence": _payload_sql(
+        "alert_evidence", *_needs("source_type", "title", "url"), *_typed("VARCHAR", "source_type", "title", "url", "time_start", "time_end"),
+        *_typed("OBJECT", "metadata"), *_shaped(_RFC3339, "time_start", "time_end"), *_shaped(_ABSOLUTE, "url"),
+        _closed("$", "additional", "source_type", "title", "url", "time_start", "time_end", "metadata")),
+    "session_investigation": _payload_sql(
+        "session_investigation", *_needs("application_id", "time_start", "time_end"),
+        *_typed("VARCHAR", "application_id", "environment_id", "user_id", "ip", "session_id", "request_id", "time_start", "time_end"),
+        *_shaped(_UUID, "application_id", "environment_id"), *_shaped(_RFC3339, "time_start", "time_end"),
+        _closed("$", "additional", "application_id", "environment_id", "user_id", "ip", "session_id", "request_id", "time_start", "time_end")),
+    "report_payload": _payload_sql(
+        "report_payload", *_needs("application_id", "period", "sections"), *_typed("VARCHAR", "application_id", "period.start", "period.end"),
+        *_shaped(_UUID, "application_id"), *_typed("OBJECT", "period"), *_typed("ARRAY", "sections"),
+        *[f"CASE WHEN json_type(doc, '$.period') = 'OBJECT' THEN {r} END" for r in _needs("period.start", "period.end")],
+        *_shaped(_RFC3339, "period.start", "period.end"), _closed("$", "additional", "application_id", "period", "sections"),
+        _closed("$.period", "additional:period", "start", "end"), _item("type", "json_type(s) <> 'OBJECT'"),
+        _item("additional", _OBJECT_ITEM + "len(list_filter(json_keys(s), lambda k: k NOT IN ('id', 'title', 'data'))) > 0"),
+        *[_item(kind, _OBJECT_ITEM + test.format(n=n)).replace("sections[]' END", f"sections[].{n}' END") for n in ("id", "title")
+          for kind, test in (("required", "json_type(s, '$.{n}') IS NULL"), ("type", "json_type(s, '$.{n}') <> 'VARCHAR'"))]),
+}
+
+
 # ---- probes
 
 _SNAPSHOTS = tuple((name, for_duckdb(text)) for name, text in recipes.SNAPSHOTS.items())
@@ -146,6 +202,19 @@ _TARGETS = (
 )
 _NOT_SECRET = "{c} <> '' AND NOT ({c} LIKE 'kv/%' OR {c} LIKE 'secret/%' OR {c} LIKE 'env/%')"
 
+_CHANNELS = (
+    ("docs", for_duckdb(recipes.DOCUMENTS)),
+    ("channels", """SELECT document, channel_id AS id, channel_type AS kind, coalesce(channel_target, '') AS target, channel_credential AS credential FROM docs WHERE has_channels
+        UNION ALL SELECT document, 'pager', 'webhook', 'duty', 'kv/p' || s FROM docs WHERE has_channels"""),
+)
+
+
+def _url_rules(name: str, column: str, required: bool) -> str:
+    missing = f"SELECT document, 'endpoint' AS entity_kind, '' AS entity, 'url_missing:{name}' AS rule FROM docs WHERE coalesce({column}, '') = '' UNION ALL "
+    return (missing if required else "") + f"""SELECT document, 'endpoint' AS entity_kind, '' AS entity, 'url_not_absolute:{name}' AS rule FROM docs
+        WHERE {column} <> '' AND NOT regexp_full_match({column}, '{_ABSOLUTE}')"""
+
+
 # ---- time series
 
 _SAMPLES = ("samples", for_duckdb(recipes.SAMPLES))
@@ -263,6 +332,7 @@ ORACLE: dict[str, str] = {
     "event_envelope": _with(*NORMALIZED, ("shown", _LABEL_JSON)) + f"SELECT a.event_id, {_ENVELOPE} AS envelope FROM accepted a LEFT JOIN shown s USING (event_id)",
     "alert_deliveries": _with(*NORMALIZED[:2]) + "SELECT count(*) AS n_deliveries FROM docs WHERE json_type(doc) IN ('OBJECT', 'NULL')",
     "contract_violations": _contract_sql(),
+    **{f"contract_{name}": sql for name, sql in _PAYLOADS.items()},
     "log_label_policy": _with(*_LOGS) + """SELECT a.event_id, 'shop-logs' AS job, a.severity AS level, p.labels,
         CASE WHEN p.n > 7 THEN 'too many label names' WHEN p.longest > 8 AND p.longest IS NOT NULL THEN 'label value too long' ELSE '' END AS reject_reason
         FROM accepted a JOIN policy p USING (event_id)""",
@@ -300,6 +370,16 @@ ORACLE: dict[str, str] = {
             ANTI JOIN resolved ON resolved.name = n""",
     "redacted_inventory": _with(*_TARGETS) + """SELECT id, CASE WHEN c_credential = '' THEN '' ELSE c_credential || ':<redacted>' END AS collector_ref, name AS target_name,
         CASE WHEN credential_ref = '' THEN '' ELSE credential_ref || ':<redacted>' END AS target_ref FROM resolved""",
+    "document_violations": _with(*_CHANNELS) + " UNION ALL ".join([
+        _url_rules("grafana", "grafana_url", True), _url_rules("loki", "loki_url", True), _url_rules("alertmanager", "alert_url", True),
+        _url_rules("opentelemetry", "otel_url", False),
+        "SELECT document, 'channel', id, 'id_missing' FROM channels WHERE id = ''",
+        "SELECT document, 'channel', id, 'channel_incomplete' FROM channels WHERE kind = '' OR target = ''",
+        f"SELECT document, 'channel', id, 'credential_not_a_reference' FROM channels WHERE {_NOT_SECRET.format(c='credential')}",
+        "SELECT document, 'channel', id, 'id_repeated' FROM channels WHERE id <> '' GROUP BY document, id HAVING count(*) > 1"]),
+    "redacted_documents": _with(_CHANNELS[0]) + """SELECT document, 'db=<redacted>,mail=<redacted>' AS secrets,
+        CASE WHEN has_channels THEN channel_id || '>' || CASE WHEN channel_credential = '' THEN '' ELSE channel_credential || ':<redacted>' END
+            || '|pager>kv/p' || s || ':<redacted>' ELSE '' END AS channels, CASE WHEN s % 3 = 0 THEN 1 ELSE 0 END AS n_boards, 0 AS n_links FROM docs""",
     "series_latest": _with(_SAMPLES) + f"""SELECT metric, {_SERIES_LABELS} AS labels, epoch_us(ts) AS ts_us, value FROM samples
         QUALIFY row_number() OVER (PARTITION BY metric, environment, target, zone ORDER BY ts DESC, ord DESC) = 1""",
     "metric_last_value": _with(_SAMPLES) + """SELECT a.metric, coalesce(l.value, 0) AS value FROM

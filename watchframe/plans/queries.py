@@ -22,7 +22,7 @@ from watchframe.schemas import Check, ForeignKey, Unique
 from watchframe.session import work_dir
 from watchframe.sources import sinks
 from watchframe.sources.events import read_raw
-from watchframe.sources.inventory import read_collectors
+from watchframe.sources.inventory import read_collectors, read_documents
 from watchframe.sources.snapshots import read_metadata, read_snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -111,6 +111,18 @@ def contract_violations(f):
     return contracts.contract_violations(f.raw_events(), "application_event", keep=("event_id",))
 
 
+def _contract(name: str) -> None:
+    def run(f: Fixtures) -> DataFrame:
+        return contracts.contract_violations(f.sql(recipes.PAYLOADS[name]), name, keep=("id",))
+
+    run.__name__ = f"contract_{name}"
+    query(run)
+
+
+for _name in recipes.PAYLOADS:
+    _contract(_name)
+
+
 @query
 def log_label_policy(f):
     records = logs.log_records(_events(f), "shop-logs", ("telemetry.source", "collector"))
@@ -220,6 +232,28 @@ def redacted_inventory(f):
         "id", "collector_ref", F.col("t.name").alias("target_name"), F.col("t.credential_ref").alias("target_ref"))
 
 
+def _documents(f: Fixtures) -> DataFrame:
+    """Inventory documents stored one per line and read back."""
+    path = work_dir(f.spark, "documents")
+    f.documents().write.text(path)
+    return read_documents(f.spark, path)
+
+
+@query
+def document_violations(f):
+    return inventory.document_violations(_documents(f), ["document"]).select("document", "entity_kind", "entity", "rule")
+
+
+@query
+def redacted_documents(f):
+    """Documents without secret values, with references marked and missing template maps filled."""
+    red = inventory.with_template_maps(inventory.redact_document(_documents(f)))
+    refs = F.transform("notification_channels", lambda c: F.concat_ws(">", c["id"], c["credential_ref"]))
+    return red.select(
+        "document", label_pairs(F.col("credential_refs")).alias("secrets"), F.coalesce(F.array_join(refs, "|"), F.lit("")).alias("channels"),
+        F.size(F.col("grafana")["dashboard_templates"]).alias("n_boards"), F.size(F.col("loki")["deep_link_templates"]).alias("n_links"))
+
+
 # ---- series
 
 @query
@@ -856,7 +890,7 @@ def report_payload(f):
     worst = reports.top_regressions(_deltas(f), ["application"], "errors_delta", ["component"], 3)
     sections = [
         reports.section(health, F.col("application"), "health", "Health summary", ["n_events", "n_errors", "error_ratio"]),
-        reports.section(worst, F.col("application"), "regressions", "Top regressions", ["rank", "component", "errors_delta"]),
+        reports.section(worst, F.col("application"), "regressions", "Top regressions", ["rank", "component", "errors_delta"], [F.col("rank")], 3),
     ]
     return reports.report_payload(sections, "2024-01-01T00:00:00Z", "2024-01-31T00:00:00Z")
 

@@ -235,6 +235,59 @@ PROBE_RUNS = """
 SELECT concat('col-', CAST(l_suppkey % 10 AS STRING)) AS collector_id, l_shipdate AS started_at,
        l_extendedprice / 100 AS latency_ms, l_returnflag <> 'R' AS ok FROM $lineitem"""
 
+# Suppliers as inventory documents, with faults planted; some have no channels.
+DOCUMENTS = """
+SELECT s_suppkey AS s, concat('doc-', CAST(s_suppkey AS STRING)) AS document,
+       CASE s_suppkey % 7 WHEN 1 THEN '' WHEN 2 THEN 'board/path' WHEN 4 THEN concat('https://board', CAST(s_suppkey AS STRING), '.example.org/x')
+            WHEN 5 THEN 'https://board.example.org' WHEN 6 THEN 'http://board:3000' WHEN 0 THEN 'http://board:3000/' END AS grafana_url,
+       CASE s_suppkey % 5 WHEN 2 THEN 'http://' WHEN 4 THEN '//logs.example.org' ELSE concat('http://logs', CAST(s_suppkey AS STRING), ':3100') END AS loki_url,
+       CASE s_suppkey % 11 WHEN 6 THEN 'mailto:a@example.org' ELSE 'http://alerts:9093' END AS alert_url,
+       CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'otel:4317' WHEN 3 THEN 'grpc://otel:4317' END AS otel_url,
+       s_suppkey % 19 <> 0 AS has_channels, CASE s_suppkey % 9 WHEN 4 THEN '' WHEN 5 THEN 'pager' ELSE 'mail' END AS channel_id,
+       CASE s_suppkey % 13 WHEN 2 THEN '' ELSE 'email' END AS channel_type,
+       CASE WHEN s_suppkey % 17 <> 3 THEN concat('ops', CAST(s_suppkey AS STRING)) END AS channel_target,
+       CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN concat('secret/c', CAST(s_suppkey AS STRING))
+            WHEN 2 THEN concat('x', CAST(s_suppkey AS STRING)) ELSE concat('env/C', CAST(s_suppkey AS STRING)) END AS channel_credential
+FROM $supplier"""
+
+_UUID = "concat('00000000-0000-4000-8000-', lpad(CAST({key} AS STRING), 12, '0'))"
+# JSON payloads for the contracts, sound ones and one fault of each kind.
+PAYLOADS = {
+    "alert_evidence": """
+SELECT event_id AS id, CASE CAST(event_id % 9 AS INT)
+ WHEN 0 THEN concat('{"source_type":"log","title":"t', k, '","url":"https://logs.example.org/', k, '","time_start":"', tz, 'Z","metadata":{"rows":', k, '}}')
+ WHEN 1 THEN concat('{"source_type":"log","url":"https://logs.example.org/', k, '"}')
+ WHEN 2 THEN concat('{"source_type":"log","title":"t","url":"logs/', k, '"}')
+ WHEN 3 THEN concat('{"source_type":', k, ',"title":"t","url":"https://a.example.org","metadata":null}')
+ WHEN 4 THEN concat('{"source_type":"log","title":"t","url":"https://a.example.org","time_end":"', tz, '"}')
+ WHEN 5 THEN concat('{"source_type":"log","title":"t","url":"https://a.example.org","metadata":[', k, ']}')
+ WHEN 6 THEN concat('{"source_type":"log","extra":', k, '}')
+ WHEN 7 THEN concat('{"source_type":"log', k, '"') ELSE concat('[', k, ']') END AS value
+FROM (SELECT event_id, CAST(event_id % 100 AS STRING) AS k, concat(substr(CAST(ts AS STRING),1,10),'T',substr(CAST(ts AS STRING),12,8)) AS tz FROM $events) e""",
+    "session_investigation": """
+SELECT o_orderkey AS id, CASE CAST(o_orderkey % 8 AS INT)
+ WHEN 0 THEN concat('{"application_id":"', app, '","environment_id":"', app, '","user_id":"u","time_start":"', d, 'T00:00:00Z","time_end":"', d, 'T01:00:00.5+02:00"}')
+ WHEN 1 THEN concat('{"application_id":"', app, '","time_start":"', d, 'T00:00:00Z"}')
+ WHEN 2 THEN concat('{"application_id":"app", "environment_id":"', app, 'f","time_start":"', d, 'T00:00:00Z","time_end":"', d, 'T01:00:00Z"}')
+ WHEN 3 THEN concat('{"application_id":"', app, '","time_start":"', d, ' 00:00:00","time_end":"', d, '"}')
+ WHEN 4 THEN concat('{"application_id":"', app, '","subject":"u","time_start":"', d, 'T00:00:00Z","time_end":"', d, 'T01:00:00Z"}')
+ WHEN 5 THEN concat('{"application_id":"', app, '","user_id":null,"ip":4,"time_start":"', d, 'T00:00:00Z","time_end":"', d, 'T01:00:00Z"}')
+ WHEN 6 THEN concat('"', app, '"') ELSE concat('{"application_id":', app, '}') END AS value
+FROM (SELECT o_orderkey, """ + _UUID.format(key="o_custkey") + """ AS app, substr(CAST(o_orderdate AS STRING),1,10) AS d FROM $orders) o""",
+    "report_payload": """
+SELECT o_orderkey AS id, concat('{"application_id":"', app, '",', CASE CAST(o_orderkey % 10 AS INT)
+ WHEN 1 THEN concat('"period":{"start":"', d, 'T00:00:00Z"},"sections":[]}')
+ WHEN 2 THEN concat('"period":{"start":"', d, '","end":"', d, 'T00:00:00Z"},"sections":[]}')
+ WHEN 3 THEN concat(period, '"sections":{"id":"a"}}')
+ WHEN 4 THEN concat(period, '"sections":[{"id":"a","title":"A"},{"id":"b"},{"id":"c"}]}')
+ WHEN 5 THEN concat(period, '"sections":[{"id":"a","title":"A"},"b"]}')
+ WHEN 6 THEN concat(period, '"sections":[{"id":"a","title":"A","rows":1},{"id":2,"title":null}]}')
+ WHEN 7 THEN concat('"period":{"start":"', d, 'T00:00:00Z","end":"', d, 'T00:00:00Z","zone":"UTC"},"sections":[],"notes":""}')
+ WHEN 8 THEN '"period":"now"}' WHEN 9 THEN concat(period, '"sections":[') ELSE concat(period, '"sections":[{"id":"a","title":"A","data":[{"n":1}]}]}') END) AS value
+FROM (SELECT o_orderkey, """ + _UUID.format(key="o_custkey") + """ AS app, substr(CAST(o_orderdate AS STRING),1,10) AS d,
+      concat('"period":{"start":"', substr(CAST(o_orderdate AS STRING),1,10), 'T00:00:00Z","end":"2030-01-01T00:00:00Z"},') AS period FROM $orders) o""",
+}
+
 LINK_TEMPLATES = {
     "logs": "/explore?orgId=1&left=${query}",
     "target": "/d/overview?var-target=${target}",

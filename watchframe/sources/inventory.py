@@ -12,5 +12,10 @@ def read_document(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(INVENTORY).option("multiLine", True).json(path)
 
 
+def read_documents(spark: SparkSession, path: str, keys: str = "document STRING") -> DataFrame:
+    """Many inventory documents, one JSON text per line, with the columns that name them; files are split between tasks."""
+    return spark.read.schema(f"{keys}, {INVENTORY}").json(path)
+
+
 def read_collectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(COLLECTORS).parquet(path)
