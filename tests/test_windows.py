@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from watchframe.operators import audit, hash_tree, rolling, sweep
+from watchframe.operators import audit, baselines, hash_tree, investigate, rolling, sweep
 from watchframe.streaming.merge_table import MergeTable
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -146,3 +146,24 @@ def test_merge_table(spark, tmp_path):
     for run, n in written.items():
         per_level[run.split("-")[1]] += n
     assert all(n <= sum(own.values()) for n in per_level.values()) and len(per_level) <= 4
+
+
+def test_breaches_of_few_keys_spread(spark):
+    rows = spark.range(4000).selectExpr("IF(id % 3 = 0, NULL, CAST(id % 2 AS STRING)) AS k", "CAST(id % 1000 AS DOUBLE) AS v", "map('a', id) AS m")
+    band = spark.createDataFrame([("0", 500.0), (None, 700.0)], "k string, upper double")
+    found = baselines.hybrid_breaches(rows, band, ["k"], "v", 900.0)
+    assert found.columns == ["k", "v", "m", "upper", "cause"]
+    want = {}
+    for i in range(4000):
+        k, v = None if i % 3 == 0 else str(i % 2), float(i % 1000)
+        upper = {"0": 500.0, None: 700.0}.get(k)
+        if v > 900 or (upper is not None and v > upper):
+            cause = (k, "static" if v > 900 else "adaptive")
+            want[cause] = want.get(cause, 0) + 1
+    assert {(r.k, r.cause): r["count"] for r in found.groupBy("k", "cause").count().collect()} == want
+
+
+def test_sessions_do_not_depend_on_chunks(spark):
+    rows = spark.range(3000).selectExpr("id % 4 AS u", "timestamp_seconds((id * 104729) % 900000) AS ts")
+    got = [sorted(map(tuple, investigate.sessions(rows, ["u"], chunk_s=c).collect())) for c in (60, 10_800, 864_000)]
+    assert got[0] == got[1] == got[2] and sum(r[-1] for r in got[0]) == 3000

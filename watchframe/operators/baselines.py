@@ -59,10 +59,19 @@ def baseline_rows(band: DataFrame, application_id: Column, signal_key: Column, w
         computed_at.alias("last_computed_at"))
 
 
-def hybrid_breaches(df: DataFrame, band: DataFrame, keys: Sequence[str], value: str, hard_limit: float) -> DataFrame:
-    """Rows over the fixed limit or outside their key's upper bound; ``cause`` tells which."""
-    bound = band.select(*[F.col(k).alias(f"b_{k}") for k in keys], "upper")
-    joined = df.join(bound, [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in keys], "left").drop(*[f"b_{k}" for k in keys])
+def hybrid_breaches(
+    df: DataFrame, band: DataFrame, keys: Sequence[str], value: str, hard_limit: float, spread: int = 64,
+) -> DataFrame:
+    """Rows over the fixed limit or outside their key's upper bound; ``cause`` tells which.
+
+    ``band`` has one row per key. Where it is not broadcast, the rows of a key are dealt over ``spread`` copies of its bound by a
+    hash of their columns, so few keys still make many tasks.
+    """
+    plain = [c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    bound = band.select(*[F.col(k).alias(f"b_{k}") for k in keys], "upper", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("b_part"))
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(*plain), F.lit(spread)).cast("int"))
+    same = [F.col("_part") == F.col("b_part"), *[F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in keys]]
+    joined = dealt.join(bound, same, "left").drop("_part", "b_part", *[f"b_{k}" for k in keys])
     static, adaptive = F.col(value) > hard_limit, F.col(value) > F.col("upper")
     cause = F.when(static, F.lit("static")).when(adaptive, F.lit("adaptive"))
     return joined.withColumn("cause", cause).filter(F.col("cause").isNotNull())

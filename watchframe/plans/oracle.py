@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from watchframe.functions.text import WHITE_SPACE
-from watchframe.operators.contracts import CONTRACTS
 from watchframe.operators.normalize import FIELD_KEYS
 from watchframe.plans import recipes
 from watchframe.plans.recipes import GRID_END, GRID_START, for_duckdb
@@ -79,24 +78,6 @@ _LOGS = NORMALIZED + (
 )
 
 
-def _contract_sql() -> str:
-    spec = CONTRACTS["application_event"]
-    rules = [f"CASE WHEN json_type(doc, '$.{n}') IS NULL THEN 'required:{n}' END" for n in spec["required"]]
-    known = ", ".join(f"'{n}'" for n in spec["properties"])
-    rules.append(f"CASE WHEN len(list_filter(json_keys(doc), lambda k: k NOT IN ({known}))) > 0 THEN 'additional' END")
-    for name, prop in spec["properties"].items():
-        if prop["type"] == "string":
-            rules.append(f"CASE WHEN json_type(doc, '$.{name}') <> 'VARCHAR' THEN 'type:{name}' END")
-        if prop.get("format"):
-            rules.append(f"CASE WHEN json_type(doc, '$.{name}') = 'VARCHAR' AND NOT regexp_full_match(json_extract_string(doc, '$.{name}'), '{_RFC3339}') THEN 'format:{name}' END")
-    rules.append("CASE WHEN json_type(doc, '$.labels') <> 'OBJECT' THEN 'type:labels' END")
-    bad = "list_filter(json_keys(doc, '$.labels'), lambda k: json_type(doc, '$.labels.' || k) IN ('NULL', 'OBJECT', 'ARRAY'))"
-    rules.append(f"CASE WHEN json_type(doc, '$.labels') = 'OBJECT' AND len({bad}) > 0 THEN 'value_type:labels' END")
-    return _with(NORMALIZED[0], _ANY_JSON) + f"""
-SELECT event_id, rule FROM (SELECT event_id, unnest(CASE WHEN doc IS NULL THEN ['parse'] ELSE [{', '.join(rules)}] END) AS rule FROM docs)
-WHERE rule IS NOT NULL"""
-
-
 def _payload_sql(name: str, *rules: str) -> str:
     """Rules of a payload that must be an object, spelled out here and not taken from the contracts."""
     return _with(("raw", for_duckdb(recipes.PAYLOADS[name])),
@@ -128,6 +109,17 @@ def _item(rule: str, test: str) -> str:
             f"THEN '{rule}:sections[]' END")
 
 
+def _event_contract() -> str:
+    texts = ("timestamp", "environment", "application", "component", "platform", "severity", "message", "user_id", "session_id", "request_id", "client_ip")
+    odd = "list_filter(json_keys(doc, '$.labels'), lambda k: json_type(doc, '$.labels.' || k) IN ('NULL', 'OBJECT', 'ARRAY'))"
+    rules = [*_needs("timestamp", "environment", "application", "severity", "message"), *_typed("VARCHAR", *texts), *_typed("OBJECT", "labels"),
+             *_shaped(_RFC3339, "timestamp"), _closed("$", "additional", *texts, "labels"),
+             f"CASE WHEN json_type(doc, '$.labels') = 'OBJECT' AND len({odd}) > 0 THEN 'value_type:labels' END"]
+    return _with(NORMALIZED[0], _ANY_JSON) + f"""
+SELECT event_id, rule FROM (SELECT event_id, unnest(CASE WHEN doc IS NULL THEN ['parse'] ELSE [{', '.join(rules)}] END) AS rule FROM docs)
+WHERE rule IS NOT NULL"""
+
+
 _UUID = "[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
 _ABSOLUTE = "[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+.*"
 _OBJECT_ITEM = "json_type(s) = 'OBJECT' AND "
@@ -331,7 +323,7 @@ ORACLE: dict[str, str] = {
     "labels_scalar_filter": _ACCEPTED + "SELECT event_id, labels FROM accepted WHERE labels <> ''",
     "event_envelope": _with(*NORMALIZED, ("shown", _LABEL_JSON)) + f"SELECT a.event_id, {_ENVELOPE} AS envelope FROM accepted a LEFT JOIN shown s USING (event_id)",
     "alert_deliveries": _with(*NORMALIZED[:2]) + "SELECT count(*) AS n_deliveries FROM docs WHERE json_type(doc) IN ('OBJECT', 'NULL')",
-    "contract_violations": _contract_sql(),
+    "contract_violations": _event_contract(),
     **{f"contract_{name}": sql for name, sql in _PAYLOADS.items()},
     "log_label_policy": _with(*_LOGS) + """SELECT a.event_id, 'shop-logs' AS job, a.severity AS level, p.labels,
         CASE WHEN p.n > 7 THEN 'too many label names' WHEN p.longest > 8 AND p.longest IS NOT NULL THEN 'label value too long' ELSE '' END AS reject_reason

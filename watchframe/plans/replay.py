@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from watchframe.operators import normalize
 from watchframe.operators.probes import default_catalog
@@ -18,12 +19,21 @@ SLICES = 10
 
 
 def stream_slices(rows: DataFrame, ts: str, path: str, slices: int = SLICES) -> DataFrame:
-    """Rows written as one file per span of time and streamed back one file a batch, each pair of spans in reverse."""
+    """Rows written by spans of time and streamed back about one span a batch, each pair of spans in reverse.
+
+    All spans are cut in one parallel pass; each is then appended to the stream's folder by as many tasks as its size asks for.
+    """
+    spark = rows.sparkSession
     low, high = rows.agg(F.unix_micros(F.min(ts)), F.unix_micros(F.max(ts))).first()
-    place = F.floor((F.unix_micros(ts) - low) / F.lit(max(1, high - low + 1)) * slices)
+    low, high = low or 0, high or 0
+    place = F.floor((F.unix_micros(ts) - low) / F.lit(max(1, high - low + 1)) * slices).cast("int")
+    parted = work_dir(spark, "parted")
+    rows.withColumn("_span", F.coalesce(place, F.lit(0))).write.partitionBy("_span").parquet(parted)
+    cut = spark.read.schema(StructType([*rows.schema.fields, StructField("_span", IntegerType())])).parquet(parted)
     for i in range(slices):
-        rows.filter(place == (i ^ 1 if i ^ 1 < slices else i)).coalesce(1).write.mode("append").parquet(path)
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        cut.filter(F.col("_span") == (i ^ 1 if i ^ 1 < slices else i)).select(rows.columns).write.mode("append").parquet(path)
+    n_files = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, n_files // slices)).parquet(path)
 
 
 def stream_events(f: Fixtures) -> DataFrame:
