@@ -132,3 +132,12 @@ UUID = "3f2504e0-4f89-11d3-9a0c-0305e82c3301"
 def test_contracts(spark, contract, doc, rules):
     df = spark.createDataFrame([(doc,)], "value string")
     assert sorted(r.rule for r in contracts.contract_violations(df, contract).collect()) == sorted(rules)
+
+
+@pytest.mark.parametrize("contract", sorted(contracts.CONTRACTS))
+def test_a_payload_is_parsed_once_however_many_rules_there_are(spark, contract):
+    df = spark.createDataFrame([("{}",)], "value string")
+    plan = contracts.contract_violations(df, contract)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("try_parse_json(") == 1
+    names = sum(1 + len(p.get("properties", {})) + len(p.get("items", {}).get("properties", {})) for p in contracts.CONTRACTS[contract]["properties"].values())
+    assert plan.count("schema_of_variant(") <= names + 4
