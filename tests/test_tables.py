@@ -237,3 +237,27 @@ def test_a_timeline_is_in_order_within_its_chunks(spark):
         seen.setdefault((r.investigation_id, r.chunk), []).append((r.task, r.timestamp))
     assert sum(len(v) for v in seen.values()) == 3000 and len(seen) == 15
     assert all(len({task for task, _ in v}) == 1 and v == sorted(v) for v in seen.values())
+
+
+def test_a_timeline_of_correlated_events_shuffles_no_pairs(spark):
+    events = spark.range(400).selectExpr(
+        "id AS event_id", "'a' AS application", "'p' AS environment", "timestamp_seconds(1700000000 + (id * 7919) % 9000) AS timestamp",
+        "concat('u', id % 2) AS user_id", "'9' AS client_ip", "CAST(NULL AS STRING) AS session_id", "'r' AS request_id")
+    windows = spark.range(30).selectExpr(
+        "id AS investigation_id", "'a' AS application", "CASE WHEN id % 3 > 0 THEN 'p' END AS environment", "CASE WHEN id % 2 = 0 THEN 'u1' END AS user",
+        "CASE WHEN id % 5 = 0 THEN '9' END AS ip", "CASE WHEN id = 7 THEN 's' END AS session", "CAST(NULL AS STRING) AS request",
+        "timestamp_seconds(1700000000 + id * 100) AS time_start", "timestamp_seconds(1700000000 + id * 300) AS time_end")
+    packed = correlate.correlate_in_order(events, windows, ["event_id", "timestamp"], block=16)
+    placed = investigate.timeline(packed)
+    rows = placed.collect()
+    want = correlate.correlate_subjects(events, windows, ["event_id", "timestamp"]).collect()
+    assert len(want) > 1000 and sorted((r.investigation_id, r.event_id) for r in rows) == sorted((r.investigation_id, r.event_id) for r in want)
+    seen = {}
+    for r in rows:
+        seen.setdefault((r.investigation_id, r.chunk), []).append(r.timestamp)
+    assert all(v == sorted(v) and len(v) <= 16 for v in seen.values())
+    for one in range(30):
+        parts = [seen[k] for k in sorted(k for k in seen if k[0] == one)]
+        assert sum(parts, []) == sorted(sum(parts, []))
+    inline = placed._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert any("inline" in line for line in inline[:3])  # pairs are made last, above every exchange
