@@ -257,3 +257,14 @@ def test_masks_against_sets_of_grams():
         hits = {l: len(codes & known) for l, known in sets.items()}
         named, share = filters.judge([text], filters.false_rate())
         assert named == [want] and hits[want] == max(hits.values()) and 0 < share[0] <= 1
+
+
+def test_a_carried_text_is_sent_to_be_scored_once(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "AT_A_TIME", 3)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", "a bad day. fine", "worst", "x\nbad"] * 4)], "doc_id long, text string")
+    model = toxicity.Model(-2.0, {"bad": 3.0, "^wors": 1.5})
+    carried, plain = toxicity.score(docs, model, carry=["text"]), toxicity.score(docs, model)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert {r.doc_id: (r.score, r.predicted) for r in carried.collect()} == {r.doc_id: (r.score, r.predicted) for r in plain.collect()}
+    assert {r.doc_id: r.text for r in carried.collect()} == texts
+    assert "__text" not in carried._jdf.queryExecution().optimizedPlan().toString()

@@ -28,6 +28,7 @@ SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5)
 CACHED_WORDS = 400_000
+AT_A_TIME = 500  # rows scored and handed on together, of the many that arrive in a batch
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -159,9 +160,9 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = WordWeights(model.weights)
-        for batch in batches:
+        for batch in (whole.slice(i, AT_A_TIME) for whole in batches for i in range(0, whole.num_rows, AT_A_TIME)):
             found = []
-            for text in batch.column(0).to_pylist():
+            for text in (value.as_py() or "" for value in batch.column(source)):
                 spans = sentences(text) if model.prior is None else [(0, len(text))]
                 each = model.scores(text, spans, look)
                 k = int(each.argmax())
@@ -170,12 +171,14 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
                     row["offending"] = [{"start": a, "end": b, "score": float(s)} for (a, b), s in zip(spans, each) if s >= threshold]
                 found.append(row)
             table = pa.RecordBatch.from_pylist(found, schema=out)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *table.columns], names)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *table.columns], names)
 
     out = pa.schema([("score", pa.float64()), ("worst_start", pa.int64()), ("worst_end", pa.int64())]
                     + ([("offending", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))] if with_spans else []))
     keep = list(dict.fromkeys([id_column, *carry]))
-    rows = docs.select(whole_text(text_column).alias("__text"), *[F.col(c) for c in keep])
+    # a text that is carried goes to the tasks once, not a second time to be scored
+    source = text_column if text_column in keep and docs.schema[text_column].dataType.simpleString() == "string" else "__text"
+    rows = docs.select(*([whole_text(text_column).alias("__text")] if source == "__text" else []), *[F.col(c) for c in keep])
     names = [*keep, *out.names]
     kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + ["score double", "worst_start long", "worst_end long"]
     if with_spans:
