@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from watchframe.operators import normalize, probes, series
+from watchframe.plans import replay
 from watchframe.sources.events import read_raw, stream_raw
 from watchframe.streaming import jobs
 
@@ -157,3 +158,13 @@ def test_polling_runs_new_scrapes_and_leaves_out_failing_collectors(spark, tmp_p
         [("c", "p", "d", "cpu"), ("e", "p", "d", "sessions")], "collector_id string, environment_slug string, target_name string, probe_name string")
     assert run(T0, schedule) == [("idle", 1.0), ("run", 2.0), ("run", 2.0)]
     assert [(r.collector_id, r.reason) for r in spark.read.parquet(f"{root}/failures").collect()] == [("c", "unknown probe cpu")]
+
+
+def test_a_slice_of_many_compact_rows_comes_in_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(replay, "ROWS_A_FILE", 20)
+    rows = spark.range(400).selectExpr("id", "timestamp_seconds(1700000000 + id) AS ts").coalesce(1)
+    stream = replay.stream_slices(rows, "ts", f"{tmp_path}/in")
+    stored = spark.read.parquet(f"{tmp_path}/in")
+    per_file = stored.groupBy(F.input_file_name()).count().collect()
+    assert len(per_file) >= 20 and max(r["count"] for r in per_file) <= 20
+    assert stored.count() == stored.distinct().count() == 400 and stream.isStreaming

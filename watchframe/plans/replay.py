@@ -16,22 +16,24 @@ from watchframe.streaming import jobs
 
 
 SLICES = 10
+ROWS_A_FILE = 50_000  # a file of a stream is read by one task, however few bytes its rows take
 
 
 def stream_slices(rows: DataFrame, ts: str, path: str, slices: int = SLICES) -> DataFrame:
     """Rows written by spans of time and streamed back about one span a batch, each pair of spans in reverse.
 
-    All spans are cut in one parallel pass; each is then appended to the stream's folder by as many tasks as its size asks for.
+    All spans are cut in one parallel pass; each is then appended to the stream's folder by as many tasks as its size asks for. A
+    file holds at most ``ROWS_A_FILE`` rows, so the tasks of a batch grow with its rows: compact rows may be costly ones.
     """
     spark = rows.sparkSession
     low, high = rows.agg(F.unix_micros(F.min(ts)), F.unix_micros(F.max(ts))).first()
     low, high = low or 0, high or 0
     place = F.floor((F.unix_micros(ts) - low) / F.lit(max(1, high - low + 1)) * slices).cast("int")
     parted = work_dir(spark, "parted")
-    rows.withColumn("_span", F.coalesce(place, F.lit(0))).write.partitionBy("_span").parquet(parted)
+    rows.withColumn("_span", F.coalesce(place, F.lit(0))).write.option("maxRecordsPerFile", ROWS_A_FILE).partitionBy("_span").parquet(parted)
     cut = spark.read.schema(StructType([*rows.schema.fields, StructField("_span", IntegerType())])).parquet(parted)
     for i in range(slices):
-        cut.filter(F.col("_span") == (i ^ 1 if i ^ 1 < slices else i)).select(rows.columns).write.mode("append").parquet(path)
+        cut.filter(F.col("_span") == (i ^ 1 if i ^ 1 < slices else i)).select(rows.columns).write.option("maxRecordsPerFile", ROWS_A_FILE).mode("append").parquet(path)
     n_files = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, n_files // slices)).parquet(path)
 
