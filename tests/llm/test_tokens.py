@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -10,8 +11,8 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from watchframe.llm import byte_pairs, encoding, pieces, records
-from watchframe.llm.texts import fragments, tokenizer_path
+from watchframe.llm import byte_pairs, encoding, pieces, records, weighted_minhash
+from watchframe.llm.texts import fragments, text_groups, tokenizer_path
 
 tokenizers = pytest.importorskip("tokenizers")
 BYTES, PIECES = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
@@ -143,3 +144,45 @@ def test_generations_of_fragments_stay_bounded(monkeypatch):
 def test_records_of_an_empty_table(spark, tmp_path, docs):
     folder = str(tmp_path / "none")
     assert records.read(records.write(docs.limit(0), folder, BYTES), folder).count() == 0
+
+
+def peak_of(work):
+    """What a call returns, and the most bytes it held beyond that."""
+    tracemalloc.start()
+    try:
+        got = work()
+        now, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    return got, most - now
+
+
+def test_known_words_are_not_held_as_strings():
+    rng = random.Random(3)
+    texts = [" ".join(f"word{rng.randrange(300)}" for _ in range(2_000)) for _ in range(50)]
+    encoder = pieces.PieceEncoder(PIECES)
+    encoder.encode(texts[:10])
+    got, most = peak_of(lambda: encoder.encode(texts))
+    assert got == encoder.library.encode(texts)
+    assert most < 30 * 100_000  # a string of its own takes 50 bytes and more
+
+
+def test_samples_are_drawn_in_blocks():
+    rng = np.random.default_rng(5)
+    counts = np.append(rng.integers(1, 999, 1_500), 400_000)
+    code, weight = rng.integers(1 << 50, size=counts.sum(), dtype=np.uint64), rng.uniform(0.5, 3, counts.sum())
+    sampler = weighted_minhash.Sampler(2, 1, 11)
+    got, most = peak_of(lambda: sampler.bands_of(code, weight, counts))
+    assert most < 60 * len(code)
+    ends = np.cumsum(counts)
+    for i in (0, 1, 700, 1_499, 1_500):
+        one = slice(ends[i] - counts[i], ends[i])
+        assert (got[i] == sampler.bands_of(code[one], weight[one], counts[i:i + 1])[0]).all()
+    assert sampler.bands_of(code[:0], weight[:0], counts[:0]).shape == (0, 2)
+
+
+def test_text_groups():
+    column = pa.array(["aaaa", "", "b", "cc", "dddddddd", ""])
+    assert list(text_groups(column, 5)) == [["aaaa", "", "b"], ["cc", "dddddddd"], [""]]
+    assert list(text_groups(column, 99, 4)) == [["aaaa", "", "b", "cc"], ["dddddddd", ""]]
+    assert list(text_groups(column[:0], 5)) == []

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchframe.llm.texts import Cache, whole_text
+from watchframe.llm.texts import give_back, whole_text
 
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -172,6 +172,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
                 found.append(row)
             table = pa.RecordBatch.from_pylist(found, schema=out)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *table.columns], names)
+            give_back()
 
     out = pa.schema([("score", pa.float64()), ("worst_start", pa.int64()), ("worst_end", pa.int64())]
                     + ([("offending", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))] if with_spans else []))

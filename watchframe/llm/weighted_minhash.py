@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchframe.llm.components import Forest, components, stored
-from watchframe.llm.texts import Cache, whole_text
+from watchframe.llm.texts import Cache, give_back, text_groups, whole_text
 
 WORDS = 5
 HASH_BITS = 40
@@ -40,6 +40,7 @@ GROUP_TEXTS, GROUP_CHARACTERS = 1_000, 4_000_000
 CACHED_WORDS = 400_000
 TABLE_BITS = 16  # variates of the sampling are drawn from tables of 2**16 entries, addressed by the shingle's hash
 PART_CHARACTERS, LEAST_PARTS = 8_000_000, 64
+SAMPLED_TOGETHER = 250_000  # shingles, or one text
 SHARED_TEXTS = 32  # of a component of several blocks, about so many texts join every block
 
 
@@ -60,13 +61,14 @@ class Shingler:
 
     def shingles(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """64-bit hashes of all shingles, the number of each's text, and how many each text has."""
-        split = [text.encode().split() for text in texts]
-        lengths = np.fromiter(map(len, split), np.int64, len(split))
-        flat = [word for words in split for word in words]
-        fresh, known = self.words.missing(set(flat)), self.words.entries
+        known, flat, lengths = self.words.entries, [], np.zeros(len(texts), np.int64)
+        for k, words in enumerate(text.encode().split() for text in texts):
+            flat.extend(map(known.get, words, words))  # a known word is replaced by its hash at once
+            lengths[k] = len(words)
+        fresh = self.words.missing({word for word in flat if type(word) is bytes})
         for word in fresh:
             known[word] = xxhash.xxh3_64_intdigest(word)
-        hashes = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
+        hashes = np.fromiter((word if type(word) is int else known[word] for word in flat), np.uint64, len(flat))
         self.words.forget(fresh)
         begins = np.cumsum(lengths) - lengths
         counts = np.where(lengths >= WORDS, lengths - WORDS + 1, (lengths > 0).astype(np.int64))
@@ -85,7 +87,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     return np.array([len(a) for a in arrays], "<u4").tobytes() + b"".join(a.tobytes() for a in arrays)
 
 
-def _unpack(payload: bytes, *kinds: str) -> list[np.ndarray]:
+def _unpack(payload: pa.Buffer, *kinds: str) -> list[np.ndarray]:
     sizes, at, found = np.frombuffer(payload, "<u4", len(kinds)), 4 * len(kinds), []
     for size, kind in zip(sizes.tolist(), kinds):
         found.append(np.frombuffer(payload, kind, size, at))
@@ -102,17 +104,14 @@ def scatter(keyed: DataFrame, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            keys, texts, at = batch.column(0).to_numpy(), batch.column(1).to_pylist(), 0
-            while at < len(texts):
-                take = size = 0
-                while at + take < len(texts) and take < GROUP_TEXTS and size < GROUP_CHARACTERS:
-                    size += len(texts[at + take])
-                    take += 1
-                unique, first = np.unique(keys[at:at + take], return_index=True)
-                found = list(_scatter(shingler, unique, [texts[at + i] for i in first], parts))
+            keys, at = batch.column(0).to_numpy(), 0
+            for texts in text_groups(batch.column(1), GROUP_CHARACTERS, GROUP_TEXTS):
+                unique, first = np.unique(keys[at:at + len(texts)], return_index=True)
+                found = list(_scatter(shingler, unique, [texts[i] for i in first], parts))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], ["part", "payload"])
-                at += take
+                at += len(texts)
+                give_back()
 
     return keyed.select("key", "text").mapInArrow(run, "part int, payload binary")
 
@@ -139,8 +138,9 @@ def _scatter(shingler: Shingler, keys: np.ndarray, texts: list[str], parts: int)
 def gather(parts_of: DataFrame, parts: int) -> DataFrame:
     """Rows ``bucket``, ``payload``: shingles that two different texts share, with the number of texts, back to the texts."""
     def run(key, group):
+        give_back()  # what the group before has left
         part = key[0].as_py()
-        columns = list(zip(*(_unpack(p.as_py(), *SENT) for p in group.column("payload"))))
+        columns = list(zip(*(_unpack(p.as_buffer(), *SENT) for p in group.column("payload"))))
         keys, totals, counts, low, high = (np.concatenate(c) for c in columns[:5])
         times = np.ones(len(low), np.uint32)
         base = 0
@@ -155,7 +155,8 @@ def gather(parts_of: DataFrame, parts: int) -> DataFrame:
         keep = once[owner]
         owner, code, times = owner[keep], code[keep], times[keep]
         order = np.argsort(code)
-        begins = np.flatnonzero(np.append(len(code) > 0, code[order][1:] != code[order][:-1]))
+        ordered = code[order]
+        begins = np.flatnonzero(np.append(len(code) > 0, ordered[1:] != ordered[:-1]))
         size = np.diff(np.append(begins, len(code)))
         df = np.empty(len(code), np.uint32)
         df[order] = np.repeat(size, size)
@@ -189,9 +190,17 @@ class Sampler:
 
     def bands_of(self, code: np.ndarray, weight: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """One row of band hashes per set; sets have ``counts`` entries each, at least one, in order of their hashes."""
+        out, ends, a = np.zeros((len(counts), self.bands), np.uint64), np.cumsum(counts), 0
+        while a < len(counts):
+            start = ends[a] - counts[a]
+            b = max(a + 1, int(np.searchsorted(ends, start + SAMPLED_TOGETHER, side="right")))
+            self._sample(code[start:ends[b - 1]], weight[start:ends[b - 1]], counts[a:b], out[a:b])
+            a = b
+        return out.view(np.int64)
+
+    def _sample(self, code: np.ndarray, weight: np.ndarray, counts: np.ndarray, out: np.ndarray) -> None:
         begins = np.cumsum(counts) - counts
         log_w, spread = np.log(weight), mixed(code)
-        out = np.zeros((len(counts), self.bands), np.uint64)
         owner = np.repeat(np.arange(len(counts)), counts)
         for k, turn in enumerate(self.turns):
             at = (mixed(spread ^ turn) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
@@ -204,7 +213,6 @@ class Sampler:
             sample = mixed(code[first] * np.uint64(0x9E3779B97F4A7C15) + t[first].astype(np.int64).astype(np.uint64))
             band = k // self.rows
             out[:, band] = mixed(out[:, band] + sample + np.uint64(k + 1))
-        return out.view(np.int64)
 
 
 def sketch(back: DataFrame, n_texts: int, similarity: float, idf_weight: float, bands: int, rows: int, seed: int) -> DataFrame:
@@ -215,7 +223,8 @@ def sketch(back: DataFrame, n_texts: int, similarity: float, idf_weight: float,
         return 1 + spread * np.log(max(n_texts, 2) / df)
 
     def run(key, group):
-        columns = list(zip(*(_unpack(p.as_py(), *SHARED) for p in group.column("payload"))))
+        give_back()
+        columns = list(zip(*(_unpack(p.as_buffer(), *SHARED) for p in group.column("payload"))))
         keys, totals, counts, code, times, df = (np.concatenate(c) for c in columns)
         unique, first, of = np.unique(keys, return_index=True, return_inverse=True)
         owner = np.repeat(of, counts)
