@@ -261,3 +261,26 @@ def test_a_timeline_of_correlated_events_shuffles_no_pairs(spark):
         assert sum(parts, []) == sorted(sum(parts, []))
     inline = placed._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert any("inline" in line for line in inline[:3])  # pairs are made last, above every exchange
+
+
+def crowd(spark, n_events=600, n_windows=40):
+    """Events and windows of two applications with ties, missing values and repeated ids, and their pairs by a plain loop."""
+    events = [(i % 590, "ab"[i % 2], ["p", "q", None][i % 3], None if i % 97 == 5 else NOW + timedelta(minutes=(i * 7919) % 900 // 2),
+               None if i % 11 == 0 else f"u{i % 4}", f"{i % 3}", "s", None, ["c", "d", None][i % 5 % 3], ["error", "info"][i % 7 % 2]) for i in range(n_events)]
+    windows = [(i % 37, "ab"[i % 2], None if i % 3 == 0 else "pq"[i % 2], f"u{i % 4}" if i % 2 else None, f"{i % 3}" if i % 5 == 0 else None,
+                "s" if i == 9 else None, None, NOW + timedelta(minutes=i * 9), NOW + timedelta(minutes=i * 9 + [0, 40, 300, -5][i % 4]))
+               for i in range(n_windows)] + [(99, "a", None, None, None, None, None, NOW - 900 * H, NOW + 90000 * H)]
+    pairs = [(w, e) for w in windows for e in events if e[3] is not None and w[1] == e[1] and w[2] in (None, e[2])
+             and all(w[k] in (None, e[k + 1]) for k in (3, 4, 5, 6)) and w[7] <= e[3] <= w[8]]
+    kinds = "environment string, user string, ip string, session string, request string, time_start timestamp, time_end timestamp"
+    return spark.createDataFrame(events, "event_id int, application string, environment string, timestamp timestamp, user_id string, client_ip string, "
+                                 "session_id string, request_id string, component string, severity string"), spark.createDataFrame(
+        windows, f"investigation_id int, application string, {kinds}"), pairs
+
+
+def test_pairs_are_made_last_from_blocks(spark):
+    events, windows, pairs = crowd(spark)
+    made = correlate.correlate_subjects(events, windows, ["event_id", "timestamp", "component"])
+    assert "Generate posexplode(events" in "".join(made._jdf.queryExecution().optimizedPlan().toString().split("\n")[:3])
+    rows = sorted((r.investigation_id, r.event_id, r.timestamp, str(r.component)) for r in made.collect())
+    assert rows == sorted((w[0], e[0], e[3], str(e[8])) for w, e in pairs)
