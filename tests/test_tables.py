@@ -1,9 +1,10 @@
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from watchframe.operators import audit, correlate, investigate, metadata, normalize, probes, reports
+from watchframe.operators import audit, correlate, investigate, metadata, normalize, probes, reports, spans as spans_of
 from watchframe.schemas import CHECKS, FOREIGN_KEYS, METADATA_TABLES, UNIQUE, Check, ForeignKey, Unique
 from watchframe.sources import sinks
 from watchframe.sources.snapshots import read_metadata
@@ -278,9 +279,45 @@ def crowd(spark, n_events=600, n_windows=40):
         windows, f"investigation_id int, application string, {kinds}"), pairs
 
 
+def test_counted_pairs_are_those_of_a_plain_loop(spark):
+    events, windows, pairs = crowd(spark)
+    found = correlate.correlate_subjects(events, windows, ["event_id", "timestamp"], count_by=["component", "severity"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # windows and events are counted in one pass, without pairs
+    want = {}
+    for w, e in pairs:
+        want.setdefault((w[0], e[8], e[9]), []).append(e[3])
+    got = {(r.investigation_id, r.component, r.severity): (r.n_events, r.first_seen, r.last_seen) for r in investigate.summary(found).collect()}
+    assert len(pairs) > 1000 and got == {k: (len(v), min(v), max(v)) for k, v in want.items()}
+    by_app = correlate.correlate_subjects(events, windows, ["event_id"], count_by=["application", "severity"], without_subject=False)
+    assert sum(r.n_events for r in by_app.collect()) == sum(any(w[3:7]) for w, _ in pairs)
+    assert correlate.correlate_subjects(events, windows.limit(0), ["event_id"], count_by=["severity"]).count() == 0
+
+
 def test_pairs_are_made_last_from_blocks(spark):
     events, windows, pairs = crowd(spark)
     made = correlate.correlate_subjects(events, windows, ["event_id", "timestamp", "component"])
     assert "Generate posexplode(events" in "".join(made._jdf.queryExecution().optimizedPlan().toString().split("\n")[:3])
     rows = sorted((r.investigation_id, r.event_id, r.timestamp, str(r.component)) for r in made.collect())
     assert rows == sorted((w[0], e[0], e[3], str(e[8])) for w, e in pairs)
+
+
+@pytest.mark.parametrize("held, pairs", [(8, 3), (50, 1), (10_000, 10_000)])
+def test_large_cells_are_counted_in_parts(held, pairs):
+    spans = [(c, f"k{c % 3}", t, t + 40, t * 10 + c, None) for c in range(5) for t in range(0, 90, 7)]
+    events = [(c, f"k{c % 3}", t % 97, None, None, ["x", "y", None][t % 3]) for c in range(5) for t in range(60)]
+    rows = sorted(spans + events, key=lambda r: (r[0] // 3, r[3] is None, r[2]))  # cells 0-2 and 3-4 share a hash
+    at = pa.timestamp("us", "UTC")
+    schema = pa.schema([("cell", pa.int64()), ("key", pa.string()), ("at", at), ("until", at), ("investigation_id", pa.int64()), ("by_g", pa.string())])
+    table = pa.Table.from_arrays([pa.array([v // 3 if i == 0 else v for v in c], f.type) for i, (c, f) in enumerate(zip(zip(*rows), schema))], schema=schema)
+    got = {}
+    for out in spans_of.span_counter(["g"], held, pairs)(iter(table.to_batches(max_chunksize=13))):
+        for r in out.to_pylist():
+            n, lo, hi = got.get((r["investigation_id"], r["g"]), (0, r["first_seen"], r["last_seen"]))
+            got[r["investigation_id"], r["g"]] = n + r["n_events"], min(lo, r["first_seen"]), max(hi, r["last_seen"])
+    want = {}
+    for s in spans:
+        for e in events:
+            if s[0] // 3 == e[0] // 3 and s[1] == e[1] and s[2] <= e[2] <= s[3]:
+                want.setdefault((s[4], e[5]), []).append(datetime.fromtimestamp(0, timezone.utc) + timedelta(microseconds=e[2]))
+    assert got == {k: (len(v), min(v), max(v)) for k, v in want.items()}
