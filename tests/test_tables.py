@@ -294,6 +294,19 @@ def test_counted_pairs_are_those_of_a_plain_loop(spark):
     assert correlate.correlate_subjects(events, windows.limit(0), ["event_id"], count_by=["severity"]).count() == 0
 
 
+def test_severity_of_counted_pairs(spark):
+    events, windows, pairs = crowd(spark)
+    is_error = F.col("severity") == "error"
+    counted = correlate.correlate_subjects(events, windows, ["severity"], count_by=["severity"])
+    made = correlate.correlate_subjects(events, windows, ["severity"])
+    got, same = ({r.investigation_id: tuple(r)[1:] for r in investigate.result_severity(c, is_error, 0.4, 0.55).collect()} for c in (counted, made))
+    want = {}
+    for w, e in pairs:
+        want.setdefault(w[0], []).append(1.0 if e[9] == "error" else 0.0)
+    assert got == same == {k: (len(v), sum(v) / len(v), "critical" if sum(v) / len(v) >= 0.55 else "warning" if sum(v) / len(v) >= 0.4 else "info")
+                           for k, v in want.items()}
+
+
 def test_pairs_are_made_last_from_blocks(spark):
     events, windows, pairs = crowd(spark)
     made = correlate.correlate_subjects(events, windows, ["event_id", "timestamp", "component"])
